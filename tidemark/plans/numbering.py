@@ -8,13 +8,10 @@ range shuffle would sample again and could cut elsewhere.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from . import sizes, staging
 
@@ -64,45 +61,21 @@ def with_row_number(df: DataFrame, order: list[str | Column], name: str, start:
 def cumulative_by_key(df: DataFrame, key: str, weight: str) -> DataFrame:
     """Per distinct key: weight before it and the key in front of it.
 
-    ``df`` holds one row per integer or timestamp ``key``. Returns ``key``,
-    ``weight``, ``before`` and ``prev``.
+    ``df`` holds one row per ``key``. Returns ``key``, ``weight``, ``before``
+    and ``prev``. Each range partition is one window group, so groups are as
+    even as the range split.
     """
     kept = df.select(key, F.col(weight).cast("bigint").alias(weight))
-    ordered = kept.repartitionByRange(range_partitions(kept), key).sortWithinPartitions(key)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id().cast("bigint"))
-    key_type = df.schema[key].dataType
-    schema = T.StructType(
-        [
-            T.StructField(key, key_type),
-            T.StructField(weight, T.LongType()),
-            T.StructField("_pid", T.LongType()),
-            T.StructField("_cum", T.LongType()),
-            T.StructField("_prev", key_type),
-        ]
-    )
-
-    def accumulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, last = 0, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys, weights, pids = batch.column(0), batch.column(1), batch.column(2)
-            w = weights.to_numpy(zero_copy_only=False)
-            cum = total + np.cumsum(w) - w
-            head = pa.array([last], type=keys.type)
-            prev = pa.concat_arrays([head, keys.slice(0, len(keys) - 1)])
-            total, last = int(cum[-1] + w[-1]), keys[-1].as_py()
-            yield pa.RecordBatch.from_arrays(
-                [keys, weights, pids, pa.array(cum, type=pa.int64()), prev],
-                names=[key, weight, "_pid", "_cum", "_prev"],
-            )
-
-    fixed = staging.stage(tagged.mapInArrow(accumulate, schema), "cumulative")
-    totals = fixed.groupBy("_pid").agg(
-        F.sum(weight).alias("_n"), F.max(key).alias("_max")
+    ordered = kept.repartitionByRange(range_partitions(kept), key)
+    fixed = staging.stage(
+        ordered.withColumn("_pid", F.spark_partition_id().cast("bigint")), "cumulative"
     )
+    totals = fixed.groupBy("_pid").agg(F.sum(weight).alias("_n"), F.max(key).alias("_max"))
     offsets = _offsets(df, totals, "_max")
-    return fixed.join(offsets, "_pid").select(
+    w = W.partitionBy("_pid").orderBy(key)
+    cum = F.coalesce(F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    local = fixed.select(key, weight, "_pid", cum.alias("_cum"), F.lag(key).over(w).alias("_prev"))
+    return local.join(offsets, "_pid").select(
         key,
         weight,
         (F.col("_before") + F.col("_cum")).alias("before"),

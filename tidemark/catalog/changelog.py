@@ -48,7 +48,7 @@ def events_between(spark, d):
 EVENTS_BETWEEN = with_views("change_log", f"""
 WITH s AS (SELECT *, {_SEQ} FROM change_log)
 SELECT *, EXISTS (SELECT 1 FROM s WHERE (seq, pos) >= (13, 9000)) AS reached FROM s
-WHERE (seq, pos) > (9, 5000) AND (seq, pos) <= (13, 9000)
+WHERE (seq > 9 OR (seq = 9 AND pos > 5000)) AND (seq < 13 OR (seq = 13 AND pos <= 9000))
 """)
 
 

@@ -148,9 +148,7 @@ def segment(
 def last_before(seg: Segmented, value: Column, name: str, inclusive: bool = False) -> Segmented:
     """Last non-NULL ``value`` before each row (or up to it) in key order."""
     frame = seg.local().rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    tail = F.max_by(
-        value, F.struct(*[F.col(c) for c in seg.order])
-    ).filter(value.isNotNull())
+    tail = F.max_by(value, F.when(value.isNotNull(), F.struct(*seg.order)))
     out = seg.carry(
         {"_tail": tail},
         {"_carried": lambda w: F.last("_tail", ignorenulls=True).over(w)},

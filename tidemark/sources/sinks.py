@@ -38,7 +38,7 @@ def progress_json(df: DataFrame, keys: Sequence[str], fields: dict[str, str]) ->
 
 
 def publish(
-    df: DataFrame, name: str, version: int, drop_old: bool = False,
+    df: DataFrame, name: str, version: int, path: str | None = None, drop_old: bool = False,
     check: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Write a new version of a table, then switch the name to it.
@@ -46,12 +46,15 @@ def publish(
     ``name`` is a view, so readers change over in one catalog step. If the
     write, the check or the switch fails, the new version is dropped and the
     name still leads to the old one. With ``drop_old`` the version before is
-    removed after the switch.
+    removed after the switch. ``path`` puts the data outside the warehouse.
     """
     spark = df.sparkSession
     fresh = f"{name}_v{version}"
     try:
-        df.write.mode("overwrite").saveAsTable(fresh)
+        writer = df.write.mode("overwrite")
+        if path:
+            writer = writer.option("path", path)
+        writer.saveAsTable(fresh)
         if check is not None:
             check(spark.table(fresh))
         spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {fresh}")

@@ -142,6 +142,8 @@ def active_sessions(events: DataFrame, ts: str, active: Column, width: str = "1
 # the segments of a key are walked once to find where the chain enters each;
 # then all segments mark their rows.
 
+_FAR = -(2**62)  # before any time
+
 
 def _jumps(us: np.ndarray, gap: int) -> np.ndarray:
     """For each row the first row at least ``gap`` later."""
@@ -178,68 +180,76 @@ def exit_table(us: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return limit[last], leave[last]
 
 
-_FAR = np.iinfo(np.int64).min
-
-
 def rate_limit(
-    df: DataFrame, key: str, ts: str, order: str, ms: int, max_group_rows: int = skew.MAX_GROUP_ROWS
+    df: DataFrame, key: str, ts: str, order: str, ms: int,
+    max_group_rows: int = skew.MAX_GROUP_ROWS, start: DataFrame | None = None,
 ) -> DataFrame:
     """Keep a row only if at least ``ms`` have passed since the last kept row of its key.
 
-    The first row of a key is kept; rows with equal times are taken by ``order``.
+    The first row of a key is kept; rows with equal times are taken by
+    ``order``. ``start`` may tell per key (``key``, ``free_at`` in
+    microseconds) when the next row is allowed.
     """
     gap = ms * 1000
     base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    seg = skew.segment(base, [key], ["_us", order], F.col("_us"), max_group_rows)
-
-    if not seg.split:
-        entered = seg.df.withColumn("_free", F.lit(None).cast("bigint"))
+    if start is None:
+        base = base.withColumn("_first", F.lit(_FAR))
     else:
-        entered = _with_entry(seg, key, gap)
-
+        known = start.select(F.col(key).alias("_known"), F.col("free_at").alias("_first"))
+        base = (
+            base.join(known, base[key].eqNullSafe(known["_known"]), "left")
+            .drop("_known").fillna({"_first": _FAR})
+        )
+    seg = skew.segment(base, [key], ["_us", order], F.col("_us"), max_group_rows)
+    entered = _with_entry(seg, key, gap) if seg.split else seg.df.withColumn("_free", F.col("_first"))
     names = df.columns
 
     def mark(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_us", order], kind="stable")
         free = group["_free"].iloc[0]
-        keep = kept_rows(group["_us"].to_numpy(np.int64), gap, _FAR if pd.isna(free) else int(free))
+        keep = kept_rows(group["_us"].to_numpy(np.int64), gap, int(free))
         return group.loc[keep, names]
 
+    entered = entered.withColumn("_free", F.coalesce("_free", "_first"))
     keys = [key, skew.SEG] if seg.split else [key]
-    return entered.groupBy(*keys).applyInPandas(mark, df.schema)
+    return entered.select(*names, "_us", "_free", *keys[1:]).groupBy(*keys).applyInPandas(mark, df.schema)
 
 
 def _with_entry(seg: skew.Segmented, key: str, gap: int) -> DataFrame:
-    """Add ``_free``, when the chain of the key may enter the segment."""
+    """Add ``_free``, when the chain of a hot key may enter the segment."""
     key_type = seg.df.schema[key].dataType
-    hot = seg.df.where(skew.HOT)
     steps_schema = T.StructType([
-        T.StructField(key, key_type), T.StructField(skew.SEG, T.LongType()),
+        T.StructField(key, key_type), T.StructField(skew.SEG, T.LongType()), T.StructField("_first", T.LongType()),
         T.StructField("_limit", T.LongType()), T.StructField("_leave", T.LongType()),
     ])
 
     def steps(group: pd.DataFrame) -> pd.DataFrame:
         us = np.sort(group["_us"].to_numpy(np.int64))
         limit, leave = exit_table(us, gap)
+        head = group.iloc[0]
         return pd.DataFrame({
-            key: group[key].iloc[0], skew.SEG: group[skew.SEG].iloc[0], "_limit": limit, "_leave": leave,
+            key: [group[key].iloc[0]] * len(limit), skew.SEG: int(head[skew.SEG]), "_first": int(group["_first"].iloc[0]),
+            "_limit": limit, "_leave": leave,
         })
 
-    tables = hot.select(key, skew.SEG, "_us").groupBy(key, skew.SEG).applyInPandas(steps, steps_schema)
+    tables = (
+        seg.df.where(skew.HOT).select(key, skew.SEG, "_first", "_us")
+        .groupBy(key, skew.SEG).applyInPandas(steps, steps_schema)
+    )
     walk_schema = T.StructType([
         T.StructField("_k", key_type), T.StructField("_s", T.LongType()), T.StructField("_free", T.LongType()),
     ])
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([skew.SEG, "_limit"])
-        free, out = _FAR, []
+        free, out = int(group["_first"].iloc[0]), []
         for s, part in group.groupby(skew.SEG, sort=True):
             out.append((s, free))
             i = int(np.searchsorted(part["_limit"].to_numpy(np.int64), free, side="left"))
             if i < len(part):
                 free = int(part["_leave"].iloc[i])
         return pd.DataFrame({
-            "_k": group[key].iloc[0], "_s": [s for s, _ in out], "_free": [f for _, f in out],
+            "_k": [group[key].iloc[0]] * len(out), "_s": [s for s, _ in out], "_free": [f for _, f in out],
         })
 
     entry = tables.groupBy(key).applyInPandas(walk, walk_schema)

@@ -31,8 +31,18 @@ def staging_root(spark: SparkSession) -> str:
     return _local_root
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application keeps its staged tables."""
+    return f"{staging_root(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete everything this application staged; results read from it end here."""
+    drop_path(spark, application_folder(spark))
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-SECTIONS = ("inspect", "copy", "alter", "changelog", "hints", "flow", "verify", "streams")
+SECTIONS = ("inspect", "copy", "alter", "changelog", "hints", "flow", "verify", "streams", "columns")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -148,17 +148,20 @@ def escape_json(c: Column) -> Column:
 
 
 def unescape_json(c: Column) -> Column:
-    """Undo ``escape_json``. Each escape stands for one character."""
-    quoted = F.concat(
-        F.lit('{"v":"'),
-        # control characters and bare quotes are legal here, not in JSON
-        replace_all(
-            F.regexp_replace(c, r'(?<!\\)((?:\\\\)*)"', r'$1\\"'),
-            [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")],
-        ),
-        F.lit('"}'),
-    )
-    return F.coalesce(F.get_json_object(quoted, "$.v"), c)
+    """Undo ``escape_json``; a backslash that starts no escape is kept.
+
+    The text is cut at escaped backslashes, so in each part a backslash can
+    only start an escape, and the part can be read as a JSON string.
+    """
+
+    def read(part: Column) -> Column:
+        lone = F.regexp_replace(part, r'\\(?!["nrtbf]|u[0-9a-fA-F]{4})', r"\\\\")
+        quotes = F.regexp_replace(lone, r'(?<!\\)"', r'\\"')
+        plain = replace_all(quotes, [p for p in JSON_ESCAPES if p[0] not in '\\"'])
+        value = F.get_json_object(F.concat(F.lit('{"v":"'), plain, F.lit('"}')), "$.v")
+        return F.coalesce(value, part)
+
+    return F.array_join(F.transform(F.split(c, r"\\\\"), read), "\\")
 
 
 def split_char(c: Column, delimiter: str) -> Column:

@@ -57,7 +57,7 @@ def to_text(c: Column, precision: int = 6) -> Column:
     """
     x = c.cast("double")
     high = F.floor(F.abs(x) / 2.0**32)
-    low = (F.abs(x) - high.cast("double") * 2.0**32).cast("bigint")
+    low = (F.abs(x) - high.cast("double") * 2.0**32).try_cast("bigint")
     whole = (high.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + low).cast("decimal(38,0)").cast("string")
     sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
     large = F.concat(sign, whole, F.lit("." + "0" * precision if precision else ""))

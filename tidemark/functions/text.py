@@ -40,12 +40,17 @@ def trim_right(c: Column, chars: str = BLANKS) -> Column:
     return F.rtrim(c, F.lit(chars))
 
 
+def _ascii_only(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
 def upper_ascii(c: Column) -> Column:
-    return F.translate(c, LOWER, UPPER)
+    """Upper case for ASCII letters only; other letters stay as they are."""
+    return F.when(_ascii_only(c), F.upper(c)).otherwise(F.translate(c, LOWER, UPPER))
 
 
 def lower_ascii(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    return F.when(_ascii_only(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def capitalize(c: Column) -> Column:
@@ -143,25 +148,34 @@ def normalize_name(c: Column) -> Column:
 
 
 def escape_json(c: Column) -> Column:
-    pairs = JSON_ESCAPES + [(chr(n), "\\u%04x" % n) for n in JSON_CONTROLS]
-    return replace_all(c, pairs)
+    common = replace_all(c, JSON_ESCAPES)
+    rare = replace_all(common, [(chr(n), "\\u%04x" % n) for n in JSON_CONTROLS])
+    return F.when(common.rlike(r"[\x00-\x1f]"), rare).otherwise(common)
 
 
 def unescape_json(c: Column) -> Column:
     """Undo ``escape_json``; a backslash that starts no escape is kept.
 
     The text is cut at escaped backslashes, so in each part a backslash can
-    only start an escape, and the part can be read as a JSON string.
+    start at most one escape and the escapes can be replaced one by one.
     """
+    pair, slash = "\\\\", "\\"
 
-    def read(part: Column) -> Column:
-        lone = F.regexp_replace(part, r'\\(?!["nrtbf]|u[0-9a-fA-F]{4})', r"\\\\")
-        quotes = F.regexp_replace(lone, r'(?<!\\)"', r'\\"')
-        plain = replace_all(quotes, [p for p in JSON_ESCAPES if p[0] not in '\\"'])
-        value = F.get_json_object(F.concat(F.lit('{"v":"'), plain, F.lit('"}')), "$.v")
-        return F.coalesce(value, part)
+    def coded(part: Column) -> Column:
+        # four-digit codes: read the part as a JSON string
+        lone = F.regexp_replace(part, r"\\(?!u[0-9a-fA-F]{4})", r"\\\\")
+        plain = replace_all(lone, [p for p in JSON_ESCAPES if p[0] != slash])
+        return F.get_json_object(F.concat(F.lit('{"v":"'), plain, F.lit('"}')), "$.v")
 
-    return F.array_join(F.transform(F.split(c, r"\\\\"), read), "\\")
+    def read(part: Column) -> Column:
+        known = part
+        for char, escape in JSON_ESCAPES:
+            if char != slash:
+                known = F.replace(known, F.lit(escape), F.lit(char))
+        return F.when(F.contains(part, F.lit("\\u")), F.coalesce(coded(known), known)).otherwise(known)
+
+    parts = F.transform(F.split(c, r"\\\\"), read)
+    return F.when(F.contains(c, F.lit(pair)), F.array_join(parts, slash)).otherwise(read(c))
 
 
 def split_char(c: Column, delimiter: str) -> Column:

@@ -277,7 +277,7 @@ def cast_audit(df: DataFrame, ops: Sequence[Any]) -> DataFrame:
         c = F.col(name)
         base = c if op.expression is None else op.expression
         tests.append((name, "cast", base.isNotNull() & base.try_cast(spark_type(op.type)).isNull()))
-        if limit := max_length(op.type):
+        if (limit := max_length(op.type)) is not None:
             tests.append((name, "length", F.length(c.cast("string")) > limit))
         if not op.nullable:
             tests.append((name, "null", c.isNull()))
@@ -293,9 +293,11 @@ def cast_audit(df: DataFrame, ops: Sequence[Any]) -> DataFrame:
     return counted.select(F.inline(F.array(*entries)))
 
 
-def add_auto_increment(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:
+def add_auto_increment(
+    df: DataFrame, order: Sequence[str], name: str = "id", one_task: bool | None = None
+) -> DataFrame:
     """Dense ids 1..N in key order."""
-    numbered = numbering.with_row_number(df, list(order), name)
+    numbered = numbering.with_row_number(df, list(order), name, one_task=one_task)
     return numbered.select(name, *df.columns)
 
 

@@ -23,13 +23,16 @@ ROW_EVENTS = (INSERT, UPDATE, DELETE)
 EVENT_CODES = {2: QUERY, 4: ROTATE, 15: FORMAT, 19: INSERT, 20: UPDATE, 21: DELETE}
 HEADER_BYTES = 19
 
-KIND = F.col("event_type")
 #: Rotations up to this number become one expression.
 MAX_INLINE_ROTATIONS = 64
 #: Log files up to this number are broadcast.
 MAX_LOG_FILES = 100_000
 
 
+def _kind() -> Column:
+    return F.col("event_type")
+
+
 def _at() -> Column:
     return F.struct("seq", "pos")
 
@@ -47,8 +50,8 @@ def route_events(log: DataFrame, db: str, table: str, hint_table: str) -> DataFr
     """
     keep = (
         F.when(F.col("tbl") == hint_table, True)
-        .when(KIND.isin(*ROW_EVENTS), (F.col("db") == db) & (F.col("tbl") == table))
-        .otherwise(KIND.isin(ROTATE, QUERY))
+        .when(_kind().isin(*ROW_EVENTS), (F.col("db") == db) & (F.col("tbl") == table))
+        .otherwise(_kind().isin(ROTATE, QUERY))
     )
     return log.where(keep)
 
@@ -56,7 +59,7 @@ def route_events(log: DataFrame, db: str, table: str, hint_table: str) -> DataFr
 def row_events(log: DataFrame, db: str, table: str) -> DataFrame:
     """Row events of one table, with the file number."""
     return with_sequence(
-        log.where(KIND.isin(*ROW_EVENTS) & (F.col("db") == db) & (F.col("tbl") == table))
+        log.where(_kind().isin(*ROW_EVENTS) & (F.col("db") == db) & (F.col("tbl") == table))
     )
 
 
@@ -149,7 +152,7 @@ def apply_inserts(snapshot: DataFrame, log: DataFrame, key: str, on_conflict: st
     cols = _values(snapshot, key)
     pick = F.min_by if on_conflict == "keep" else F.max_by
     inserts = (
-        with_sequence(log).where((KIND == INSERT) & F.col(key).isNotNull())
+        with_sequence(log).where((_kind() == INSERT) & F.col(key).isNotNull())
         .groupBy(key)
         .agg(pick(F.struct(*cols), _at()).alias("_img"), F.count(F.lit(1)).alias("_n"))
     )
@@ -168,7 +171,7 @@ def apply_updates(snapshot: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """Set all other columns to the last after image; absent keys are skipped."""
     cols = _values(snapshot, key)
     updates = (
-        with_sequence(log).where((KIND == UPDATE) & F.col(key).isNotNull())
+        with_sequence(log).where((_kind() == UPDATE) & F.col(key).isNotNull())
         .groupBy(key)
         .agg(F.max_by(F.struct(*cols), _at()).alias("_img"))
     )
@@ -194,7 +197,7 @@ def apply_partial_updates(
     given = given or {}
     has = {c: given.get(c, F.col(c).isNotNull()) for c in cols}
     last = (
-        with_sequence(log).where((KIND == UPDATE) & F.col(key).isNotNull())
+        with_sequence(log).where((_kind() == UPDATE) & F.col(key).isNotNull())
         .groupBy(key)
         .agg(
             *[F.max_by(F.struct(F.col(c).alias("v")), F.when(has[c], _at())).alias(f"_u_{c}") for c in cols]
@@ -213,7 +216,7 @@ def apply_partial_updates(
 
 def apply_deletes(snapshot: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """Remove deleted keys; a NULL key matches nothing."""
-    gone = log.where((KIND == DELETE) & F.col(key).isNotNull()).select(key).distinct()
+    gone = log.where((_kind() == DELETE) & F.col(key).isNotNull()).select(key).distinct()
     return snapshot.join(gone, key, "left_anti")
 
 
@@ -223,15 +226,15 @@ def compact_changes(log: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     Compacted logs can be combined in any order and any number of times (see
     ``combine_compacted``).
     """
-    life = F.when(KIND.isin(INSERT, DELETE), _at())
+    life = F.when(_kind().isin(INSERT, DELETE), _at())
     return (
-        with_sequence(log).where(KIND.isin(*ROW_EVENTS) & F.col(key).isNotNull())
+        with_sequence(log).where(_kind().isin(*ROW_EVENTS) & F.col(key).isNotNull())
         .groupBy(key)
         .agg(
             F.max(_at()).alias("_at"),
             F.max_by(F.struct(*cols), _at()).alias("_img"),
             F.max(life).alias("_life_at"),
-            F.max_by(KIND, life).alias("_life"),
+            F.max_by(_kind(), life).alias("_life"),
         )
     )
 
@@ -283,7 +286,7 @@ def changed_cells(log: DataFrame, key: str, cells: Mapping[str, tuple[str, str]]
         )
         for name, (before, after) in cells.items()
     ]
-    rows = with_sequence(log).where(KIND.isin(*ROW_EVENTS))
+    rows = with_sequence(log).where(_kind().isin(*ROW_EVENTS))
     return rows.select("seq", "pos", key, F.inline(F.array(*entries))).where(
         ~F.col("before_value").eqNullSafe(F.col("after_value"))
     )
@@ -304,8 +307,8 @@ def change_statements(log: DataFrame, key: str, cols: Sequence[str]) -> DataFram
         F.concat_ws(", ", *[F.concat(F.lit(f"{name[c]} = "), text.sql_value(F.col(c))) for c in cols]), where,
     )
     delete = F.concat(F.lit("DELETE FROM "), target, where)
-    stmt = F.when(KIND == INSERT, insert).when(KIND == UPDATE, update).when(KIND == DELETE, delete)
-    return with_sequence(log).where(KIND.isin(*ROW_EVENTS)).select("seq", "pos", key, stmt.alias("stmt"))
+    stmt = F.when(_kind() == INSERT, insert).when(_kind() == UPDATE, update).when(_kind() == DELETE, delete)
+    return with_sequence(log).where(_kind().isin(*ROW_EVENTS)).select("seq", "pos", key, stmt.alias("stmt"))
 
 
 def event_counts(log: DataFrame) -> DataFrame:
@@ -315,7 +318,7 @@ def event_counts(log: DataFrame) -> DataFrame:
     """
     return log.rollup("file", "tbl", "event_type").agg(
         F.count(F.lit(1)).alias("events"),
-        F.count_if(KIND.isin(*ROW_EVENTS)).alias("row_events"),
+        F.count_if(_kind().isin(*ROW_EVENTS)).alias("row_events"),
         F.grouping_id().cast("bigint").alias("level"),
     )
 
@@ -366,7 +369,7 @@ def current_file(log: DataFrame, max_inline: int = MAX_INLINE_ROTATIONS,
     carried along the ordered log.
     """
     events = with_sequence(log)
-    turns = events.where(KIND == ROTATE).select("seq", "pos", "file")
+    turns = events.where(_kind() == ROTATE).select("seq", "pos", "file")
     rows = sizes.bounded_rows(turns, max_inline)
     if rows is not None:
         name = F.lit(None).cast("string")
@@ -374,10 +377,10 @@ def current_file(log: DataFrame, max_inline: int = MAX_INLINE_ROTATIONS,
             name = F.when(coords.at_or_after(F.col("seq"), F.col("pos"), r["seq"], r["pos"]), r["file"]).otherwise(name)
         return events.withColumn("current_file", name)
     # any other event at the same position comes after the rotation
-    tagged = events.withColumn("_one", F.lit(1)).withColumn("_rank", F.when(KIND == ROTATE, 0).otherwise(1))
+    tagged = events.withColumn("_one", F.lit(1)).withColumn("_rank", F.when(_kind() == ROTATE, 0).otherwise(1))
     step = F.least(F.col("seq"), F.lit(2**28)) * F.lit(2**34) + F.least(F.col("pos"), F.lit(2**34 - 1))
     seg = skew.segment(tagged, ["_one"], ["seq", "pos", "_rank"], step, max_group_rows)
-    seg = skew.last_before(seg, F.when(KIND == ROTATE, F.col("file")), "current_file", inclusive=True)
+    seg = skew.last_before(seg, F.when(_kind() == ROTATE, F.col("file")), "current_file", inclusive=True)
     return seg.done("_one", "_rank")
 
 

@@ -30,7 +30,7 @@ def next_key(df: DataFrame, key: str, last) -> DataFrame:
     return df.where(F.col(key) > last).select(F.col(key).alias("next_key")).orderBy("next_key").limit(1)
 
 
-def chunk_boundaries(df: DataFrame, key: str, n: int) -> DataFrame:
+def chunk_boundaries(df: DataFrame, key: str, n: int, one_task: bool | None = None) -> DataFrame:
     """Split the table into chunks of about ``n`` rows in key order.
 
     A chunk holds the keys ``lo < key <= hi``, the first one also ``lo``. All
@@ -39,7 +39,7 @@ def chunk_boundaries(df: DataFrame, key: str, n: int) -> DataFrame:
     a key. Keys are counted before the sort, so a hot key is one row of it.
     """
     per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    placed = numbering.cumulative_by_key(per_key, key, "_n")
+    placed = numbering.cumulative_by_key(per_key, key, "_n", one_task)
     return (
         placed.groupBy(F.floor(F.col("before") / n).cast("bigint").alias("chunk_id"))
         .agg(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,17 +153,6 @@ def _jumps(us: np.ndarray, gap: int) -> np.ndarray:
     return np.searchsorted(us, us + gap, side="left")
 
 
-def kept_rows(us: np.ndarray, gap: int, free_at: int) -> np.ndarray:
-    """Mark the rows kept in sorted times, the first one allowed at ``free_at``."""
-    keep = np.zeros(len(us), dtype=bool)
-    jump = _jumps(us, gap)
-    i = int(np.searchsorted(us, free_at, side="left"))
-    while i < len(us):
-        keep[i] = True
-        i = int(jump[i])
-    return keep
-
-
 def exit_table(us: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function from entry time to the time the chain is free again.
 
@@ -180,6 +172,29 @@ def exit_table(us: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return limit[last], leave[last]
 
 
+def kept_rows(us: np.ndarray, starts: np.ndarray, free_at: list[int], gap: int) -> tuple[np.ndarray, int]:
+    """Mark the kept rows of several groups of sorted times.
+
+    ``starts`` are the group offsets, ``free_at`` the first time allowed in
+    each. Also returns when the last group is free again.
+    """
+    keep = np.zeros(len(us), dtype=bool)
+    ends = np.append(starts[1:], len(us))
+    free = _FAR
+    for begin, end, free in zip(starts.tolist(), ends.tolist(), free_at):
+        part = us[begin:end]
+        i = int(np.searchsorted(part, free, side="left"))
+        if i == end - begin:
+            continue
+        jump = _jumps(part, gap).tolist()
+        size = end - begin
+        while i < size:
+            keep[begin + i] = True
+            free = int(part[i]) + gap
+            i = jump[i]
+    return keep, free
+
+
 def rate_limit(
     df: DataFrame, key: str, ts: str, order: str, ms: int,
     max_group_rows: int = skew.MAX_GROUP_ROWS, start: DataFrame | None = None,
@@ -187,32 +202,52 @@ def rate_limit(
     """Keep a row only if at least ``ms`` have passed since the last kept row of its key.
 
     The first row of a key is kept; rows with equal times are taken by
-    ``order``. ``start`` may tell per key (``key``, ``free_at`` in
-    microseconds) when the next row is allowed.
+    ``order``, rows without a time are left out. ``start`` may tell per key (``key``, ``free_at`` in
+    microseconds) when the next row is allowed. Tasks pass over their sorted
+    rows batch by batch and hold no group in memory.
     """
     gap = ms * 1000
-    base = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    base = df.where(F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    seg = skew.segment(base, [key], ["_us", order], F.col("_us"), max_group_rows)
     if start is None:
-        base = base.withColumn("_first", F.lit(_FAR))
+        ready = seg.df.withColumn("_first", F.lit(_FAR))
     else:
         known = start.select(F.col(key).alias("_known"), F.col("free_at").alias("_first"))
-        base = (
-            base.join(known, base[key].eqNullSafe(known["_known"]), "left")
+        ready = (
+            seg.df.join(known, seg.df[key].eqNullSafe(known["_known"]), "left")
             .drop("_known").fillna({"_first": _FAR})
         )
-    seg = skew.segment(base, [key], ["_us", order], F.col("_us"), max_group_rows)
-    entered = _with_entry(seg, key, gap) if seg.split else seg.df.withColumn("_free", F.col("_first"))
+    seg = skew.Segmented(ready, seg.keys, seg.order, seg.split)
+    entered = _with_entry(seg, key, gap) if seg.split else seg.df.withColumn("_free", F.lit(None).cast("bigint"))
     names = df.columns
+    grouped = [key, skew.SEG]
+    ready = (
+        entered.select(*names, skew.SEG, "_us", F.coalesce("_free", "_first").alias("_free"))
+        .repartition(*(grouped if seg.split else grouped[:1]))
+        .sortWithinPartitions(*grouped, "_us", order)
+    )
 
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_us", order], kind="stable")
-        free = group["_free"].iloc[0]
-        keep = kept_rows(group["_us"].to_numpy(np.int64), gap, int(free))
-        return group.loc[keep, names]
-
-    entered = entered.withColumn("_free", F.coalesce("_free", "_first"))
-    keys = [key, skew.SEG] if seg.split else [key]
-    return entered.select(*names, "_us", "_free", *keys[1:]).groupBy(*keys).applyInPandas(mark, df.schema)
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_group, open_free = None, _FAR
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            keys, segs = batch.column(key), batch.column(skew.SEG)
+            runs = pc.run_end_encode(keys).run_ends.to_numpy(zero_copy_only=False)[:-1]
+            seg_values = segs.to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(seg_values[1:] != seg_values[:-1]) + 1
+            starts = np.unique(np.concatenate(([0], runs, cuts))).astype(np.int64)
+            us = batch.column("_us").to_numpy(zero_copy_only=False)
+            free = batch.column("_free").to_numpy(zero_copy_only=False)[starts].tolist()
+            first = (keys[0].as_py(), int(seg_values[0]))
+            if first == open_group:
+                free[0] = open_free
+            keep, open_free = kept_rows(us, starts, free, gap)
+            open_group = (keys[n - 1].as_py(), int(seg_values[-1]))
+            yield batch.select(names).filter(pa.array(keep))
+
+    return ready.mapInArrow(mark, df.schema)
 
 
 def _with_entry(seg: skew.Segmented, key: str, gap: int) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Window as W
 from . import sizes, staging
 
 PARTITION_BYTES = 256 * 1024 * 1024
+#: Inputs planned no larger than this are numbered by one task.
+ONE_TASK_BYTES = 16 * 1024 * 1024
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 
 
@@ -40,8 +42,17 @@ def _offsets(df: DataFrame, totals: DataFrame, extra: str | None = None) -> Data
     return F.broadcast(df.sparkSession.createDataFrame(out, T.StructType(fields)))
 
 
-def with_row_number(df: DataFrame, order: list[str | Column], name: str, start: int = 1) -> DataFrame:
-    """Number all rows ``start, start+1, ...`` in the given order."""
+def with_row_number(
+    df: DataFrame, order: list[str | Column], name: str, start: int = 1, one_task: bool | None = None
+) -> DataFrame:
+    """Number all rows ``start, start+1, ...`` in the given order.
+
+    ``one_task`` overrides the size check that lets a small input be numbered
+    by a plain window.
+    """
+    if sizes.fits(df, ONE_TASK_BYTES) if one_task is None else one_task:
+        number = F.row_number().over(W.orderBy(*order)).cast("bigint") + F.lit(start - 1)
+        return df.withColumn(name, number)
     ordered = df.repartitionByRange(range_partitions(df), *order).sortWithinPartitions(*order)
     fixed = staging.stage(
         ordered.withColumn("_m", F.monotonically_increasing_id()), "numbered"
@@ -58,7 +69,7 @@ def with_row_number(df: DataFrame, order: list[str | Column], name: str, start:
     )
 
 
-def cumulative_by_key(df: DataFrame, key: str, weight: str) -> DataFrame:
+def cumulative_by_key(df: DataFrame, key: str, weight: str, one_task: bool | None = None) -> DataFrame:
     """Per distinct key: weight before it and the key in front of it.
 
     ``df`` holds one row per ``key``. Returns ``key``, ``weight``, ``before``
@@ -66,6 +77,12 @@ def cumulative_by_key(df: DataFrame, key: str, weight: str) -> DataFrame:
     even as the range split.
     """
     kept = df.select(key, F.col(weight).cast("bigint").alias(weight))
+    if sizes.fits(kept, ONE_TASK_BYTES) if one_task is None else one_task:
+        w = W.orderBy(key)
+        before = F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, -1))
+        return kept.select(
+            key, weight, F.coalesce(before, F.lit(0)).alias("before"), F.lag(key).over(w).alias("prev")
+        )
     ordered = kept.repartitionByRange(range_partitions(kept), key)
     fixed = staging.stage(
         ordered.withColumn("_pid", F.spark_partition_id().cast("bigint")), "cumulative"

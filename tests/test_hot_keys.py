@@ -8,7 +8,7 @@ from tests.oracle import compare, connect
 from tidemark.catalog import alter as c_alter, changelog as c_log, copy as c_copy, flow as c_flow, hints as c_hints
 from tidemark.catalog import columns as c_cols
 from tidemark.operators import alter, changelog, columns, copy, flow, hints
-from tidemark.plans import skew
+from tidemark.plans import sizes, skew
 from tidemark.sources.tables import table
 
 D = "/root/testdata/sf0.001"
@@ -56,9 +56,19 @@ def test_current_file_with_many_rotations(spark, con):
 
 def test_assign_chunks_by_merge(spark, con):
     bounds = copy.chunk_boundaries(table(spark, D, "orders"), "o_orderkey", 10, one_task=False)
-    got = copy.assign_chunks(table(spark, D, "lineitem"), bounds, "l_orderkey", max_lookup=20)
-    got = got.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "chunk_id")
-    assert compare(got, con, c_copy.ASSIGN_CHUNKS.replace("/ 1000)", "/ 10)")) == []
+    for rows in (2_000_000, 7):
+        got = copy.assign_chunks(table(spark, D, "lineitem"), bounds, "l_orderkey", 20, rows)
+        got = got.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "chunk_id")
+        assert compare(got, con, c_copy.ASSIGN_CHUNKS.replace("/ 1000)", "/ 10)")) == []
+
+
+def test_assign_chunks_with_one_hot_key_and_large_keys(spark):
+    big = 2**60
+    df = spark.range(2000).select((F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")) + big).alias("k"))
+    bounds = copy.chunk_boundaries(df, "k", 100)
+    got = copy.assign_chunks(df, bounds, "k", 4, 50).groupBy("chunk_id").count()
+    want = bounds.select("chunk_id", F.col("rows").alias("count"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_numbering_over_partitions(spark, con):
@@ -116,3 +126,11 @@ def test_exit_table_matches_replay(seed):
         i = int(np.searchsorted(limit, free))
         assert (int(leave[i]) if i < len(limit) else free) == out
     assert us[flow.kept_rows(us, np.array([0]), [-1], gap)[0]].tolist() == _replay(us.tolist(), gap)
+
+
+def test_planned_size_is_known(spark):
+    lines = table(spark, D, "lineitem")
+    assert 0 < sizes.planned_bytes(lines.select("l_orderkey")) < sizes.planned_bytes(lines) < sizes.SMALL_INPUT_BYTES
+    assert not skew.segment(lines, ["l_orderkey"], ["l_linenumber"], F.col("l_linenumber").cast("bigint")).split
+    assert sizes.bounded_rows(lines, 10) is None
+    assert len(sizes.bounded_rows(table(spark, D, "region"), 10)) == 5

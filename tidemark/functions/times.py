@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # The accepted and written time formats.
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 MYSQL = "yyyy-MM-dd HH:mm:ss"
+ISO_TEXT = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"
 MYSQL_TEXT = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
 
 
@@ -69,8 +70,10 @@ def parse_time(c: Column, pattern: str) -> Column:
 
 def parse_iso(c: Column) -> Column:
     """ISO 8601 with an offset, with Z, or without a zone; NULL if it is none."""
-    return F.coalesce(
-        parse_time(c, ISO + "xx"), parse_time(c, ISO + "'Z'"), parse_time(c, ISO)
+    return (
+        F.when(c.rlike(rf"^{ISO_TEXT}[+-]\d{{4}}$"), parse_time(c, ISO + "xx"))
+        .when(c.rlike(rf"^{ISO_TEXT}Z$"), parse_time(c, ISO + "'Z'"))
+        .when(c.rlike(rf"^{ISO_TEXT}$"), parse_time(c, ISO))
     )
 
 

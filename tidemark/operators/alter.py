@@ -120,6 +120,24 @@ def spark_type(text: str) -> str:
     return UNSIGNED.get(base, base) if "unsigned" in match[3].lower() else base
 
 
+# Bytes of the whole-number types.
+INTEGER_BYTES = {"tinyint": 1, "smallint": 2, "int": 4, "bigint": 8}
+
+
+def safe_cast(value: Column, source: str | None, target: str) -> Column:
+    """Cast that gives NULL for values the target cannot hold.
+
+    Between whole-number types the range is compared, as a failing
+    ``try_cast`` costs an exception per row.
+    """
+    if source in INTEGER_BYTES and target in INTEGER_BYTES:
+        if INTEGER_BYTES[source] <= INTEGER_BYTES[target]:
+            return value.cast(target)
+        top = 2 ** (8 * INTEGER_BYTES[target] - 1)
+        return F.when(value.between(-top, top - 1), value.cast(target))
+    return value.try_cast(target)
+
+
 def max_length(text: str) -> int | None:
     """Length limit of ``CHAR(n)`` and ``VARCHAR(n)``."""
     match = re.match(r"\s*(?:var)?char\s*\(\s*(\d+)\s*\)", text, re.I)
@@ -157,6 +175,7 @@ def _fold(df: DataFrame, ops: Sequence[Any]) -> tuple[list[str], dict[str, Colum
     order = list(df.columns)
     source = {c: c for c in df.columns}
     value: dict[str, Column] = {c: F.col(c) for c in df.columns}
+    held: dict[str, str | None] = {c: t for c, t in df.dtypes}
     pairs = ColumnPairs()
 
     def rename(old: str, new: str) -> None:
@@ -164,6 +183,7 @@ def _fold(df: DataFrame, ops: Sequence[Any]) -> tuple[list[str], dict[str, Colum
             raise AlterError(f"column {new} exists")
         order[order.index(old)] = new
         value[new] = value.pop(old)
+        held[new] = held.pop(old)
         if old in source:
             source[new] = source.pop(old)
 
@@ -180,6 +200,7 @@ def _fold(df: DataFrame, ops: Sequence[Any]) -> tuple[list[str], dict[str, Colum
             if not op.nullable and op.default is None:
                 raise AlterError(f"NOT NULL column {op.name} needs a default")
             value[op.name] = F.lit(op.default).cast(spark_type(op.type))
+            held[op.name] = spark_type(op.type)
             _place(order, op.name, op.first, op.after)
             pairs.added.append(op.name)
         elif isinstance(op, DropColumn):
@@ -191,8 +212,10 @@ def _fold(df: DataFrame, ops: Sequence[Any]) -> tuple[list[str], dict[str, Colum
         elif isinstance(op, (ModifyColumn, ChangeColumn)):
             name = current(op.old if isinstance(op, ChangeColumn) else op.name)
             target = op.name if isinstance(op, ChangeColumn) else name
-            base = value[name] if op.expression is None else op.expression
-            value[name] = base.try_cast(spark_type(op.type))
+            plain = op.expression is None
+            base, source_type = (value[name], held[name]) if plain else (op.expression, None)
+            held[name] = spark_type(op.type)
+            value[name] = safe_cast(base, source_type, held[name])
             if target != name:
                 rename(name, target)
             _place(order, target, op.first, op.after)
@@ -275,8 +298,10 @@ def cast_audit(df: DataFrame, ops: Sequence[Any]) -> DataFrame:
             continue
         name = _need(df, op.old if isinstance(op, ChangeColumn) else op.name)
         c = F.col(name)
-        base = c if op.expression is None else op.expression
-        tests.append((name, "cast", base.isNotNull() & base.try_cast(spark_type(op.type)).isNull()))
+        plain = op.expression is None
+        base = c if plain else op.expression
+        cast = safe_cast(base, dict(df.dtypes)[name] if plain else None, spark_type(op.type))
+        tests.append((name, "cast", base.isNotNull() & cast.isNull()))
         if (limit := max_length(op.type)) is not None:
             tests.append((name, "length", F.length(c.cast("string")) > limit))
         if not op.nullable:

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import coords, text
@@ -27,6 +28,8 @@ HEADER_BYTES = 19
 MAX_INLINE_ROTATIONS = 64
 #: Log files up to this number are broadcast.
 MAX_LOG_FILES = 100_000
+#: Transaction domains up to this number are broadcast.
+MAX_DOMAINS = 100_000
 
 
 def _kind() -> Column:
@@ -104,11 +107,13 @@ def _merge(snapshot: DataFrame, changes: DataFrame, key: str, cols: Sequence[str
 
     ``changes`` holds the key, ``_img`` (new values) and the flags ``_set``
     (overwrite a present row), ``_gone`` (remove it) and ``_new`` (add if
-    absent). A small change set is broadcast, so the snapshot is not
-    shuffled; otherwise both sides meet in one full outer join.
+    absent). Both sides meet in one full outer join. Only if the change set
+    is small and the snapshot is not, the changes are broadcast: that computes
+    them three times and reads the keys twice, but leaves the snapshot where
+    it is.
     """
     if broadcast is None:
-        broadcast = sizes.fits(changes, sizes.BROADCAST_BYTES)
+        broadcast = sizes.fits(changes, sizes.BROADCAST_BYTES) and not sizes.fits(snapshot, sizes.CHEAP_SHUFFLE_BYTES)
     schema = snapshot.schema
 
     def settle(joined: DataFrame) -> DataFrame:
@@ -297,14 +302,20 @@ def change_statements(log: DataFrame, key: str, cols: Sequence[str]) -> DataFram
     target = text.combine_database_table(F.col("db"), F.col("tbl"))
     every = [key, *cols]
     name = {c: "`" + c.replace("`", "``") + "`" for c in every}
-    where = F.concat(F.lit(f" WHERE {name[key]} = "), text.sql_value(F.col(key)))
+
+    def value(c: str) -> Column:
+        if isinstance(log.schema[c].dataType, T.NumericType):  # digits need no escapes
+            return F.coalesce(F.concat(F.lit("'"), F.col(c).cast("string"), F.lit("'")), F.lit("NULL"))
+        return text.sql_value(F.col(c))
+
+    where = F.concat(F.lit(f" WHERE {name[key]} = "), value(key))
     insert = F.concat(
         F.lit("INSERT INTO "), target, F.lit(" (" + ", ".join(name[c] for c in every) + ") VALUES ("),
-        F.concat_ws(", ", *[text.sql_value(F.col(c)) for c in every]), F.lit(")"),
+        F.concat_ws(", ", *[value(c) for c in every]), F.lit(")"),
     )
     update = F.concat(
         F.lit("UPDATE "), target, F.lit(" SET "),
-        F.concat_ws(", ", *[F.concat(F.lit(f"{name[c]} = "), text.sql_value(F.col(c))) for c in cols]), where,
+        F.concat_ws(", ", *[F.concat(F.lit(f"{name[c]} = "), value(c)) for c in cols]), where,
     )
     delete = F.concat(F.lit("DELETE FROM "), target, where)
     stmt = F.when(_kind() == INSERT, insert).when(_kind() == UPDATE, update).when(_kind() == DELETE, delete)
@@ -440,6 +451,7 @@ def pending_events(log: DataFrame, column: str, executed: DataFrame) -> DataFram
     parsed = log.where(coords.valid_txn(c)).select(
         "*", coords.txn_domain(c).alias("domain"), coords.txn_sequence(c).alias("seq")
     )
-    return parsed.join(executed, "domain", "left").where(
+    small = sizes.bounded_broadcast(executed, MAX_DOMAINS)
+    return parsed.join(executed if small is None else small, "domain", "left").where(
         F.col("max_seq").isNull() | (F.col("seq") > F.col("max_seq"))
     ).drop("max_seq")

@@ -107,42 +107,34 @@ def wildcard_match(df: DataFrame, column: str, patterns: Sequence[str]) -> DataF
 # Comments outside quotes, and what may stand for a table name.
 COMMENTS = r"""('[^']*+(?:''[^']*+)*+'?+|"[^"]*+(?:""[^"]*+)*+"?+)|--[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"""
 NAME = r"`?[A-Za-z_][A-Za-z0-9_]*`?(?:\.`?[A-Za-z_][A-Za-z0-9_]*`?)?"
+DML = ("SELECT", "INSERT", "UPDATE", "DELETE")
 DDL = ("CREATE", "ALTER", "DROP", "TRUNCATE", "RENAME")
 
 
 def strip_comments(c: Column) -> Column:
     """SQL text without comments; what looks like one inside quotes stays."""
-    return F.regexp_replace(c, COMMENTS, "$1")
+    marked = F.contains(c, F.lit("--")) | F.contains(c, F.lit("/*"))
+    return F.when(marked, F.regexp_replace(c, COMMENTS, "$1")).otherwise(c)
 
 
-def statement_kind(c: Column) -> Column:
-    head = F.upper(F.regexp_extract(c, r"^\s*([A-Za-z]+)", 1))
-    out = F.lit("other")
-    for kind in ("SELECT", "INSERT", "UPDATE", "DELETE"):
-        out = F.when(F.startswith(head, F.lit(kind)), F.lit(kind)).otherwise(out)
-    for word in DDL:
-        out = F.when(F.startswith(head, F.lit(word)), F.lit("DDL")).otherwise(out)
-    return out
-
-
-def statement_table(c: Column, kind: Column) -> Column:
-    """Table of a statement without quotes; none for DDL."""
-    def after(words: str) -> Column:
-        found = F.regexp_extract(c, rf"(?i)\b{words}\s+({NAME})", 1)
-        return F.when(found != "", F.replace(found, F.lit("`"), F.lit("")))
-
-    return (
-        F.when(kind == "SELECT", after("FROM")).when(kind == "INSERT", after(r"INSERT\s+INTO"))
-        .when(kind == "UPDATE", after("UPDATE")).when(kind == "DELETE", after(r"DELETE\s+FROM"))
-    )
+def statement_table(c: Column) -> Column:
+    """Table a statement reads or writes, without quotes; none for DDL."""
+    lead = r"(?is)^\s*(?:SELECT\b.*?\bFROM|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\s+"
+    found = F.regexp_extract(c, rf"{lead}({NAME})", 1)
+    return F.when(found != "", F.replace(found, F.lit("`"), F.lit("")))
 
 
 def statement_audit(df: DataFrame, column: str) -> DataFrame:
     """Statements per kind and table."""
     plain = df.select(strip_comments(F.col(column)).alias("_s"))
-    marked = plain.select(statement_kind(F.col("_s")).alias("kind"), "_s")
+    # a column of its own, so that the pattern is matched once per row
+    worded = plain.withColumn("_word", F.upper(F.regexp_extract("_s", r"^\s*([A-Za-z]+)", 1)))
+    kind = (
+        F.when(F.col("_word").isin(*DDL), F.lit("DDL")).when(F.col("_word").isin(*DML), F.col("_word"))
+        .otherwise(F.lit("other"))
+    )
     return (
-        marked.groupBy("kind", statement_table(F.col("_s"), F.col("kind")).alias("table_name"))
+        worded.groupBy(kind.alias("kind"), statement_table(F.col("_s")).alias("table_name"))
         .agg(F.count(F.lit(1)).alias("statements"))
     )
 

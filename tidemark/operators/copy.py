@@ -79,14 +79,15 @@ def _bucketed(df: DataFrame, value: Column, starts: list, name: str) -> DataFram
 
 
 def assign_chunks(
-    df: DataFrame, boundaries: DataFrame, key: str, max_lookup: int = MAX_LOOKUP_CHUNKS
+    df: DataFrame, boundaries: DataFrame, key: str, max_lookup: int = MAX_LOOKUP_CHUNKS,
+    max_group_rows: int = skew.MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Give each row the chunk that holds its integer key, NULL if none does.
 
     A chunk list of checked size is looked up by every task without any
     shuffle. A longer one is merged with the rows: both are cut by a coarse
-    selection of the borders, hot cuts are salted, and each row takes the last
-    border at or before it.
+    selection of the borders, cuts with many rows are dealt to several groups,
+    and each row takes the last border at or before it.
     """
     if df.schema[key].dataType not in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()):
         raise TypeError("chunks are assigned by integer keys")
@@ -94,7 +95,7 @@ def assign_chunks(
     rows = sizes.bounded_rows(chunks, max_lookup)
     if rows is not None and all(abs(r["lo"]) < _EXACT_DOUBLE and abs(r["hi"]) < _EXACT_DOUBLE for r in rows):
         return _assign_by_lookup(df, rows, key)
-    return _assign_by_merge(df, chunks, key, max_lookup)
+    return _assign_by_merge(df, chunks, key, max_lookup, max_group_rows)
 
 
 def _assign_by_lookup(df: DataFrame, rows: list, key: str) -> DataFrame:
@@ -112,42 +113,63 @@ def _assign_by_lookup(df: DataFrame, rows: list, key: str) -> DataFrame:
     return placed.withColumn("chunk_id", inside).drop("_i", "_hi")
 
 
-def _assign_by_merge(df: DataFrame, chunks: DataFrame, key: str, max_cuts: int, salts: int = 16) -> DataFrame:
+def _cut(df: DataFrame, value: Column, cuts: list) -> DataFrame:
+    if all(abs(c) < _EXACT_DOUBLE for c in cuts):
+        return _bucketed(df, value, cuts, "_cut")
+    # keys too large for doubles: a coarser but exact comparison chain
+    at = F.lit(-1)
+    for i, c in enumerate(cuts):
+        at = F.when(value >= c, F.lit(i)).otherwise(at)
+    return df.withColumn("_cut", at.cast("bigint"))
+
+
+def _assign_by_merge(
+    df: DataFrame, chunks: DataFrame, key: str, max_cuts: int, group_rows: int = skew.MAX_GROUP_ROWS
+) -> DataFrame:
     starts = chunks.select(
         F.col("chunk_id").alias("_chunk"),
         (F.col("lo") + F.when(F.col("chunk_id") == 0, 0).otherwise(1)).alias("_start"),
         F.col("hi").alias("_hi"),
     )
-    probs = [i / 255 for i in range(256)]
-    cuts = sorted(
-        set(starts.agg(F.percentile_approx("_start", probs, 10_000).alias("c")).first()["c"] or [])
+    n = max(16, min(max_cuts, (sizes.planned_bytes(df) or 2**40) // numbering.PARTITION_BYTES))
+    if starts.where(F.abs("_start") >= _EXACT_DOUBLE).limit(1).collect():
+        n = min(n, 64)
+    probs = [i / n for i in range(n + 1)]
+    near = sorted(
+        set(starts.agg(F.percentile_approx("_start", probs, 100_000).alias("c")).first()["c"] or [])
     )
-    # a cut is itself a start, so every cut range begins with its own border
-    salted = starts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def cut(frame: DataFrame, value: Column) -> DataFrame:
-        return _bucketed(frame, value, cuts, "_cut") if all(abs(c) < _EXACT_DOUBLE for c in cuts) else (
-            frame.withColumn("_cut", sum((F.when(value >= c, 1).otherwise(0) for c in cuts), F.lit(-1)))
-        )
-
+    # percentiles are doubles; the smallest start from each of them on is exact
+    groups = _bucketed(starts, F.col("_start"), near, "_near").groupBy("_near").agg(F.min("_start").alias("c"))
+    cuts = sorted(r["c"] for r in groups.collect())
+    # A cut is itself a start, so every cut begins with its own border. A cut
+    # with a hot key holds more rows than a task should order: its rows are
+    # dealt to several groups that all get its borders.
+    rows = _cut(df, F.col(key), cuts)
+    counts = rows.groupBy("_cut").count().collect()  # one row per cut
+    parts = F.broadcast(df.sparkSession.createDataFrame(
+        [(r["_cut"], -(-r["count"] // group_rows)) for r in counts], "_cut bigint, _parts bigint"
+    ))
     names = df.columns
-    left = cut(df, F.col(key)).select(
+    # by row position, as whole copies of a row would share any hash
+    deal = F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))
+    left = rows.join(parts, "_cut", "left").select(
         F.struct(*names).alias("_row"),
         F.col(key).cast("bigint").alias("_at"),
         F.lit(None).cast("struct<chunk:bigint,hi:bigint>").alias("_border"),
         "_cut",
-        F.pmod(F.xxhash64(*names), F.lit(salts)).cast("int").alias("_salt"),
+        deal.alias("_deal"),
         F.lit(1).alias("_side"),
     )
-    right = cut(salted, F.col("_start")).select(
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_deal")
+    right = _cut(starts, F.col("_start"), cuts).join(parts, "_cut").select("*", copies).select(
         F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
         F.col("_start").cast("bigint").alias("_at"),
         F.struct(F.col("_chunk").alias("chunk"), F.col("_hi").cast("bigint").alias("hi")).alias("_border"),
         "_cut",
-        "_salt",
+        "_deal",
         F.lit(0).alias("_side"),
     )
-    w = W.partitionBy("_cut", "_salt").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("_cut", "_deal").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
     merged = left.unionByName(right).withColumn("_b", F.last("_border", ignorenulls=True).over(w))
     return merged.where("_side = 1").select(
         "_row.*", F.when(F.col("_at") <= F.col("_b.hi"), F.col("_b.chunk")).alias("chunk_id")

@@ -138,7 +138,7 @@ def duplicate_key_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def orphan_rows(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Child rows whose foreign key has no parent; a NULL key needs none."""
-    parents = parent.select(F.col(pk).alias(fk)).distinct()
+    parents = parent.select(F.col(pk).alias(fk))
     return child.where(F.col(fk).isNotNull()).join(parents, fk, "left_anti")
 
 

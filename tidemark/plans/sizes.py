@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 #: Planned size below which a side may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: A table planned no larger than this is shuffled without a second thought.
+CHEAP_SHUFFLE_BYTES = 512 * 1024 * 1024
 
 
 def planned_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a DataFrame, None where it is not exposed."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size.toString())
-    except Exception:  # no JVM plan at hand (Spark Connect)
+    if not hasattr(df, "_jdf"):  # no JVM plan at hand (Spark Connect)
         return None
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits(df: DataFrame, limit: int) -> bool:

@@ -28,7 +28,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.12g}") + 0.0
+        return v + 0.0  # -0.0 as 0.0
     if isinstance(v, datetime):
         return v.replace(tzinfo=None)
     return v

@@ -2,8 +2,10 @@
 
 import pytest
 
+from tidemark.operators import alter
 from tidemark.operators.alter import AddColumn, ModifyColumn
 from tidemark.operators.inspect import KeySpec
+from tidemark.plans.ddl import alter_specs
 from tidemark.plans.migrate import MigrationError, migrate_table
 from tidemark.sources import sinks
 
@@ -50,3 +52,21 @@ def test_hint_ids_rise(spark, tmp_path):
     got = sinks.read_hints(spark, path).orderBy("id").collect()
     assert [(r.id, r.hint) for r in got] == [(1, "heartbeat"), (2, "completed"), (3, "heartbeat"), (4, "completed")]
     assert all(r.ts is not None for r in got)
+
+
+def test_alter_text(spark):
+    got = alter_specs(spark, """ALTER TABLE shop.t ADD COLUMN `c` INT UNSIGNED NOT NULL DEFAULT 7 FIRST, DROP d,
+        CHANGE e f ENUM('x', 'y'), MODIFY g DECIMAL(10, 2) NOT NULL AFTER f, RENAME COLUMN h TO i, ADD UNIQUE KEY u (c, f)""")
+    assert got == [
+        AddColumn("c", "INT UNSIGNED", "7", False, True), alter.DropColumn("d"),
+        alter.ChangeColumn("e", "f", "ENUM('x', 'y')", values=("x", "y")),
+        ModifyColumn("g", "DECIMAL(10, 2)", False, after="f"), alter.RenameColumn("h", "i"),
+        alter.TableOption("AddUniqueKey", "u", ("c", "f")),
+    ]
+    t = spark.createDataFrame([(1, "x", "1.5", 2)], "d int, e string, g string, h int")
+    out = alter.alter_table(t, got)
+    assert out.columns == ["c", "f", "g", "i"] and out.first()["c"] == 7
+    with pytest.raises(alter.AlterError):
+        alter.alter_table(t, alter_specs(spark, "ALTER TABLE t RENAME TO u"))
+    with pytest.raises(alter.AlterError):
+        alter_specs(spark, "SELECT 1")

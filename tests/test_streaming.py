@@ -1,5 +1,6 @@
 """Streams: any split of a log, repeated batches, late rows, state between batches."""
 
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -10,6 +11,7 @@ from tidemark.sources.logs import read_change_log, write_change_log
 from tidemark.catalog import changelog as c_log
 from tidemark.streaming import apply, monitor, runner
 from tidemark.streaming.state import VersionedState
+from tidemark.streaming.status import StatusListener
 
 LOG = "file string, pos bigint, event_type string, k bigint, v string"
 T0 = datetime(2024, 1, 1)
@@ -107,3 +109,22 @@ def test_log_reader_skips_earlier_files(spark, tmp_path):
 
 def _files_read(df):
     return [r[0] for r in df.select(F.input_file_name()).distinct().collect()]
+
+
+def test_events_can_be_rewritten_and_watched(spark, tmp_path):
+    seen = []
+    listener = StatusListener(lambda kind, text: seen.append(kind))
+    spark.streams.addListener(listener)
+    try:
+        stream = folder(spark, tmp_path / "log", LOG, [("b.1", 4, op.INSERT, 2, "y")])
+        snap = spark.createDataFrame([(1, "a")], "k bigint, v string")
+
+        def shout(batch):
+            return batch.mapInPandas(lambda frames: (f.assign(v=f.v.str.upper()) for f in frames), batch.schema)
+
+        got = apply.stream_apply(stream, snap, "k", str(tmp_path / "s"), str(tmp_path / "c"), rewrite=shout)
+        assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "Y")]
+    finally:
+        time.sleep(2)
+        spark.streams.removeListener(listener)
+    assert "progress" in seen

@@ -15,6 +15,7 @@ from .state import read_batches, write_batch
 def stream_apply(
     log: DataFrame, snapshot: DataFrame, key: str, state_path: str, checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
+    rewrite: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Replay a streamed change log over a snapshot.
 
@@ -22,16 +23,19 @@ def stream_apply(
     it stands for, and stored under its batch number. Compacted rows combine
     in any order and any number of times, so a batch run again, files out of
     order or a key split over batches change nothing. ``on_batch`` gets each
-    micro-batch before it is stored.
+    micro-batch before it is stored; ``rewrite`` may change the events, for
+    example to apply an ALTER to them or to map them in pandas.
     """
     cols = [c for c in snapshot.columns if c != key]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if on_batch is not None:
             on_batch(batch, batch_id)
-        write_batch(changelog.compact_changes(batch, key, cols), state_path, batch_id)
+        events = batch if rewrite is None else rewrite(batch)
+        write_batch(changelog.compact_changes(events, key, cols), state_path, batch_id)
 
-    schema = changelog.compact_changes(_static(log), key, cols).schema
+    sample = _static(log)
+    schema = changelog.compact_changes(sample if rewrite is None else rewrite(sample), key, cols).schema
     runner.for_each_batch(log, handle, checkpoint)
     parts = read_batches(snapshot.sparkSession, state_path, schema)
     return changelog.apply_compacted(snapshot, changelog.combine_compacted(parts, key), key)

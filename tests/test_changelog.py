@@ -1,5 +1,7 @@
 """Hand-made change logs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +117,29 @@ def test_routing(spark):
     )
     kept = [tuple(r) for r in op.route_events(events, "d", "t", "h").collect()]
     assert kept == [("d", "t", W), ("", "", "Rotate"), ("d", "", "Query"), ("d", "h", W)]
+
+
+def _replay(rows, events):
+    """One event after the other, as a table would see them."""
+    table = dict(rows)
+    for _, _, kind, k, v in sorted(events):
+        if kind == W:
+            table[k] = v
+        elif kind == U and k in table:
+            table[k] = v
+        elif kind == X:
+            table.pop(k, None)
+    return sorted(table.items())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_logs_equal_a_replay(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, f"s{k}") for k in range(60)]
+    events = [
+        (seq, pos, rng.choice([W, U, X]), rng.randrange(90), f"{seq}.{pos}")
+        for seq in (9, 10, 11) for pos in rng.sample(range(1000), 100)
+    ]
+    made = spark.createDataFrame([(f"b.{s}", p, "d", "t", e, k, v) for s, p, e, k, v in events], LOG).repartition(5)
+    for broadcast in (True, False):
+        assert bag(op.apply_changes(table(spark, *rows), made, "k", broadcast)) == _replay(rows, events)

@@ -197,7 +197,7 @@ def kept_rows(us: np.ndarray, starts: np.ndarray, free_at: list[int], gap: int)
 
 def rate_limit(
     df: DataFrame, key: str, ts: str, order: str, ms: int,
-    max_group_rows: int = skew.MAX_GROUP_ROWS, start: DataFrame | None = None,
+    max_group_rows: int = skew.MAX_GROUP_ROWS, start: DataFrame | None = None, total_rows: int | None = None,
 ) -> DataFrame:
     """Keep a row only if at least ``ms`` have passed since the last kept row of its key.
 
@@ -208,7 +208,7 @@ def rate_limit(
     """
     gap = ms * 1000
     base = df.where(F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    seg = skew.segment(base, [key], ["_us", order], F.col("_us"), max_group_rows)
+    seg = skew.segment(base, [key], ["_us", order], F.col("_us"), max_group_rows, total_rows)
     if start is None:
         ready = seg.df.withColumn("_first", F.lit(_FAR))
     else:

@@ -96,32 +96,16 @@ def shared_key(original: DataFrame, shadow: DataFrame, candidates: Sequence[KeyS
         for k in sorted(candidates, key=lambda k: not k.primary)
         if all(find_column(t, c) for t in (original, shadow) for c in k.columns)
     ]
-    rank = {k.name: i for i, k in enumerate(present)}
-    schema = "key_name string, key_columns string, is_primary boolean"
-    if not present:
-        return original.sparkSession.createDataFrame([], schema)
-    both = (
-        key_check(original, present)
-        .where("usable")
-        .select("key_name")
-        .join(key_check(shadow, present).where("usable").select("key_name"), "key_name")
-    )
-    entries = [
-        F.struct(
-            F.lit(rank[k.name]).alias("rank"),
-            F.lit(k.name).alias("_name"),
-            F.lit(",".join(k.columns)).alias("key_columns"),
-            F.lit(k.primary).alias("is_primary"),
-        )
-        for k in present
-    ]
-    return (
-        both.select("key_name", F.inline(F.array(*entries)))
-        .where(F.col("key_name") == F.col("_name"))
-        .orderBy("rank")
-        .limit(1)
-        .select("key_name", "key_columns", "is_primary")
-    )
+    spark = original.sparkSession
+    # Each check shuffles the key columns of a table, so stop at the first
+    # candidate that holds rather than check all of them.
+    picked = next((k for k in present if _usable(original, k) and _usable(shadow, k)), None)
+    rows = [(picked.name, ",".join(picked.columns), picked.primary)] if picked else []
+    return spark.createDataFrame(rows, "key_name string, key_columns string, is_primary boolean")
+
+
+def _usable(df: DataFrame, key: KeySpec) -> bool:
+    return key_check(df, [key]).first()["usable"]
 
 
 def duplicate_key_rows(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -101,15 +101,17 @@ def segment(
     order: list[str],
     position: Column,
     max_group_rows: int = MAX_GROUP_ROWS,
+    total_rows: int | None = None,
 ) -> Segmented:
     """Cut hot keys into segments along ``position``.
 
     ``position`` is a bigint that never falls as ``order`` rises. Finding the
-    hot keys costs one map-side combined count, and nothing where the planned
-    input is too small to hold one.
+    hot keys costs one map-side combined count, and nothing where ``total_rows``
+    or the planned size tells that there can be none.
     """
     plain = df.select("*", F.lit(0).cast("bigint").alias(SEG), F.lit(False).alias(HOT))
-    if max_group_rows >= MAX_GROUP_ROWS and sizes.fits(df, sizes.SMALL_INPUT_BYTES):
+    few = total_rows is not None and total_rows <= max_group_rows
+    if few or (max_group_rows >= MAX_GROUP_ROWS and sizes.fits(df, sizes.SMALL_INPUT_BYTES)):
         return Segmented(plain, keys, order, False)
     counts = (
         df.groupBy(*keys)

@@ -83,7 +83,7 @@ def stream_throttle(
             before = state.before(batch_id)
             decided = flow.throttle_decision(batch, limits)
             us = F.unix_micros(F.col("ts").cast("timestamp"))
-            seg = skew.segment(decided, ["replica"], ["ts", "tick"], us, max_group_rows)
+            seg = skew.segment(decided, ["replica"], ["ts", "tick"], us, max_group_rows, batch.count())
             rows = skew.last_before(seg, F.col("reason"), "_was").done()
             last = before.select("replica", F.col("reason").alias("_last"))
             changes = (
@@ -113,7 +113,7 @@ def stream_heartbeat_monitor(
         batch = batch.where(F.col("hint") == HEARTBEAT).select("job", "id", "ts").persist()
         try:
             before = state.before(batch_id)
-            seg = skew.segment(batch, ["job"], ["id"], F.col("id"), max_group_rows)
+            seg = skew.segment(batch, ["job"], ["id"], F.col("id"), max_group_rows, batch.count())
             rows = skew.last_before(seg, F.col("ts"), "_was").done()
             last = before.select("job", F.col("ts").alias("_last"))
             previous = F.coalesce("_was", "_last")
@@ -141,8 +141,12 @@ def stream_rate_limit(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         before = state.before(batch_id)
-        kept = flow.rate_limit(batch, key, ts, order, ms, max_group_rows, start=before)
-        write_batch(kept, out_path, batch_id)
+        batch = batch.persist()
+        try:
+            kept = flow.rate_limit(batch, key, ts, order, ms, max_group_rows, before, batch.count())
+            write_batch(kept, out_path, batch_id)
+        finally:
+            batch.unpersist()
         # read back what was kept rather than limit the batch a second time
         done = spark.read.schema(events.schema).parquet(f"{out_path}/batch={batch_id}")
         free = F.unix_micros(F.col(ts).cast("timestamp")) + F.lit(ms * 1000)

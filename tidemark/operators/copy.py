@@ -79,15 +79,15 @@ def _bucketed(df: DataFrame, value: Column, starts: list, name: str) -> DataFram
 
 
 def assign_chunks(
-    df: DataFrame, boundaries: DataFrame, key: str, max_lookup: int = MAX_LOOKUP_CHUNKS,
-    max_group_rows: int = skew.MAX_GROUP_ROWS,
+    df: DataFrame, boundaries: DataFrame, key: str, max_lookup: int = MAX_LOOKUP_CHUNKS
 ) -> DataFrame:
     """Give each row the chunk that holds its integer key, NULL if none does.
 
     A chunk list of checked size is looked up by every task without any
-    shuffle. A longer one is merged with the rows: both are cut by a coarse
-    selection of the borders, cuts with many rows are dealt to several groups,
-    and each row takes the last border at or before it.
+    shuffle. A longer one is merged with the distinct keys, both cut by a
+    selection of the borders, and each key takes the last border at or before
+    it. Rows get the chunk of their key by an equality join, which adaptive
+    execution splits where a key is hot.
     """
     if df.schema[key].dataType not in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()):
         raise TypeError("chunks are assigned by integer keys")
@@ -95,7 +95,7 @@ def assign_chunks(
     rows = sizes.bounded_rows(chunks, max_lookup)
     if rows is not None and all(abs(r["lo"]) < _EXACT_DOUBLE and abs(r["hi"]) < _EXACT_DOUBLE for r in rows):
         return _assign_by_lookup(df, rows, key)
-    return _assign_by_merge(df, chunks, key, max_lookup, max_group_rows)
+    return _assign_by_merge(df, chunks, key, max_lookup)
 
 
 def _assign_by_lookup(df: DataFrame, rows: list, key: str) -> DataFrame:
@@ -123,9 +123,7 @@ def _cut(df: DataFrame, value: Column, cuts: list) -> DataFrame:
     return df.withColumn("_cut", at.cast("bigint"))
 
 
-def _assign_by_merge(
-    df: DataFrame, chunks: DataFrame, key: str, max_cuts: int, group_rows: int = skew.MAX_GROUP_ROWS
-) -> DataFrame:
+def _assign_by_merge(df: DataFrame, chunks: DataFrame, key: str, max_cuts: int) -> DataFrame:
     starts = chunks.select(
         F.col("chunk_id").alias("_chunk"),
         (F.col("lo") + F.when(F.col("chunk_id") == 0, 0).otherwise(1)).alias("_start"),
@@ -141,39 +139,24 @@ def _assign_by_merge(
     # percentiles are doubles; the smallest start from each of them on is exact
     groups = _bucketed(starts, F.col("_start"), near, "_near").groupBy("_near").agg(F.min("_start").alias("c"))
     cuts = sorted(r["c"] for r in groups.collect())
-    # A cut is itself a start, so every cut begins with its own border. A cut
-    # with a hot key holds more rows than a task should order: its rows are
-    # dealt to several groups that all get its borders.
-    rows = _cut(df, F.col(key), cuts)
-    counts = rows.groupBy("_cut").count().collect()  # one row per cut
-    parts = F.broadcast(df.sparkSession.createDataFrame(
-        [(r["_cut"], -(-r["count"] // group_rows)) for r in counts], "_cut bigint, _parts bigint"
-    ))
-    names = df.columns
-    # by row position, as whole copies of a row would share any hash
-    deal = F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1)))
-    left = rows.join(parts, "_cut", "left").select(
-        F.struct(*names).alias("_row"),
-        F.col(key).cast("bigint").alias("_at"),
-        F.lit(None).cast("struct<chunk:bigint,hi:bigint>").alias("_border"),
-        "_cut",
-        deal.alias("_deal"),
-        F.lit(1).alias("_side"),
+
+    # A cut is itself a start, so every cut begins with its own border.
+    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_at")).distinct()
+    left = _cut(keys, F.col("_at"), cuts).select(
+        "_at", F.lit(None).cast("struct<chunk:bigint,hi:bigint>").alias("_border"), "_cut", F.lit(1).alias("_side")
     )
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_deal")
-    right = _cut(starts, F.col("_start"), cuts).join(parts, "_cut").select("*", copies).select(
-        F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
+    right = _cut(starts, F.col("_start"), cuts).select(
         F.col("_start").cast("bigint").alias("_at"),
         F.struct(F.col("_chunk").alias("chunk"), F.col("_hi").cast("bigint").alias("hi")).alias("_border"),
         "_cut",
-        "_deal",
         F.lit(0).alias("_side"),
     )
-    w = W.partitionBy("_cut", "_deal").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy("_cut").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
     merged = left.unionByName(right).withColumn("_b", F.last("_border", ignorenulls=True).over(w))
-    return merged.where("_side = 1").select(
-        "_row.*", F.when(F.col("_at") <= F.col("_b.hi"), F.col("_b.chunk")).alias("chunk_id")
+    placed = merged.where((F.col("_side") == 1) & (F.col("_at") <= F.col("_b.hi"))).select(
+        F.col("_at").cast(df.schema[key].dataType).alias(key), F.col("_b.chunk").alias("chunk_id")
     )
+    return df.join(placed, key, "left").select(*df.columns, "chunk_id")
 
 
 def row_copy(df: DataFrame, pairs, path: str, sort_key: str | None = None) -> DataFrame:

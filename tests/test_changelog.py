@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import changelog as c_log
 from tidemark.functions import coords
-from tidemark.operators import changelog as op, verify
+from tidemark.operators import changelog as op, copy, verify
 
 LOG = "file string, pos bigint, db string, tbl string, event_type string, k bigint, v string"
 W, U, X = op.INSERT, op.UPDATE, op.DELETE
@@ -143,3 +143,25 @@ def test_random_logs_equal_a_replay(spark, seed):
     made = spark.createDataFrame([(f"b.{s}", p, "d", "t", e, k, v) for s, p, e, k, v in events], LOG).repartition(5)
     for broadcast in (True, False):
         assert bag(op.apply_changes(table(spark, *rows), made, "k", broadcast)) == _replay(rows, events)
+
+
+def test_key_of_several_columns(spark):
+    schema = "a bigint, b string, v string"
+    old = spark.createDataFrame([(1, "x", "p"), (1, "y", "q"), (2, "x", "r")], schema)
+    new = spark.createDataFrame([(1, "x", "p"), (1, "y", None), (3, "x", "n")], schema)
+    key = ["a", "b"]
+    diff = verify.snapshot_diff(old, new, key, "d", "t")
+    assert sorted((r.event_type, r.a, r.b) for r in diff.collect()) == [(X, 2, "x"), (U, 1, "y"), (W, 3, "x")]
+    for broadcast in (True, False):
+        got = op.apply_changes(old, diff, key, broadcast)
+        assert verify.compare_tables(got, new, key, [("v", "v")]).count() == 0
+    assert sorted(map(tuple, op.apply_deletes(old, diff, key).collect())) == [(1, "x", "p"), (1, "y", "q")]
+    assert sorted(op.latest_change(diff, key).select("a", "b").collect()) == [(1, "y"), (2, "x"), (3, "x")]
+    assert [r.stmt for r in op.change_statements(diff.where("a = 2"), key, ["v"]).collect()] == [
+        "DELETE FROM `d`.`t` WHERE `a` = '2' AND `b` = 'x'"
+    ]
+    kept = op.apply_updates(old, diff, key).where("a = 1 AND b = 'y'").first()
+    assert kept.v is None
+    assert copy.copy_missing(new, old, key).count() == 4 and copy.remaining_rows(new, old, key).first().remaining == 1
+    added = op.apply_inserts(old, diff, key, "keep")
+    assert added.count() == 4

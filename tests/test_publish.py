@@ -1,6 +1,7 @@
 """Publishing, migration failures and hint tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import alter
 from tidemark.operators.alter import AddColumn, ModifyColumn
@@ -70,3 +71,22 @@ def test_alter_text(spark):
         alter.alter_table(t, alter_specs(spark, "ALTER TABLE t RENAME TO u"))
     with pytest.raises(alter.AlterError):
         alter_specs(spark, "SELECT 1")
+
+
+def test_migration_by_a_key_of_two_columns(spark):
+    snap = spark.createDataFrame([("10", 1, "a"), ("20", 1, "b")], "v string, k bigint, s string")
+    log = spark.createDataFrame([(1, 4, "UpdateRows", "11", 1, "a"), (1, 9, "DeleteRows", None, 1, "b")], "seq bigint, pos bigint, event_type string, v string, k bigint, s string")
+    got = migrate_table(snap, [AddColumn("n", "int", first=True)], log, [KeySpec("pk", ("k", "s"), True)], "mig_c")
+    assert [tuple(r) for r in got.collect()] == [(None, "11", 1, "a")]
+
+
+def test_indexed_table_joins_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("idx_a", "idx_b"):
+            alter.write_indexed(spark.range(100).select(F.col("id").alias("k"), F.lit(name).alias(name)), ["k"], name, 4)
+        joined = spark.table("idx_a").join(spark.table("idx_b"), "k")
+        assert joined.count() == 100
+        assert "Exchange hashpartitioning(k" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -8,6 +8,7 @@ database, table, event kind, key, after image and some before images.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 
 from ..functions import coords, text
 from ..plans import sizes, skew
+from .inspect import Key, key_columns
 
 # Event kinds and their codes in the binary log header.
 INSERT, UPDATE, DELETE = "WriteRows", "UpdateRows", "DeleteRows"
@@ -88,20 +90,25 @@ def _sequence_of(file: str) -> int:
     return int(tail) if tail.isdigit() else 0
 
 
-def latest_change(log: DataFrame, key: str) -> DataFrame:
+def _whole_key(key: Key) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key_columns(key)])
+
+
+def latest_change(log: DataFrame, key: Key) -> DataFrame:
     """Last event per key, combined before the shuffle."""
-    events = with_sequence(log).where(F.col(key).isNotNull())
+    keys = key_columns(key)
+    events = with_sequence(log).where(_whole_key(key))
     return (
-        events.groupBy(key)
-        .agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), _at()).alias("_r"))
-        .select(key, "_r.*")
+        events.groupBy(*keys)
+        .agg(F.max_by(F.struct(*[c for c in events.columns if c not in keys]), _at()).alias("_r"))
+        .select(*keys, "_r.*")
     )
 
 
 # --- applying changes -------------------------------------------------------
 
 
-def _merge(snapshot: DataFrame, changes: DataFrame, key: str, cols: Sequence[str],
+def _merge(snapshot: DataFrame, changes: DataFrame, key: Key, cols: Sequence[str],
            broadcast: bool | None = None) -> DataFrame:
     """Apply per-key changes to a snapshot with one row per key.
 
@@ -115,38 +122,40 @@ def _merge(snapshot: DataFrame, changes: DataFrame, key: str, cols: Sequence[str
     if broadcast is None:
         broadcast = sizes.fits(changes, sizes.BROADCAST_BYTES) and not sizes.fits(snapshot, sizes.CHEAP_SHUFFLE_BYTES)
     schema = snapshot.schema
+    keys = key_columns(key)
 
     def settle(joined: DataFrame) -> DataFrame:
-        return joined.where(~F.coalesce(F.col("_gone"), F.lit(False))).select(
-            key,
+        kept = joined.where(~F.coalesce(F.col("_gone"), F.lit(False))).select(
+            *keys,
             *[
                 F.when(F.col("_set"), F.col(f"_img.{c}")).otherwise(F.col(c)).cast(schema[c].dataType).alias(c)
                 for c in cols
             ],
         )
+        return kept.select(*snapshot.columns)
 
     if not broadcast:
-        joined = snapshot.select(key, *cols, F.lit(True).alias("_here")).join(changes, key, "full")
+        joined = snapshot.select(*keys, *cols, F.lit(True).alias("_here")).join(changes, keys, "full")
         absent = F.col("_here").isNull()
         return settle(
             joined.where(~absent | F.col("_new"))
             .withColumn("_set", absent | F.col("_set"))
             .withColumn("_gone", ~absent & F.col("_gone"))
         )
-    kept = settle(snapshot.select(key, *cols).join(F.broadcast(changes), key, "left"))
+    kept = settle(snapshot.select(*keys, *cols).join(F.broadcast(changes), keys, "left"))
     fresh = changes.where("_new")
-    known = snapshot.select(key).join(F.broadcast(fresh.select(key)), key, "left_semi")
-    added = fresh.join(known, key, "left_anti").select(
-        key, *[F.col(f"_img.{c}").cast(schema[c].dataType).alias(c) for c in cols]
+    known = snapshot.select(*keys).join(F.broadcast(fresh.select(*keys)), keys, "left_semi")
+    added = fresh.join(known, keys, "left_anti").select(
+        *keys, *[F.col(f"_img.{c}").cast(schema[c].dataType).alias(c) for c in cols]
     )
     return kept.unionByName(added)
 
 
-def _values(snapshot: DataFrame, key: str) -> list[str]:
-    return [c for c in snapshot.columns if c != key]
+def _values(snapshot: DataFrame, key: Key) -> list[str]:
+    return [c for c in snapshot.columns if c not in key_columns(key)]
 
 
-def apply_inserts(snapshot: DataFrame, log: DataFrame, key: str, on_conflict: str = "replace") -> DataFrame:
+def apply_inserts(snapshot: DataFrame, log: DataFrame, key: Key, on_conflict: str = "replace") -> DataFrame:
     """Add the after images of inserts.
 
     On a live key ``replace`` takes the last insert, ``keep`` the row that was
@@ -157,41 +166,43 @@ def apply_inserts(snapshot: DataFrame, log: DataFrame, key: str, on_conflict: st
     cols = _values(snapshot, key)
     pick = F.min_by if on_conflict == "keep" else F.max_by
     inserts = (
-        with_sequence(log).where((_kind() == INSERT) & F.col(key).isNotNull())
-        .groupBy(key)
+        with_sequence(log).where((_kind() == INSERT) & _whole_key(key))
+        .groupBy(*key_columns(key))
         .agg(pick(F.struct(*cols), _at()).alias("_img"), F.count(F.lit(1)).alias("_n"))
     )
     if on_conflict == "error":
-        live = snapshot.select(key).join(inserts, key, "left_semi")
-        if inserts.where("_n > 1").select(key).union(live).limit(1).collect():
+        keys = key_columns(key)
+        live = snapshot.select(*keys).join(inserts, keys, "left_semi")
+        if inserts.where("_n > 1").select(*keys).union(live).limit(1).collect():
             raise ValueError(f"insert on a live {key}")
     changes = inserts.select(
-        key, "_img", F.lit(True).alias("_new"), F.lit(on_conflict == "replace").alias("_set"),
+        *key_columns(key), "_img", F.lit(True).alias("_new"), F.lit(on_conflict == "replace").alias("_set"),
         F.lit(False).alias("_gone"),
     )
     return _merge(snapshot, changes, key, cols)
 
 
-def apply_updates(snapshot: DataFrame, log: DataFrame, key: str) -> DataFrame:
+def apply_updates(snapshot: DataFrame, log: DataFrame, key: Key) -> DataFrame:
     """Set all other columns to the last after image; absent keys are skipped."""
     cols = _values(snapshot, key)
     updates = (
-        with_sequence(log).where((_kind() == UPDATE) & F.col(key).isNotNull())
-        .groupBy(key)
+        with_sequence(log).where((_kind() == UPDATE) & _whole_key(key))
+        .groupBy(*key_columns(key))
         .agg(F.max_by(F.struct(*cols), _at()).alias("_img"))
     )
     schema = snapshot.schema
-    return snapshot.join(updates, key, "left").select(
-        key,
+    updated = snapshot.join(updates, key_columns(key), "left").select(
+        *key_columns(key),
         *[
             F.when(F.col("_img").isNotNull(), F.col(f"_img.{c}")).otherwise(F.col(c)).cast(schema[c].dataType).alias(c)
             for c in cols
         ],
     )
+    return updated.select(*snapshot.columns)
 
 
 def apply_partial_updates(
-    snapshot: DataFrame, log: DataFrame, key: str, cols: Sequence[str],
+    snapshot: DataFrame, log: DataFrame, key: Key, cols: Sequence[str],
     given: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Set only the listed columns, each to the last value given for it.
@@ -202,14 +213,14 @@ def apply_partial_updates(
     given = given or {}
     has = {c: given.get(c, F.col(c).isNotNull()) for c in cols}
     last = (
-        with_sequence(log).where((_kind() == UPDATE) & F.col(key).isNotNull())
-        .groupBy(key)
+        with_sequence(log).where((_kind() == UPDATE) & _whole_key(key))
+        .groupBy(*key_columns(key))
         .agg(
             *[F.max_by(F.struct(F.col(c).alias("v")), F.when(has[c], _at())).alias(f"_u_{c}") for c in cols]
         )
     )
     schema = snapshot.schema
-    return snapshot.join(last, key, "left").select(
+    return snapshot.join(last, key_columns(key), "left").select(
         *[
             F.when(F.col(f"_u_{c}").isNotNull(), F.col(f"_u_{c}.v")).otherwise(F.col(c)).cast(schema[c].dataType).alias(c)
             if c in cols
@@ -219,13 +230,14 @@ def apply_partial_updates(
     )
 
 
-def apply_deletes(snapshot: DataFrame, log: DataFrame, key: str) -> DataFrame:
+def apply_deletes(snapshot: DataFrame, log: DataFrame, key: Key) -> DataFrame:
     """Remove deleted keys; a NULL key matches nothing."""
-    gone = log.where((_kind() == DELETE) & F.col(key).isNotNull()).select(key).distinct()
-    return snapshot.join(gone, key, "left_anti")
+    keys = key_columns(key)
+    gone = log.where((_kind() == DELETE) & _whole_key(key)).select(*keys).distinct()
+    return snapshot.join(gone, keys, "left_anti").select(*snapshot.columns)
 
 
-def compact_changes(log: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+def compact_changes(log: DataFrame, key: Key, cols: Sequence[str]) -> DataFrame:
     """Per key: the last event and the last event that decides if it lives.
 
     Compacted logs can be combined in any order and any number of times (see
@@ -233,8 +245,8 @@ def compact_changes(log: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """
     life = F.when(_kind().isin(INSERT, DELETE), _at())
     return (
-        with_sequence(log).where(_kind().isin(*ROW_EVENTS) & F.col(key).isNotNull())
-        .groupBy(key)
+        with_sequence(log).where(_kind().isin(*ROW_EVENTS) & _whole_key(key))
+        .groupBy(*key_columns(key))
         .agg(
             F.max(_at()).alias("_at"),
             F.max_by(F.struct(*cols), _at()).alias("_img"),
@@ -244,9 +256,9 @@ def compact_changes(log: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def combine_compacted(parts: DataFrame, key: str) -> DataFrame:
+def combine_compacted(parts: DataFrame, key: Key) -> DataFrame:
     """Merge compacted logs: per key the newest of each part wins."""
-    return parts.groupBy(key).agg(
+    return parts.groupBy(*key_columns(key)).agg(
         F.max("_at").alias("_at"),
         F.max_by("_img", "_at").alias("_img"),
         F.max("_life_at").alias("_life_at"),
@@ -254,15 +266,15 @@ def combine_compacted(parts: DataFrame, key: str) -> DataFrame:
     )
 
 
-def apply_compacted(snapshot: DataFrame, compacted: DataFrame, key: str, broadcast: bool | None = None) -> DataFrame:
+def apply_compacted(snapshot: DataFrame, compacted: DataFrame, key: Key, broadcast: bool | None = None) -> DataFrame:
     alive, dead = F.col("_life") == INSERT, F.coalesce(F.col("_life") == DELETE, F.lit(False))
     changes = compacted.select(
-        key, "_img", F.coalesce(alive, F.lit(False)).alias("_new"), dead.alias("_gone"), F.lit(True).alias("_set")
+        *key_columns(key), "_img", F.coalesce(alive, F.lit(False)).alias("_new"), dead.alias("_gone"), F.lit(True).alias("_set")
     )
     return _merge(snapshot, changes, key, _values(snapshot, key), broadcast)
 
 
-def apply_changes(snapshot: DataFrame, log: DataFrame, key: str, broadcast: bool | None = None) -> DataFrame:
+def apply_changes(snapshot: DataFrame, log: DataFrame, key: Key, broadcast: bool | None = None) -> DataFrame:
     """Inserts, updates and deletes in log order.
 
     The last insert or delete of a key decides if it lives, else the snapshot
@@ -272,7 +284,7 @@ def apply_changes(snapshot: DataFrame, log: DataFrame, key: str, broadcast: bool
     return apply_compacted(snapshot, compact_changes(log, key, _values(snapshot, key)), key, broadcast)
 
 
-def apply_transactions(snapshot: DataFrame, log: DataFrame, key: str, tx: str, bad: Column) -> DataFrame:
+def apply_transactions(snapshot: DataFrame, log: DataFrame, key: Key, tx: str, bad: Column) -> DataFrame:
     """As ``apply_changes``, without the transactions that hold a bad event."""
     broken = log.where(bad & F.col(tx).isNotNull()).select(tx).distinct()
     return apply_changes(snapshot, log.join(broken, tx, "left_anti"), key)
@@ -281,7 +293,7 @@ def apply_transactions(snapshot: DataFrame, log: DataFrame, key: str, tx: str, b
 # --- describing changes -----------------------------------------------------
 
 
-def changed_cells(log: DataFrame, key: str, cells: Mapping[str, tuple[str, str]]) -> DataFrame:
+def changed_cells(log: DataFrame, key: Key, cells: Mapping[str, tuple[str, str]]) -> DataFrame:
     """One row per changed cell; ``cells`` maps a name to its before and after columns."""
     entries = [
         F.struct(
@@ -292,15 +304,16 @@ def changed_cells(log: DataFrame, key: str, cells: Mapping[str, tuple[str, str]]
         for name, (before, after) in cells.items()
     ]
     rows = with_sequence(log).where(_kind().isin(*ROW_EVENTS))
-    return rows.select("seq", "pos", key, F.inline(F.array(*entries))).where(
+    return rows.select("seq", "pos", *key_columns(key), F.inline(F.array(*entries))).where(
         ~F.col("before_value").eqNullSafe(F.col("after_value"))
     )
 
 
-def change_statements(log: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+def change_statements(log: DataFrame, key: Key, cols: Sequence[str]) -> DataFrame:
     """Audit text of each changed row as an INSERT, UPDATE or DELETE."""
     target = text.combine_database_table(F.col("db"), F.col("tbl"))
-    every = [key, *cols]
+    keys = key_columns(key)
+    every = [*keys, *cols]
     name = {c: "`" + c.replace("`", "``") + "`" for c in every}
 
     def value(c: str) -> Column:
@@ -308,7 +321,9 @@ def change_statements(log: DataFrame, key: str, cols: Sequence[str]) -> DataFram
             return F.coalesce(F.concat(F.lit("'"), F.col(c).cast("string"), F.lit("'")), F.lit("NULL"))
         return text.sql_value(F.col(c))
 
-    where = F.concat(F.lit(f" WHERE {name[key]} = "), value(key))
+    where = F.concat(
+        F.lit(" WHERE "), F.concat_ws(" AND ", *[F.concat(F.lit(f"{name[k]} = "), value(k)) for k in keys])
+    )
     insert = F.concat(
         F.lit("INSERT INTO "), target, F.lit(" (" + ", ".join(name[c] for c in every) + ") VALUES ("),
         F.concat_ws(", ", *[value(c) for c in every]), F.lit(")"),
@@ -319,7 +334,7 @@ def change_statements(log: DataFrame, key: str, cols: Sequence[str]) -> DataFram
     )
     delete = F.concat(F.lit("DELETE FROM "), target, where)
     stmt = F.when(_kind() == INSERT, insert).when(_kind() == UPDATE, update).when(_kind() == DELETE, delete)
-    return with_sequence(log).where(_kind().isin(*ROW_EVENTS)).select("seq", "pos", key, stmt.alias("stmt"))
+    return with_sequence(log).where(_kind().isin(*ROW_EVENTS)).select("seq", "pos", *keys, stmt.alias("stmt"))
 
 
 def event_counts(log: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..plans import numbering, sizes, skew
 from .alter import ColumnPairs
+from .inspect import Key, key_columns
 
 #: Chunk lists up to this length are looked up in memory by each task.
 MAX_LOOKUP_CHUNKS = 200_000
@@ -172,20 +174,21 @@ def row_copy(df: DataFrame, pairs, path: str, sort_key: str | None = None) -> Da
     return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def _missing(src: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
-    held = shadow.select(F.col(key).alias("_held"))
-    return src.join(held, src[key].eqNullSafe(held["_held"]), "left_anti")
+def _missing(src: DataFrame, shadow: DataFrame, key: Key) -> DataFrame:
+    held = shadow.select(*[F.col(k).alias(f"_held_{k}") for k in key_columns(key)])
+    same = [src[k].eqNullSafe(held[f"_held_{k}"]) for k in key_columns(key)]
+    return src.join(held, reduce(lambda p, q: p & q, same), "left_anti")
 
 
-def copy_missing(src: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
+def copy_missing(src: DataFrame, shadow: DataFrame, key: Key) -> DataFrame:
     """The shadow plus the source rows it does not hold; safe to repeat."""
     return shadow.unionByName(_missing(src, shadow, key))
 
 
-def remaining_rows(src: DataFrame, shadow: DataFrame, key: str) -> DataFrame:
+def remaining_rows(src: DataFrame, shadow: DataFrame, key: Key) -> DataFrame:
     """Number and share of keys not yet copied."""
     zero = F.lit(0).cast("bigint")
-    left = _missing(src.select(key), shadow, key).agg(F.count(F.lit(1)).alias("r")).select("r", zero.alias("t"))
+    left = _missing(src.select(*key_columns(key)), shadow, key).agg(F.count(F.lit(1)).alias("r")).select("r", zero.alias("t"))
     total = src.agg(F.count(F.lit(1)).alias("t")).select(zero.alias("r"), "t")
     return (
         left.union(total)

@@ -19,6 +19,14 @@ class KeySpec:
     primary: bool = False
 
 
+#: A key is one column name or several.
+Key = str | Sequence[str]
+
+
+def key_columns(key: Key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
 def find_column(df: DataFrame, name: str) -> str | None:
     """The column with this name, ignoring case."""
     return next((c for c in df.columns if c.lower() == name.lower()), None)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .changelog import DELETE, INSERT, UPDATE
 from .copy import assign_chunks
+from .inspect import Key, key_columns
 
 # What separates the columns of a hashed row, and what stands for NULL.
 SEPARATOR, NULL_MARK = "\x1f", "\\N"
@@ -69,10 +70,11 @@ def chunk_checksums(
     return joined.withColumn("differs", ~same)
 
 
-def compare_tables(a: DataFrame, b: DataFrame, key: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def compare_tables(a: DataFrame, b: DataFrame, key: Key, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows missing from ``b``, extra in ``b`` or different, and in which columns."""
-    left = a.select(F.col(key).alias("_k"), F.lit(True).alias("_l"), *[F.col(x).alias(f"l{i}") for i, (x, _) in enumerate(pairs)])
-    right = b.select(F.col(key).alias("_k"), F.lit(True).alias("_r"), *[F.col(y).alias(f"r{i}") for i, (_, y) in enumerate(pairs)])
+    keys = key_columns(key)
+    left = a.select(*keys, F.lit(True).alias("_l"), *[F.col(x).alias(f"l{i}") for i, (x, _) in enumerate(pairs)])
+    right = b.select(*keys, F.lit(True).alias("_r"), *[F.col(y).alias(f"r{i}") for i, (_, y) in enumerate(pairs)])
     differing = [
         F.when(~F.col(f"l{i}").eqNullSafe(F.col(f"r{i}")), F.lit(y)) for i, (_, y) in enumerate(pairs)
     ]
@@ -83,9 +85,9 @@ def compare_tables(a: DataFrame, b: DataFrame, key: str, pairs: Sequence[tuple[s
         .when(unequal, F.lit("different"))
     )
     return (
-        left.join(right, "_k", "full")
+        left.join(right, keys, "full")
         .select(
-            F.col("_k").alias(key),
+            *keys,
             status.alias("status"),
             F.when(F.col("_l") & F.col("_r"), F.concat_ws(",", *differing)).alias("columns"),
         )
@@ -93,15 +95,16 @@ def compare_tables(a: DataFrame, b: DataFrame, key: str, pairs: Sequence[tuple[s
     )
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, key: str, db: str, table: str) -> DataFrame:
+def snapshot_diff(old: DataFrame, new: DataFrame, key: Key, db: str, table: str) -> DataFrame:
     """Change rows that lead from one snapshot to the other.
 
     They have the form of a change log, one event per key, so applying them
     to ``old`` gives ``new`` back.
     """
-    cols = [c for c in old.columns if c != key]
-    before = old.select(key, F.lit(True).alias("_b"), *[F.col(c).alias(f"before_{c}") for c in cols])
-    after = new.select(key, F.lit(True).alias("_a"), *cols)
+    keys = key_columns(key)
+    cols = [c for c in old.columns if c not in keys]
+    before = old.select(*keys, F.lit(True).alias("_b"), *[F.col(c).alias(f"before_{c}") for c in cols])
+    after = new.select(*keys, F.lit(True).alias("_a"), *cols)
     unequal = reduce(
         lambda p, q: p | q, [~F.col(f"before_{c}").eqNullSafe(F.col(c)) for c in cols], F.lit(False)
     )
@@ -111,11 +114,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, db: str, table: str)
         .when(unequal, F.lit(UPDATE))
     )
     return (
-        before.join(after, key, "full")
+        before.join(after, keys, "full")
         .select(
             F.lit("diff.000001").alias("file"), F.lit(1).cast("bigint").alias("seq"), F.lit(4).cast("bigint").alias("pos"),
             F.lit(db).alias("db"), F.lit(table).alias("tbl"), kind.alias("event_type"),
-            key, *cols, *[f"before_{c}" for c in cols],
+            *keys, *cols, *[f"before_{c}" for c in cols],
         )
         .where("event_type IS NOT NULL")
     )

@@ -36,9 +36,7 @@ def migrate_table(
     picked = inspect.shared_key(snapshot, alter.alter_table(snapshot, ops), keys).first()
     if picked is None:
         raise MigrationError("no usable key in both tables")
-    if "," in picked["key_columns"]:
-        raise MigrationError("changes are applied by a single-column key")
-    key = picked["key_columns"]
+    key = picked["key_columns"].split(",")
 
     typed = [op for op in ops if isinstance(op, (alter.ModifyColumn, alter.ChangeColumn))]
     if typed:

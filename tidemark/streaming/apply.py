@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changelog
+from ..operators.inspect import Key, key_columns
 from . import runner
 from .state import read_batches, write_batch
 
 
 def stream_apply(
-    log: DataFrame, snapshot: DataFrame, key: str, state_path: str, checkpoint: str,
+    log: DataFrame, snapshot: DataFrame, key: Key, state_path: str, checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     rewrite: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
@@ -26,7 +27,7 @@ def stream_apply(
     micro-batch before it is stored; ``rewrite`` may change the events, for
     example to apply an ALTER to them or to map them in pandas.
     """
-    cols = [c for c in snapshot.columns if c != key]
+    cols = [c for c in snapshot.columns if c not in key_columns(key)]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if on_batch is not None:
@@ -46,19 +47,20 @@ def _static(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.createDataFrame([], stream.schema)
 
 
-def stream_latest(log: DataFrame, key: str, out_path: str, checkpoint: str) -> DataFrame:
+def stream_latest(log: DataFrame, key: Key, out_path: str, checkpoint: str) -> DataFrame:
     """Running last change per key.
 
     The state store holds the last change; every batch emits the keys it
     moved. A key emitted by several batches is settled by its log position.
     """
     runner.use_rocksdb(log.sparkSession)
-    events = changelog.with_sequence(log).where(F.col(key).isNotNull())
-    value = [c for c in events.columns if c != key]
+    keys = key_columns(key)
+    events = changelog.with_sequence(log).dropna(subset=keys)
+    value = [c for c in events.columns if c not in keys]
     running = (
-        events.groupBy(key)
+        events.groupBy(*keys)
         .agg(F.max_by(F.struct(*value), F.struct("seq", "pos")).alias("_r"))
-        .select(key, "_r.*")
+        .select(*keys, "_r.*")
     )
     runner.for_each_batch(running, lambda b, i: write_batch(b, out_path, i), checkpoint, mode="update")
     moved = read_batches(log.sparkSession, out_path, running.schema)

@@ -1,6 +1,5 @@
 """Inspection queries."""
 
-from pyspark.sql import functions as F
 
 from ..operators import inspect as op
 from ..operators.alter import AddColumn, ModifyColumn, alter_table

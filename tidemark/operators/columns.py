@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import coords, numbers, text, times
-from ..plans import skew
+from ..plans import sizes, skew
 
 
 def text_columns(df: DataFrame, column: str, keep: Sequence[str], needle: str, label: Column) -> DataFrame:
     """Every text helper applied to one column."""
     c = F.col(column)
     low, needle_low = text.lower_ascii(c), needle.lower()
-    return df.select(
+    return sizes.spread(df, list(keep)).select(
         *keep,
         text.trim(c).alias("trimmed"),
         text.trim_left(c).alias("trimmed_left"),
@@ -50,7 +50,7 @@ def text_columns(df: DataFrame, column: str, keep: Sequence[str], needle: str, l
 
 def split_join_rows(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
     """One row per line, with its parts counted and joined again."""
-    lines = df.select(*keep, F.posexplode(text.split_lines(F.col(column))).alias("line_no", "line"))
+    lines = sizes.spread(df, list(keep)).select(*keep, F.posexplode(text.split_lines(F.col(column))).alias("line_no", "line"))
     line = F.col("line")
     words = text.split_char(line, " ")
     return lines.select(
@@ -83,7 +83,7 @@ def parse_numbers(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
 
 def escape_columns(df: DataFrame, column: str, keep: Sequence[str], name: Column) -> DataFrame:
     c = F.col(column)
-    return df.select(
+    return sizes.spread(df, list(keep)).select(
         *keep,
         text.escape_sql(c).alias("sql_escaped"),
         text.quote_sql(c).alias("sql_quoted"),
@@ -314,7 +314,7 @@ def time_columns(df: DataFrame, ts: str, keep: Sequence[str], moment: Column) ->
     """Every time helper applied to one column; ``moment`` is compared with it."""
     c = F.col(ts)
     parts = ("year", "month", "day", "hour", "minute", "second", "millisecond")
-    return df.select(
+    return sizes.spread(df, list(keep)).select(
         *keep,
         times.to_unix(c).alias("unix_s"),
         times.to_unix_millis(c).alias("unix_ms"),

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
 #: Planned size below which a side may be broadcast.
 BROADCAST_BYTES = 32 * 1024 * 1024
+#: Inputs planned no larger than this may be too few splits for all cores.
+SPREAD_BYTES = 128 * 1024 * 1024
 #: A table planned no larger than this is shuffled without a second thought.
 CHEAP_SHUFFLE_BYTES = 512 * 1024 * 1024
 
@@ -25,6 +27,17 @@ def fits(df: DataFrame, limit: int) -> bool:
     return size is not None and size <= limit
 
 
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """Deal a small input to all cores before costly column work.
+
+    A small Parquet file is often one row group and thus one task. Larger
+    inputs have splits enough and are left alone.
+    """
+    if not by or not fits(df, SPREAD_BYTES):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
     """The rows if there are at most ``max_rows`` of them, else None.
 

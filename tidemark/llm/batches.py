@@ -53,7 +53,7 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_arrow(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]) -> DataFrame:
+def map_arrow(df: DataFrame, schema, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch]) -> DataFrame:
     """``mapInArrow`` over single batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,3 +65,24 @@ def map_arrow(df: DataFrame, schema: str, function: Callable[[pa.RecordBatch], I
                 yield from out
 
     return df.mapInArrow(run, schema)
+
+
+def extend(df: DataFrame, text_col: str, schema: str, function: Callable[[list[bytes]], list[pa.Array]]) -> DataFrame:
+    """``df`` with columns computed from the UTF-8 bytes of a text column.
+
+    ``schema`` names the new columns; columns of ``df`` with those names are
+    replaced. Null texts arrive as empty bytes.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(schema)
+    kept = df.drop(*new.names) if text_col not in new.names else df.drop(*(n for n in new.names if n != text_col))
+    at = kept.columns.index(text_col)
+    out = [c for c in kept.columns if c not in new.names]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = function(texts(batch.column(at)))
+        kept_columns = [batch.column(i) for i, n in enumerate(batch.schema.names) if n in out]
+        return pa.RecordBatch.from_arrays(kept_columns + made, out + new.names)
+
+    return map_arrow(kept, StructType([kept.schema[c] for c in out] + new.fields), run)

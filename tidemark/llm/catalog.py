@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, langid, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         simhash.op1_simhash_near_dedup,
+        bpe.op2_bpe_encoding,
+        langid.op10_language_id,
     )
 }
 

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, simhash
+from . import bpe, decontaminate, langid, lines, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         simhash.op1_simhash_near_dedup,
         bpe.op2_bpe_encoding,
+        lines.op3_line_dedup,
+        decontaminate.op8_benchmark_decontamination,
         langid.op10_language_id,
     )
 }

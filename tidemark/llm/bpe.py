@@ -161,6 +161,19 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "token_ids
     return batches.map_arrow(kept, StructType([*kept.schema.fields, StructField(text_col, StringType())]), run)
 
 
+def encode_checked(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """As ``encode``, with ``round_trip``: whether the decoded ids give the text again."""
+    source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+
+    def run(texts: list[bytes]) -> list[pa.Array]:
+        own = codec(source.value)
+        ids = [own.encode(t.decode()) for t in texts]
+        same = [own.decode(i).encode() == t for i, t in zip(ids, texts)]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())]
+
+    return batches.extend(docs, text_col, "token_ids array<int>, n_tokens long, round_trip boolean", run)
+
+
 def op2_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the decoded text of every document."""
     docs = batches.table(spark, folder, "documents").select("doc_id", "text")

@@ -5,10 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tidemark import catalog
 from tests.oracle import compare, connect
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.load()
 
 # The names of the operator inventory.
 INVENTORY = """
@@ -37,6 +38,7 @@ def con():
 def test_inventory_is_complete():
     assert set(INVENTORY) <= set(QUERIES)
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

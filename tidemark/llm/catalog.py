@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, lines, simhash
+from . import bpe, decontaminate, langid, lines, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -14,9 +14,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         simhash.op1_simhash_near_dedup,
         bpe.op2_bpe_encoding,
         lines.op3_line_dedup,
+        secrets.op4_secret_scan,
+        quality.op5_quality_rules,
+        toxicity.op6_toxicity,
         decontaminate.op8_benchmark_decontamination,
         langid.op10_language_id,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_secret_scan": secrets.OP4_SQL,
+}

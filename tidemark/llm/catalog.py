@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, lines, quality, secrets, simhash, toxicity
+from . import bpe, decontaminate, htmltext, langid, lines, quality, secrets, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -17,7 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         secrets.op4_secret_scan,
         quality.op5_quality_rules,
         toxicity.op6_toxicity,
+        tokencount.op7_token_counts,
         decontaminate.op8_benchmark_decontamination,
+        htmltext.op9_html_extraction,
         langid.op10_language_id,
     )
 }

@@ -90,3 +90,41 @@ def test_indexed_table_joins_without_a_shuffle(spark):
         assert "Exchange hashpartitioning(k" not in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_rerun_with_a_failing_check_keeps_the_live_version(spark, tmp_path):
+    def refuse(_):
+        raise RuntimeError("no")
+
+    for path in (None, str(tmp_path / "live")):
+        name = "pub_c" if path is None else "pub_d"
+        sinks.publish(spark.createDataFrame([(1,)], "k bigint"), name, path=path)
+        with pytest.raises(RuntimeError):
+            sinks.publish(spark.createDataFrame([(2,)], "k bigint"), name, path=path, check=refuse)
+        with pytest.raises(ValueError):
+            sinks.publish(spark.createDataFrame([(3,)], "k bigint"), name, 1, path=path)
+        assert [r.k for r in spark.table(name).collect()] == [1]
+        sinks.publish(spark.createDataFrame([(4,)], "k bigint"), name, path=path, drop_old=True)
+        assert [r.k for r in spark.table(name).collect()] == [4]
+        assert sinks.versions(spark, name) == [2]
+    assert [p.name for p in (tmp_path / "live").iterdir()] == ["v2"]
+
+
+def test_migration_audits_the_log(spark):
+    snap = spark.createDataFrame([(1, 10)], "k bigint, v bigint")
+    log = spark.createDataFrame([(1, 4, "UpdateRows", 1, 2**40)], "seq bigint, pos bigint, event_type string, k bigint, v bigint")
+    with pytest.raises(MigrationError, match="rejects"):
+        migrate_table(snap, [ModifyColumn("v", "int", nullable=False)], log, [KeySpec("pk", ("k",), True)], "mig_x")
+    nothing = spark.createDataFrame([(1, 4, "UpdateRows", 1, None)], log.schema)
+    with pytest.raises(MigrationError, match="rejects"):
+        migrate_table(snap, [ModifyColumn("v", "int", nullable=False)], nothing, [KeySpec("pk", ("k",), True)], "mig_x")
+    assert not spark.catalog.tableExists("mig_x")
+
+
+def test_migration_checks_added_keys_and_renames_the_key(spark):
+    snap = spark.createDataFrame([(1, "a"), (2, "a")], "k bigint, v string")
+    log = spark.createDataFrame([(1, 4, "WriteRows", 3, "b")], LOG)
+    with pytest.raises(MigrationError, match="does not hold"):
+        migrate_table(snap, alter_specs(spark, "ALTER TABLE t ADD UNIQUE KEY u (v)"), log, [KeySpec("pk", ("k",), True)], "mig_y")
+    got = migrate_table(snap, [alter.RenameColumn("k", "id")], log, [KeySpec("pk", ("k",), True)], "mig_y")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a"), (2, "a"), (3, "b")] and got.columns == ["id", "v"]

@@ -275,6 +275,8 @@ def pending_events(spark, d):
 PENDING_EVENTS = with_views("gtids", f"""
 WITH {_DOMAINS}, x AS (SELECT domain, max(seq) AS max_seq FROM p WHERE ts < TIMESTAMP '{_MOMENT}' GROUP BY 1)
 SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.domain = p.domain AND p.seq <= x.max_seq)
+UNION ALL BY NAME SELECT g.event_id, g.gtid, e.ts, e.event_type AS replica, CAST(NULL AS VARCHAR) AS domain, CAST(NULL AS BIGINT) AS seq
+ FROM gtids g JOIN events e USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.event_id = g.event_id)
 """)
 
 QUERIES = {

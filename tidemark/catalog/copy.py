@@ -48,7 +48,7 @@ def _orders_pairs(orders):
 
 def copy_chunk(spark, d):
     orders = table(spark, d, "orders")
-    return op.copy_chunk(orders, _orders_pairs(orders), "o_orderkey", 2000, 3000, 1000)
+    return op.copy_chunk(orders, _orders_pairs(orders), "o_orderkey", 2000, 3000)
 
 
 def assign_chunks(spark, d):
@@ -123,7 +123,7 @@ QUERIES = {
     "copy_chunk": (
         copy_chunk,
         """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders
-        WHERE o_orderkey > 2000 AND o_orderkey <= 3000 ORDER BY o_orderkey LIMIT 1000""",
+        WHERE o_orderkey > 2000 AND o_orderkey <= 3000 ORDER BY o_orderkey""",
     ),
     "assign_chunks": (assign_chunks, ASSIGN_CHUNKS),
     "row_copy": (row_copy, "SELECT * EXCLUDE (o_orderpriority) FROM orders"),

@@ -17,11 +17,11 @@ from .changelog import APPLY_CHANGES, KEY, rows, snapshot
 from .copy import COPY_PROGRESS, _bounds, copy_progress
 
 _COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "price_cents"]
-_HASH = """CAST('0x' || substr(md5(concat_ws(chr(31), {parts})), 1, 8) AS BIGINT)"""
+_HASH = """CAST('0x' || substr(md5({parts}), 1, 16) AS UBIGINT)"""
 
 
 def _hash(cols):
-    return _HASH.format(parts=", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in cols))
+    return _HASH.format(parts=" || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), 'N')" for c in cols))
 
 
 def progress_json(spark, d):

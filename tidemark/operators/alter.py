@@ -98,8 +98,13 @@ class ColumnPairs:
 TYPE_NAMES = {
     "tinyint": "tinyint", "smallint": "smallint", "mediumint": "int", "int": "int",
     "integer": "int", "bigint": "bigint", "float": "float", "double": "double",
-    "decimal": "decimal(10,0)", "char": "string", "varchar": "string", "text": "string",
+    "real": "double", "double precision": "double", "bit": "bigint",
+    "decimal": "decimal(10,0)", "numeric": "decimal(10,0)", "dec": "decimal(10,0)", "fixed": "decimal(10,0)",
+    "tinytext": "string", "mediumtext": "string", "longtext": "string", "nchar": "string", "nvarchar": "string",
+    "tinyblob": "binary", "mediumblob": "binary", "longblob": "binary", "varbinary": "binary",
+    "char": "string", "varchar": "string", "text": "string",
     "enum": "string", "set": "string", "json": "string", "time": "string",
+    "geometry": "string", "point": "string", "linestring": "string", "polygon": "string",
     "blob": "binary", "datetime": "timestamp_ntz", "timestamp": "timestamp",
     "date": "date", "year": "smallint", "bool": "boolean", "boolean": "boolean",
     "string": "string", "binary": "binary", "timestamp_ntz": "timestamp_ntz",
@@ -112,9 +117,9 @@ def spark_type(text: str) -> str:
     """Spark type for a column type such as ``VARCHAR(20)`` or ``INT UNSIGNED``."""
     match = re.match(r"\s*([A-Za-z_]+)\s*(\([^)]*\))?(.*)$", text, re.S)
     if not match or match[1].lower() not in TYPE_NAMES:
-        return "string"
+        raise AlterError(f"unknown column type {text!r}")
     name = match[1].lower()
-    if name == "decimal" and match[2]:
+    if TYPE_NAMES[name].startswith("decimal") and match[2]:
         return "decimal" + match[2].replace(" ", "")
     base = TYPE_NAMES[name]
     return UNSIGNED.get(base, base) if "unsigned" in match[3].lower() else base
@@ -286,28 +291,52 @@ def write_indexed(df: DataFrame, columns: Sequence[str], name: str, buckets: int
     df.write.mode("overwrite").bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(name)
 
 
+def _is_number(kind: str) -> bool:
+    return kind.startswith(("tinyint", "smallint", "int", "bigint", "decimal", "float", "double"))
+
+
 def cast_audit(df: DataFrame, ops: Sequence[Any]) -> DataFrame:
     """Rows each change would reject or cut, per column and reason.
 
-    Reasons: ``cast`` (no value in the new type), ``length``, ``null`` and
-    ``value`` (not in the value list). One aggregate over the table.
+    Reasons: ``cast`` (no value in the new type, or a number that loses
+    digits), ``length``, ``null`` and ``value`` (not in the value list). A
+    column renamed before by the same list is named as it is in ``df``; columns
+    that the list adds are not audited. One aggregate over the table.
     """
     tests: list[tuple[str, str, Column]] = []
+    source = {c.lower(): c for c in df.columns}  # by the name at this point of the list
     for op in ops:
+        if isinstance(op, RenameColumn):
+            source[op.name.lower()] = source.pop(op.old.lower(), None)
+        if isinstance(op, DropColumn):
+            source.pop(op.name.lower(), None)
+        if isinstance(op, AddColumn):
+            source[op.name.lower()] = None
         if not isinstance(op, (ModifyColumn, ChangeColumn)):
             continue
-        name = _need(df, op.old if isinstance(op, ChangeColumn) else op.name)
+        at = (op.old if isinstance(op, ChangeColumn) else op.name).lower()
+        if at not in source:
+            raise AlterError(f"no column {at}")
+        name = source.pop(at)
+        source[op.name.lower()] = name
+        if name is None:
+            continue
         c = F.col(name)
         plain = op.expression is None
         base = c if plain else op.expression
         cast = safe_cast(base, dict(df.dtypes)[name] if plain else None, spark_type(op.type))
-        tests.append((name, "cast", base.isNotNull() & cast.isNull()))
+        lost = base.isNotNull() & cast.isNull()
+        if plain and _is_number(dict(df.dtypes)[name]) and spark_type(op.type).startswith(("tinyint", "smallint", "int", "bigint", "decimal")):
+            lost = F.coalesce(lost | (cast.cast("double") != base.cast("double")), F.lit(False))
+        tests.append((name, "cast", lost))
         if (limit := max_length(op.type)) is not None:
             tests.append((name, "length", F.length(c.cast("string")) > limit))
         if not op.nullable:
             tests.append((name, "null", c.isNull()))
         if op.values:
             tests.append((name, "value", c.isNotNull() & ~c.cast("string").isin(*op.values)))
+    if not tests:
+        return df.sparkSession.createDataFrame([], "column_name string, reason string, bad_rows bigint")
     counted = df.agg(*[F.count_if(t).alias(f"t{i}") for i, (_, _, t) in enumerate(tests)])
     entries = [
         F.struct(

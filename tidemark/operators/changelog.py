@@ -420,16 +420,18 @@ def log_files(log: DataFrame) -> DataFrame:
 def locate_events(events: DataFrame, files: DataFrame) -> DataFrame:
     """The log file that holds each position, and its neighbours.
 
-    A position names its file by number, so this is an equality join; the
-    neighbours come from one window over the list of files.
+    This is an equality join on file and number; the neighbours come from a
+    window over the files of the same base name.
     """
-    w = W.orderBy("seq")
+    w = W.partitionBy(F.regexp_extract("file", r"^(.*)\.\d+$", 1)).orderBy("seq")
     around = files.select(
         "seq", F.col("file").alias("in_file"), "start_pos", "end_pos",
         F.lag("file").over(w).alias("previous_file"), F.lead("file").over(w).alias("next_file"),
     )
     small = sizes.bounded_broadcast(around, MAX_LOG_FILES)
-    joined = with_sequence(events).join(around if small is None else small, "seq", "left")
+    placed = with_sequence(events)
+    around = (around if small is None else small).withColumnRenamed("seq", "_seq")
+    joined = placed.join(around, (placed.seq == around._seq) & (placed.file == around.in_file), "left").drop("_seq")
     return joined.where(F.col("pos").between(F.col("start_pos"), F.col("end_pos")))
 
 
@@ -461,10 +463,15 @@ def executed_domains(gtids: DataFrame, column: str, by: Sequence[str] = ()) -> D
 
 
 def pending_events(log: DataFrame, column: str, executed: DataFrame) -> DataFrame:
-    """Transactions not covered by a set of (``domain``, ``max_seq``)."""
+    """Transactions not covered by a set of (``domain``, ``max_seq``).
+
+    An id that does not parse is not known to be covered, so its row stays,
+    with NULL as its domain and sequence.
+    """
     c = F.col(column)
-    parsed = log.where(coords.valid_txn(c)).select(
-        "*", coords.txn_domain(c).alias("domain"), coords.txn_sequence(c).alias("seq")
+    valid = coords.valid_txn(c)
+    parsed = log.select(
+        "*", F.when(valid, coords.txn_domain(c)).alias("domain"), F.when(valid, coords.txn_sequence(c)).alias("seq")
     )
     small = sizes.bounded_broadcast(executed, MAX_DOMAINS)
     return parsed.join(executed if small is None else small, "domain", "left").where(

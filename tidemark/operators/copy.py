@@ -20,11 +20,15 @@ MAX_LOOKUP_CHUNKS = 200_000
 _EXACT_DOUBLE = 2**53
 
 
-def scan_key_range(df: DataFrame, key: str, lo=None, hi=None, limit: int = 1000) -> DataFrame:
-    """Rows with ``lo < key <= hi`` in key order; no range unless both ends are given."""
+def scan_key_range(df: DataFrame, key: str, lo=None, hi=None, limit: int | None = None) -> DataFrame:
+    """Rows with ``lo < key <= hi`` in key order; no range unless both ends are given.
+
+    With a limit only the first rows of the range are returned.
+    """
     if lo is not None and hi is not None:
         df = df.where((F.col(key) > lo) & (F.col(key) <= hi))
-    return df.orderBy(key).limit(limit)
+    rows = df.orderBy(key)
+    return rows if limit is None else rows.limit(limit)
 
 
 def next_key(df: DataFrame, key: str, last) -> DataFrame:
@@ -59,9 +63,9 @@ def project_pairs(df: DataFrame, pairs: ColumnPairs | Sequence[tuple[str, str]])
     return df.select(*[F.col(a).alias(b) for a, b in shared])
 
 
-def copy_chunk(df: DataFrame, pairs, key: str, lo, hi, n: int) -> DataFrame:
-    """Shared columns of ``lo < key <= hi`` in key order, at most ``n`` rows."""
-    rows = df.where((F.col(key) > lo) & (F.col(key) <= hi)).orderBy(key).limit(n)
+def copy_chunk(df: DataFrame, pairs, key: str, lo, hi) -> DataFrame:
+    """Shared columns of all rows with ``lo < key <= hi``, in key order."""
+    rows = df.where((F.col(key) > lo) & (F.col(key) <= hi)).orderBy(key)
     return project_pairs(rows, pairs)
 
 
@@ -104,8 +108,8 @@ def _assign_by_lookup(df: DataFrame, rows: list, key: str) -> DataFrame:
     rows = sorted(rows, key=lambda r: r["hi"])
     if not rows:
         return df.withColumn("chunk_id", F.lit(None).cast("bigint"))
-    # (lo, hi] over whole numbers is [lo+1, hi+1); the first chunk starts at lo.
-    starts = [rows[0]["lo"]] + [r["lo"] + 1 for r in rows[1:]]
+    # (lo, hi] over whole numbers is [lo+1, hi+1); chunk 0 of the table starts at lo.
+    starts = [r["lo"] + (r["chunk_id"] != 0) for r in rows]
     ids = df.sparkSession.createDataFrame(
         [(i, r["chunk_id"], r["hi"]) for i, r in enumerate(rows)],
         "_i bigint, chunk_id bigint, _hi bigint",

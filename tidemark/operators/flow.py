@@ -119,7 +119,7 @@ def query_throttle(spark: SparkSession, sql: str, metrics: DataFrame) -> DataFra
     """A user query decides: throttle when its one value is a whole number above 0."""
     row = spark.sql(sql).first()
     value = None if row is None or row[0] is None else str(row[0]).strip()
-    number = int(value) if value and value.lstrip("+").isdigit() else None
+    number = int(value) if value and value.isascii() and value.lstrip("+").isdigit() else None
     on = number is not None and number > 0
     return metrics.select(
         "tick", "ts", "replica",

@@ -12,34 +12,37 @@ from .changelog import DELETE, INSERT, UPDATE
 from .copy import assign_chunks
 from .inspect import Key, key_columns
 
-# What separates the columns of a hashed row, and what stands for NULL.
-SEPARATOR, NULL_MARK = "\x1f", "\\N"
+# Fixed value: what stands for NULL in a hashed row. Other values follow their length.
+NULL_MARK = "N"
 
 
 def row_hash(cols: Sequence[str], fast: bool = False) -> Column:
-    """A 32-bit hash of a row; ``fast`` trades MD5 for xxHash."""
+    """A 64-bit hash of a row; ``fast`` trades MD5 for xxHash.
+
+    Each value follows its length, so no two rows give the same text.
+    """
     if fast:
         marks = [F.col(c).isNull() for c in cols]
-        return F.xxhash64(*cols, *marks).bitwiseAND(F.lit(0xFFFFFFFF))
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit(NULL_MARK)) for c in cols]
-    digest = F.md5(F.concat_ws(SEPARATOR, *parts).cast("binary"))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+        return F.xxhash64(*cols, *marks)
+    texts = [F.col(c).cast("string") for c in cols]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit(NULL_MARK)) for t in texts]
+    digest = F.md5(F.concat(*parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
 
 
 def _sums(h: Column) -> list[Column]:
-    # The halves are summed apart: whole hashes would overflow a bigint after
-    # two billion rows, and decimals are slow to add.
-    return [
-        F.sum(F.shiftright(h, 16)).alias("_high"),
-        F.sum(h.bitwiseAND(F.lit(0xFFFF))).alias("_low"),
-        F.count(F.lit(1)).alias("rows"),
-    ]
+    # Sixteen bits are summed at a time: whole hashes would overflow a bigint,
+    # and decimals are slow to add.
+    quarters = [F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    return [*(F.sum(q).alias(f"_q{i}") for i, q in enumerate(quarters)), F.count(F.lit(1)).alias("rows")]
 
 
 def _total() -> Column:
-    high = F.coalesce(F.col("_high"), F.lit(0)).cast("decimal(28,0)")
-    low = F.coalesce(F.col("_low"), F.lit(0)).cast("decimal(28,0)")
-    return (high * F.lit(65536).cast("decimal(8,0)") + low).cast("decimal(38,0)").cast("string")
+    total = F.lit(0).cast("decimal(38,0)")
+    for i in range(3, -1, -1):
+        quarter = F.coalesce(F.col(f"_q{i}"), F.lit(0)).cast("decimal(20,0)")
+        total = (total * F.lit(65536).cast("decimal(5,0)") + quarter).cast("decimal(38,0)")
+    return total.cast("string")
 
 
 def table_checksum(df: DataFrame, cols: Sequence[str] | None = None, fast: bool = False) -> DataFrame:
@@ -70,11 +73,24 @@ def chunk_checksums(
     return joined.withColumn("differs", ~same)
 
 
+def full_join(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A full join on keys in which NULLs are equal; the keys come once."""
+    other = b.select(*[F.col(c).alias(f"_key{i}") if c in keys else F.col(c) for i, c in _numbered(b.columns, keys)])
+    same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(keys)])
+    rest = [c for c in [*a.columns, *b.columns] if c not in keys]
+    return a.join(other, same, "full").select(*[F.coalesce(c, f"_key{i}").alias(c) for i, c in enumerate(keys)], *rest)
+
+
+def _numbered(columns: Sequence[str], keys: Sequence[str]) -> list[tuple[int, str]]:
+    return [(list(keys).index(c) if c in keys else -1, c) for c in columns]
+
+
 def compare_tables(a: DataFrame, b: DataFrame, key: Key, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows missing from ``b``, extra in ``b`` or different, and in which columns."""
     keys = key_columns(key)
     left = a.select(*keys, F.lit(True).alias("_l"), *[F.col(x).alias(f"l{i}") for i, (x, _) in enumerate(pairs)])
     right = b.select(*keys, F.lit(True).alias("_r"), *[F.col(y).alias(f"r{i}") for i, (_, y) in enumerate(pairs)])
+    joined = full_join(left, right, keys)
     differing = [
         F.when(~F.col(f"l{i}").eqNullSafe(F.col(f"r{i}")), F.lit(y)) for i, (_, y) in enumerate(pairs)
     ]
@@ -85,8 +101,7 @@ def compare_tables(a: DataFrame, b: DataFrame, key: Key, pairs: Sequence[tuple[s
         .when(unequal, F.lit("different"))
     )
     return (
-        left.join(right, keys, "full")
-        .select(
+        joined.select(
             *keys,
             status.alias("status"),
             F.when(F.col("_l") & F.col("_r"), F.concat_ws(",", *differing)).alias("columns"),
@@ -114,7 +129,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: Key, db: str, table: str)
         .when(unequal, F.lit(UPDATE))
     )
     return (
-        before.join(after, keys, "full")
+        full_join(before, after, keys)
         .select(
             F.lit("diff.000001").alias("file"), F.lit(1).cast("bigint").alias("seq"), F.lit(4).cast("bigint").alias("pos"),
             F.lit(db).alias("db"), F.lit(table).alias("tbl"), kind.alias("event_type"),

@@ -15,10 +15,13 @@ CHANGE_LOG_SCHEMA = (
 
 
 def write_change_log(log: DataFrame, path: str) -> None:
-    """Store a log with one folder per log file number, ordered inside."""
+    """Store a log with one folder per log file number, ordered inside.
+
+    Rows are dealt out by position, so one log file number may take many tasks.
+    """
     (
         log.withColumn("seq", coords.file_sequence(F.col("file")))
-        .repartition("seq", F.pmod(F.xxhash64("pos"), F.lit(16)))
+        .repartitionByRange("seq", "pos")
         .sortWithinPartitions("seq", "pos")
         .write.mode("overwrite").partitionBy("seq").parquet(path)
     )

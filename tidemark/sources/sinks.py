@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import numbering
+from ..plans import numbering, staging
 
 HINT_SCHEMA = "id bigint, hint string, value string, ts timestamp_ntz"
 
@@ -38,7 +38,7 @@ def progress_json(df: DataFrame, keys: Sequence[str], fields: dict[str, str]) ->
 
 
 def publish(
-    df: DataFrame, name: str, version: int, path: str | None = None, drop_old: bool = False,
+    df: DataFrame, name: str, version: int | None = None, path: str | None = None, drop_old: bool = False,
     check: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Write a new version of a table, then switch the name to it.
@@ -46,21 +46,47 @@ def publish(
     ``name`` is a view, so readers change over in one catalog step. If the
     write, the check or the switch fails, the new version is dropped and the
     name still leads to the old one. With ``drop_old`` the version before is
-    removed after the switch. ``path`` puts the data outside the warehouse.
+    removed after the switch. The version is the next free number unless one
+    is given; a version that exists is never written. ``path`` puts the data
+    outside the warehouse, one folder for each version.
     """
     spark = df.sparkSession
+    there = versions(spark, name)
+    if version is None:
+        version = max(there, default=0) + 1
+    if version in there:
+        raise ValueError(f"version {version} of {name} exists")
     fresh = f"{name}_v{version}"
     try:
-        writer = df.write.mode("overwrite")
+        writer = df.write.mode("errorifexists")
         if path:
-            writer = writer.option("path", path)
+            writer = writer.option("path", f"{path.rstrip('/')}/v{version}")
         writer.saveAsTable(fresh)
         if check is not None:
             check(spark.table(fresh))
         spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {fresh}")
     except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        _drop(spark, fresh)
         raise
-    if drop_old and version > 1:
-        spark.sql(f"DROP TABLE IF EXISTS {name}_v{version - 1}")
+    older = [v for v in there if v < version]
+    if drop_old and older:
+        _drop(spark, f"{name}_v{max(older)}")
     return spark.table(name)
+
+
+def versions(spark: SparkSession, name: str) -> list[int]:
+    """The version numbers of a published name that the catalog holds."""
+    database, _, plain = name.rpartition(".")
+    tables = spark.catalog.listTables(database or None, f"{plain}_v*")
+    ends = [t.name[len(plain) + 2 :] for t in tables if t.name.lower().startswith(f"{plain.lower()}_v")]
+    return [int(e) for e in ends if e.isascii() and e.isdigit()]
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    """Drop a table with its files, also where they are outside the warehouse."""
+    if not spark.catalog.tableExists(table):
+        return
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").collect()
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for row in rows:
+        staging.drop_path(spark, row["data_type"])

@@ -2,8 +2,9 @@
 
 import pytest
 
-from tidemark.operators import alter, changelog, copy, flow, verify
+from tidemark.operators import alter, changelog, columns, copy, flow, verify
 from tidemark.operators.alter import ModifyColumn, RenameColumn
+from tidemark.plans.ddl import alter_specs
 
 
 def test_unlike_rows_have_unlike_checksums(spark):
@@ -60,3 +61,13 @@ def test_log_files_of_the_same_number_and_malformed_ids(spark):
 def test_query_throttle_takes_plain_digits_only(spark):
     metrics = spark.range(1).selectExpr("id AS tick", "current_timestamp() AS ts", "'r' AS replica")
     assert flow.query_throttle(spark, "SELECT '²'", metrics).first()["throttled"] is False
+
+
+def test_quoted_parts_of_a_statement_stay_whole(spark):
+    text = "ALTER TABLE t ADD COLUMN a VARCHAR(9) DEFAULT 'a,b', MODIFY b VARCHAR(9)   DEFAULT 'a  b', ADD c CHAR(4) DEFAULT 'it''s, (x'"
+    rows = columns.ddl_operations(spark.createDataFrame([(text,)], "stmt string"), "stmt", []).orderBy("op_no").collect()
+    assert [(r.kind, r.name, r.definition) for r in rows] == [
+        ("AddColumn", "a", "VARCHAR(9) DEFAULT 'a,b'"), ("ModifyColumn", "b", "VARCHAR(9) DEFAULT 'a  b'"),
+        ("AddColumn", "c", "CHAR(4) DEFAULT 'it''s, (x'"),
+    ]
+    assert [op.default for op in alter_specs(spark, text) if hasattr(op, "default")] == ["a,b", "it's, (x"]

@@ -139,14 +139,30 @@ def statement_audit(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+#: Characters that part statements, and stand-ins for them inside quotes.
+HELD, MASKS = ", \t\r\n()", "\ue000\ue001\ue002\ue003\ue004\ue005\ue006"
+
+
+def _mask_quoted(text: Column) -> Column:
+    """Stand-ins for what parts a statement, inside single quotes only.
+
+    Every second piece between quotes is quoted; a doubled quote makes an empty
+    piece in between, so it changes nothing.
+    """
+    pieces = F.transform(
+        F.split(text, "'", -1), lambda piece, i: F.when(i % 2 == 1, F.translate(piece, HELD, MASKS)).otherwise(piece))
+    return F.array_join(pieces, "'")
+
+
 def ddl_operations(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
     """One row per operation of each ALTER statement.
 
-    Commas inside one level of brackets do not split. An index is told from a
-    column by its leading words, not by a name that contains them. A table
-    rename is marked as unsupported.
+    Commas inside one level of brackets or inside single quotes do not split,
+    and quoted blanks stay as they are. An index is told from a column by its
+    leading words, not by a name that contains them. A table rename is marked
+    as unsupported.
     """
-    body = F.trim(F.regexp_replace(strip_comments(F.col(column)), r"\s+", " "))
+    body = F.trim(F.regexp_replace(_mask_quoted(strip_comments(F.col(column))), r"\s+", " "))
     head = rf"(?i)^ALTER TABLE ({NAME}) (.*)$"
     full = F.replace(F.regexp_extract(body, head, 1), F.lit("`"), F.lit(""))
     dotted = F.contains(full, F.lit("."))
@@ -218,7 +234,7 @@ def ddl_operations(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame
     positioned = F.col("kind").isin("AddColumn", "ModifyColumn", "ChangeColumn")
     return parts.select(
         *keep, "database_name", "table_name", "op_no", "kind",
-        name.alias("name"), old.alias("old_name"), definition.alias("definition"),
+        name.alias("name"), old.alias("old_name"), F.translate(definition, MASKS, HELD).alias("definition"),
         (positioned & is_(r".* FIRST$")).alias("is_first"),
         F.when(positioned, take(rf" AFTER {one}$")).alias("after_column"),
         (F.col("kind") != "RenameTable").alias("supported"),

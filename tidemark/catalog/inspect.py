@@ -87,13 +87,13 @@ SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_l
 
 
 def orphan_rows(spark, d):
-    parent = table(spark, d, "part").where("p_size > 5")
-    return op.orphan_rows(table(spark, d, "lineitem"), parent, "l_partkey", "p_partkey")
+    """Documents that nobody has labelled."""
+    return op.orphan_rows(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", "doc_id")
 
 
 ORPHAN_ROWS = """
-SELECT l.* FROM lineitem l WHERE l_partkey IS NOT NULL
-AND NOT EXISTS (SELECT 1 FROM part WHERE p_size > 5 AND p_partkey = l.l_partkey)
+SELECT d.* FROM documents d WHERE doc_id IS NOT NULL
+AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
 """
 
 

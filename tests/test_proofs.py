@@ -71,3 +71,10 @@ def test_quoted_parts_of_a_statement_stay_whole(spark):
         ("AddColumn", "c", "CHAR(4) DEFAULT 'it''s, (x'"),
     ]
     assert [op.default for op in alter_specs(spark, text) if hasattr(op, "default")] == ["a,b", "it's, (x"]
+
+
+def test_a_rotation_in_an_oddly_named_column(spark):
+    body = bytes([0] * 4 + [4] + [1, 0, 0, 0] + [0] * 10) + (77).to_bytes(8, "little") + b"binlog.9"
+    df = spark.createDataFrame([(bytearray(body),)], "`raw data` binary")
+    row = changelog.decode_events(df, "raw data").first()
+    assert (row.event_type, row.next_pos, row.next_file) == ("Rotate", 77, "binlog.9")

@@ -383,7 +383,7 @@ def decode_events(raw: DataFrame, data: str) -> DataFrame:
         F.when(whole, little_endian(b, 0, 4)).alias("unix_ts"),
         F.when(whole, little_endian(b, 5, 4)).alias("server_id"),
         F.when(rotate, little_endian(b, HEADER_BYTES, 8)).alias("next_pos"),
-        F.when(rotate, F.decode(F.expr(f"substring({data}, {HEADER_BYTES + 9})"), "UTF-8")).alias("next_file"),
+        F.when(rotate, F.decode(F.substring(b, F.lit(HEADER_BYTES + 9), F.length(b)), "UTF-8")).alias("next_file"),
     )
 
 

@@ -23,25 +23,25 @@ def plain_distance(a, b):
 @given(st.text("abc", max_size=14), st.text("abc", max_size=14))
 def test_edit_distance(a, b):
     assert lines.edit_distance(a, b) == plain_distance(a, b)
+    assert min(lines.edit_distance(a, b, 3), 4) == min(plain_distance(a, b), 4)
 
 
 def dropped_by_brute_force(rows):
-    """{(id, text): dropped line numbers} by comparing all lines of a cluster of fingerprints."""
+    """{(id, text): dropped line numbers} by comparing all lines."""
     first, words_of = {}, {}
     places = []
     for i, text in rows:
-        for n, line in enumerate((text or "").split("\n")):
-            words = lines.normalise(line)
+        for n, words in enumerate(lines.normalised_lines((text or "").encode())):
             if len(words) >= lines.LEAST_WORDS:
-                key = " ".join(words)
+                key = b" ".join(words).decode()
                 places.append((key, (i, n), text))
                 first[key] = min(first.get(key, (i, n)), (i, n))
                 words_of[key] = words
     keys = sorted(first, key=first.get)
     fps = [int(lines.fingerprints([words_of[k]])[0]) for k in keys]
-    cluster = brute.groups(fps, lambda a, b: bin(a ^ b).count("1") <= lines.RADIUS)
     group = brute.groups(
-        list(zip(keys, cluster)), lambda a, b: a[1] == b[1] and lines.similar(a[0], b[0], lines.SIMILARITY))
+        list(zip(keys, fps)),
+        lambda a, b: bin(a[1] ^ b[1]).count("1") <= lines.RADIUS and lines.similar(a[0].split(), b[0].split(), lines.SIMILARITY))
     kept = {k: first[keys[group[n]]] for n, k in enumerate(keys)}
     gone = {}
     for key, place, text in places:

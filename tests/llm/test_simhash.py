@@ -48,7 +48,7 @@ def test_groups_equal_brute_force(spark, monkeypatch):
     fps = sorted(fps, key=lambda x: x - (1 << 64) if x >> 63 else x)
     want = brute.groups(fps, lambda a, b: bin(a ^ b).count("1") <= 2)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    got = {r.fp % (1 << 64): r.group % (1 << 64) for r in hamming.groups(df, simhash.golay_keys, 2, "test").collect()}
+    got = {r.fp % (1 << 64): r.group % (1 << 64) for r in hamming.groups(df, simhash.with_golay_keys, 2, "test").collect()}
     assert got == {fp: fps[i] for fp, i in zip(fps, want)}
 
 

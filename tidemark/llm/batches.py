@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +13,34 @@ from ..session import prepare
 
 #: Rows in one Arrow batch. Texts may be long, so a batch stays small.
 BATCH_ROWS = 256
+#: Bloom filters of shuffled joins; the filter itself is of bounded size.
+BLOOM_CONF = {"enabled": "true", "creationSideThreshold": "4g", "applicationSideScanSizeThreshold": "64m"}
 #: A staged table of at most this many bytes on disk may be broadcast.
-BROADCAST_BYTES = 16 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def session(spark: SparkSession) -> SparkSession:
     """The library's settings, and Arrow batches small enough for long texts."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    # join a few documents with all texts: drop most texts before the shuffle
+    for key, value in BLOOM_CONF.items():
+        spark.conf.set(f"spark.sql.optimizer.runtime.bloomFilter.{key}", value)
     return spark
 
 
+@contextmanager
+def rows_at_once(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Other Arrow batches for the jobs that run meanwhile, for narrow rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{folder}/{name}.parquet")
 

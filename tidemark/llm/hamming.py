@@ -21,16 +21,27 @@ from .components import components
 #: Fingerprints that one task compares with one another at most; larger
 #: buckets are tiled.
 TILE = 2048
-#: (fingerprints) -> (row numbers, keys)
-Keys = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+FEW = 24
+#: (rows with a column fp) -> the same rows with a column key, once for each key
+Keyed = Callable[[DataFrame], DataFrame]
 
 
 def spanning_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of the fingerprints within ``radius`` bits."""
-    if len(fps) == 2:
-        near = bool(np.bitwise_count(fps[0] ^ fps[1]) <= radius)
-        return fps[:near], fps[1:][:near]
     left, right = [], []
+    if len(fps) <= FEW:  # plain numbers are faster than short arrays
+        rest = fps.tolist()
+        while rest:
+            queue = [rest.pop()]
+            while queue and rest:
+                at = queue.pop()
+                near = [x for x in rest if (x ^ at).bit_count() <= radius]
+                if near:
+                    left += [at] * len(near)
+                    right += near
+                    queue += near
+                    rest = [x for x in rest if (x ^ at).bit_count() > radius]
+        return np.array(left, dtype=np.uint64), np.array(right, dtype=np.uint64)
     waiting = np.arange(len(fps))
     while len(waiting):
         queue, waiting = [waiting[0]], waiting[1:]
@@ -47,109 +58,125 @@ def spanning_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _unsigned(column: pa.Array) -> np.ndarray:
-    return np.ascontiguousarray(column.to_numpy(zero_copy_only=False)).view(np.uint64)
+def _unsigned(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(column).view(np.uint64)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
-def _with_keys(keys: Keys) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = _unsigned(batch.column(0))
-        rows, key = keys(fps)
-        return pa.RecordBatch.from_arrays([pa.array(key), _signed(fps[rows])], ["key", "fp"])
+def search_runs(
+    search: Callable[[list[pa.RecordBatch]], object],
+    emit: Callable[[list], pa.RecordBatch],
+    spill: Callable[[list[pa.RecordBatch]], pa.RecordBatch] | None,
+    pairs: Callable[[pa.RecordBatch, np.ndarray], object] | None = None,
+):
+    """Search runs of equal keys (first column) in sorted rows.
 
-    return run
-
-
-def _search_runs(radius: int, keep_hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Search runs of equal keys in sorted rows; long runs are passed on as they come.
-
-    Output rows (key, a, b): a link if ``key`` is null, else ``a`` is a
-    fingerprint of the oversized bucket ``key``.
+    ``search`` gets the rows of each run of two or more and finds something or
+    None; ``emit`` makes a batch of what was found. With ``spill``, rows of a
+    run longer than TILE go through it instead, as they come, so that a task
+    never holds more of a run. ``pairs`` may take all runs of just two rows of a
+    batch at once, by their first rows.
     """
 
-    def emit(key, a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), _signed(a), _signed(b)], ["key", "a", "b"])
-
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key = None  # the run that may go on in the next batch
-        held: list[np.ndarray] = []
-        size, hot = 0, False
-
-        def close():
-            if size > 1 and not hot:
-                a, b = spanning_links(np.unique(np.concatenate(held)), radius)
-                return a, b
-            return None
-
+        held: list[pa.RecordBatch] = []  # the run that may go on in the next batch
+        held_key, size, hot = None, 0, False
         for batch in source:
+            if not batch.num_rows:
+                continue
+            found, spilled = [], []
             keys = batch.column(0).to_numpy()
-            fps = _unsigned(batch.column(1))
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            starts = np.concatenate([[0], cuts]) if len(keys) else np.empty(0, int)
-            ends = np.concatenate([cuts, [len(keys)]]) if len(keys) else starts
-            left, right, spilled = [], [], []
-            for s, e in zip(starts.tolist(), ends.tolist()):
+            starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+            lengths = np.diff(np.append(starts, len(keys)))
+            # runs of one row that end within the batch need no search
+            inner = np.ones(len(starts), dtype=bool)
+            inner[[0, -1]] = False
+            worth = ~inner | (lengths > 1)
+            if pairs:
+                twos = inner & (lengths == 2)
+                worth &= ~twos
+                if twos.any():
+                    found.append(pairs(batch, starts[twos]))
+            for n in np.flatnonzero(worth).tolist():
+                s, length = int(starts[n]), int(lengths[n])
                 if keys[s] != held_key:
-                    if (found := close()) is not None:
-                        left.append(found[0]), right.append(found[1])
+                    if size > 1 and not hot:
+                        found.append(search(held))
                     held_key, held, size, hot = keys[s], [], 0, False
-                size += e - s
-                held.append(fps[s:e])
-                if keep_hot and size > TILE:
+                size += length
+                held.append(batch.slice(s, length))
+                if spill and size > TILE:
                     hot = True
                 if hot:
-                    members = np.concatenate(held)
-                    spilled.append((held_key, members))
+                    spilled.append(spill(held))
                     held = []
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                if len(a):
-                    yield emit([None] * len(a), a, b)
-            for key, members in spilled:
-                yield emit([key] * len(members), members, members)
-        if (found := close()) is not None and len(found[0]):
-            yield emit([None] * len(found[0]), *found)
+            found = [x for x in found if x is not None]
+            if found:
+                yield emit(found)
+            yield from spilled
+        if size > 1 and not hot and (last := search(held)) is not None:
+            yield emit([last])
 
     return run
 
 
-def links(fps: DataFrame, keys: Keys, radius: int, label: str) -> DataFrame:
+def tiled(members: DataFrame, order: str, label: str) -> DataFrame:
+    """``members`` of oversized buckets under new keys: one for each pair of tiles of a bucket.
+
+    Every two members of a bucket meet under some new key, and none of these
+    has many more than 2 * TILE rows.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") * 2 / TILE).cast("int").alias("tiles"))
+    sizes = batches.stage(sizes, f"{label}-tiles")
+    both = members.join(batches.broadcast_if_small(sizes), "key")
+    both = both.withColumn("own", F.pmod(F.xxhash64(order), "tiles"))
+    both = both.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    key = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return both.withColumn("key", key).select(members.columns)
+
+
+def links(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
     """(a, b): links that connect all fingerprints within ``radius`` bits that share a key.
 
     ``fps`` has one column ``fp``, distinct and not null. The keys must give
     every pair within the radius a common one.
     """
-    spark = fps.sparkSession
-    rows_at_once = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")  # rows of two numbers
-    try:
-        keyed = batches.map_arrow(fps.select("fp"), "key long, fp long", _with_keys(keys))
-        schema = "key long, a long, b long"
+    names = ["key", "a", "b"]
+
+    def search(rows: list[pa.RecordBatch]):
+        return spanning_links(np.unique(np.concatenate([_unsigned(r.column(1)) for r in rows])), radius)
+
+    def emit(found: list) -> pa.RecordBatch:
+        a, b = (np.concatenate(part) for part in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), _signed(a), _signed(b)], names)
+
+    def spill(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([r.column(i) for r in rows]) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([columns[0], columns[1], columns[1]], names)
+
+    def pairs(batch: pa.RecordBatch, starts: np.ndarray):
+        fps = _unsigned(batch.column(1))
+        a, b = fps[starts], fps[starts + 1]
+        near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
+        return a[near], b[near]
+
+    schema = "key long, a long, b long"  # a link if key is null, else a member of an oversized bucket
+    with batches.rows_at_once(fps.sparkSession, 8192):  # rows of two numbers
+        rows = keyed(fps.select("fp")).select("key", "fp")
         found = batches.stage(
-            keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_search_runs(radius, True), schema), f"{label}-links")
-        # buckets over the bound: every pair of tiles is searched on its own
+            rows.repartition("key").sortWithinPartitions("key").mapInArrow(search_runs(search, emit, spill, pairs), schema), f"{label}-links")
         hot = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("fp"))
-        tiles = batches.stage(hot.groupBy("key").agg(F.ceil(F.count("*") * 2 / TILE).cast("int").alias("tiles")), f"{label}-tiles")
-        tiled = (
-            hot.join(batches.broadcast_if_small(tiles), "key")
-            .withColumn("own", F.pmod(F.xxhash64("fp"), "tiles"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-        )
-        more = tiled.repartition("key").sortWithinPartitions("key").mapInArrow(_search_runs(radius, False), schema)
+        more = tiled(hot, "fp", label).repartition("key").sortWithinPartitions("key").mapInArrow(search_runs(search, emit, None, pairs), schema)
         both = found.where(F.col("key").isNull()).select("a", "b").union(more.select("a", "b"))
         return batches.stage(both.distinct(), f"{label}-edges")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_at_once)
 
 
-def groups(fps: DataFrame, keys: Keys, radius: int, label: str) -> DataFrame:
+def groups(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
     """(fp, group) for every fingerprint: the smallest fingerprint of its connected group."""
-    joined = components(links(fps, keys, radius, label), label)
+    joined = components(links(fps, keyed, radius, label), label)
     return (
         fps.select("fp").join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
         .select("fp", F.coalesce("component", "fp").alias("group"))

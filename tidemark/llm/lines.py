@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from . import batches, hamming
 from .components import components
@@ -21,32 +22,36 @@ RADIUS = 3
 #: Widths of the fingerprint's blocks. Three errors leave two of five blocks
 #: equal, so any two blocks make a key.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Least edit similarity (1 - distance / longer length) of near lines.
+#: Least edit similarity of near lines, in words: 1 - distance / longer length.
 SIMILARITY = 0.8
-#: Rounds in which lines are compared with one line of their cluster only.
-ROUNDS = 3
 #: Words whose bits are counted at once.
 WORDS_AT_ONCE = 1 << 15
 
-_WORD = re.compile(r"\w+")
+#: ASCII characters other than letters, digits and the underscore, as blanks.
+_BLANKS = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x5F else 0x20 for c in range(256))
 _WEIGHTS = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
 
 
-def normalise(line: str) -> list[str]:
-    """The lower-cased words of a line."""
-    return _WORD.findall(line.lower())
+def normalised_lines(text: bytes) -> list[list[bytes]]:
+    """The lower-cased words of each line; ASCII punctuation parts words."""
+    text = text.decode().lower().encode()
+    return [line.translate(_BLANKS).split() for line in text.split(b"\n")]
 
 
-def block_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def with_block_keys(fps: DataFrame) -> DataFrame:
+    """(key, fp): each fingerprint once for each two of its blocks."""
     parts, at = [], 0
     for width in BLOCKS:
-        parts.append((fps >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64))
+        parts.append(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)))
         at += width
-    keys = [(parts[a] << 17) | (parts[b] << 4) | n for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return np.tile(np.arange(len(fps)), len(keys)), np.concatenate(keys)
+    keys = [
+        F.shiftleft(parts[a], 17).bitwiseOR(F.shiftleft(parts[b], 4)).bitwiseOR(F.lit(n))
+        for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))
+    ]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def fingerprints(lines: list[list[str]]) -> np.ndarray:
+def fingerprints(lines: list[list[bytes]]) -> np.ndarray:
     """SimHash over the words of each line; no line is empty."""
     digest = xxhash.xxh64_intdigest
     out, part, size = [], [], 0
@@ -70,25 +75,25 @@ def fingerprints(lines: list[list[str]]) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a bit per character of one text."""
-    start, most = 0, min(len(a), len(b))
-    while start < most and a[start] == b[start]:
+def edit_distance(a: Sequence, b: Sequence, most: float = float("inf")) -> float:
+    """Levenshtein distance, a bit per item of one sequence; anything over ``most`` if it is over."""
+    start, shorter = 0, min(len(a), len(b))
+    while start < shorter and a[start] == b[start]:
         start += 1
     end = 0
-    while end < most - start and a[-1 - end] == b[-1 - end]:
+    while end < shorter - start and a[-1 - end] == b[-1 - end]:
         end += 1
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if len(a) < len(b):
         a, b = b, a
     if not b:
         return len(a)
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
     full, top, score = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
     up, down = full, 0
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         equal = places.get(c, 0)
         diagonal = equal | down
         flat = (((equal & up) + up) ^ up) | equal
@@ -98,16 +103,18 @@ def edit_distance(a: str, b: str) -> int:
             score += 1
         elif fall & top:
             score -= 1
+        if score - left > most:  # each item left takes away one at most
+            return score
         rise, fall = rise << 1 | 1, fall << 1
         up = (fall | ~(diagonal | rise)) & full
         down = rise & diagonal & full
     return score
 
 
-def similar(a: str, b: str, least: float) -> bool:
+def similar(a: Sequence, b: Sequence, least: float) -> bool:
     longest = max(len(a), len(b))
     most = longest * (1 - least) + 1e-9
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
 def _copy() -> Column:
@@ -115,25 +122,17 @@ def _copy() -> Column:
     return F.xxhash64("text")
 
 
-def _of_lines(batch: pa.RecordBatch, ids: list, copies: list, wanted: list | None, least_words: int):
-    """(row, line number, words) of the lines with enough words."""
-    for row, text in enumerate(batches.texts(batch.column(2))):
-        lines = text.decode().split("\n")
-        for n in range(len(lines)) if wanted is None else wanted[row]:
-            words = normalise(lines[n])
-            if len(words) >= least_words:
-                yield row, n, words
-
-
 def line_table(docs: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, copy, line_no, h1, h2, fp): a 128-bit hash and the fingerprint of every line."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, numbers, lines, halves = [], [], [], []
-        for row, n, words in _of_lines(batch, [], [], None, least_words):
-            rows.append(row), numbers.append(n), lines.append(words)
-            halves.append(xxhash.xxh3_128_digest(" ".join(words)))
+        for row, text in enumerate(batches.texts(batch.column(2))):
+            for n, words in enumerate(normalised_lines(text)):
+                if len(words) >= least_words:
+                    rows.append(row), numbers.append(n), lines.append(words)
+                    halves.append(xxhash.xxh3_128_digest(b" ".join(words)))
         hashes = np.frombuffer(b"".join(halves), dtype=">i8").astype(np.int64).reshape(-1, 2)
         rows = pa.array(rows, pa.int64())
         return pa.RecordBatch.from_arrays(
@@ -147,84 +146,123 @@ def line_table(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Cluster members with their words, read again from the document of their first occurrence."""
+    """(key, fp, h1, h2, words): cluster members, read again from the document of their first occurrence."""
     wanted = batches.stage(
         members.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.copy").alias("copy"))
         .agg(F.collect_list(F.struct("first.line_no", "h1", "h2", "fp", "cluster")).alias("wanted")),
         "lines-wanted")
     texts = docs.select("doc_id", _copy().alias("copy"), "text")
-    small = batches.broadcast_if_small(wanted)
+    # selective, so that Spark may test documents against a Bloom filter before it shuffles them
+    small = batches.broadcast_if_small(wanted).where("size(wanted) > 0")
     joined = texts.join(
         small, texts.doc_id.eqNullSafe(small.doc_id) & (texts["copy"] == small["copy"])
-    ).select(texts.doc_id, texts["copy"], "text", "wanted")
+    ).select("text", "wanted")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for text, wanted in zip(batches.texts(batch.column(2)), batch.column(3).to_pylist()):
-            lines = text.decode().split("\n")
-            out += [(w["cluster"], w["h1"], w["h2"], w["fp"], " ".join(normalise(lines[w["line_no"]]))) for w in wanted]
+        for text, wanted in zip(batches.texts(batch.column(0)), batch.column(1).to_pylist()):
+            lines = normalised_lines(text)
+            out += [(w["cluster"], w["fp"], w["h1"], w["h2"], b" ".join(lines[w["line_no"]]).decode()) for w in wanted]
         columns = list(zip(*out)) or [()] * 5
         kinds = [pa.int64()] * 4 + [pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["cluster", "h1", "h2", "fp", "words"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "fp", "h1", "h2", "words"])
 
-    # a row that repeats id and text gives its lines again
-    found = batches.map_arrow(joined, "cluster long, h1 long, h2 long, fp long, words string", run)
-    return batches.stage(found.dropDuplicates(["h1", "h2"]), "lines-texts")
+    return batches.map_arrow(joined, "key long, fp long, h1 long, h2 long, words string", run)
 
 
-def _near(pairs: DataFrame, least: float) -> DataFrame:
-    """``pairs`` with ``near``: whether ``words`` and ``other`` are similar enough."""
-    at, to = pairs.columns.index("words"), pairs.columns.index("other")
+def spanning_near(fps: np.ndarray, words: list[list[str]], least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the lines that are within RADIUS bits and similar."""
+    lengths = np.array([len(w) for w in words])
+    waiting = np.arange(len(words))
+    found = []
+    while len(waiting):
+        queue, waiting = [waiting[0]], waiting[1:]
+        while queue and len(waiting):
+            at = queue.pop()
+            longest = np.maximum(lengths[waiting], lengths[at])
+            to_try = (np.bitwise_count(fps[waiting] ^ fps[at]) <= RADIUS) & (
+                np.abs(lengths[waiting] - lengths[at]) <= longest * (1 - least) + 1e-9)
+            near = [int(i) for i in waiting[to_try] if similar(words[at], words[i], least)]
+            if near:
+                found += [(at, i) for i in near]
+                queue += near
+                waiting = waiting[~np.isin(waiting, near)]
+    return found
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        near = [similar(a, b, least) for a, b in zip(batch.column(at).to_pylist(), batch.column(to).to_pylist())]
-        columns = [c for i, c in enumerate(batch.columns) if i != to]
-        names = [n for n in batch.schema.names if n != "other"]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(near, pa.bool_())], [*names, "near"])
 
-    fields = ", ".join(f"{n} {t}" for n, t in pairs.dtypes if n != "other")
-    return batches.map_arrow(pairs, f"{fields}, near boolean", run)
+def _node() -> Column:
+    return F.struct("h1", "h2")
 
 
-def _node(*names: str) -> Column:
-    return F.struct(*(F.col(n).alias(f"h{i}") for i, n in enumerate(names, 1)))
+NODE = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def near_links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect near lines; nodes are pairs of hash halves.
-
-    Lines whose fingerprints are connected over links of at most RADIUS bits
-    make a cluster. Its lines are compared with the cluster's first line; those
-    that aren't near it, with the first of the rest, and so on for some rounds.
-    What then is left is compared with every line of the cluster within RADIUS
-    bits. So a large group of near lines takes one comparison a line, and no
-    link to another group is left out.
+    """(a, b): links that connect lines within RADIUS bits and of enough edit similarity.
+
+    Nodes are pairs of hash halves. Lines whose fingerprints are connected over
+    links of at most RADIUS bits make a cluster; within it, lines are compared
+    as texts, which gives a spanning forest. In a cluster over hamming.TILE
+    lines, a line similar to the first one is linked to it, however many bits
+    they differ in; so a large group of near lines takes one comparison a line.
     """
-    fps = distinct.select("fp").distinct()
-    clusters = batches.stage(hamming.groups(batches.stage(fps, "lines-fps"), block_keys, RADIUS, "lines"), "lines-clusters")
-    sizes = distinct.join(clusters, "fp").groupBy("group").count().where("count > 1").select(F.col("group").alias("cluster"))
-    shared = batches.stage(sizes, "lines-shared")
-    members = distinct.join(clusters.withColumnRenamed("group", "cluster"), "fp").join(batches.broadcast_if_small(shared), "cluster")
-    texts = _with_texts(docs, batches.stage(members, "lines-members"))
-    links, rest = [], texts
-    for _ in range(ROUNDS):
-        heads = batches.stage(
-            rest.groupBy("cluster").agg(F.min(_node("h1", "h2")).alias("head"))
-            .join(texts.select(_node("h1", "h2").alias("head"), F.col("words").alias("other")), "head"), "lines-heads")
-        judged = batches.stage(_near(rest.join(heads, "cluster"), similarity), "lines-judged")
-        links.append(judged.where("near").select("head", _node("h1", "h2").alias("b")))
-        rest = batches.stage(judged.where("not near").drop("near", "head"), "lines-rest")
-        if rest.isEmpty():
-            break
-    else:
-        others = texts.select("cluster", F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("fp").alias("other_fp"), F.col("words").alias("other"))
+    names = ["key", "fp", "h1", "h2", "words", "a", "b"]
+    node = "struct<h1: long, h2: long>"
+    schema = f"key long, fp long, h1 long, h2 long, words string, a {node}, b {node}"
+
+    def search(rows: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(rows).combine_chunks()
+        found = spanning_near(
+            rows.column(1).to_numpy().view(np.uint64), [w.split(" ") for w in rows.column(4).to_pylist()], similarity)
+        halves = [rows.column(i).to_numpy() for i in (2, 3)]
+        return [np.array([half[pair[end]] for pair in found], dtype=np.int64) for end in (0, 1) for half in halves]
+
+    def emit(found: list) -> pa.RecordBatch:
+        halves = [pa.array(np.concatenate(part)) for part in zip(*found)]
+        ends = [pa.StructArray.from_arrays(halves[i : i + 2], fields=list(NODE)) for i in (0, 2)]
+        n = len(ends[0])
+        return pa.RecordBatch.from_arrays([*(pa.nulls(n, pa.int64()) for _ in range(4)), pa.nulls(n, pa.string()), *ends], names)
+
+    def spill(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([r.column(i) for r in rows]) for i in range(5)]
+        return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(columns[0]), NODE)] * 2], names)
+
+    fps = batches.stage(distinct.select("fp").distinct(), "lines-fps")
+    clusters = batches.stage(hamming.groups(fps, with_block_keys, RADIUS, "lines").withColumnRenamed("group", "cluster"), "lines-clusters")
+    placed = batches.stage(distinct.join(clusters, "fp").select("h1", "h2", "fp", "first", "cluster"), "lines-placed")
+    shared = batches.stage(placed.groupBy("cluster").count().where("count > 1").select("cluster"), "lines-shared")
+    texts = _with_texts(docs, placed.join(batches.broadcast_if_small(shared), "cluster"))
+    found = batches.stage(
+        texts.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(hamming.search_runs(search, emit, spill), schema), "lines-found")
+    links = found.where("key is null").select("a", "b")
+    # a large cluster: one comparison a line with its first line, and what is
+    # not near that one with the lines of the cluster within RADIUS bits
+    hot = found.where("key is not null").select("key", "fp", "h1", "h2", "words")
+    heads = batches.stage(hot.groupBy("key").agg(F.min(F.struct("h1", "h2", "words")).alias("head")), "lines-heads")
+    with_head = hot.join(batches.broadcast_if_small(heads), "key").select(*hot.columns, "head")
+    judged = batches.stage(_near_head(with_head, similarity), "lines-judged")
+    links = links.union(judged.where("near").select(F.struct("head.h1", "head.h2").alias("a"), _node().alias("b")))
+    rest = judged.where("not near").drop("near", "head")
+    if not rest.isEmpty():
+        others = judged.select("key", F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("fp").alias("other_fp"), F.struct("h1", "h2", "words").alias("head"))
         close = F.expr(f"bit_count(fp ^ other_fp) <= {RADIUS} AND NOT (h1 = k1 AND h2 = k2)")
-        pairs = rest.join(others, (rest.cluster == others.cluster) & close).select("h1", "h2", "k1", "k2", "words", "other")
-        links.append(_near(pairs, similarity).where("near").select(_node("k1", "k2").alias("head"), _node("h1", "h2").alias("b")))
-    out = links[0]
-    for more in links[1:]:
-        out = out.union(more)
-    return out.select(F.col("head").alias("a"), "b").where("a != b")
+        pairs = rest.join(others, (rest.key == others.key) & close).select(rest.key, "fp", "h1", "h2", "words", "head")
+        more = _near_head(pairs, similarity).where("near")
+        links = links.union(more.select(F.struct("head.h1", "head.h2").alias("a"), _node().alias("b")))
+    # a row that repeats id and text gives its lines again, hence links from a line to itself
+    return links.where("a != b")
+
+
+def _near_head(lines: DataFrame, least: float) -> DataFrame:
+    """``lines`` with ``near``: whether the words are similar to those of ``head``."""
+    at, to = lines.columns.index("words"), lines.columns.index("head")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        others = batch.column(to).field("words").to_pylist()
+        near = [similar(a.split(" "), b.split(" "), least) for a, b in zip(batch.column(at).to_pylist(), others)]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.bool_())], [*batch.schema.names, "near"])
+
+    return batches.map_arrow(lines, StructType([*lines.schema.fields, StructField("near", BooleanType())]), run)
 
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -240,7 +278,7 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
     found = components(near_links(docs, distinct, similarity), "lines-groups")
     found = batches.stage(found.select(F.col("node.*"), F.col("component").alias("near")), "lines-near")
     grouped = distinct.join(batches.broadcast_if_small(found), ["h1", "h2"], "left").where("n > 1 OR near IS NOT NULL")
-    grouped = batches.stage(grouped.select("h1", "h2", F.coalesce("near", _node("h1", "h2")).alias("group"), "first"), "lines-grouped")
+    grouped = batches.stage(grouped.select("h1", "h2", F.coalesce("near", _node()).alias("group"), "first"), "lines-grouped")
     kept = batches.stage(grouped.groupBy("group").agg(F.min("first").alias("kept")), "lines-kept")
     verdicts = batches.stage(grouped.join(kept, "group").select("h1", "h2", "kept"), "lines-verdicts")
     gone = lines.join(batches.broadcast_if_small(verdicts), ["h1", "h2"]).where(~place.eqNullSafe(F.col("kept")))
@@ -285,10 +323,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
             columns[at] = pa.array([None if t is None else len(t) for t in texts], columns[at].type)
         return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*batch.schema.names, "n_lines"])
 
-    fields = [*joined.schema.fields]
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return batches.map_arrow(joined, StructType([*fields, StructField("n_lines", LongType())]), run)
+    return batches.map_arrow(joined, StructType([*joined.schema.fields, StructField("n_lines", LongType())]), run)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -64,6 +64,17 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
+def with_golay_keys(fps: DataFrame) -> DataFrame:
+    """(key, fp): each fingerprint once for each of its keys."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = batch.column(0).to_numpy()
+        rows, keys = golay_keys(values.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values[rows])], ["key", "fp"])
+
+    return batches.map_arrow(fps.select("fp"), "key long, fp long", run)
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) for every row; a null or empty text has fingerprint 0."""
 
@@ -88,7 +99,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_co
         raise ValueError(f"the keys find pairs within {RADIUS} bits")
     rows = batches.stage(fingerprints(docs, width, id_col, text_col), "simhash")
     fps = batches.stage(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-fps")
-    group = batches.stage(hamming.groups(fps, golay_keys, radius, "simhash"), "simhash-groups")
+    group = batches.stage(hamming.groups(fps, with_golay_keys, radius, "simhash"), "simhash-groups")
     named = group.join(fps, "fp")
     roots = batches.stage(named.groupBy("group").agg(F.min("first").alias("component")), "simhash-roots")
     labels = batches.stage(group.join(roots, "group").select("fp", "component"), "simhash-labels")

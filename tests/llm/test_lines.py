@@ -1,6 +1,7 @@
 import random
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -26,6 +27,14 @@ def test_edit_distance(a, b):
     assert min(lines.edit_distance(a, b, 3), 4) == min(plain_distance(a, b), 4)
 
 
+def test_fingerprints_equal_a_plain_count():
+    rng = random.Random(11)
+    made = [[b"w%d" % rng.randrange(40) for _ in range(n)] for n in (1, 2, 3, 60, 254, 255, 256, 700, 5)]
+    for words, got in zip(made, lines.fingerprints(made).tolist()):
+        hashes = [xxhash.xxh64_intdigest(w) for w in words]
+        assert got == sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(words))
+
+
 def dropped_by_brute_force(rows):
     """{(id, text): dropped line numbers} by comparing all lines."""
     first, words_of = {}, {}

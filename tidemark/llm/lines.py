@@ -29,7 +29,7 @@ WORDS_AT_ONCE = 1 << 15
 
 #: ASCII characters other than letters, digits and the underscore, as blanks.
 _BLANKS = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x5F else 0x20 for c in range(256))
-_WEIGHTS = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
+_LANES = np.uint64(0x0101010101010101)
 
 
 def normalised_lines(text: bytes) -> list[list[bytes]]:
@@ -58,11 +58,20 @@ def fingerprints(lines: list[list[bytes]]) -> np.ndarray:
 
     def close():
         hashes = np.array([digest(w) for words in part for w in words], dtype=np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         lengths = np.array([len(words) for words in part])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out.append(((votes * 2 > lengths[:, None]) * _WEIGHTS).sum(axis=1, dtype=np.uint64))
+        # pieces of at most 255 words, whose votes fit in the bytes of a number
+        pieces = (lengths + 254) // 255
+        first_piece = np.cumsum(pieces) - pieces
+        within = np.arange(pieces.sum()) - np.repeat(first_piece, pieces)
+        starts = np.repeat(np.cumsum(lengths) - lengths, pieces) + 255 * within
+        fps = np.zeros(len(part), dtype=np.uint64)
+        for bit in range(8):
+            # every eighth bit, each summed in a byte of its own
+            summed = np.add.reduceat(hashes >> np.uint64(bit) & _LANES, starts)
+            votes = np.add.reduceat(summed.view(np.uint8).reshape(-1, 8).astype(np.int64), first_piece, axis=0)
+            most = (votes * 2 > lengths[:, None]).astype(np.uint8)
+            fps |= most.view(np.uint64).ravel() << np.uint64(bit)
+        out.append(fps)
 
     for words in lines:
         part.append(words)

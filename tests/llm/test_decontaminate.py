@@ -54,6 +54,37 @@ def test_planted_passages(spark):
     assert set(got) <= set(want)
 
 
+def test_bound_never_hides_a_match():
+    rng = random.Random(8)
+    hidden = matches = 0
+    for _ in range(3000):
+        item = np.array([rng.randrange(12) for _ in range(rng.randint(3, 14))])
+        passage = [rng.randrange(12) for _ in range(rng.randint(0, 40))]
+        if rng.random() < 0.5:
+            at = rng.randint(0, len(passage))
+            passage[at:at] = [w for x in item for w in ([x] + [99] * (rng.random() < 0.3))[rng.random() < 0.2 :]]
+        passage = np.array(passage, dtype=int)
+        match = decontaminate.smith_waterman(item, passage)[0] / len(item) >= decontaminate.THRESHOLD
+        may = decontaminate.may_align(item, passage)
+        assert may or not match
+        hidden, matches = hidden + (not may), matches + match
+    assert hidden > 100 and matches > 100
+
+
+def test_edited_and_partial_copies_that_are_spread(spark):
+    """A count of documents says nothing: thousands may hold the same edited passage."""
+    batches.session(spark)
+    items = {1: [f"a{i}" for i in range(60)], 2: [f"b{i}" for i in range(40)]}
+    edited_copy = [w if i % 9 != 4 else "other" for i, w in enumerate(items[1])]  # 7 of 60 words
+    rows = [(i, f"own{i} " + " ".join(edited_copy) + f" end{i}") for i in range(3000)]
+    rows += [(3000 + i, f"own{i} " + " ".join(items[2][:25])) for i in range(100)]
+    rows += [(4000 + i, f"words of {i} that no item has") for i in range(50)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    got = {r.doc_id: [h.item_id for h in r.hits] for r in found.collect()}
+    assert got == {i: [1] if i < 3000 else [2] if i < 4000 else [] for i, _ in rows}
+
+
 def test_query_equals_full_alignment(spark):
     """Whatever a full alignment finds, the seeds find."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}

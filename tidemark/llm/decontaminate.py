@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from typing import Iterator
 
 import numpy as np
@@ -16,10 +16,6 @@ from . import batches
 
 #: Words of a seed.
 WIDTH = 3
-#: A seed is rare if it is in at most this many times as many documents as the
-#: lower quartile of its item's seeds. A passage that is itself in many
-#: documents keeps its seeds, as all of them are frequent.
-RARE = 30
 #: Alignment scores: equal words, different words, a word left out.
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 #: Least score for each word of the item.
@@ -51,59 +47,77 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
 
 
 class Block:
-    """Some benchmark items with their seeds."""
+    """Some benchmark items with their seeds: all word trigrams, frequent or not."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = {}
-        self.seeds: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for item_id, text in items:
-            words = words_of(text or "")
-            if len(words) >= WIDTH:
-                self.items[item_id] = words
-                for at, gram in enumerate(zip(*(words[i:] for i in range(WIDTH)))):
-                    self.seeds[gram].append((item_id, at))
-        self.grams = list(self.seeds)
-
-    def keep_rare(self, documents: dict[int, int]) -> None:
-        """Drop the seeds that are common for their item; ``documents`` by seed number."""
-        counts = {gram: documents.get(i, 0) for i, gram in enumerate(self.grams)}
-        of_item = defaultdict(list)
-        for gram, places in self.seeds.items():
-            for item_id in {i for i, _ in places}:
-                of_item[item_id].append(counts[gram])
-        bound = {i: RARE * max(1, sorted(c)[len(c) // 4]) for i, c in of_item.items()}
-        kept = {g: [(i, at) for i, at in places if counts[g] <= bound[i]] for g, places in self.seeds.items()}
-        self.seeds = {g: places for g, places in kept.items() if places}
+        self.items: dict[int, np.ndarray] = {}
+        self.number: dict[str, int] = {}
+        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        texts = {i: words for i, text in items if len(words := words_of(text or "")) >= WIDTH}
+        for item_id, words in texts.items():
+            ids = [self.number.setdefault(w, len(self.number)) for w in words]
+            self.items[item_id] = np.array(ids)
+            for at, gram in enumerate(zip(*(ids[i:] for i in range(WIDTH)))):
+                self.seeds[gram].append((item_id, at))
 
     def found(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item, score for each word, first word, end) of the items aligned in a text."""
-        words = words_of(text)
+        numbers = [self.number.get(w, -1) for w in words_of(text)]
         seeds = self.seeds
         starts = defaultdict(list)
-        for at, gram in enumerate(zip(*(words[i:] for i in range(WIDTH)))):
+        for at, gram in enumerate(zip(*(numbers[i:] for i in range(WIDTH)))):
             if gram in seeds:
                 for item_id, place in seeds[gram]:
                     starts[item_id].append(at - place)
-        out = []
+        words, out = np.array(numbers), []
         for item_id, at in starts.items():
             item = self.items[item_id]
-            number = {w: n for n, w in enumerate(dict.fromkeys(item))}
-            ids = np.array([number[w] for w in item])
             best = (0.0, 0, 0)
             for low, high in _windows(sorted(at), len(item), len(words)):
-                passage = np.array([number.get(w, -1) for w in words[low:high]])
-                score, end = smith_waterman(ids, passage)
+                passage = words[low:high]
+                if not may_align(item, passage):
+                    continue
+                score, end = smith_waterman(item, passage)
                 if score > best[0]:
                     best = score, low, end
             score, low, end = best
             if score / len(item) >= THRESHOLD:
                 # the same alignment backwards ends where it starts
-                passage = np.array([number.get(w, -1) for w in words[low : low + end]])
-                back = smith_waterman(ids[::-1], passage[::-1])[1]
+                back = smith_waterman(item[::-1], words[low : low + end][::-1])[1]
                 out.append((item_id, min(1.0, score / len(item)), low + end - back, low + end))
         return sorted(out)
 
 
+def may_align(item: np.ndarray, passage: np.ndarray) -> bool:
+    """Whether the words in common allow an alignment that reaches the threshold.
+
+    An alignment scores at most MATCH for each word in common. One that reaches
+    the threshold leaves out so few words of the passage that it lies within
+    ``reach`` words, so the words in common are counted in windows of that
+    width, each word as often as the item has it. Never False for a match.
+    """
+    length = len(item)
+    least = THRESHOLD * length / MATCH
+    at = np.flatnonzero(np.isin(passage, item))
+    if len(at) < least:
+        return False
+    reach = length + int((MATCH - THRESHOLD) * length / GAP)
+    if (np.arange(1, len(at) + 1) - np.searchsorted(at, at - reach, "right")).max() < least:
+        return False
+    words, times = np.unique(item, return_counts=True)
+    kinds = np.searchsorted(words, passage[at])
+    order = np.argsort(kinds, kind="stable")
+    by_word, places = kinds[order], at[order]
+    # a word counts in windows that begin after the same word as many times
+    # before as the item has it
+    rank = np.arange(len(order))
+    earlier = rank - times[by_word]
+    same = (earlier >= 0) & (by_word[earlier] == by_word)
+    first = np.maximum(np.where(same, places[earlier] + 1, 0), np.maximum(places - reach + 1, 0))
+    counts = np.bincount(first, minlength=len(passage) + 1) - np.bincount(places + 1, minlength=len(passage) + 1)
+    return bool(np.cumsum(counts).max() >= least)
+
+
 def _windows(starts: list[int], length: int, most: int) -> Iterator[tuple[int, int]]:
     """Stretches of a document that reach an item's length around its seeds."""
     low = high = None
@@ -119,35 +133,15 @@ def _windows(starts: list[int], length: int, most: int) -> Iterator[tuple[int, i
         yield low, high
 
 
-def _document_counts(docs: DataFrame, shared) -> dict[int, int]:
-    """For each seed the number of documents that hold it."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {g: i for i, g in enumerate(shared.value.grams)}
-        seen: Counter = Counter()
-        for batch in source:
-            for text in batches.texts(batch.column(0)):
-                words = words_of(text.decode())
-                seen.update({number[g] for g in zip(*(words[i:] for i in range(WIDTH))) if g in number})
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["seed", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r.seed: r.n for r in counted.collect()}  # one row for each seed of the block
-
-
-def blocks(docs: DataFrame, benchmark: DataFrame) -> list:
+def blocks(benchmark: DataFrame) -> list:
     """The benchmark's items in broadcast blocks of at most about BLOCK_ITEMS items."""
-    spark = docs.sparkSession
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null")
     n = max(1, -(-items.count() // BLOCK_ITEMS))
     out = []
     for i in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        block = Block([(r.item_id, r.text) for r in rows])
-        shared = spark.sparkContext.broadcast(block)
-        block.keep_rare(_document_counts(docs, shared))
-        shared.unpersist()
-        out.append(spark.sparkContext.broadcast(block))
+        out.append(spark.sparkContext.broadcast(Block([(r.item_id, r.text) for r in rows])))
     return out
 
 
@@ -168,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     """
     kept = docs.drop("hits")
     found = kept
-    for n, block in enumerate(blocks(kept.select(F.col(text_col).alias("text")), benchmark)):
+    for n, block in enumerate(blocks(benchmark)):
         at = found.columns.index(text_col)
 
         def run(batch: pa.RecordBatch, block=block, at=at, n=n) -> pa.RecordBatch:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import batches, golay, hamming
+from . import batches, golay, hamming, minhash
 
 #: First bit and width of each segment; a width is at most 23.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -23,6 +23,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2), (2, 0))
 RADIUS = 2
 SEED = 42
+#: Least Jaccard similarity of near copies in ``keep_one``.
+SIMILARITY = 0.8
 #: Shingles whose bits are counted at once.
 SHINGLES_AT_ONCE = 1 << 14
 
@@ -38,6 +40,10 @@ def shingles(text: bytes, width: int):
     return map(b" ".join, zip(*(words[i:] for i in range(width))))
 
 
+def _five_words(text: bytes):
+    return shingles(text, 5)
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Bit i is 1 if it is set in over half of the shingles' hashes; 0 without words."""
     digest = xxhash.xxh64_intdigest
@@ -109,21 +115,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_co
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each group the smallest ``doc_id`` stays.
 
-    Shingles here have five words. A document without any word has no content
-    to compare, so of those, too, one stays. Rows that repeat a kept id stay
-    once per different text. Documents whose id is null are never removed.
+    Near copies share at least SIMILARITY of their sets of five-word shingles,
+    by exact comparison; candidates come from MinHash bands. A document without
+    any word has no content to compare, so of those, too, one stays. Rows are
+    told apart by id and text: of rows that repeat both one stays, and a row
+    that only repeats an id is judged by its own text. Documents whose id is
+    null are never removed.
     """
-    found = batches.stage(near_duplicates(docs, width=5), "near-copies")
-    gone = batches.stage(
-        found.where("id != component").select(F.col("id").alias("doc_id")).distinct(), "near-copies-gone")
-    repeated = batches.stage(
-        found.where("id = component").groupBy(F.col("id").alias("doc_id")).count().where("count > 1").select("doc_id"), "near-copies-repeated")
-    left = docs.join(batches.broadcast_if_small(gone), "doc_id", "left_anti").select(docs.columns)
+    gone, repeated = minhash.copies(docs, _five_words, SIMILARITY)
+    gone = batches.stage(gone, "near-copies-gone")
+    repeated = batches.stage(repeated, "near-copies-repeated")
+
+    def among(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = batches.broadcast_if_small(some)
+        return rows.join(some, (rows.doc_id == some.doc_id) & (F.xxhash64(rows.text) == some["copy"]), how).select(docs.columns)
+
+    left = among(docs, gone, "left_anti")
     if repeated.isEmpty():
         return left
-    again = batches.broadcast_if_small(repeated)
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).union(
-        left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return among(left, repeated, "left_anti").union(among(left, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:

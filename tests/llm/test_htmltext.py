@@ -26,6 +26,18 @@ def test_cases():
         assert htmltext.main_text(html) == want, html[:80]
 
 
+def test_inserts_drop_nothing_of_the_article():
+    first, second, last = "a" * 700, "b" * 700, "c" * 200
+    inserts = ('<div class="ad">Buy</div>', '<aside>See also</aside>', '<div class="share">Share</div><div class="notice">Note</div>', "<nav>x</nav>" * 5)
+    for outer in ("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', "<body>{}</body>", "{}"):
+        for insert in inserts:
+            page = outer.format(f"<h1>Title</h1>{insert}<p>{first}</p><p>{second}</p>{insert}<p>{last}</p>{insert}<p>End.</p>")
+            assert htmltext.main_text(page) == f"Title\n{first}\n{second}\n{last}\nEnd.", page
+    # in an element of its own, short text beyond a part set apart is still none of the article
+    page = f'<div class="content"><p>{first}</p><p>{second}</p></div><div class="footer">Site</div><div>Powered by x</div>'
+    assert htmltext.main_text(page) == f"{first}\n{second}"
+
+
 def test_query_gives_the_articles(spark):
     """The made pages hold one article element each; its blocks are what is to be found."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}

@@ -4,7 +4,9 @@ Markup is stripped to lines, one for each block. Lines of menus, adverts and
 the like weigh nothing, others as many characters as they have outside links.
 The weights are summed over sliding windows of lines: where the sum rises from
 zero is a surge point, where it falls back to zero a dive point, and the text
-between the two is kept if the sum gets high enough.
+between the two is kept if the sum gets high enough. Of a page that marks its
+article, all of that is kept. Elsewhere a part set apart between two lines of
+one content element, and blanks there, open no dive.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ BLOCKS = {
 }
 #: Elements that a new block ends even without an end tag.
 LOOSE = {"p", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements whose lines, inserts between them aside, belong together.
+CONTENT = {"article", "body", "div", "html", "main", "section"}
 #: Words in a class, id or role that set an element apart from the article.
 WORDS = {
     "ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb",
@@ -79,22 +83,23 @@ def _apart(name: str, rest: str, in_article: bool) -> str:
     return "" if name in ("article", "main") else found
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, of a part set apart, within an article) of each block."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, bool, bool, int]]:
+    """(text, characters outside links, of a part set apart, within an article, number of its content element) of each block."""
+    out: list[tuple[str, int, bool, bool, int]] = []
     text: list[str] = []
     outside = 0
-    stack: list[tuple[str, str, bool]] = []  # name, why apart (inherited), within an article
+    stack: list[tuple[str, str, bool, int]] = []  # name, why apart (inherited), within an article, content element
     opened: Counter = Counter()
-    apart, article, links = "", False, 0
+    apart, article, inside, links = "", False, 0, 0
+    elements = 0
 
     def close() -> None:
         nonlocal outside
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, outside, bool(apart), article))
+            out.append((line, outside, bool(apart), article, inside))
         elif out and out[-1][0]:
-            out.append(("", 0, False, False))
+            out.append(("", 0, False, False, -1))
         text.clear()
         outside = 0
 
@@ -106,10 +111,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             outside += len("".join(piece.split()))
 
     def pop(n: int) -> None:
-        nonlocal apart, article
+        nonlocal apart, article, inside
         opened.subtract(x[0] for x in stack[n:])
         del stack[n:]
-        _, apart, article = stack[-1] if stack else ("", "", False)
+        _, apart, article, inside = stack[-1] if stack else ("", "", False, 0)
 
     at, end = 0, len(html)
     while at < end:
@@ -161,21 +166,35 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
             if why and name not in BLOCKS:
                 close()
             opened[name] += 1
-            stack.append((name, apart or why, article or name in ("article", "main")))
-            _, apart, article = stack[-1]
+            elements += name in CONTENT
+            stack.append((name, apart or why, article or name in ("article", "main"), elements if name in CONTENT else inside))
+            _, apart, article, inside = stack[-1]
     close()
     return out
 
 
+def _without_inserts(lines: list[tuple[str, int, bool, bool, int]]) -> list[tuple[str, int, bool, bool, int]]:
+    """The lines without blanks and parts set apart that stand between lines of one content element."""
+    out, held, before = [], [], None
+    for line in lines:
+        if line[2] or not line[0]:
+            held.append(line)
+            continue
+        if line[4] != before:
+            out += held
+        held, before = [], line[4]
+        out.append(line)
+    return out + held
+
+
 def main_text(html: str) -> str:
     lines = lines_of(html)
-    if any(article and not apart for _, _, apart, article in lines):
-        # the page says where its article is: all else weighs nothing
-        weights = [len(text) if article and not apart else 0 for text, _, apart, article in lines]
-        usable = [article and not apart for _, _, apart, article in lines]
-    else:
-        weights = [0 if apart else outside for _, outside, apart, _ in lines]
-        usable = [not apart for _, _, apart, _ in lines]
+    marked = [text for text, _, apart, article, _ in lines if article and not apart]
+    if marked:  # the page says where its article is
+        return "\n".join(marked)
+    lines = _without_inserts(lines)
+    weights = [0 if apart else outside for _, outside, apart, _, _ in lines]
+    usable = [not apart for _, _, apart, _, _ in lines]
     sums, total = [], 0
     for i in range(len(weights) + WINDOW - 1):  # the window that ends at line i
         total += weights[i] if i < len(weights) else 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, htmltext, langid, lines, quality, repair, secrets, simhash, tokencount, toxicity
+from . import bpe, decontaminate, htmltext, langid, lines, quality, repair, secrets, sharding, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         htmltext.op9_html_extraction,
         langid.op10_language_id,
         repair.op11_conversation_repair,
+        sharding.op12_sharding,
     )
 }
 

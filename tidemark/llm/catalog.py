@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, htmltext, langid, lines, quality, repair, secrets, sharding, simhash, tokencount, toxicity
+from . import bpe, decontaminate, htmltext, langid, lines, quality, repair, search, secrets, sharding, simhash, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,9 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         langid.op10_language_id,
         repair.op11_conversation_repair,
         sharding.op12_sharding,
+        search.op13_lexical_search,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op4_secret_scan": secrets.OP4_SQL,
+    "op13_lexical_search": search.OP13_SQL,
 }

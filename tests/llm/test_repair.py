@@ -112,14 +112,12 @@ def wild(n, seed, convs):
 
 
 @pytest.mark.parametrize("whole, piece", [(512, 64), (4, 3), (0, 1)])
-def test_edge_rows_and_pieces(spark, monkeypatch, whole, piece):
+def test_edge_rows_and_pieces(spark, whole, piece):
     """Whole conversations and pieces of any length give the same reports and texts."""
-    monkeypatch.setattr(repair, "WHOLE_ROWS", whole)
-    monkeypatch.setattr(repair, "PIECE_ROWS", piece)
     batches.session(spark)
     rows = EDGES + wild(160, 5, [7, 7, 7, 8, 9])
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], f"{SCHEMA}, piece int, audit string")
-    reports, texts = repair.repair(repair.damage(df))
+    reports, texts = repair.repair(repair.damage(df), whole, piece)
     expected = by_conversation(rows)
     assert {r.conv_id: tuple(r)[1:] for r in reports.collect()} == expected
     joined = {}
@@ -129,13 +127,12 @@ def test_edge_rows_and_pieces(spark, monkeypatch, whole, piece):
         assert hashlib.sha256("\n".join(joined.get(conv, [])).encode()).hexdigest() == report[-1]
 
 
-def test_one_conversation_of_many_rows(spark, monkeypatch):
+def test_one_conversation_of_many_rows(spark):
     """A third of the rows are copies of one row; others of that conversation differ only in late parts of the text."""
-    monkeypatch.setattr(repair, "PIECE_ROWS", 16)
     batches.session(spark)
     rows = [(1, 0, "user", "same.")] * 400 + [(1, None, "assistant", "p" * 70 + f"{i}.") for i in range(300)] + wild(500, 8, [1])
     df = spark.createDataFrame(rows, SCHEMA)
-    assert {r.conv_id: tuple(r)[1:] for r in repair.repair(repair.damage(df))[0].collect()} == by_conversation(rows)
+    assert {r.conv_id: tuple(r)[1:] for r in repair.repair(repair.damage(df), piece_rows=16)[0].collect()} == by_conversation(rows)
 
 
 def test_empty_table(spark):

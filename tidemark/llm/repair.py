@@ -278,7 +278,7 @@ def _short(rows: DataFrame) -> DataFrame:
     return _map_rows(sorted_rows, f"conv_id {kind}, piece long, {COUNTS}, {PAIRS}", run)
 
 
-def _pieces(rows: DataFrame) -> DataFrame:
+def _pieces(rows: DataFrame, piece_rows: int) -> DataFrame:
     """Pieces of long conversations in the order of (conv_id, part, piece), with the ways through each.
 
     Equal rows are one row with a number of copies before anything moves, and
@@ -320,7 +320,7 @@ def _pieces(rows: DataFrame) -> DataFrame:
 
         number = count()
         for conv, rows in groupby(_rows(source), key=lambda row: row[0]):
-            while held := [row[1:] for row in islice(rows, PIECE_ROWS)]:
+            while held := [row[1:] for row in islice(rows, piece_rows)]:
                 yield made(conv, next(number), held)
 
     schema = (f"conv_id {kind}, part int, piece long, first_role string, last_role string, blank long, duplicate long, truncated long, "
@@ -384,14 +384,14 @@ def _joined(pieces: DataFrame) -> DataFrame:
     return _map_rows(narrow, f"conv_id {kind}, part int, piece long, entry int, audit string, cost long, illegal long", run)
 
 
-def _long(rows: DataFrame) -> DataFrame:
+def _long(rows: DataFrame, piece_rows: int) -> tuple[DataFrame, DataFrame]:
     """Conversations of any length by pieces; one row per piece, counts on the first one.
 
     The digest of a conversation runs over its text in order, which one task
     streams; it holds one piece at a time and the audit.
     """
     kind = rows.schema["conv_id"].dataType.simpleString()
-    pieces = _pieces(rows)
+    pieces = _pieces(rows, piece_rows)
     ways = batches.stage(_joined(pieces), "repair-ways")
     a, b = pieces.alias("a"), ways.alias("b")
     both = a.join(b, F.expr("a.conv_id <=> b.conv_id AND a.part = b.part AND a.piece = b.piece")).select(
@@ -430,7 +430,7 @@ def _long(rows: DataFrame) -> DataFrame:
     return reports, texts
 
 
-def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repair(rows: DataFrame, whole_rows: int = WHOLE_ROWS, piece_rows: int = PIECE_ROWS) -> tuple[DataFrame, DataFrame]:
     """Reports and repaired texts of conversations of (conv_id, turn, role, text, copies) rows.
 
     A report is (conv_id, gaps, blank, duplicate, truncated, illegal, cost,
@@ -445,7 +445,7 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     taken whole. An empty table gives empty tables. Other columns are not read.
     """
     rows = rows.select("conv_id", "turn", "role", "text", "copies")
-    long = rows.groupBy("conv_id").agg(F.sum("copies").alias("n")).where(F.col("n") > WHOLE_ROWS).select("conv_id")
+    long = rows.groupBy("conv_id").agg(F.sum("copies").alias("n")).where(F.col("n") > whole_rows).select("conv_id")
     long = batches.stage(long, "repair-long")
     if long.isEmpty():
         whole = batches.stage(_short(rows), "repair-whole")
@@ -453,7 +453,7 @@ def repair(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     r, x = rows.alias("r"), batches.broadcast_if_small(long).alias("x")
     same = F.expr("r.conv_id <=> x.conv_id")
     whole = batches.stage(_short(r.join(x, same, "left_anti")), "repair-whole")
-    reports, texts = _long(r.join(x, same, "left_semi"))
+    reports, texts = _long(r.join(x, same, "left_semi"), piece_rows)
     return (
         whole.select("conv_id", *NAMES).union(batches.stage(reports, "repair-reports")),
         whole.select("conv_id", "piece", "repaired").union(texts))

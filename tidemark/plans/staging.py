@@ -47,7 +47,11 @@ def cleanup(spark: SparkSession) -> None:
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
-    path = new_path(df.sparkSession, label)
+    return stage_at(df, new_path(df.sparkSession, label), partition_by)
+
+
+def stage_at(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+    """As ``stage``, to a folder the caller may drop later."""
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -55,6 +59,11 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a staged folder through the Hadoop file system it lives on."""
     jvm = spark.sparkContext._jvm

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import numbering, staging
 
+#: Conditions under which a version's table, or its folder, is someone else's.
+TAKEN = ("TABLE_OR_VIEW_ALREADY_EXISTS", "LOCATION_ALREADY_EXISTS")
 HINT_SCHEMA = "id bigint, hint string, value string, ts timestamp_ntz"
 
 
@@ -43,37 +47,59 @@ def publish(
 ) -> DataFrame:
     """Write a new version of a table, then switch the name to it.
 
-    ``name`` is a view, so readers change over in one catalog step. If the
-    write, the check or the switch fails, the new version is dropped and the
-    name still leads to the old one. With ``drop_old`` the version before is
-    removed after the switch. The version is the next free number unless one
-    is given; a version that exists is never written. ``path`` puts the data
-    outside the warehouse, one folder for each version.
+    ``name`` is a view, so readers change over in one catalog step. A version is
+    claimed by creating its empty table, which only one publisher can do; who
+    comes second takes the next free number, or fails if it asked for that very
+    one. If the write, the check or the switch fails, the version this call
+    made, and no other, is dropped and the name still leads to the old one. With
+    ``drop_old`` the version that the name led to is removed after the switch.
+    ``path`` puts the data outside the warehouse, one folder for each version.
     """
     spark = df.sparkSession
-    there = versions(spark, name)
-    if version is None:
-        version = max(there, default=0) + 1
-    if version in there:
-        raise ValueError(f"version {version} of {name} exists")
+    version = _claim(df, name, version, path)
     fresh = f"{name}_v{version}"
     try:
-        writer = df.write.mode("errorifexists")
-        if path:
-            writer = writer.option("path", f"{path.rstrip('/')}/v{version}")
-        writer.saveAsTable(fresh)
+        df.select(*(F.col(f"`{c}`") for c in df.columns)).write.insertInto(fresh)
         if check is not None:
             check(spark.table(fresh))
+        old = live_version(spark, name)
         spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {fresh}")
     except Exception:
         _drop(spark, fresh)
         raise
-    older = [v for v in there if v < version]
-    if drop_old and older:
-        _drop(spark, f"{name}_v{max(older)}")
+    if drop_old and old is not None and old != version:
+        _drop(spark, f"{name}_v{old}")
     return spark.table(name)
 
 
+def _claim(df: DataFrame, name: str, version: int | None, path: str | None) -> int:
+    """Create the empty table of a version that nobody else has, and return its number."""
+    spark = df.sparkSession
+    number = version if version is not None else max(versions(spark, name), default=0) + 1
+    while True:
+        place = path and f"{path.rstrip('/')}/v{number}"
+        try:
+            if place and staging.exists(spark, place):
+                raise ValueError(f"{place} exists")
+            spark.catalog.createTable(f"{name}_v{number}", place, "parquet", df.schema)
+            return number
+        except (AnalysisException, ValueError) as taken:
+            if isinstance(taken, AnalysisException) and taken.getCondition() not in TAKEN:
+                raise
+            if version is not None:
+                raise ValueError(f"version {version} of {name} exists") from taken
+            number += 1
+
+
+def live_version(spark: SparkSession, name: str) -> int | None:
+    """The version that a published name leads to, None if there is none."""
+    if not spark.catalog.tableExists(name):
+        return None
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'View Text'").collect()
+    found = re.search(r"_v(\d+)$", rows[0]["data_type"].strip("` ")) if rows else None
+    return int(found[1]) if found else None
+
+
 def versions(spark: SparkSession, name: str) -> list[int]:
     """The version numbers of a published name that the catalog holds."""
     database, _, plain = name.rpartition(".")

@@ -145,6 +145,58 @@ def test_random_logs_equal_a_replay(spark, seed):
         assert bag(op.apply_changes(table(spark, *rows), made, "k", broadcast)) == _replay(rows, events)
 
 
+def _replay_with_key_changes(rows, events):
+    """As ``_replay``; an update is (old key, new key), and rows at one position go before new ones come."""
+    table = dict(rows)
+    for at in sorted({e[:2] for e in events}):
+        rows_here = [e for e in events if e[:2] == at]
+        for *_, kind, old, k, v in rows_here:
+            if kind == X:
+                table.pop(k, None)
+            elif kind == U and old != k:
+                table.pop(old, None)
+        for *_, kind, old, k, v in rows_here:
+            if kind == W or kind == U and (old != k or k in table):
+                table[k] = v
+    return sorted(table.items())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_logs_with_key_changes_equal_a_replay(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, f"s{k}") for k in range(40)]
+    events = []
+    for seq in (9, 10, 11):
+        for pos in rng.sample(range(1000), 60):
+            v = f"{seq}.{pos}"
+            if rng.random() < 0.3:  # one statement exchanges or shifts several keys
+                keys = rng.sample(range(60), 3)
+                events += [(seq, pos, U, a, b, f"{v}/{b}") for a, b in zip(keys, keys[1:] + keys[: rng.randrange(2)])]
+            else:
+                k = rng.randrange(60)
+                events.append((seq, pos, rng.choice([W, U, X]), rng.choice([k, k, rng.randrange(60)]), k, v))
+    schema = "seq bigint, pos bigint, event_type string, old int, k bigint, v string"
+    made = spark.createDataFrame([(s, p, e, None if e == W else o, k, v) for s, p, e, o, k, v in events], schema).repartition(5)
+    want = _replay_with_key_changes(rows, events)
+    for broadcast in (True, False):
+        assert bag(op.apply_changes(table(spark, *rows), made, "k", broadcast, "old")) == want
+    parts = [op.compact_changes(part, "k", ["v"], "old") for part in made.randomSplit([1.0, 1.0, 1.0], seed)]
+    combined = op.combine_compacted(parts[2].union(parts[0]).union(parts[1]).union(parts[0]), "k")
+    assert bag(op.apply_compacted(table(spark, *rows), combined, "k")) == want
+
+
+def test_key_changes_of_two_columns_and_their_statements(spark):
+    schema = "seq bigint, pos bigint, db string, tbl string, event_type string, a_was bigint, b_was string, a bigint, b string, v string"
+    rows = [(1, 4, "d", "t", U, 1, "x", 1, "z", "moved"), (1, 8, "d", "t", U, None, "x", 2, "x", "kept"), (1, 9, "d", "t", U, 5, "p", None, "p", "bad")]
+    events = spark.createDataFrame(rows, schema)
+    old = spark.createDataFrame([(1, "x", "p"), (2, "x", "q"), (5, "p", "r")], "a bigint, b string, v string")
+    got = op.apply_changes(old, events, ["a", "b"], before_key=["a_was", "b_was"])
+    assert bag(got) == [(1, "z", "moved"), (2, "x", "kept"), (5, "p", "r")]
+    assert bag(op.apply_updates(old, events, ["a", "b"], ["a_was", "b_was"])) == bag(got)
+    text = [r.stmt for r in op.change_statements(events.where("a = 1"), ["a", "b"], ["v"], ["a_was", "b_was"]).collect()]
+    assert text == ["UPDATE `d`.`t` SET `b` = 'z', `v` = 'moved' WHERE `a` = '1' AND `b` = 'x'"]
+
+
 def test_key_of_several_columns(spark):
     schema = "a bigint, b string, v string"
     old = spark.createDataFrame([(1, "x", "p"), (1, "y", "q"), (2, "x", "r")], schema)

@@ -110,6 +110,50 @@ def test_a_rerun_with_a_failing_check_keeps_the_live_version(spark, tmp_path):
     assert [p.name for p in (tmp_path / "live").iterdir()] == ["v2"]
 
 
+@pytest.mark.parametrize("outside", [False, True])
+def test_two_publishers_at_once(spark, tmp_path, monkeypatch, outside):
+    """Neither sees the other's version before it claims its own; both end readable."""
+    name, path = ("race_a", None) if not outside else ("race_b", str(tmp_path / "race"))
+    monkeypatch.setattr(sinks, "versions", lambda *_: [])
+    sinks.publish(spark.createDataFrame([(1,)], "k bigint"), name, path=path)
+    seen = []
+
+    def other_publishes(_):
+        if not seen:
+            seen.append(sinks.publish(spark.createDataFrame([(3,)], "k bigint"), name, path=path).collect())
+
+    sinks.publish(spark.createDataFrame([(2,)], "k bigint"), name, path=path, check=other_publishes)
+    assert [r.k for r in seen[0]] == [3] and [r.k for r in spark.table(name).collect()] == [2]
+    assert [[r.k for r in spark.table(f"{name}_v{v}").collect()] for v in (1, 2, 3)] == [[1], [2], [3]]
+
+    def refuse(_):
+        raise RuntimeError("no")
+
+    for version in (None, 2):  # a failed or refused claim takes nobody's table with it
+        with pytest.raises((RuntimeError, ValueError)):
+            sinks.publish(spark.createDataFrame([(9,)], "k bigint"), name, version, path=path, check=refuse)
+    assert [r.k for r in spark.table(name).collect()] == [2] and sinks.live_version(spark, name) == 2
+    sinks.publish(spark.createDataFrame([(4,)], "k bigint"), name, path=path, drop_old=True)
+    assert [r.k for r in spark.table(name).collect()] == [4] and not spark.catalog.tableExists(f"{name}_v2")
+    assert [r.k for r in spark.table(f"{name}_v3").collect()] == [3]
+
+
+def test_a_left_folder_is_not_adopted(spark, tmp_path):
+    spark.createDataFrame([(7,)], "k bigint").write.parquet(str(tmp_path / "left" / "v1"))
+    got = sinks.publish(spark.createDataFrame([(8,)], "k bigint"), "left_a", path=str(tmp_path / "left"))
+    assert [r.k for r in got.collect()] == [8] and sinks.live_version(spark, "left_a") == 2
+
+
+def test_migration_with_key_changes(spark):
+    snap = spark.createDataFrame([(1, "10"), (2, "20")], "k int, v string")
+    log = spark.createDataFrame(
+        [(1, 4, "UpdateRows", 1, 2, "11"), (1, 4, "UpdateRows", 2, 1, "21"), (1, 9, "UpdateRows", 2, 7, "12")],
+        "seq bigint, pos bigint, event_type string, was int, k int, v string")
+    ops = [alter.ChangeColumn("k", "id", "bigint"), ModifyColumn("v", "int")]
+    got = migrate_table(snap, ops, log, [KeySpec("pk", ("k",), True)], "mig_k", before_key="was")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 21), (7, 12)]
+
+
 def test_migration_audits_the_log(spark):
     snap = spark.createDataFrame([(1, 10)], "k bigint, v bigint")
     log = spark.createDataFrame([(1, 4, "UpdateRows", 1, 2**40)], "seq bigint, pos bigint, event_type string, k bigint, v bigint")

@@ -9,6 +9,7 @@ from ..sources.tables import table
 from ..sources.views import view, with_views
 
 KEY = "o_orderkey"
+KEY_BEFORE = "key_before"
 COLS = ["o_custkey", "o_orderstatus", "price_cents"]
 
 
@@ -76,14 +77,7 @@ UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, price_cents FROM l
 
 
 def apply_updates(spark, d):
-    return op.apply_updates(snapshot(spark, d), rows(spark, d), KEY)
-
-
-APPLY_UPDATES = with_views("snapshot row_log", f"""
-WITH {_LAST.format(kind='UpdateRows')}
-SELECT s.* FROM snapshot s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM l)
-UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, price_cents FROM l WHERE o_orderkey IN (SELECT o_orderkey FROM snapshot)
-""")
+    return op.apply_updates(snapshot(spark, d), rows(spark, d), KEY, KEY_BEFORE)
 
 
 def apply_partial_updates(spark, d):
@@ -110,18 +104,24 @@ SELECT * FROM snapshot WHERE o_orderkey NOT IN (SELECT o_orderkey FROM row_log W
 
 
 def apply_changes(spark, d):
-    return op.apply_changes(snapshot(spark, d), rows(spark, d), KEY)
+    return op.apply_changes(snapshot(spark, d), rows(spark, d), KEY, before_key=KEY_BEFORE)
 
 
 _APPLY = """
-last_event AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC, pos DESC) AS rn FROM {log}) WHERE rn = 1),
-last_life AS (SELECT o_orderkey, event_type AS life FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC, pos DESC) AS rn
-  FROM {log} WHERE event_type IN ('WriteRows', 'DeleteRows')) WHERE rn = 1)
+each AS (SELECT seq, pos, 1 AS ord, o_orderkey, CASE WHEN event_type = 'UpdateRows' AND key_before <> o_orderkey THEN 'WriteRows' ELSE event_type END AS event_type,
+  o_custkey, o_orderstatus, price_cents FROM {log}
+ UNION ALL SELECT seq, pos, 0, key_before, 'DeleteRows', NULL, NULL, NULL FROM {log} WHERE event_type = 'UpdateRows' AND key_before <> o_orderkey),
+last_event AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC, pos DESC, ord DESC) AS rn FROM each) WHERE rn = 1),
+last_life AS (SELECT o_orderkey, event_type AS life FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC, pos DESC, ord DESC) AS rn
+  FROM each WHERE event_type IN ('WriteRows', 'DeleteRows')) WHERE rn = 1)
 SELECT s.* FROM snapshot s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM last_event)
 UNION ALL SELECT e.o_orderkey, e.o_custkey, e.o_orderstatus, e.price_cents
 FROM last_event e LEFT JOIN last_life f USING (o_orderkey) LEFT JOIN snapshot s USING (o_orderkey)
 WHERE life = 'WriteRows' OR (life IS NULL AND s.o_orderkey IS NOT NULL)
 """
+APPLY_UPDATES = with_views("snapshot row_log", """
+WITH updates AS (SELECT * FROM row_log WHERE event_type = 'UpdateRows'),
+""" + _APPLY.format(log="updates").strip())
 APPLY_CHANGES = with_views("snapshot row_log", "WITH " + _APPLY.format(log="row_log").strip())
 
 
@@ -136,7 +136,7 @@ def bad_event():
 
 
 def apply_transactions(spark, d):
-    return op.apply_transactions(snapshot(spark, d), rows(spark, d), KEY, "tx_id", bad_event())
+    return op.apply_transactions(snapshot(spark, d), rows(spark, d), KEY, "tx_id", bad_event(), KEY_BEFORE)
 
 
 APPLY_TRANSACTIONS = with_views("snapshot row_log", """
@@ -161,7 +161,7 @@ WHERE before_value IS DISTINCT FROM after_value
 
 
 def change_statements(spark, d):
-    return op.change_statements(rows(spark, d), KEY, COLS)
+    return op.change_statements(rows(spark, d), KEY, COLS, KEY_BEFORE)
 
 
 def _sql_text(c):
@@ -172,8 +172,8 @@ CHANGE_STATEMENTS_BODY = f"""
 SELECT seq, pos, o_orderkey, CASE event_type
  WHEN 'WriteRows' THEN 'INSERT INTO `shop`.`orders` (`o_orderkey`, `o_custkey`, `o_orderstatus`, `price_cents`) VALUES ('
    || {_sql_text('o_orderkey')} || ', ' || {_sql_text('o_custkey')} || ', ' || {_sql_text('o_orderstatus')} || ', ' || {_sql_text('price_cents')} || ')'
- WHEN 'UpdateRows' THEN 'UPDATE `shop`.`orders` SET `o_custkey` = ' || {_sql_text('o_custkey')} || ', `o_orderstatus` = ' || {_sql_text('o_orderstatus')}
-   || ', `price_cents` = ' || {_sql_text('price_cents')} || ' WHERE `o_orderkey` = ' || {_sql_text('o_orderkey')}
+ WHEN 'UpdateRows' THEN 'UPDATE `shop`.`orders` SET ' || CASE WHEN key_before <> o_orderkey THEN '`o_orderkey` = ' || {_sql_text('o_orderkey')} || ', ' ELSE '' END || '`o_custkey` = ' || {_sql_text('o_custkey')} || ', `o_orderstatus` = ' || {_sql_text('o_orderstatus')}
+   || ', `price_cents` = ' || {_sql_text('price_cents')} || ' WHERE `o_orderkey` = ' || {_sql_text('coalesce(key_before, o_orderkey)')}
  ELSE 'DELETE FROM `shop`.`orders` WHERE `o_orderkey` = ' || {_sql_text('o_orderkey')} END AS stmt FROM row_log
 """
 

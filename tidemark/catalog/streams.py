@@ -8,7 +8,7 @@ from ..sources.tables import table
 from ..sources.views import with_views
 from ..streaming import apply, monitor, runner
 from . import changelog, flow, hints
-from .changelog import APPLY_CHANGES, KEY, LATEST_CHANGE
+from .changelog import APPLY_CHANGES, KEY, KEY_BEFORE, LATEST_CHANGE
 
 # The events of 30 days arrive in four parts. Rows of a part come in any
 # order, so the watermark waits longer than a part lasts.
@@ -44,7 +44,8 @@ def _log_stream(spark, d):
 
 def stream_apply(spark, d):
     return apply.stream_apply(
-        _log_stream(spark, d), changelog.snapshot(spark, d), KEY, new_path(spark, "compacted"), new_path(spark, "cp")
+        _log_stream(spark, d), changelog.snapshot(spark, d), KEY, new_path(spark, "compacted"), new_path(spark, "cp"),
+        before_key=KEY_BEFORE,
     )
 
 

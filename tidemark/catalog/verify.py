@@ -13,7 +13,7 @@ from ..sources import sinks
 from ..sources.tables import table
 from ..sources.views import with_views
 from .alter import ALTERED_ORDERS, orders_ops
-from .changelog import APPLY_CHANGES, KEY, rows, snapshot
+from .changelog import APPLY_CHANGES, KEY, KEY_BEFORE, rows, snapshot
 from .copy import COPY_PROGRESS, _bounds, copy_progress
 
 _COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "price_cents"]
@@ -68,7 +68,7 @@ SELECT chunk_id, count(*) AS left_rows, CAST(sum(p) AS VARCHAR) AS left_checksum
 
 def compare_tables(spark, d):
     a = snapshot(spark, d)
-    b = changelog.apply_changes(a, rows(spark, d), KEY)
+    b = changelog.apply_changes(a, rows(spark, d), KEY, before_key=KEY_BEFORE)
     return op.compare_tables(a, b, KEY, [(c, c) for c in _COLS[1:]])
 
 
@@ -89,7 +89,7 @@ SELECT * FROM j WHERE status IS NOT NULL
 
 def snapshot_diff(spark, d):
     a = snapshot(spark, d)
-    b = changelog.apply_changes(a, rows(spark, d), KEY)
+    b = changelog.apply_changes(a, rows(spark, d), KEY, before_key=KEY_BEFORE)
     return op.snapshot_diff(a, b, KEY, "shop", "orders")
 
 
@@ -128,9 +128,9 @@ def migration_ops():
 
 def migrate_table(spark, d):
     name = _name("orders_migrated")
-    log = rows(spark, d).select("seq", "pos", "event_type", *_COLS)
+    log = rows(spark, d).select("seq", "pos", "event_type", *_COLS, KEY_BEFORE)
     keys = [KeySpec("by_customer", ("o_custkey",)), KeySpec("primary", (KEY,), True)]
-    published = migrate(snapshot(spark, d), migration_ops(), log, keys, name, path=new_path(spark, name))
+    published = migrate(snapshot(spark, d), migration_ops(), log, keys, name, path=new_path(spark, name), before_key=KEY_BEFORE)
     return published
 
 

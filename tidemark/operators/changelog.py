@@ -25,6 +25,8 @@ ROTATE, QUERY, FORMAT, UNKNOWN = "Rotate", "Query", "FormatDescription", "Unknow
 ROW_EVENTS = (INSERT, UPDATE, DELETE)
 EVENT_CODES = {2: QUERY, 4: ROTATE, 15: FORMAT, 19: INSERT, 20: UPDATE, 21: DELETE}
 HEADER_BYTES = 19
+#: Column that orders the rows of one event: old keys go before new rows come.
+ORDINAL = "ord"
 
 #: Rotations up to this number become one expression.
 MAX_INLINE_ROTATIONS = 64
@@ -38,8 +40,9 @@ def _kind() -> Column:
     return F.col("event_type")
 
 
-def _at() -> Column:
-    return F.struct("seq", "pos")
+def _at(events: DataFrame) -> Column:
+    """Place of a row in the log; rows of one event may have an ordinal."""
+    return F.struct("seq", "pos", ORDINAL) if ORDINAL in events.columns else F.struct("seq", "pos")
 
 
 def with_sequence(log: DataFrame) -> DataFrame:
@@ -94,13 +97,43 @@ def _whole_key(key: Key) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key_columns(key)])
 
 
+def split_key_changes(log: DataFrame, key: Key, before_key: Key) -> DataFrame:
+    """Updates that change the key as two rows: the old key goes, then the new row comes.
+
+    ``before_key`` names the columns with the key before the event, in the
+    order of ``key``. Row logs carry whole images, so the new row comes whether
+    or not the old key was there. Of all rows at one position the old keys go
+    first, so one event may also exchange keys or shift them all. Rows without
+    a whole key on both sides, and all other events, stay as they are.
+    """
+    keys, olds = key_columns(key), key_columns(before_key)
+    if len(keys) != len(olds):
+        raise ValueError(f"{len(olds)} columns before, {len(keys)} after")
+    old = [F.col(o).cast(log.schema[k].dataType) for k, o in zip(keys, olds)]
+    moved = (
+        (_kind() == UPDATE) & _whole_key(key) & _whole_key(before_key)
+        & ~reduce(lambda a, b: a & b, [F.col(k) == o for k, o in zip(keys, old)])
+    )
+
+    def row(ordinal: int, kind: Column, values: list[Column]) -> Column:
+        named = [v.alias(k) for k, v in zip(keys, values)]
+        return F.struct(F.lit(ordinal).alias(ORDINAL), kind.alias("event_type"), *named)
+
+    now = [F.col(k) for k in keys]
+    rows = F.when(moved, F.array(row(0, F.lit(DELETE), old), row(1, F.lit(INSERT), now))).otherwise(
+        F.array(row(1, _kind(), now))
+    )
+    kept = [c for c in log.columns if c not in (*keys, "event_type", ORDINAL)]
+    return log.select(*kept, F.inline(rows)).select(*log.drop(ORDINAL).columns, ORDINAL)
+
+
 def latest_change(log: DataFrame, key: Key) -> DataFrame:
     """Last event per key, combined before the shuffle."""
     keys = key_columns(key)
     events = with_sequence(log).where(_whole_key(key))
     return (
         events.groupBy(*keys)
-        .agg(F.max_by(F.struct(*[c for c in events.columns if c not in keys]), _at()).alias("_r"))
+        .agg(F.max_by(F.struct(*[c for c in events.columns if c not in keys]), _at(events)).alias("_r"))
         .select(*keys, "_r.*")
     )
 
@@ -165,10 +198,9 @@ def apply_inserts(snapshot: DataFrame, log: DataFrame, key: Key, on_conflict: st
         raise ValueError(on_conflict)
     cols = _values(snapshot, key)
     pick = F.min_by if on_conflict == "keep" else F.max_by
-    inserts = (
-        with_sequence(log).where((_kind() == INSERT) & _whole_key(key))
-        .groupBy(*key_columns(key))
-        .agg(pick(F.struct(*cols), _at()).alias("_img"), F.count(F.lit(1)).alias("_n"))
+    events = with_sequence(log).where((_kind() == INSERT) & _whole_key(key))
+    inserts = events.groupBy(*key_columns(key)).agg(
+        pick(F.struct(*cols), _at(events)).alias("_img"), F.count(F.lit(1)).alias("_n")
     )
     if on_conflict == "error":
         keys = key_columns(key)
@@ -182,16 +214,19 @@ def apply_inserts(snapshot: DataFrame, log: DataFrame, key: Key, on_conflict: st
     return _merge(snapshot, changes, key, cols)
 
 
-def apply_updates(snapshot: DataFrame, log: DataFrame, key: Key) -> DataFrame:
-    """Set all other columns to the last after image; absent keys are skipped."""
+def apply_updates(snapshot: DataFrame, log: DataFrame, key: Key, before_key: Key | None = None) -> DataFrame:
+    """Set all other columns to the last after image; absent keys are skipped.
+
+    With ``before_key`` an update may change the key (see ``split_key_changes``).
+    """
+    updates = with_sequence(log).where(_kind() == UPDATE)
+    if before_key is not None:
+        return apply_changes(snapshot, updates, key, before_key=before_key)
     cols = _values(snapshot, key)
-    updates = (
-        with_sequence(log).where((_kind() == UPDATE) & _whole_key(key))
-        .groupBy(*key_columns(key))
-        .agg(F.max_by(F.struct(*cols), _at()).alias("_img"))
-    )
+    updates = updates.where(_whole_key(key))
+    last = updates.groupBy(*key_columns(key)).agg(F.max_by(F.struct(*cols), _at(updates)).alias("_img"))
     schema = snapshot.schema
-    updated = snapshot.join(updates, key_columns(key), "left").select(
+    updated = snapshot.join(last, key_columns(key), "left").select(
         *key_columns(key),
         *[
             F.when(F.col("_img").isNotNull(), F.col(f"_img.{c}")).otherwise(F.col(c)).cast(schema[c].dataType).alias(c)
@@ -212,12 +247,9 @@ def apply_partial_updates(
     """
     given = given or {}
     has = {c: given.get(c, F.col(c).isNotNull()) for c in cols}
-    last = (
-        with_sequence(log).where((_kind() == UPDATE) & _whole_key(key))
-        .groupBy(*key_columns(key))
-        .agg(
-            *[F.max_by(F.struct(F.col(c).alias("v")), F.when(has[c], _at())).alias(f"_u_{c}") for c in cols]
-        )
+    events = with_sequence(log).where((_kind() == UPDATE) & _whole_key(key))
+    last = events.groupBy(*key_columns(key)).agg(
+        *[F.max_by(F.struct(F.col(c).alias("v")), F.when(has[c], _at(events))).alias(f"_u_{c}") for c in cols]
     )
     schema = snapshot.schema
     return snapshot.join(last, key_columns(key), "left").select(
@@ -237,22 +269,24 @@ def apply_deletes(snapshot: DataFrame, log: DataFrame, key: Key) -> DataFrame:
     return snapshot.join(gone, keys, "left_anti").select(*snapshot.columns)
 
 
-def compact_changes(log: DataFrame, key: Key, cols: Sequence[str]) -> DataFrame:
+def compact_changes(log: DataFrame, key: Key, cols: Sequence[str], before_key: Key | None = None) -> DataFrame:
     """Per key: the last event and the last event that decides if it lives.
 
+    With ``before_key`` an update may change the key (see ``split_key_changes``).
     Compacted logs can be combined in any order and any number of times (see
     ``combine_compacted``).
     """
-    life = F.when(_kind().isin(INSERT, DELETE), _at())
-    return (
-        with_sequence(log).where(_kind().isin(*ROW_EVENTS) & _whole_key(key))
-        .groupBy(*key_columns(key))
-        .agg(
-            F.max(_at()).alias("_at"),
-            F.max_by(F.struct(*cols), _at()).alias("_img"),
-            F.max(life).alias("_life_at"),
-            F.max_by(_kind(), life).alias("_life"),
-        )
+    events = with_sequence(log).where(_kind().isin(*ROW_EVENTS))
+    if before_key is not None:
+        events = split_key_changes(events, key, before_key)
+    elif ORDINAL not in events.columns:
+        events = events.withColumn(ORDINAL, F.lit(1))
+    life = F.when(_kind().isin(INSERT, DELETE), _at(events))
+    return events.where(_whole_key(key)).groupBy(*key_columns(key)).agg(
+        F.max(_at(events)).alias("_at"),
+        F.max_by(F.struct(*cols), _at(events)).alias("_img"),
+        F.max(life).alias("_life_at"),
+        F.max_by(_kind(), life).alias("_life"),
     )
 
 
@@ -274,20 +308,25 @@ def apply_compacted(snapshot: DataFrame, compacted: DataFrame, key: Key, broadca
     return _merge(snapshot, changes, key, _values(snapshot, key), broadcast)
 
 
-def apply_changes(snapshot: DataFrame, log: DataFrame, key: Key, broadcast: bool | None = None) -> DataFrame:
+def apply_changes(
+    snapshot: DataFrame, log: DataFrame, key: Key, broadcast: bool | None = None, before_key: Key | None = None
+) -> DataFrame:
     """Inserts, updates and deletes in log order.
 
     The last insert or delete of a key decides if it lives, else the snapshot
-    does; the values are those of its last event. One aggregation of the log
-    replaces the event-by-event replay.
+    does; the values are those of its last event. With ``before_key`` updates
+    may change the key. One aggregation of the log replaces the event-by-event
+    replay.
     """
-    return apply_compacted(snapshot, compact_changes(log, key, _values(snapshot, key)), key, broadcast)
+    return apply_compacted(snapshot, compact_changes(log, key, _values(snapshot, key), before_key), key, broadcast)
 
 
-def apply_transactions(snapshot: DataFrame, log: DataFrame, key: Key, tx: str, bad: Column) -> DataFrame:
+def apply_transactions(
+    snapshot: DataFrame, log: DataFrame, key: Key, tx: str, bad: Column, before_key: Key | None = None
+) -> DataFrame:
     """As ``apply_changes``, without the transactions that hold a bad event."""
     broken = log.where(bad & F.col(tx).isNotNull()).select(tx).distinct()
-    return apply_changes(snapshot, log.join(broken, tx, "left_anti"), key)
+    return apply_changes(snapshot, log.join(broken, tx, "left_anti"), key, before_key=before_key)
 
 
 # --- describing changes -----------------------------------------------------
@@ -309,8 +348,12 @@ def changed_cells(log: DataFrame, key: Key, cells: Mapping[str, tuple[str, str]]
     )
 
 
-def change_statements(log: DataFrame, key: Key, cols: Sequence[str]) -> DataFrame:
-    """Audit text of each changed row as an INSERT, UPDATE or DELETE."""
+def change_statements(log: DataFrame, key: Key, cols: Sequence[str], before_key: Key | None = None) -> DataFrame:
+    """Audit text of each changed row as an INSERT, UPDATE or DELETE.
+
+    With ``before_key`` an update finds its row by the old key, and sets the
+    key columns that changed.
+    """
     target = text.combine_database_table(F.col("db"), F.col("tbl"))
     keys = key_columns(key)
     every = [*keys, *cols]
@@ -328,9 +371,18 @@ def change_statements(log: DataFrame, key: Key, cols: Sequence[str]) -> DataFram
         F.lit("INSERT INTO "), target, F.lit(" (" + ", ".join(name[c] for c in every) + ") VALUES ("),
         F.concat_ws(", ", *[value(c) for c in every]), F.lit(")"),
     )
+    olds = keys if before_key is None else key_columns(before_key)
+    was = {k: o if o == k else f"_old_{k}" for k, o in zip(keys, olds)}
+    # rows without an old key keep their own
+    log = log.withColumns({
+        was[k]: F.coalesce(F.col(o).cast(log.schema[k].dataType), F.col(k)) for k, o in zip(keys, olds) if o != k
+    })
+    found = F.concat_ws(" AND ", *[F.concat(F.lit(f"{name[k]} = "), value(was[k])) for k in keys])
+    changed = [F.when(F.col(k) != F.col(was[k]), F.concat(F.lit(f"{name[k]} = "), value(k))) for k in keys if was[k] != k]
     update = F.concat(
         F.lit("UPDATE "), target, F.lit(" SET "),
-        F.concat_ws(", ", *[F.concat(F.lit(f"{name[c]} = "), value(c)) for c in cols]), where,
+        F.concat_ws(", ", *changed, *[F.concat(F.lit(f"{name[c]} = "), value(c)) for c in cols]),
+        F.lit(" WHERE "), found,
     )
     delete = F.concat(F.lit("DELETE FROM "), target, where)
     stmt = F.when(_kind() == INSERT, insert).when(_kind() == UPDATE, update).when(_kind() == DELETE, delete)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import alter, changelog, inspect, verify
 from ..operators.inspect import KeySpec
 from ..sources import sinks
+from . import staging
 
 
 class MigrationError(RuntimeError):
@@ -29,6 +30,7 @@ def migrate_table(
     name: str,
     version: int | None = None,
     path: str | None = None,
+    before_key: str | None = None,
 ) -> DataFrame:
     """Alter, catch up with the log, verify and publish a table.
 
@@ -37,7 +39,8 @@ def migrate_table(
     or what the log leads to has values that the new schema would reject or
     cut, if an added unique or primary key does not hold, or if the written
     rows differ from those that come of altering the snapshot and the log
-    apart. The old version stays published then.
+    apart. The old version stays published then. ``before_key`` names the log's
+    column with the old value of a key of one column, if updates may change it.
     """
     altered = alter.alter_table(snapshot, ops)
     new_name = dict(alter.column_pairs(snapshot, ops).shared)
@@ -49,12 +52,18 @@ def migrate_table(
     key = picked["key_columns"].split(",")
     new_key = [new_name[c] for c in key]
 
-    caught_up = changelog.apply_changes(snapshot, log, key)
+    if before_key is not None and len(key) > 1:
+        raise MigrationError(f"the old values of {', '.join(key)} are not one column")
+
+    # written once: the audit and the new version both read it
+    spark = snapshot.sparkSession
+    place = staging.new_path(spark, "caught-up")
+    caught_up = staging.stage_at(changelog.apply_changes(snapshot, log, key, before_key=before_key), place)
     for audited in (snapshot, caught_up):
         rejected = alter.cast_audit(audited, ops).where("bad_rows > 0").collect()
         if rejected:
             raise MigrationError(f"rows the new schema rejects: {rejected}")
-    again = changelog.apply_changes(altered, alter.alter_table(log, ops), new_key)
+    again = changelog.apply_changes(altered, alter.alter_table(log, ops), new_key, before_key=before_key)
     pairs = [(c, c) for c in altered.columns if c not in new_key]
 
     def check(written: DataFrame) -> None:
@@ -68,4 +77,7 @@ def migrate_table(
                 except alter.AlterError as failed:
                     raise MigrationError(str(failed)) from failed
 
-    return sinks.publish(alter.alter_table(caught_up, ops), name, version, path, check=check)
+    try:
+        return sinks.publish(alter.alter_table(caught_up, ops), name, version, path, check=check)
+    finally:
+        staging.drop_path(spark, place)

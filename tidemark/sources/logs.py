@@ -10,7 +10,7 @@ from ..functions import coords
 CHANGE_LOG_SCHEMA = (
     "file string, pos bigint, tx_id bigint, db string, tbl string, event_type string, "
     "o_orderkey bigint, o_custkey bigint, o_orderstatus string, price_cents bigint, "
-    "st_before string, cents_before bigint"
+    "st_before string, cents_before bigint, key_before bigint"
 )
 
 

@@ -12,25 +12,27 @@ from .tables import register
 
 CHANGE_LOG_COLUMNS = (
     "file pos tx_id db tbl event_type o_orderkey o_custkey o_orderstatus "
-    "price_cents st_before cents_before"
+    "price_cents st_before cents_before key_before"
 ).split()
 
 CHANGE_LOG = """
-WITH e(step) AS (VALUES (1),(2),(3),(4),(5),(6)),
+WITH e(step) AS (VALUES (1),(2),(3),(4),(5),(6),(7),(8)),
 o AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(round(o_totalprice*100) AS BIGINT) AS cents FROM orders),
 d AS (
- SELECT 1 AS step, 'UpdateRows' AS event_type, o_orderkey AS k, o_custkey, 'U' AS st, cents+100 AS cents_after, CASE WHEN o_orderkey%500<>5 THEN o_orderstatus END AS st_before, CASE WHEN o_orderkey%500<>5 THEN cents END AS cents_before FROM o WHERE o_orderkey%5=0
- UNION ALL SELECT 2,'UpdateRows',o_orderkey,o_custkey,CAST(NULL AS STRING),cents+200,'U',cents+100 FROM o WHERE o_orderkey%10=0
- UNION ALL SELECT 3,'DeleteRows',o_orderkey,CAST(NULL AS BIGINT),CAST(NULL AS STRING),CAST(NULL AS BIGINT),CAST(NULL AS STRING),cents+200 FROM o WHERE o_orderkey%20=0
- UNION ALL SELECT 4,'WriteRows',o_orderkey+10000000,o_custkey,'N',cents,CAST(NULL AS STRING),CAST(NULL AS BIGINT) FROM o WHERE o_orderkey%25=0
- UNION ALL SELECT 5,'WriteRows',o_orderkey,o_custkey,'R',cents+500,CAST(NULL AS STRING),CAST(NULL AS BIGINT) FROM o WHERE o_orderkey%40=0 OR o_orderkey%70=0
- UNION ALL SELECT 6,'UpdateRows',o_orderkey+20000000,o_custkey,'X',cents,'X',cents FROM o WHERE o_orderkey%50=0)
+ SELECT 1 AS step, 'UpdateRows' AS event_type, o_orderkey AS k, o_custkey, 'U' AS st, cents+100 AS cents_after, CASE WHEN o_orderkey%500<>5 THEN o_orderstatus END AS st_before, CASE WHEN o_orderkey%500<>5 THEN cents END AS cents_before, o_orderkey AS k_before FROM o WHERE o_orderkey%5=0
+ UNION ALL SELECT 2,'UpdateRows',o_orderkey,o_custkey,CAST(NULL AS STRING),cents+200,'U',cents+100,o_orderkey FROM o WHERE o_orderkey%10=0
+ UNION ALL SELECT 3,'DeleteRows',o_orderkey,CAST(NULL AS BIGINT),CAST(NULL AS STRING),CAST(NULL AS BIGINT),CAST(NULL AS STRING),cents+200,o_orderkey FROM o WHERE o_orderkey%20=0
+ UNION ALL SELECT 4,'WriteRows',o_orderkey+10000000,o_custkey,'N',cents,CAST(NULL AS STRING),CAST(NULL AS BIGINT),CAST(NULL AS BIGINT) FROM o WHERE o_orderkey%25=0
+ UNION ALL SELECT 5,'WriteRows',o_orderkey,o_custkey,'R',cents+500,CAST(NULL AS STRING),CAST(NULL AS BIGINT),CAST(NULL AS BIGINT) FROM o WHERE o_orderkey%40=0 OR o_orderkey%70=0
+ UNION ALL SELECT 6,'UpdateRows',o_orderkey+20000000,o_custkey,'X',cents,'X',cents,o_orderkey+20000000 FROM o WHERE o_orderkey%50=0
+ UNION ALL SELECT 7,'UpdateRows',o_orderkey+30000000,o_custkey,'M',cents+700,o_orderstatus,cents,o_orderkey FROM o WHERE o_orderkey%15=5
+ UNION ALL SELECT 8,'UpdateRows',o_orderkey,o_custkey,'B',cents+800,'M',cents+700,o_orderkey+30000000 FROM o WHERE o_orderkey%45=5)
 SELECT 'binlog.' || CAST(8+step AS STRING) AS file, CAST(120+(k%10000000)*8 AS BIGINT) AS pos,
  CAST(step*1000000+floor((k%10000000)/100) AS BIGINT) AS tx_id, 'shop' AS db,
- CASE WHEN k%7=6 THEN 'other' ELSE 'orders' END AS tbl, event_type, k AS o_orderkey, o_custkey, st AS o_orderstatus, cents_after AS price_cents, st_before, cents_before
+ CASE WHEN k%7=6 THEN 'other' ELSE 'orders' END AS tbl, event_type, k AS o_orderkey, o_custkey, st AS o_orderstatus, cents_after AS price_cents, st_before, cents_before, k_before AS key_before
 FROM d
-UNION ALL SELECT 'binlog.' || CAST(8+step AS STRING), 4, CAST(NULL AS BIGINT), '', '', 'Rotate', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT) FROM e
-UNION ALL SELECT 'binlog.9', 100+r_regionkey, CAST(NULL AS BIGINT), 'shop', '', 'Query', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT) FROM region
+UNION ALL SELECT 'binlog.' || CAST(8+step AS STRING), 4, CAST(NULL AS BIGINT), '', '', 'Rotate', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM e
+UNION ALL SELECT 'binlog.9', 100+r_regionkey, CAST(NULL AS BIGINT), 'shop', '', 'Query', CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM region
 """
 
 HINTS = """

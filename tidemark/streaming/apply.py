@@ -17,6 +17,7 @@ def stream_apply(
     log: DataFrame, snapshot: DataFrame, key: Key, state_path: str, checkpoint: str,
     on_batch: Callable[[DataFrame, int], None] | None = None,
     rewrite: Callable[[DataFrame], DataFrame] | None = None,
+    before_key: Key | None = None,
 ) -> DataFrame:
     """Replay a streamed change log over a snapshot.
 
@@ -25,7 +26,8 @@ def stream_apply(
     in any order and any number of times, so a batch run again, files out of
     order or a key split over batches change nothing. ``on_batch`` gets each
     micro-batch before it is stored; ``rewrite`` may change the events, for
-    example to apply an ALTER to them or to map them in pandas.
+    example to apply an ALTER to them or to map them in pandas. With
+    ``before_key`` updates may change the key.
     """
     cols = [c for c in snapshot.columns if c not in key_columns(key)]
 
@@ -33,10 +35,10 @@ def stream_apply(
         if on_batch is not None:
             on_batch(batch, batch_id)
         events = batch if rewrite is None else rewrite(batch)
-        write_batch(changelog.compact_changes(events, key, cols), state_path, batch_id)
+        write_batch(changelog.compact_changes(events, key, cols, before_key), state_path, batch_id)
 
     sample = _static(log)
-    schema = changelog.compact_changes(sample if rewrite is None else rewrite(sample), key, cols).schema
+    schema = changelog.compact_changes(sample if rewrite is None else rewrite(sample), key, cols, before_key).schema
     runner.for_each_batch(log, handle, checkpoint)
     parts = read_batches(snapshot.sparkSession, state_path, schema)
     return changelog.apply_compacted(snapshot, changelog.combine_compacted(parts, key), key)

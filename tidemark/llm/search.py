@@ -97,15 +97,17 @@ class Sketches:
             known.clear()
         columns, width = self.block.column, self.block.weights.shape[0]
         for terms in docs:
-            for term in terms.keys() - known.keys():
-                known[term] = int(columns[self.block.coordinate(term)])
+            for term in terms:
+                if term not in known:
+                    known[term] = int(columns[self.block.coordinate(term)])
         sizes = [len(terms) for terms in docs]
         column = np.array([known[t] for terms in docs for t in terms], dtype=np.int64)
         tf = np.array([n for terms in docs for n in terms.values()], dtype=np.int64)
-        row = np.repeat(np.arange(len(docs)), sizes)
-        out = np.zeros((len(docs), width + 1))
-        np.maximum.at(out, (row, column), impact(tf, np.repeat(np.array(norms, dtype=np.int64), sizes)).astype(float))
-        return out[:, :width]
+        wanted = np.flatnonzero(column < width)
+        row, norm = (np.repeat(np.asarray(x, dtype=np.int64), sizes)[wanted] for x in (range(len(docs)), norms))
+        out = np.zeros(len(docs) * width)
+        np.maximum.at(out, row * width + column[wanted], impact(tf[wanted], norm).astype(float))
+        return out.reshape(len(docs), width)
 
     def bounds(self, docs: list[Counter], norms: list[int]) -> np.ndarray:
         """An upper bound of the score of each document (row) for each query (column)."""

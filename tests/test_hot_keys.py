@@ -1,5 +1,7 @@
 """The paths for hot keys and large inputs give the same rows as the plain ones."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from tidemark.plans import sizes, skew
 from tidemark.sources.tables import table
 
 D = "/root/testdata/sf0.001"
+T0 = datetime(2024, 1, 1)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +23,7 @@ def con():
 
 
 def test_heartbeat_gaps(spark, con):
-    assert compare(hints.heartbeat_gaps(c_hints.hints(spark, D), c_hints.MAX_GAP_MS, 3), con, c_hints.HEARTBEAT_GAPS) == []
+    assert compare(hints.heartbeat_gaps(c_hints.hints(spark, D), c_hints.MAX_GAP_MS, 10), con, c_hints.HEARTBEAT_GAPS) == []
 
 
 def test_heartbeat_lag(spark, con):
@@ -47,7 +50,7 @@ def test_duration_text(spark, con):
 
 def test_rate_limit(spark, con):
     events = table(spark, D, "events").select("event_id", "user_id", "ts", "event_type")
-    assert compare(flow.rate_limit(events, "user_id", "ts", "event_id", c_flow.GAP_MS, 5), con, c_flow.RATE_LIMIT) == []
+    assert compare(flow.rate_limit(events, "user_id", "ts", "event_id", c_flow.GAP_MS, 20), con, c_flow.RATE_LIMIT) == []
 
 
 def test_current_file_with_many_rotations(spark, con):
@@ -79,7 +82,7 @@ def test_numbering_over_partitions(spark, con):
 
 
 def test_apply_changes_by_full_join(spark, con):
-    got = changelog.apply_changes(c_log.snapshot(spark, D), c_log.rows(spark, D), c_log.KEY, broadcast=False)
+    got = changelog.apply_changes(c_log.snapshot(spark, D), c_log.rows(spark, D), c_log.KEY, broadcast=False, before_key=c_log.KEY_BEFORE)
     assert compare(got, con, c_log.APPLY_CHANGES) == []
 
 
@@ -88,10 +91,11 @@ def test_one_key_with_a_third_of_the_rows(spark):
         F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), "id",
         F.timestamp_micros(F.col("id") * 1000).cast("timestamp_ntz").alias("ts"),
     )
-    seg = skew.segment(df, ["k"], ["id"], F.col("id"), 100)
+    seg = skew.segment(df, ["k"], ["id"], 100)
     assert seg.split
-    sizes = seg.df.where(skew.HOT).groupBy(skew.SEG).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 100 and sizes.count() >= 10
+    sizes = seg.df.groupBy(skew.SEG).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 200 and sizes.count() >= 30
+    assert seg.df.where(F.col(skew.HOT) & (F.col("k") == 0)).count() == 1000
     total = skew.running_sum(seg, F.lit(1), "n").done()
     hot = total.where("k = 0").orderBy("id").select("n").collect()
     assert [r.n for r in hot] == list(range(1, 1001))
@@ -100,11 +104,63 @@ def test_one_key_with_a_third_of_the_rows(spark):
 
 def test_null_key_can_be_hot(spark):
     df = spark.range(500).select(F.lit(None).cast("string").alias("k"), "id")
-    seg = skew.segment(df, ["k"], ["id"], F.col("id"), 50)
+    seg = skew.segment(df, ["k"], ["id"], 50)
     got = skew.last_before(seg, F.col("id"), "p").done().orderBy("id").collect()
     assert seg.split and [r.p for r in got] == [None, *range(499)]
 
 
+def test_a_burst_is_cut_by_rows(spark):
+    """99 % of a key at one time: no segment above twice the limit, and the same sums and predecessors."""
+    df = spark.range(2000).select(
+        F.lit("a").alias("k"), F.when(F.col("id") < 1980, F.lit(7)).otherwise(F.col("id")).alias("t"), "id")
+    seg = skew.segment(df, ["k"], ["t", "id"], 100)
+    assert seg.df.groupBy(skew.SEG).count().agg(F.max("count")).first()[0] <= 200
+    got = skew.running_sum(seg, F.col("id"), "sum").done().orderBy("id").collect()
+    assert [r["sum"] for r in got] == [i * (i + 1) // 2 for i in range(2000)]
+    # rows that agree in the whole order are cut as well
+    same = skew.segment(df.select("k", F.lit(1).alias("t"), "id"), ["k"], ["t"], 100)
+    assert same.df.groupBy(skew.SEG).count().agg(F.max("count")).first()[0] <= 200
+    assert sorted(r.n for r in skew.running_sum(same, F.lit(1), "n").done().collect()) == list(range(1, 2001))
+    whole = skew.segment(df, [], ["t", "id"], 100)
+    assert [r.p for r in skew.last_before(whole, F.col("id"), "p").done().orderBy("id").collect()] == [None, *range(1999)]
+
+
+@pytest.mark.parametrize("gap_ms, limit", [(1, 20), (40, 20), (700, 15), (100_000, 30)])
+def test_rate_limit_of_a_hot_key_equals_a_replay(spark, gap_ms, limit):
+    """Gaps shorter than a segment, and longer than every segment; a burst in between; null keys."""
+    rng = np.random.default_rng(gap_ms)
+    times = np.concatenate([np.sort(rng.integers(0, 60_000, 500)), np.full(120, 30_000), [200_000]])
+    rows = [("h", int(t), i) for i, t in enumerate(times)] + [(None, int(t), 1000 + i) for i, t in enumerate(times[:90])] + [("c", 5, 5000), ("c", 6, 5001)]
+    df = spark.createDataFrame(rows, "k string, ms long, id long").select(
+        "k", "id", "ms", F.timestamp_millis("ms").cast("timestamp_ntz").alias("ts"))
+    got = flow.rate_limit(df, "k", "ts", "id", gap_ms, limit).collect()
+    for key in ("h", None, "c"):
+        own = sorted((ms, i) for k, ms, i in rows if k == key)
+        kept, free = [], None
+        for ms, i in own:
+            if free is None or ms >= free:
+                kept.append(i)
+                free = ms + gap_ms
+        assert sorted(r.id for r in got if r.k == key) == sorted(kept)
+
+
+def test_no_gap_keeps_all(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, T0)], "k string, id int, ts timestamp_ntz")
+    assert [r.id for r in flow.rate_limit(df, "k", "ts", "id", 0).collect()] == [2]
+
+
+def test_many_rotations_equal_the_inline_form(spark):
+    """Rotations at every third position; long positions and file numbers need no clamp."""
+    rows = spark.range(3000).select(
+        F.concat(F.lit("b."), (2**33 + F.floor(F.col("id") / 100)).cast("string")).alias("file"),
+        (2**40 + F.col("id") % 100 * 10).alias("pos"), F.when(F.col("id") % 3 == 0, changelog.ROTATE).otherwise(changelog.INSERT).alias("event_type"))
+    few = rows.where("pos < 1099511627800 OR event_type <> 'Rotate'")
+    for log in (few, rows.limit(300)):
+        inline = changelog.current_file(log, 10_000)
+        carried = changelog.current_file(log, 2, 50)
+        assert sorted(map(str, inline.collect())) == sorted(map(str, carried.collect()))
+
+
 def _replay(us, gap):
     kept, free = [], None
     for t in us:
@@ -130,6 +186,6 @@ def test_exit_table_matches_replay(seed):
 def test_planned_size_is_known(spark):
     lines = table(spark, D, "lineitem")
     assert 0 < sizes.planned_bytes(lines.select("l_orderkey")) < sizes.planned_bytes(lines) < sizes.SMALL_INPUT_BYTES
-    assert not skew.segment(lines, ["l_orderkey"], ["l_linenumber"], F.col("l_linenumber").cast("bigint")).split
+    assert not skew.segment(lines, ["l_orderkey"], ["l_linenumber"]).split
     assert sizes.bounded_rows(lines, 10) is None
     assert len(sizes.bounded_rows(table(spark, D, "region"), 10)) == 5

@@ -1,5 +1,6 @@
 """Streams: any split of a log, repeated batches, late rows, state between batches."""
 
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -10,7 +11,6 @@ from tidemark.operators import changelog as op, flow
 from tidemark.sources.logs import read_change_log, write_change_log
 from tidemark.catalog import changelog as c_log
 from tidemark.streaming import apply, monitor, runner
-from tidemark.streaming.state import VersionedState
 from tidemark.streaming.status import StatusListener
 
 LOG = "file string, pos bigint, event_type string, k bigint, v string"
@@ -69,33 +69,53 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert sorted((r.window_start, r.events) for r in got.collect()) == [(at(0), 1), (at(9), 2)]
 
 
-def test_state_is_carried_between_batches(spark, tmp_path):
-    beats = "job bigint, id bigint, hint string, ts timestamp_ntz"
-    stream = folder(
-        spark, tmp_path / "in", beats,
-        [(1, 1, "heartbeat", T0)], [(1, 2, "other", T0)], [(1, 3, "heartbeat", T0 + timedelta(seconds=5))],
-    )
-    got = monitor.stream_heartbeat_monitor(stream, 1000, str(tmp_path / "s"), str(tmp_path / "o"), str(tmp_path / "c"))
-    assert sorted((r.id, r.gap_ms, r.late) for r in got.collect()) == [(1, None, False), (3, 5000, True)]
+BEATS = "job bigint, id bigint, hint string, ts timestamp_ntz"
+
+
+def test_beats_and_silence(spark, tmp_path):
+    """A silence comes with the watermark, not with the next beat; at the end of the input every job is silent."""
+    at = lambda s: T0 + timedelta(seconds=s)
+    parts = [[(1, 1, "heartbeat", at(0)), (2, 7, "heartbeat", at(1))], [(1, 2, "other", at(60))], [(1, 3, "heartbeat", at(5)), (None, 9, "heartbeat", at(5))]]
+    run = lambda: sorted(
+        (r.job, (r.ts - T0).total_seconds(), r.id, r.gap_ms, r.late, r.silent)
+        for r in monitor.stream_heartbeat_monitor(stream, 1000, "10 minutes", str(tmp_path / "o"), str(tmp_path / "c")).collect())
+    stream = folder(spark, tmp_path / "in", BEATS, *parts)
+    assert run() == []  # all may still be late
+    stream = folder(spark, tmp_path / "in", BEATS, [(3, 4, "other", at(602.5))])
+    assert run() == [(1, 0.0, 1, None, False, False), (1, 1.001, None, 1001, True, True), (2, 1.0, 7, None, False, False), (2, 2.001, None, 1001, True, True)]
+    runner.close_folder(spark, str(tmp_path / "in"), BEATS, "ts")
+    stream = runner.read_folder(spark, str(tmp_path / "in"), BEATS, 1)
+    assert run() == [
+        (1, 0.0, 1, None, False, False), (1, 1.001, None, 1001, True, True), (1, 5.0, 3, 5000, True, False), (1, 6.001, None, 1001, True, True),
+        (2, 1.0, 7, None, False, False), (2, 2.001, None, 1001, True, True)]
 
 
-@pytest.mark.parametrize("max_rows", [2_000_000, 3])
-def test_rate_limit_over_batches(spark, tmp_path, max_rows):
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_rate_limit_with_files_in_any_order(spark, tmp_path, seed):
     times = [T0 + timedelta(milliseconds=m) for m in (0, 40, 110, 150, 209, 211, 300, 420, 421, 600)]
-    rows = [(1, i, t) for i, t in enumerate(times)]
-    stream = folder(spark, tmp_path / "in", "k bigint, id bigint, ts timestamp_ntz", rows[:4], rows[4:7], rows[7:])
-    got = monitor.stream_rate_limit(stream, "k", "ts", "id", 100, *(str(tmp_path / x) for x in "soc"), max_rows)
-    assert sorted(r.id for r in got.collect()) == [0, 2, 5, 7, 9]
-    batch = flow.rate_limit(spark.createDataFrame(rows, "k bigint, id bigint, ts timestamp_ntz"), "k", "ts", "id", 100, max_rows)
-    assert sorted(r.id for r in batch.collect()) == [0, 2, 5, 7, 9]
-
-
-def test_versioned_state_replays(spark, tmp_path):
-    state = VersionedState(spark, str(tmp_path / "v"), "k bigint")
-    assert state.before(0).count() == 0
-    for i in (0, 1, 1, 2):
-        state.after(i, state.before(i).union(spark.createDataFrame([(i,)], "k bigint")))
-    assert sorted(r.k for r in state.before(3).collect()) == [0, 1, 2]
+    rows = [(1, i, t, f"x{i}") for i, t in enumerate(times)]
+    schema = "k bigint, id bigint, ts timestamp_ntz, v string"
+    want = sorted(map(tuple, flow.rate_limit(spark.createDataFrame(rows, schema), "k", "ts", "id", 100, 3).collect()))
+    assert [r[1] for r in want] == [0, 2, 5, 7, 9]
+    if seed is not None:
+        random.Random(seed).shuffle(rows)
+    folder(spark, tmp_path / "in", schema, rows[:4], rows[4:7], rows[7:])
+    runner.close_folder(spark, str(tmp_path / "in"), schema, "ts")
+    stream = runner.read_folder(spark, str(tmp_path / "in"), schema, 1)
+    got = monitor.stream_rate_limit(stream, "k", "ts", "id", 100, "1 minute", str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_throttle_changes_with_files_in_any_order(spark, tmp_path):
+    schema = "tick bigint, ts timestamp_ntz, replica string, lag_s bigint, threads_running bigint, query_value int, user_flag boolean"
+    lags = [0, 0, 500, 600, 0, 0, 700, 0]
+    rows = [(i, T0 + timedelta(seconds=i // 2), "r", lag, 1, 0, False) for i, lag in enumerate(lags)]
+    folder(spark, tmp_path / "in", schema, rows[5:], rows[:2], rows[2:5])
+    runner.close_folder(spark, str(tmp_path / "in"), schema, "ts")
+    stream = runner.read_folder(spark, str(tmp_path / "in"), schema, 1)
+    got = monitor.stream_throttle(stream, flow.Limits(), "1 minute", str(tmp_path / "o"), str(tmp_path / "c"))
+    assert [(r.tick, r.previous_reason, r.reason) for r in got.orderBy("tick").collect()] == [
+        (2, flow.NONE, flow.LAG), (4, flow.LAG, flow.NONE), (6, flow.NONE, flow.LAG), (7, flow.LAG, flow.NONE)]
 
 
 def test_log_reader_skips_earlier_files(spark, tmp_path):

@@ -34,6 +34,13 @@ def _stream(spark, df, label, files=1):
     return runner.read_folder(spark, _in_time_order(spark, df, label), df.schema, files)
 
 
+def _closed_stream(spark, df, label):
+    """As ``_stream``, with the end marker that lets the whole input come out."""
+    path = _in_time_order(spark, df, label)
+    runner.close_folder(spark, path, df.schema, "ts")
+    return runner.read_folder(spark, path, df.schema, 1)
+
+
 def _log_stream(spark, d):
     path = new_path(spark, "log-stream")
     log = changelog.log(spark, d)
@@ -56,29 +63,27 @@ def stream_latest(spark, d):
 def stream_event_counts(spark, d):
     events = table(spark, d, "events").select("ts", "event_type")
     return monitor.stream_event_counts(
-        _stream(spark, events, "events"), "ts", "event_type", "1 hour", _DELAY, new_path(spark, "counts"), new_path(spark, "cp")
+        _closed_stream(spark, events, "events"), "ts", "event_type", "1 hour", _DELAY, new_path(spark, "counts"), new_path(spark, "cp")
     )
 
 
 STREAM_EVENT_COUNTS = """
-SELECT * FROM (SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS events
- FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type FROM events) GROUP BY ALL)
-WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 8 DAY
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS events
+FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type FROM events) GROUP BY ALL
 """
 
 
 def stream_rate_limit(spark, d):
     events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
     return monitor.stream_rate_limit(
-        _stream(spark, events, "events"), "user_id", "ts", "event_id", flow.GAP_MS,
-        new_path(spark, "state"), new_path(spark, "kept"), new_path(spark, "cp"),
+        _closed_stream(spark, events, "events"), "user_id", "ts", "event_id", flow.GAP_MS, _DELAY,
+        new_path(spark, "kept"), new_path(spark, "cp"),
     )
 
 
 def stream_throttle(spark, d):
     return monitor.stream_throttle(
-        _stream(spark, flow.metrics(spark, d), "metrics"), flow.LIMITS,
-        new_path(spark, "state"), new_path(spark, "changes"), new_path(spark, "cp"),
+        _closed_stream(spark, flow.metrics(spark, d), "metrics"), flow.LIMITS, _DELAY, new_path(spark, "changes"), new_path(spark, "cp"),
     )
 
 
@@ -90,11 +95,19 @@ SELECT * FROM (SELECT replica, tick, ts, coalesce(lag(reason) OVER (PARTITION BY
 
 def stream_heartbeat_monitor(spark, d):
     return monitor.stream_heartbeat_monitor(
-        _stream(spark, hints.hints(spark, d), "hints"), hints.MAX_GAP_MS,
-        new_path(spark, "state"), new_path(spark, "gaps"), new_path(spark, "cp"),
+        _closed_stream(spark, hints.hints(spark, d), "hints"), hints.MAX_GAP_MS, _DELAY,
+        new_path(spark, "gaps"), new_path(spark, "cp"),
     )
 
 
+# a job is silent after each beat whose next one is late or missing
+STREAM_HEARTBEAT_MONITOR = hints.HEARTBEAT_GAPS.replace("SELECT *, coalesce(gap_ms", f"""
+SELECT job, NULL AS id, ts + INTERVAL {hints.MAX_GAP_MS + 1} MILLISECOND AS ts, ts AS previous_ts, {hints.MAX_GAP_MS + 1} AS gap_ms, TRUE AS silent, TRUE AS late
+FROM (SELECT job, ts, lead(ts) OVER (PARTITION BY job ORDER BY id) AS next_ts FROM hints WHERE hint = 'heartbeat')
+WHERE next_ts IS NULL OR (epoch_us(next_ts) - epoch_us(ts)) // 1000 > {hints.MAX_GAP_MS}
+UNION ALL SELECT job, id, ts, previous_ts, gap_ms, FALSE, coalesce(gap_ms""", 1)
+
+
 def stream_dedupe(spark, d):
     """Every transaction arrives twice."""
     seen = changelog.gtids_with_time(spark, d).select("event_id", "gtid", "ts")
@@ -112,6 +125,6 @@ QUERIES = {
     "stream_event_counts": (stream_event_counts, STREAM_EVENT_COUNTS),
     "stream_rate_limit": (stream_rate_limit, flow.RATE_LIMIT),
     "stream_throttle": (stream_throttle, STREAM_THROTTLE),
-    "stream_heartbeat_monitor": (stream_heartbeat_monitor, hints.HEARTBEAT_GAPS),
+    "stream_heartbeat_monitor": (stream_heartbeat_monitor, STREAM_HEARTBEAT_MONITOR),
     "stream_dedupe": (stream_dedupe, STREAM_DEDUPE),
 }

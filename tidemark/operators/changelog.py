@@ -444,7 +444,7 @@ def current_file(log: DataFrame, max_inline: int = MAX_INLINE_ROTATIONS,
     """File in force at each event: the one named by the last rotation so far.
 
     A few rotations become one expression, so the log is not moved. Many are
-    carried along the ordered log.
+    carried along the log in range partitions of its position.
     """
     events = with_sequence(log)
     turns = events.where(_kind() == ROTATE).select("seq", "pos", "file")
@@ -455,11 +455,10 @@ def current_file(log: DataFrame, max_inline: int = MAX_INLINE_ROTATIONS,
             name = F.when(coords.at_or_after(F.col("seq"), F.col("pos"), r["seq"], r["pos"]), r["file"]).otherwise(name)
         return events.withColumn("current_file", name)
     # any other event at the same position comes after the rotation
-    tagged = events.withColumn("_one", F.lit(1)).withColumn("_rank", F.when(_kind() == ROTATE, 0).otherwise(1))
-    step = F.least(F.col("seq"), F.lit(2**28)) * F.lit(2**34) + F.least(F.col("pos"), F.lit(2**34 - 1))
-    seg = skew.segment(tagged, ["_one"], ["seq", "pos", "_rank"], step, max_group_rows)
+    tagged = events.withColumn("_rank", F.when(_kind() == ROTATE, 0).otherwise(1))
+    seg = skew.segment(tagged, [], ["seq", "pos", "_rank"], max_group_rows)
     seg = skew.last_before(seg, F.when(_kind() == ROTATE, F.col("file")), "current_file", inclusive=True)
-    return seg.done("_one", "_rank")
+    return seg.done("_rank")
 
 
 def log_files(log: DataFrame) -> DataFrame:

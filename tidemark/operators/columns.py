@@ -365,7 +365,7 @@ def duration_text(
     df: DataFrame, key: str, ts: str, order: str, max_group_rows: int = skew.MAX_GROUP_ROWS
 ) -> DataFrame:
     """Time since the row before it of the same key, as text in three forms."""
-    seg = skew.segment(df, [key], [ts, order], times.to_unix_micros(F.col(ts)), max_group_rows)
+    seg = skew.segment(df, [key], [ts, order], max_group_rows)
     rows = skew.last_before(seg, F.col(ts), "_previous").done()
     # the first row of a key has waited -1 seconds
     gap = F.coalesce(times.seconds_between(F.col("_previous"), F.col(ts)), F.lit(-1.0))

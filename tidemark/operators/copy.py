@@ -218,7 +218,7 @@ def copy_progress(
     totals = base.groupBy(F.col(job).alias("_job")).agg(
         F.sum(rows).alias("total_rows"), F.min("_us").alias("_start")
     )
-    seg = skew.segment(base, [job], list(order), F.col("_us"), max_group_rows)
+    seg = skew.segment(base, [job], list(order), max_group_rows)
     seg = skew.running_sum(seg, F.col(rows), "copied_rows")
     df = seg.done().join(totals, F.col(job).eqNullSafe(F.col("_job"))).drop("_job")
     copied, total = F.col("copied_rows").cast("double"), F.col("total_rows").cast("double")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans import skew
+from ..plans import skew, staging
 
 # Names of the reasons to slow down.
 NONE, LAG, LOAD, CRITICAL = "None", "Replication Lag", "Max Load", "Critical Load"
@@ -65,9 +65,7 @@ def max_lag(metrics: DataFrame, width: str = "1 hour") -> DataFrame:
 
 def _throttled(metrics: DataFrame, limits: Limits, max_group_rows: int) -> skew.Segmented:
     marked = throttle_decision(metrics, limits)
-    return skew.segment(
-        marked, ["replica"], ["ts", "tick"], F.unix_micros(F.col("ts").cast("timestamp")), max_group_rows
-    )
+    return skew.segment(marked, ["replica"], ["ts", "tick"], max_group_rows)
 
 
 def throttle_periods(metrics: DataFrame, limits: Limits, max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
@@ -140,12 +138,13 @@ def active_sessions(events: DataFrame, ts: str, active: Column, width: str = "1
 # --- rate limit -------------------------------------------------------------
 #
 # Keep a row only if enough time has passed since the last row kept. Within a
-# key this is a chain, so a hot key is cut into segments: each segment first
-# says, for every time the chain may enter it, when the chain leaves it; then
-# the segments of a key are walked once to find where the chain enters each;
-# then all segments mark their rows.
+# key this is a chain. A hot key is cut into segments: each one first says, for
+# every time the chain may enter it, when the chain leaves it. An exit points to
+# the entry it leads to, in a later segment. Doubling these pointers finds the
+# entries that the chain takes in a few joins; then all segments mark their rows.
 
-_FAR = -(2**62)  # before any time
+FAR = -(2**62)  # before any time
+_NEVER = 2**62  # after any time
 
 
 def _jumps(us: np.ndarray, gap: int) -> np.ndarray:
@@ -180,7 +179,7 @@ def kept_rows(us: np.ndarray, starts: np.ndarray, free_at: list[int], gap: int)
     """
     keep = np.zeros(len(us), dtype=bool)
     ends = np.append(starts[1:], len(us))
-    free = _FAR
+    free = FAR
     for begin, end, free in zip(starts.tolist(), ends.tolist(), free_at):
         part = us[begin:end]
         i = int(np.searchsorted(part, free, side="left"))
@@ -196,39 +195,31 @@ def kept_rows(us: np.ndarray, starts: np.ndarray, free_at: list[int], gap: int)
 
 
 def rate_limit(
-    df: DataFrame, key: str, ts: str, order: str, ms: int,
-    max_group_rows: int = skew.MAX_GROUP_ROWS, start: DataFrame | None = None, total_rows: int | None = None,
+    df: DataFrame, key: str, ts: str, order: str, ms: int, max_group_rows: int = skew.MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Keep a row only if at least ``ms`` have passed since the last kept row of its key.
 
     The first row of a key is kept; rows with equal times are taken by
-    ``order``, rows without a time are left out. ``start`` may tell per key (``key``, ``free_at`` in
-    microseconds) when the next row is allowed. Tasks pass over their sorted
-    rows batch by batch and hold no group in memory.
+    ``order``, rows without a time are left out. Without a gap all others stay.
+    Tasks pass over their sorted rows batch by batch and hold no group in memory.
     """
     gap = ms * 1000
-    base = df.where(F.col(ts).isNotNull()).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    seg = skew.segment(base, [key], ["_us", order], F.col("_us"), max_group_rows, total_rows)
-    if start is None:
-        ready = seg.df.withColumn("_first", F.lit(_FAR))
-    else:
-        known = start.select(F.col(key).alias("_known"), F.col("free_at").alias("_first"))
-        ready = (
-            seg.df.join(known, seg.df[key].eqNullSafe(known["_known"]), "left")
-            .drop("_known").fillna({"_first": _FAR})
-        )
-    seg = skew.Segmented(ready, seg.keys, seg.order, seg.split)
-    entered = _with_entry(seg, key, gap) if seg.split else seg.df.withColumn("_free", F.lit(None).cast("bigint"))
+    base = df.where(F.col(ts).isNotNull())
+    if gap <= 0:
+        return base
+    base = base.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    seg = skew.segment(base, [key], ["_us", order], max_group_rows)
+    entered = _with_entry(seg, key, gap, max_group_rows) if seg.split else seg.df.withColumn("_free", F.lit(FAR))
     names = df.columns
     grouped = [key, skew.SEG]
     ready = (
-        entered.select(*names, skew.SEG, "_us", F.coalesce("_free", "_first").alias("_free"))
+        entered.select(*names, skew.SEG, "_us", "_free")
         .repartition(*(grouped if seg.split else grouped[:1]))
         .sortWithinPartitions(*grouped, "_us", order)
     )
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_group, open_free = None, _FAR
+        open_group, open_free = None, FAR
         for batch in batches:
             n = batch.num_rows
             if n == 0:
@@ -250,43 +241,62 @@ def rate_limit(
     return ready.mapInArrow(mark, df.schema)
 
 
-def _with_entry(seg: skew.Segmented, key: str, gap: int) -> DataFrame:
-    """Add ``_free``, when the chain of a hot key may enter the segment."""
+def _with_entry(seg: skew.Segmented, key: str, gap: int, max_group_rows: int) -> DataFrame:
+    """Add ``_free``, when the chain of a hot key may enter the segment; never where it passes a segment by."""
     key_type = seg.df.schema[key].dataType
     steps_schema = T.StructType([
-        T.StructField(key, key_type), T.StructField(skew.SEG, T.LongType()), T.StructField("_first", T.LongType()),
-        T.StructField("_limit", T.LongType()), T.StructField("_leave", T.LongType()),
+        T.StructField("k", key_type), *(T.StructField(c, T.LongType()) for c in ("s", "t", "leave")),
     ])
 
     def steps(group: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(group["_us"].to_numpy(np.int64))
-        limit, leave = exit_table(us, gap)
-        head = group.iloc[0]
-        return pd.DataFrame({
-            key: [group[key].iloc[0]] * len(limit), skew.SEG: int(head[skew.SEG]), "_first": int(group["_first"].iloc[0]),
-            "_limit": limit, "_leave": leave,
-        })
-
-    tables = (
-        seg.df.where(skew.HOT).select(key, skew.SEG, "_first", "_us")
-        .groupBy(key, skew.SEG).applyInPandas(steps, steps_schema)
-    )
-    walk_schema = T.StructType([
-        T.StructField("_k", key_type), T.StructField("_s", T.LongType()), T.StructField("_free", T.LongType()),
-    ])
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([skew.SEG, "_limit"])
-        free, out = int(group["_first"].iloc[0]), []
-        for s, part in group.groupby(skew.SEG, sort=True):
-            out.append((s, free))
-            i = int(np.searchsorted(part["_limit"].to_numpy(np.int64), free, side="left"))
-            if i < len(part):
-                free = int(part["_leave"].iloc[i])
-        return pd.DataFrame({
-            "_k": [group[key].iloc[0]] * len(out), "_s": [s for s, _ in out], "_free": [f for _, f in out],
-        })
-
-    entry = tables.groupBy(key).applyInPandas(walk, walk_schema)
+        limit, leave = exit_table(np.sort(group["_us"].to_numpy(np.int64)), gap)
+        return pd.DataFrame({"k": [group[key].iloc[0]] * len(limit), "s": int(group[skew.SEG].iloc[0]), "t": limit, "leave": leave})
+
+    # an entry is (key, segment, latest time of entering)
+    entries = staging.stage(
+        seg.df.where(skew.HOT).select(key, skew.SEG, "_us").groupBy(key, skew.SEG).applyInPandas(steps, steps_schema), "entries")
+    links = staging.stage(_links(entries, max_group_rows), "links")
+    begin = links.where("s = -1").select("k", "to_s", "to_t")
+    taken = _taken(begin, links.where("s >= 0").select("k", "s", "t", "to_s", "to_t"))
+    on_chain = links.alias("a").join(
+        taken.alias("b"), F.expr("a.k <=> b.k AND a.s = b.s AND a.t = b.t"), "left_semi"
+    ).union(links.where("s = -1"))
+    # one entry of a segment at most is taken
+    entry = F.broadcast(on_chain.select(F.col("k").alias("_k"), F.col("to_s").alias("_s"), F.col("free").alias("_free")))
     match = seg.df[key].eqNullSafe(entry["_k"]) & (seg.df[skew.SEG] == entry["_s"])
-    return seg.df.join(entry, match, "left").drop("_k", "_s")
+    free = F.when(F.col(skew.HOT), F.coalesce("_free", F.lit(_NEVER))).otherwise(F.lit(FAR))
+    return seg.df.join(entry, match, "left").drop("_k", "_s").withColumn("_free", free)
+
+
+def _links(entries: DataFrame, max_group_rows: int) -> DataFrame:
+    """(k, s, t, to_s, to_t, free): the first entry at or after the time each entry's chain is free.
+
+    The chain of a key begins at entry (-1, -1). Entries and exits are merged in
+    falling order of time, and an exit takes the last entry before it.
+    """
+    begin = entries.select("k").distinct().select(
+        "k", F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("t"), F.lit(FAR).alias("at"))
+    exits = entries.select("k", "s", "t", F.col("leave").alias("at")).union(begin).select(
+        "*", F.lit(1).alias("_side"), F.lit(None).cast("struct<s:bigint,t:bigint>").alias("_to"))
+    targets = entries.select(
+        "k", "s", "t", F.col("t").alias("at"), F.lit(0).alias("_side"), F.struct("s", "t").alias("_to"))
+    both = exits.union(targets).withColumns({"_falling": -F.col("at"), "_last": -F.col("s")})
+    merged = skew.segment(both, ["k"], ["_falling", "_side", "_last"], max_group_rows)
+    found = skew.last_before(merged, F.col("_to"), "_next").done().where("_side = 1 AND _next IS NOT NULL")
+    return found.select("k", "s", "t", F.col("_next.s").alias("to_s"), F.col("_next.t").alias("to_t"), F.col("at").alias("free"))
+
+
+def _taken(begin: DataFrame, jumps: DataFrame) -> DataFrame:
+    """The entries reached from ``begin``: after n rounds those up to 2**n links away.
+
+    A chain enters a segment once, so there are about log2(segments) rounds.
+    """
+    taken = begin.toDF("k", "s", "t")
+    while True:
+        more = taken.alias("a").join(jumps.alias("b"), F.expr("a.k <=> b.k AND a.s = b.s AND a.t = b.t")).select("b.k", "b.to_s", "b.to_t")
+        more = staging.stage(more.toDF("k", "s", "t"), "taken")
+        if more.isEmpty():
+            return taken
+        taken = taken.union(more)
+        twice = jumps.alias("a").join(jumps.alias("b"), F.expr("a.k <=> b.k AND a.to_s = b.s AND a.to_t = b.t"))
+        jumps = staging.stage(twice.select("a.k", "a.s", "a.t", "b.to_s", "b.to_t"), "jumps")

@@ -77,8 +77,8 @@ def _us(c: Column) -> Column:
 def heartbeat_gaps(hints: DataFrame, max_ms: int, max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
     """Time from one heartbeat of a job to the next, and whether it is too long."""
     beats = hints.where(F.col("hint") == HEARTBEAT).select("job", "id", "ts")
-    # ids rise with time, so both order and segments follow the id
-    seg = skew.segment(beats, ["job"], ["id"], F.col("id"), max_group_rows)
+    # ids rise with time
+    seg = skew.segment(beats, ["job"], ["id"], max_group_rows)
     seg = skew.last_before(seg, F.col("ts"), "previous_ts")
     gap = F.floor((_us(F.col("ts")) - _us(F.col("previous_ts"))) / 1000).cast("bigint")
     return seg.done().withColumn("gap_ms", gap).withColumn("late", F.coalesce(F.col("gap_ms") > max_ms, F.lit(False)))
@@ -102,7 +102,7 @@ def heartbeat_lag(
         F.col("ts").alias("_beat"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
     )
     both = left.unionByName(right)
-    seg = skew.segment(both, ["_key"], ["_ts", "_side"], _us(F.col("_ts")), max_group_rows)
+    seg = skew.segment(both, ["_key"], ["_ts", "_side"], max_group_rows)
     seg = skew.last_before(seg, F.col("_beat"), "heartbeat_ts", inclusive=True)
     age = F.floor((_us(F.col("_ts")) - _us(F.col("heartbeat_ts"))) / 1000).cast("bigint")
     return seg.done().where("_side = 1").select("_row.*", "heartbeat_ts", age.alias("lag_ms"))

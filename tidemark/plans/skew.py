@@ -1,11 +1,12 @@
 """Ordered per-key work that survives hot keys.
 
 A window partitioned by key puts all rows of a key into one task. Where a key
-holds more rows than a task should, its rows are cut into segments along the
-order column. Each (key, segment) is handled on its own and what earlier
-segments contribute is carried in from a small per-segment summary.
-Keys below the limit keep segment 0, so without hot keys the plan is the
-plain window.
+holds more rows than a task should, the rows are dealt to range partitions of
+key and order and written; a partition is a segment. Each (key, segment) is
+handled on its own and what earlier segments contribute is carried in from a
+small summary of the keys that stand at a partition's border. Borders are taken
+from the rows themselves, so a burst, or a key whose rows share one time, is cut
+like any other. Without hot keys the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -16,18 +17,19 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from . import sizes
+from . import numbering, staging
 
 SEG = "_seg"
 HOT = "_hot"
 #: Rows of one key that a single task may order.
 MAX_GROUP_ROWS = 2_000_000
-#: Hot-key lists up to this length are broadcast, longer ones are joined.
-MAX_HOT_KEYS = 50_000
-#: Segments are cut finer than needed, as rows are not spread evenly.
-OVERSPLIT = 8
+#: Segments hold a part of that on average, as borders come from a sample.
+SPARE = 2
+#: Most segments; beyond it they grow.
+MAX_SEGMENTS = 200_000
 
 
 @dataclass
@@ -41,7 +43,7 @@ class Segmented:
 
     def local(self) -> WindowSpec:
         """Rows of one key and segment in order."""
-        keys = [*self.keys, SEG] if self.split else self.keys
+        keys = self.group() if self.split else self.keys
         return W.partitionBy(*keys).orderBy(*self.order)
 
     def group(self) -> list[str]:
@@ -84,7 +86,8 @@ class Segmented:
             [self.df[k].eqNullSafe(carried[f"_c_{k}"]) for k in self.keys],
             self.df[SEG] == carried["_c_seg"],
         )
-        df = self.df.join(carried, match, "left").drop(*[f"_c_{k}" for k in self.keys], "_c_seg")
+        # two rows for each segment at most
+        df = self.df.join(F.broadcast(carried), match, "left").drop(*[f"_c_{k}" for k in self.keys], "_c_seg")
         return Segmented(df, self.keys, self.order, True)
 
     def done(self, *drop: str) -> DataFrame:
@@ -96,55 +99,35 @@ def _earlier(keys: list[str]) -> WindowSpec:
 
 
 def segment(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    position: Column,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    total_rows: int | None = None,
+    df: DataFrame, keys: list[str], order: list[str], max_group_rows: int = MAX_GROUP_ROWS,
 ) -> Segmented:
-    """Cut hot keys into segments along ``position``.
+    """Cut the rows into segments if a key holds more than a task should order.
 
-    ``position`` is a bigint that never falls as ``order`` rises. Finding the
-    hot keys costs one map-side combined count, and nothing where ``total_rows``
-    or the planned size tells that there can be none.
+    Without ``keys`` the whole table is one group. Finding the hot keys costs one
+    map-side combined count. Rows that agree in ``order`` may be cut anywhere, so
+    that no segment depends on how many of them there are.
     """
-    plain = df.select("*", F.lit(0).cast("bigint").alias(SEG), F.lit(False).alias(HOT))
-    few = total_rows is not None and total_rows <= max_group_rows
-    if few or (max_group_rows >= MAX_GROUP_ROWS and sizes.fits(df, sizes.SMALL_INPUT_BYTES)):
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) <= max_group_rows:
+        plain = df.select("*", F.lit(0).cast("bigint").alias(SEG), F.lit(False).alias(HOT))
         return Segmented(plain, keys, order, False)
-    counts = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(position).alias("_lo"),
-            F.max(position).alias("_hi"),
-        )
-        .where(F.col("_n") > max_group_rows)
-    )
-    hot = counts.select(
-        *[F.col(k).alias(f"_h_{k}") for k in keys],
-        "_lo",
-        F.ceil(
-            (F.col("_hi") - F.col("_lo") + 1)
-            / (F.ceil(F.col("_n") / F.lit(max_group_rows)) * OVERSPLIT)
-        )
-        .cast("bigint")
-        .alias("_width"),
-    )
-    rows = sizes.bounded_rows(hot, MAX_HOT_KEYS)
-    if rows is not None and not rows:
-        return Segmented(plain, keys, order, False)
-    if rows is not None:
-        hot = F.broadcast(df.sparkSession.createDataFrame(rows, hot.schema))
-    match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot[f"_h_{k}"]) for k in keys])
-    seg = F.floor((position - F.col("_lo")) / F.greatest(F.col("_width"), F.lit(1)))
-    out = df.join(hot, match, "left").select(
-        *[df[c] for c in df.columns],
-        F.coalesce(seg, F.lit(0)).cast("bigint").alias(SEG),
-        F.col("_width").isNotNull().alias(HOT),
-    )
-    return Segmented(out, keys, order, True)
+    n = max(numbering.range_partitions(df), min(MAX_SEGMENTS, -(-total * SPARE // max_group_rows)))
+    tie = F.xxhash64(*[F.to_json(F.struct(c)) if _holds_map(df.schema[c].dataType) else F.col(c) for c in df.columns])
+    ranged = df.repartitionByRange(n, *keys, *order, tie)
+    fixed = staging.stage(ranged.withColumn(SEG, F.spark_partition_id().cast("bigint")), "segments")
+    if not keys:
+        return Segmented(fixed.withColumn(HOT, F.lit(True)), keys, order, True)
+    # only keys at a border can go on in another segment
+    key = F.struct(*keys)
+    borders = fixed.groupBy(F.col(SEG).alias("_b_seg")).agg(F.min(key).alias("_b_lo"), F.max(key).alias("_b_hi"))
+    at_border = key.eqNullSafe(F.col("_b_lo")) | key.eqNullSafe(F.col("_b_hi"))
+    marked = fixed.join(F.broadcast(borders), fixed[SEG] == borders["_b_seg"]).withColumn(HOT, at_border)
+    return Segmented(marked.drop("_b_seg", "_b_lo", "_b_hi"), keys, order, True)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    return "map<" in kind.simpleString()
 
 
 def last_before(seg: Segmented, value: Column, name: str, inclusive: bool = False) -> Segmented:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import flow
 from ..operators.hints import HEARTBEAT
-from ..plans import skew
 from . import runner
-from .state import VersionedState, read_batches, write_batch
+from .ordered import Carry, Out, Row, Step, in_time_order
 
 
 def _timed(events: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -22,11 +22,12 @@ def stream_event_counts(
 ) -> DataFrame:
     """Events per kind and interval, each interval once it is closed.
 
-    Rows later than ``delay`` are dropped when their interval is closed.
+    Rows later than ``delay`` are dropped when their interval is closed. A
+    finite input closes them all by its end marker (``runner.close_folder``).
     """
     runner.use_rocksdb(events.sparkSession)
     counts = (
-        _timed(events, ts, delay)
+        _timed(events, ts, delay).where(F.col("_time") < runner.END)
         .groupBy(F.window("_time", width), kind)
         .agg(F.count(F.lit(1)).alias("events"))
         .select(
@@ -53,107 +54,80 @@ def stream_dedupe(events: DataFrame, key: list[str], ts: str, delay: str, out_pa
     return events.sparkSession.read.schema(events.schema).parquet(out_path)
 
 
-def _last_by_key(batch: DataFrame, before: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """State with the newest value per key of the old state and this batch."""
-    return (
-        before.unionByName(batch.select(key, value, *order))
-        .groupBy(key)
-        .agg(F.max_by(F.struct(value, *order), F.struct(*order)).alias("_r"))
-        .select(key, "_r.*")
-    )
+def _written(stream: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
+    """The rows that a stream appended to a folder, once its input is done."""
+    runner.run_available(stream.writeStream.outputMode("append").format("parquet").option("path", out_path), checkpoint)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out_path)
 
 
-def stream_throttle(
-    metrics: DataFrame, limits: flow.Limits, state_path: str, out_path: str, checkpoint: str,
-    max_group_rows: int = skew.MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Throttle decisions on a stream of samples; only changes of state come out.
+def _reason_changes(rows: list[Row], before: Carry | None, passed: int) -> tuple[list[Out], Carry | None, None]:
+    last = before[1] if before else flow.NONE
+    out: list[Out] = []
+    for us, _, reason, payload in rows:
+        if reason != last:
+            out.append((us, reason, None, last, False, payload))
+            last = reason
+    return out, ((rows[-1][0], last, False) if rows else before), None
+
+
+def stream_throttle(metrics: DataFrame, limits: flow.Limits, delay: str, out_path: str, checkpoint: str) -> DataFrame:
+    """Throttle decisions on a stream of samples; only changes of state come out, in order of time."""
+    changes = in_time_order(metrics, "replica", "ts", "tick", delay, _reason_changes, flow.throttle_reason(limits))
+    rows = changes.select("replica", "row.tick", "row.ts", F.col("before_label").alias("previous_reason"), F.col("label").alias("reason"))
+    return _written(rows, out_path, checkpoint)
+
+
+def _beats(max_ms: int) -> Step:
+    """Gaps between beats, and one row of silence as soon as a gap is too long."""
+    wait = (max_ms + 1) * 1000  # the first moment a gap is too long
+
+    def step(rows: list[Row], before: Carry | None, passed: int) -> tuple[list[Out], Carry | None, int | None]:
+        out: list[Out] = []
+        last, told = (before[0], before[2]) if before else (None, False)
+        for us, _, _, payload in rows:
+            if last is not None and not told and us >= last + wait:
+                out.append((last + wait, "", last, "", True, None))
+            out.append((us, "", last, "", False, payload))
+            last, told = us, False
+        if last is not None and not told and last + wait < passed:
+            out.append((last + wait, "", last, "", True, None))
+            told = True
+        return out, (None if last is None else (last, "", told)), (None if last is None or told else last + wait)
+
+    return step
+
 
-    Few replicas send all samples, so the rows of a batch are ordered by the
-    batch operators that split hot keys; the state is the last decision per
-    replica.
+def stream_heartbeat_monitor(hints: DataFrame, max_ms: int, delay: str, out_path: str, checkpoint: str) -> DataFrame:
+    """Gaps between the heartbeats of each job in order of time, and silences.
+
+    A silence is a row without an id, at the first moment when the gap since the
+    last beat is too long. A timer makes it, so it comes without a later beat.
     """
-    spark = metrics.sparkSession
-    state = VersionedState(spark, state_path, "replica string, reason string, ts timestamp_ntz, tick bigint")
-    schema = "replica string, tick bigint, ts timestamp_ntz, previous_reason string, reason string"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            before = state.before(batch_id)
-            decided = flow.throttle_decision(batch, limits)
-            us = F.unix_micros(F.col("ts").cast("timestamp"))
-            seg = skew.segment(decided, ["replica"], ["ts", "tick"], us, max_group_rows, batch.count())
-            rows = skew.last_before(seg, F.col("reason"), "_was").done()
-            last = before.select("replica", F.col("reason").alias("_last"))
-            changes = (
-                rows.join(last, "replica", "left")
-                .withColumn("previous_reason", F.coalesce("_was", "_last", F.lit(flow.NONE)))
-                .where("reason <> previous_reason")
-            )
-            write_batch(changes.select("replica", "tick", "ts", "previous_reason", "reason"), out_path, batch_id)
-            state.after(batch_id, _last_by_key(decided, before, "replica", "reason", ["ts", "tick"]))
-        finally:
-            batch.unpersist()
-
-    runner.for_each_batch(metrics, handle, checkpoint)
-    return read_batches(spark, out_path, schema)
-
-
-def stream_heartbeat_monitor(
-    hints: DataFrame, max_ms: int, state_path: str, out_path: str, checkpoint: str,
-    max_group_rows: int = skew.MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Gaps between the heartbeats of each job, across micro-batches."""
-    spark = hints.sparkSession
-    state = VersionedState(spark, state_path, "job bigint, ts timestamp_ntz, id bigint")
-    schema = "job bigint, id bigint, ts timestamp_ntz, previous_ts timestamp_ntz, gap_ms bigint, late boolean"
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.where(F.col("hint") == HEARTBEAT).select("job", "id", "ts").persist()
-        try:
-            before = state.before(batch_id)
-            seg = skew.segment(batch, ["job"], ["id"], F.col("id"), max_group_rows, batch.count())
-            rows = skew.last_before(seg, F.col("ts"), "_was").done()
-            last = before.select("job", F.col("ts").alias("_last"))
-            previous = F.coalesce("_was", "_last")
-            gap = F.floor(
-                (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(previous.cast("timestamp"))) / 1000
-            ).cast("bigint")
-            out = rows.join(last, "job", "left").select("job", "id", "ts", previous.alias("previous_ts"), gap.alias("gap_ms"))
-            write_batch(out.withColumn("late", F.coalesce(F.col("gap_ms") > max_ms, F.lit(False))), out_path, batch_id)
-            state.after(batch_id, _last_by_key(batch, before, "job", "ts", ["id"]).select("job", "ts", "id"))
-        finally:
-            batch.unpersist()
-
-    runner.for_each_batch(hints, handle, checkpoint)
-    return read_batches(spark, out_path, schema)
+    beats = in_time_order(hints, "job", "ts", "id", delay, _beats(max_ms), only=F.col("hint") == HEARTBEAT)
+    gap = F.floor((F.col("us") - F.col("before_us")) / 1000).cast("bigint")
+    at = lambda us: F.timestamp_micros(us).cast("timestamp_ntz")
+    rows = beats.select("job", "row.id", at("us").alias("ts"), at("before_us").alias("previous_ts"), gap.alias("gap_ms"), F.col("by_timer").alias("silent"))
+    late = F.coalesce(F.col("gap_ms") > max_ms, F.lit(False))
+    return _written(rows.withColumn("late", late), out_path, checkpoint)
+
+
+def _spaced(gap: int) -> Step:
+    """The rows that come at least ``gap`` microseconds after the last kept one."""
+
+    def step(rows: list[Row], before: Carry | None, passed: int) -> tuple[list[Out], Carry | None, None]:
+        us = np.array([r[0] for r in rows], dtype=np.int64)
+        free = before[0] if before else flow.FAR
+        keep, _ = flow.kept_rows(us, np.array([0]), [free], gap)
+        kept = [rows[i] for i in np.flatnonzero(keep)]
+        after = (kept[-1][0] + gap, "", False) if kept else before
+        return [(r[0], "", None, "", False, r[3]) for r in kept], after, None
+
+    return step
 
 
 def stream_rate_limit(
-    events: DataFrame, key: str, ts: str, order: str, ms: int, state_path: str, out_path: str, checkpoint: str,
-    max_group_rows: int = skew.MAX_GROUP_ROWS,
+    events: DataFrame, key: str, ts: str, order: str, ms: int, delay: str, out_path: str, checkpoint: str
 ) -> DataFrame:
-    """Rate limit per key with the time of the last kept row carried between batches."""
-    spark = events.sparkSession
-    key_type = events.schema[key].dataType.simpleString()
-    state = VersionedState(spark, state_path, f"{key} {key_type}, free_at bigint")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        before = state.before(batch_id)
-        batch = batch.persist()
-        try:
-            kept = flow.rate_limit(batch, key, ts, order, ms, max_group_rows, before, batch.count())
-            write_batch(kept, out_path, batch_id)
-        finally:
-            batch.unpersist()
-        # read back what was kept rather than limit the batch a second time
-        done = spark.read.schema(events.schema).parquet(f"{out_path}/batch={batch_id}")
-        free = F.unix_micros(F.col(ts).cast("timestamp")) + F.lit(ms * 1000)
-        state.after(
-            batch_id,
-            before.unionByName(done.select(key, free.alias("free_at"))).groupBy(key).agg(F.max("free_at").alias("free_at")),
-        )
-
-    runner.for_each_batch(events, handle, checkpoint)
-    return read_batches(spark, out_path, events.schema)
+    """Rate limit per key in order of time, with the last kept row carried in the state."""
+    kept = in_time_order(events, key, ts, order, delay, _spaced(ms * 1000))
+    return _written(kept.select("row.*"), out_path, checkpoint)

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+#: Time of the row that closes a finite input; later than any other.
+END = datetime(9999, 1, 1, tzinfo=timezone.utc)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -22,6 +26,18 @@ def read_folder(
     return reader.parquet(path)
 
 
+def close_folder(spark: SparkSession, path: str, schema, ts: str) -> None:
+    """Add a last file whose only row moves the watermark past all others.
+
+    Windows, timers and held rows of a finite input all come out then. Streams
+    leave that row out themselves; the folder takes no more rows after it.
+    """
+    types = dict(spark.createDataFrame([], schema).dtypes)
+    spark.range(1).select(
+        *(F.lit(END.replace(tzinfo=None) if c == ts else None).cast(t).alias(c) for c, t in types.items())
+    ).write.mode("append").parquet(path)
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     """Process what is there, in as many micro-batches as the source limits ask for.
 

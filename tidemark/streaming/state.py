@@ -1,35 +1,12 @@
-"""Small keyed state carried from one micro-batch to the next.
+"""Outputs of micro-batches, each in a folder of its own.
 
-Each batch reads the version of the batch before it and writes its own, so a
-batch that is run again gives the same result.
+A batch that is run again replaces its own folder.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import staging
-
-
-class VersionedState:
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _version(self, n: int) -> str:
-        return f"{self.path}/version={n}"
-
-    def before(self, batch_id: int) -> DataFrame:
-        """State left by the batch before; empty for the first."""
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._version(batch_id - 1))
-
-    def after(self, batch_id: int, state: DataFrame) -> None:
-        """Write the state of this batch; only the one before is kept beside it."""
-        state.write.mode("overwrite").parquet(self._version(batch_id))
-        if batch_id > 1:
-            staging.drop_path(self.spark, self._version(batch_id - 2))
-
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Output of one batch in its own folder, replaced if the batch is run again."""

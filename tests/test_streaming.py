@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import changelog as op, flow
 from tidemark.sources.logs import read_change_log, write_change_log
 from tidemark.catalog import changelog as c_log
-from tidemark.streaming import apply, monitor, runner
+from tidemark.streaming import apply, monitor, runner, state
 from tidemark.streaming.status import StatusListener
 
 LOG = "file string, pos bigint, event_type string, k bigint, v string"
@@ -149,3 +149,27 @@ def test_events_can_be_rewritten_and_watched(spark, tmp_path):
         time.sleep(2)
         spark.streams.removeListener(listener)
     assert "progress" in seen
+
+
+def test_many_batches_stay_few_parts(spark, tmp_path, monkeypatch):
+    """After 120 batches, some run again and one merge broken off, a read opens few parts and misses nothing."""
+    monkeypatch.setattr(state, "MOST_PARTS", 5)
+    parts = state.Parts(spark, str(tmp_path / "parts"), "k bigint, n bigint", lambda rows: rows.groupBy("k").agg(F.max("n").alias("n")))
+    assert parts.read().count() == 0
+    merges, merge = [], parts._merge
+    monkeypatch.setattr(parts, "_merge", lambda: (merges.append(parts.ranges()), merge()))
+    for i in range(120):
+        rows = spark.range(1).select(F.lit(i % 50).cast("long").alias("k"), F.lit(i).cast("long").alias("n"))
+        parts.add(rows, i)
+        if i % 11 == 0:
+            parts.add(rows.limit(0), i)  # run again, with nothing left to read
+        if i == 60:  # a merge that was cut off before it was whole
+            (tmp_path / "parts" / "batches=0-60").mkdir(exist_ok=True)
+            (tmp_path / "parts" / "batches=0-60" / "part-x.parquet").write_bytes(b"")
+        assert len(parts.ranges()) <= 6
+    ranges = parts.ranges()
+    assert ranges[0][0] == 0 and ranges[-1][1] == 119 and all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:]))
+    got = parts.combine(parts.read()).collect()
+    assert sorted((r.k, r.n) for r in got) == sorted((k, max(i for i in range(120) if i % 50 == k)) for k in range(50))
+    rewritten = sum(m[-1][1] - m[0][0] + 1 for m in merges)
+    assert len(merges) < 60 and rewritten < 120 * 30

@@ -85,6 +85,8 @@ def cast_audit(spark, d):
             ModifyColumn("o_orderpriority", "varchar(8)", nullable=False),
             ModifyColumn("o_orderstatus", "enum('O','F')", values=("O", "F")),
             ModifyColumn("o_custkey", "tinyint"),
+            ModifyColumn("o_orderdate", "date"),
+            ModifyColumn("o_totalprice", "float"),
         ],
     )
     customer = op.cast_audit(
@@ -101,6 +103,8 @@ UNION ALL SELECT 'o_orderpriority', 'null', count(*) - count(o_orderpriority) FR
 UNION ALL SELECT 'o_orderstatus', 'cast', count(*) FILTER (WHERE FALSE) FROM orders
 UNION ALL SELECT 'o_orderstatus', 'value', count(*) FILTER (WHERE o_orderstatus NOT IN ('O','F')) FROM orders
 UNION ALL SELECT 'o_custkey', 'cast', count(*) FILTER (WHERE TRY_CAST(o_custkey AS TINYINT) IS NULL AND o_custkey IS NOT NULL) FROM orders
+UNION ALL SELECT 'o_orderdate', 'cast', count(*) FILTER (WHERE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) <> o_orderdate) FROM orders
+UNION ALL SELECT 'o_totalprice', 'cast', count(*) FILTER (WHERE CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE) <> o_totalprice) FROM orders
 UNION ALL SELECT 'c_name', 'cast', count(*) FILTER (WHERE TRY_CAST(c_name AS BIGINT) IS NULL AND c_name IS NOT NULL) FROM customer
 UNION ALL SELECT 'c_mktsegment', 'cast', count(*) FILTER (WHERE FALSE) FROM customer
 UNION ALL SELECT 'c_mktsegment', 'length', count(*) FILTER (WHERE length(c_mktsegment) > 9) FROM customer

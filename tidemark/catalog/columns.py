@@ -153,8 +153,10 @@ FROM ddl_log JOIN (VALUES
  (13,1,'DropColumn','c9',NULL,NULL,FALSE,NULL), (13,2,'AddIndex','idx_c',NULL,'c1, c2',FALSE,NULL),
  (14,0,'CommentChange',NULL,NULL,NULL,FALSE,NULL), (15,0,'RenameColumn','c11','c10',NULL,FALSE,NULL),
  (16,0,'AddColumn','user_key',NULL,'INT',FALSE,NULL), (17,0,'ModifyColumn','c12',NULL,'TIMESTAMP NOT NULL',FALSE,NULL),
- (18,0,'ChangeColumn','c14','c13','INT UNSIGNED',FALSE,NULL)
-) v(shape, op_no, kind, name, old_name, definition, is_first, after_column) ON stmt_id % 19 = shape
+ (18,0,'ChangeColumn','c14','c13','INT UNSIGNED',FALSE,NULL),
+ (19,0,'AddColumn','c15',NULL,'INT COMMENT "x,y (z"',FALSE,NULL), (19,1,'DropColumn','c16',NULL,NULL,FALSE,NULL),
+ (20,0,'AddColumn','c17',NULL,'VARCHAR(9) DEFAULT ''it' || chr(92) || '''s, ok''',FALSE,NULL), (20,1,'DropColumn','c18',NULL,NULL,FALSE,NULL)
+) v(shape, op_no, kind, name, old_name, definition, is_first, after_column) ON stmt_id % 21 = shape
 """)
 
 

@@ -291,15 +291,23 @@ def write_indexed(df: DataFrame, columns: Sequence[str], name: str, buckets: int
     df.write.mode("overwrite").bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(name)
 
 
-def _is_number(kind: str) -> bool:
-    return kind.startswith(("tinyint", "smallint", "int", "bigint", "decimal", "float", "double"))
+def _kind_of(kind: str) -> str:
+    """number, time or other."""
+    if kind.startswith(("tinyint", "smallint", "int", "bigint", "decimal", "float", "double")):
+        return "number"
+    return "time" if kind.startswith(("date", "timestamp")) else "other"
+
+
+def _may_cut(old: str, new: str) -> bool:
+    """Whether a cast between these types may keep a changed value."""
+    return old != new and _kind_of(old) == _kind_of(new) != "other"
 
 
 def cast_audit(df: DataFrame, ops: Sequence[Any]) -> DataFrame:
     """Rows each change would reject or cut, per column and reason.
 
-    Reasons: ``cast`` (no value in the new type, or a number that loses
-    digits), ``length``, ``null`` and ``value`` (not in the value list). A
+    Reasons: ``cast`` (no value in the new type, or a number or time that
+    loses digits), ``length``, ``null`` and ``value`` (not in the value list). A
     column renamed before by the same list is named as it is in ``df``; columns
     that the list adds are not audited. One aggregate over the table.
     """
@@ -326,8 +334,10 @@ def cast_audit(df: DataFrame, ops: Sequence[Any]) -> DataFrame:
         base = c if plain else op.expression
         cast = safe_cast(base, dict(df.dtypes)[name] if plain else None, spark_type(op.type))
         lost = base.isNotNull() & cast.isNull()
-        if plain and _is_number(dict(df.dtypes)[name]) and spark_type(op.type).startswith(("tinyint", "smallint", "int", "bigint", "decimal")):
-            lost = F.coalesce(lost | (cast.cast("double") != base.cast("double")), F.lit(False))
+        held = dict(df.dtypes)[name]
+        if plain and _may_cut(held, spark_type(op.type)):
+            # cast back, a value that was cut is another one
+            lost = F.coalesce(lost | ~cast.try_cast(held).eqNullSafe(base), F.lit(False))
         tests.append((name, "cast", lost))
         if (limit := max_length(op.type)) is not None:
             tests.append((name, "length", F.length(c.cast("string")) > limit))

@@ -143,22 +143,25 @@ def statement_audit(df: DataFrame, column: str) -> DataFrame:
 HELD, MASKS = ", \t\r\n()", "\ue000\ue001\ue002\ue003\ue004\ue005\ue006"
 
 
-def _mask_quoted(text: Column) -> Column:
-    """Stand-ins for what parts a statement, inside single quotes only.
+#: A quoted part, an unquoted stretch, or a quote that nothing closes. In '...'
+#: and "..." a backslash takes the next character with it; a doubled quote is one.
+_PIECES = (
+    r"""'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+'|"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"|`[^`]*+(?:``[^`]*+)*+`|[^'"`]++|['"`]""")
 
-    Every second piece between quotes is quoted; a doubled quote makes an empty
-    piece in between, so it changes nothing.
-    """
+
+def _mask_quoted(text: Column) -> Column:
+    """Stand-ins for what parts a statement, inside quotes of any kind only."""
     pieces = F.transform(
-        F.split(text, "'", -1), lambda piece, i: F.when(i % 2 == 1, F.translate(piece, HELD, MASKS)).otherwise(piece))
-    return F.array_join(pieces, "'")
+        F.regexp_extract_all(text, F.lit(f"(?s){_PIECES}"), F.lit(0)),
+        lambda piece: F.when(F.left(piece, F.lit(1)).isin("'", '"', "`"), F.translate(piece, HELD, MASKS)).otherwise(piece))
+    return F.array_join(pieces, "")
 
 
 def ddl_operations(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
     """One row per operation of each ALTER statement.
 
-    Commas inside one level of brackets or inside single quotes do not split,
-    and quoted blanks stay as they are. An index is told from a column by its
+    Commas inside one level of brackets or inside quotes do not split, and quoted
+    blanks stay as they are. An index is told from a column by its
     leading words, not by a name that contains them. A table rename is marked
     as unsupported.
     """

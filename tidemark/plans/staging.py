@@ -59,13 +59,31 @@ def stage_at(df: DataFrame, path: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders right below a path, none if it does not exist."""
+    files, target = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    return [str(f.getPath()) for f in files.listStatus(target) if f.isDirectory()]
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    files, target = _file_system(spark, path)
+    return files.getContentSummary(target).getLength()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a staged folder through the Hadoop file system it lives on."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _file_system(spark, path)
+    files.delete(target, True)

@@ -55,14 +55,15 @@ SELECT c_custkey AS id, CASE WHEN c_custkey%50=0 THEN 'invalid' WHEN c_custkey%5
 # One ALTER per part, its shape chosen by the part key, so that the log grows
 # with the data.
 DDL_LOG = """
-SELECT p_partkey AS stmt_id, 'ALTER TABLE shop.t_' || CAST(p_partkey AS STRING) || ' ' || CASE p_partkey%19
+SELECT p_partkey AS stmt_id, 'ALTER TABLE shop.t_' || CAST(p_partkey AS STRING) || ' ' || CASE p_partkey%21
  WHEN 0 THEN 'ADD COLUMN c1 INT' WHEN 1 THEN 'ADD c2 VARCHAR(255) NOT NULL AFTER c1' WHEN 2 THEN 'DROP COLUMN c3'
  WHEN 3 THEN 'DROP c4' WHEN 4 THEN 'MODIFY COLUMN c5 DECIMAL(10,2)' WHEN 5 THEN 'CHANGE c6 c7 BIGINT'
  WHEN 6 THEN 'ADD INDEX idx_a (c1, c2)' WHEN 7 THEN 'ADD UNIQUE KEY uk_b (c2)' WHEN 8 THEN 'ADD PRIMARY KEY (id)'
  WHEN 9 THEN 'DROP PRIMARY KEY' WHEN 10 THEN 'DROP INDEX idx_a' WHEN 11 THEN 'ENGINE = InnoDB' WHEN 12 THEN 'RENAME TO t_new'
  WHEN 13 THEN 'ADD COLUMN c8 INT FIRST, DROP COLUMN c9, ADD INDEX idx_c (c1, c2)' WHEN 14 THEN 'COMMENT x /* note */'
  WHEN 15 THEN 'RENAME COLUMN c10 TO c11' WHEN 16 THEN 'ADD user_key INT' WHEN 17 THEN 'MODIFY c12 TIMESTAMP NOT NULL'
- ELSE 'CHANGE COLUMN c13 c14 INT UNSIGNED' END AS stmt FROM part
+ WHEN 18 THEN 'CHANGE COLUMN c13 c14 INT UNSIGNED' WHEN 19 THEN 'ADD c15 INT COMMENT "x,y (z", DROP c16'
+ ELSE 'ADD c17 VARCHAR(9) DEFAULT ' || chr(39) || 'it' || chr(92) || chr(39) || 's, ok' || chr(39) || ', DROP COLUMN c18' END AS stmt FROM part
 """
 
 RAW_EVENTS = """

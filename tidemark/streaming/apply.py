@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import changelog
 from ..operators.inspect import Key, key_columns
 from . import runner
-from .state import read_batches, write_batch
+from .state import Parts
 
 
 def stream_apply(
@@ -22,8 +22,8 @@ def stream_apply(
     """Replay a streamed change log over a snapshot.
 
     Each micro-batch is compacted to one row per key, with the log positions
-    it stands for, and stored under its batch number. Compacted rows combine
-    in any order and any number of times, so a batch run again, files out of
+    it stands for, and stored as a part of the state (``state.Parts``), of which
+    there are never many. Compacted rows combine in any order and any number of times, so a batch run again, files out of
     order or a key split over batches change nothing. ``on_batch`` gets each
     micro-batch before it is stored; ``rewrite`` may change the events, for
     example to apply an ALTER to them or to map them in pandas. With
@@ -35,13 +35,13 @@ def stream_apply(
         if on_batch is not None:
             on_batch(batch, batch_id)
         events = batch if rewrite is None else rewrite(batch)
-        write_batch(changelog.compact_changes(events, key, cols, before_key), state_path, batch_id)
+        parts.add(changelog.compact_changes(events, key, cols, before_key), batch_id)
 
     sample = _static(log)
     schema = changelog.compact_changes(sample if rewrite is None else rewrite(sample), key, cols, before_key).schema
+    parts = Parts(snapshot.sparkSession, state_path, schema, lambda rows: changelog.combine_compacted(rows, key))
     runner.for_each_batch(log, handle, checkpoint)
-    parts = read_batches(snapshot.sparkSession, state_path, schema)
-    return changelog.apply_compacted(snapshot, changelog.combine_compacted(parts, key), key)
+    return changelog.apply_compacted(snapshot, changelog.combine_compacted(parts.read(), key), key)
 
 
 def _static(stream: DataFrame) -> DataFrame:
@@ -64,6 +64,10 @@ def stream_latest(log: DataFrame, key: Key, out_path: str, checkpoint: str) -> D
         .agg(F.max_by(F.struct(*value), F.struct("seq", "pos")).alias("_r"))
         .select(*keys, "_r.*")
     )
-    runner.for_each_batch(running, lambda b, i: write_batch(b, out_path, i), checkpoint, mode="update")
-    moved = read_batches(log.sparkSession, out_path, running.schema)
-    return changelog.latest_change(moved, key).select(*running.columns)
+
+    def newest(moved: DataFrame) -> DataFrame:
+        return changelog.latest_change(moved, key).select(*running.columns)
+
+    parts = Parts(log.sparkSession, out_path, running.schema, newest)
+    runner.for_each_batch(running, parts.add, checkpoint, mode="update")
+    return newest(parts.read())

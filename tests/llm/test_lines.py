@@ -29,28 +29,39 @@ def test_edit_distance(a, b):
 
 def test_fingerprints_equal_a_plain_count():
     rng = random.Random(11)
-    made = [[b"w%d" % rng.randrange(40) for _ in range(n)] for n in (1, 2, 3, 60, 254, 255, 256, 700, 5)]
+    made = [[b"w%d" % i for i in rng.sample(range(900), n)] for n in (1, 2, 3, 60, 254, 255, 256, 700, 5)]
+    made += [words + words[: len(words) // 2] for words in made]  # repeats of a word count once
     for words, got in zip(made, lines.fingerprints(made).tolist()):
-        hashes = [xxhash.xxh64_intdigest(w) for w in words]
-        assert got == sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(words))
+        hashes = [xxhash.xxh64_intdigest(w) for w in set(words)]
+        assert got == sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
 
 
-def dropped_by_brute_force(rows):
-    """{(id, text): dropped line numbers} by comparing all lines."""
-    first, words_of = {}, {}
+def dropped_by_brute_force(rows, bits=True):
+    """{(id, text): dropped line numbers} by comparing all lines; without ``bits`` by edit similarity alone."""
+    first = {}
     places = []
     for i, text in rows:
         for n, words in enumerate(lines.normalised_lines((text or "").encode())):
-            if len(words) >= lines.LEAST_WORDS:
+            if words:
                 key = b" ".join(words).decode()
                 places.append((key, (i, n), text))
                 first[key] = min(first.get(key, (i, n)), (i, n))
-                words_of[key] = words
     keys = sorted(first, key=first.get)
-    fps = [int(lines.fingerprints([words_of[k]])[0]) for k in keys]
-    group = brute.groups(
-        list(zip(keys, fps)),
-        lambda a, b: bin(a[1] ^ b[1]).count("1") <= lines.RADIUS and lines.similar(a[0].split(), b[0].split(), lines.SIMILARITY))
+    fps = [int(lines.fingerprints([k.encode().split()])[0]) for k in keys]
+    near_bits = lambda a, b: bin(a ^ b).count("1") <= lines.RADIUS
+    hashes = [xxhash.xxh3_128_digest(k.encode()) for k in keys]
+    halves = [tuple(int.from_bytes(h[i : i + 8], "big", signed=True) for i in (0, 8)) for h in hashes]
+    cluster = brute.groups(list(range(len(keys))), lambda a, b: near_bits(fps[a], fps[b]))
+    heads = {}
+    for n, c in enumerate(cluster):
+        heads[c] = min(heads.get(c, n), n, key=lambda m: halves[m])
+
+    def near(a, b):
+        if bits and not (near_bits(fps[a], fps[b]) or cluster[a] == cluster[b] and heads[cluster[a]] in (a, b)):
+            return False
+        return 10 * plain_similar(keys[a], keys[b]) >= 8
+
+    group = brute.groups(list(range(len(keys))), near)
     kept = {k: first[keys[group[n]]] for n, k in enumerate(keys)}
     gone = {}
     for key, place, text in places:
@@ -59,6 +70,13 @@ def dropped_by_brute_force(rows):
     return gone
 
 
+def plain_similar(a, b):
+    longest = max(len(a), len(b))
+    if abs(len(a) - len(b)) > 0.2 * longest:
+        return 0
+    return (1 - lines.edit_distance(a, b) / longest) + 1e-9
+
+
 def made_rows():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
@@ -102,11 +120,30 @@ def test_query_equals_brute_force(spark):
     assert {(r.doc_id, texts[r.doc_id]): set(r.dropped) for r in got if r.dropped} == want
 
 
+def test_a_large_group_of_near_lines(spark, monkeypatch):
+    """Over a tile the group is joined line by line; the rule is the same as in small groups."""
+    batches.session(spark)
+    rng = random.Random(3)
+    base = [f"word{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        words = list(base)
+        words[rng.randrange(120)] = f"other{i}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dropped_by_brute_force(rows)
+    for tile in (2048, 20):
+        monkeypatch.setattr(hamming, "TILE", tile)
+        got = {(r.doc_id, rows[r.doc_id][1]): set(r.dropped) for r in lines.dedup_lines(df).collect() if r.dropped}
+        assert got == want
+    assert len(want) > 200
+
+
 def test_edge_rows(spark):
     batches.session(spark)
     long = "\n".join(f"line number {i} of a very long text" for i in range(3000))
     rows = [
-        (1, None), (2, ""), (3, "one two three\n\nOne, two: THREE!\nshort\nshort"), (4, long), (5, long + "\nshort"),
+        (1, None), (2, ""), (3, "one two three\n\n«One», two: “THREE”!\n--\n--\nshort\nshort"), (4, long), (5, long + "\nshort"),
         (6, "own words only here"), (6, "own words only here"), (7, "first text of seven"), (7, "own words only here"),
         (None, "one two three"),
     ]
@@ -116,9 +153,9 @@ def test_edge_rows(spark):
     found = sorted(((r.doc_id or 0, r.text, r.n_chars) for r in out.collect()), key=str)
     assert len(found) == len(rows)
     assert (0, "one two three", 13) in found  # a null id is the smallest
-    assert (3, "\nshort\nshort", 12) in found
+    assert (3, "\n--\n--\nshort", 12) in found  # repeats of one word go, lines without a word stay
     assert (1, None, None) in found and (2, "", 0) in found
-    assert [t for i, t, _ in found if i == 5] == ["short"]
+    assert [t for i, t, _ in found if i == 5] == [""]
     assert [t for i, t, _ in found if i == 6] == ["own words only here"] * 2
     assert sorted(t for i, t, _ in found if i == 7) == ["", "first text of seven"]
     assert lines.without_repeats(spark, df).columns == df.columns

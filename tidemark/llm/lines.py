@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -15,44 +17,61 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from . import batches, hamming
 from .components import components
 
-#: Lines with fewer words always stay: headings, list marks and the like.
-LEAST_WORDS = 3
+#: Lines with fewer words always stay: those without content.
+LEAST_WORDS = 1
 #: Bits in which the fingerprints of near lines may differ.
 RADIUS = 3
 #: Widths of the fingerprint's blocks. Three errors leave two of five blocks
 #: equal, so any two blocks make a key.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Least edit similarity of near lines, in words: 1 - distance / longer length.
+#: Least edit similarity of near lines, in characters: 1 - distance / longer length.
 SIMILARITY = 0.8
+#: Lines up to this length are compared without a look at their characters first.
+SHORT = 100
 #: Words whose bits are counted at once.
 WORDS_AT_ONCE = 1 << 15
 
+#: Punctuation, spaces and signs beyond ASCII in UTF-8: Latin-1 signs, general
+#: punctuation, CJK punctuation and full-width forms (fixed values).
+_SIGNS = re.compile(
+    rb"\xc2[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf]|\xc3[\x97\xb7]|\xe2\x80[\x80-\xbf]|\xe2\x81[\x80-\xaf]"
+    rb"|\xe3\x80[\x80-\x83\x88-\x91\x94-\x9f]|\xef\xbc[\x81-\x8f\x9a-\xa0]|\xef\xbd[\x9b-\xa0]")
 #: ASCII characters other than letters, digits and the underscore, as blanks.
 _BLANKS = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x5F else 0x20 for c in range(256))
 _LANES = np.uint64(0x0101010101010101)
 
 
 def normalised_lines(text: bytes) -> list[list[bytes]]:
-    """The lower-cased words of each line; ASCII punctuation parts words."""
-    text = text.decode().lower().encode()
+    """The lower-cased words of each line; punctuation and signs part words."""
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = _SIGNS.sub(b" ", text.decode().lower().encode())
     return [line.translate(_BLANKS).split() for line in text.split(b"\n")]
 
 
-def with_block_keys(fps: DataFrame) -> DataFrame:
-    """(key, fp): each fingerprint once for each two of its blocks."""
+def block_keys(fp: str = "fp") -> Column:
+    """A key for each two blocks of a fingerprint."""
     parts, at = [], 0
     for width in BLOCKS:
-        parts.append(F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1)))
+        parts.append(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)))
         at += width
-    keys = [
+    return F.array(*(
         F.shiftleft(parts[a], 17).bitwiseOR(F.shiftleft(parts[b], 4)).bitwiseOR(F.lit(n))
-        for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))
-    ]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+        for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))))
+
+
+def with_block_keys(fps: DataFrame) -> DataFrame:
+    """(key, fp): each fingerprint once for each two of its blocks."""
+    return fps.select(F.explode(block_keys()).alias("key"), "fp")
 
 
 def fingerprints(lines: list[list[bytes]]) -> np.ndarray:
-    """SimHash over the words of each line; no line is empty."""
+    """SimHash over the distinct words of each line; no line is empty.
+
+    A word counts once, so that the frequent words of a language don't make the
+    fingerprints of its long lines alike.
+    """
     digest = xxhash.xxh64_intdigest
     out, part, size = [], [], 0
 
@@ -74,6 +93,7 @@ def fingerprints(lines: list[list[bytes]]) -> np.ndarray:
         out.append(fps)
 
     for words in lines:
+        words = list(dict.fromkeys(words))
         part.append(words)
         size += len(words)
         if size >= WORDS_AT_ONCE:
@@ -120,10 +140,16 @@ def edit_distance(a: Sequence, b: Sequence, most: float = float("inf")) -> float
     return score
 
 
-def similar(a: Sequence, b: Sequence, least: float) -> bool:
+def similar(a: str, b: str, least: float) -> bool:
     longest = max(len(a), len(b))
     most = longest * (1 - least) + 1e-9
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
+    if abs(len(a) - len(b)) > most:
+        return False
+    if longest > SHORT:  # characters that one line has more often are edits at least
+        extra, missing = Counter(a), Counter(b)
+        if max((extra - missing).total(), (missing - extra).total()) > most:
+            return False
+    return edit_distance(a, b, most) <= most
 
 
 def _copy() -> Column:
@@ -179,18 +205,21 @@ def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     return batches.map_arrow(joined, "key long, fp long, h1 long, h2 long, words string", run)
 
 
-def spanning_near(fps: np.ndarray, words: list[list[str]], least: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the lines that are within RADIUS bits and similar."""
+def spanning_near(fps: np.ndarray, words: list[str], least: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of a cluster's lines that are near, or similar to the first one."""
     lengths = np.array([len(w) for w in words])
-    waiting = np.arange(len(words))
-    found = []
+    waiting, queue = np.arange(1, len(words)), [0]
+    found, first = [], True
     while len(waiting):
-        queue, waiting = [waiting[0]], waiting[1:]
+        if not queue:
+            queue, waiting = [int(waiting[0])], waiting[1:]
         while queue and len(waiting):
             at = queue.pop()
             longest = np.maximum(lengths[waiting], lengths[at])
-            to_try = (np.bitwise_count(fps[waiting] ^ fps[at]) <= RADIUS) & (
-                np.abs(lengths[waiting] - lengths[at]) <= longest * (1 - least) + 1e-9)
+            to_try = np.abs(lengths[waiting] - lengths[at]) <= longest * (1 - least) + 1e-9
+            if not first:
+                to_try &= np.bitwise_count(fps[waiting] ^ fps[at]) <= RADIUS
+            first = False
             near = [int(i) for i in waiting[to_try] if similar(words[at], words[i], least)]
             if near:
                 found += [(at, i) for i in near]
@@ -207,13 +236,15 @@ NODE = pa.struct([("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def near_links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that connect lines within RADIUS bits and of enough edit similarity.
+    """(a, b): links that connect the near lines.
 
     Nodes are pairs of hash halves. Lines whose fingerprints are connected over
-    links of at most RADIUS bits make a cluster; within it, lines are compared
-    as texts, which gives a spanning forest. In a cluster over hamming.TILE
-    lines, a line similar to the first one is linked to it, however many bits
-    they differ in; so a large group of near lines takes one comparison a line.
+    links of at most RADIUS bits make a cluster; its first line is the one with
+    the smallest hash. In a cluster of any size a line is near the first one if
+    their edit similarity is enough, and near another one if, besides, they
+    differ in at most RADIUS bits. So a large group of near lines takes about one
+    comparison a line. A cluster over hamming.TILE lines is held against its
+    first line by many tasks; what is left meets the others over equal blocks.
     """
     names = ["key", "fp", "h1", "h2", "words", "a", "b"]
     node = "struct<h1: long, h2: long>"
@@ -222,7 +253,7 @@ def near_links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataF
     def search(rows: list[pa.RecordBatch]):
         rows = pa.Table.from_batches(rows).combine_chunks()
         found = spanning_near(
-            rows.column(1).to_numpy().view(np.uint64), [w.split(" ") for w in rows.column(4).to_pylist()], similarity)
+            rows.column(1).to_numpy().view(np.uint64), rows.column(4).to_pylist(), similarity)
         halves = [rows.column(i).to_numpy() for i in (2, 3)]
         return [np.array([half[pair[end]] for pair in found], dtype=np.int64) for end in (0, 1) for half in halves]
 
@@ -244,8 +275,6 @@ def near_links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataF
     found = batches.stage(
         texts.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(hamming.search_runs(search, emit, spill), schema), "lines-found")
     links = found.where("key is null").select("a", "b")
-    # a large cluster: one comparison a line with its first line, and what is
-    # not near that one with the lines of the cluster within RADIUS bits
     hot = found.where("key is not null").select("key", "fp", "h1", "h2", "words")
     heads = batches.stage(hot.groupBy("key").agg(F.min(F.struct("h1", "h2", "words")).alias("head")), "lines-heads")
     with_head = hot.join(batches.broadcast_if_small(heads), "key").select(*hot.columns, "head")
@@ -253,9 +282,13 @@ def near_links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataF
     links = links.union(judged.where("near").select(F.struct("head.h1", "head.h2").alias("a"), _node().alias("b")))
     rest = judged.where("not near").drop("near", "head")
     if not rest.isEmpty():
-        others = judged.select("key", F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("fp").alias("other_fp"), F.struct("h1", "h2", "words").alias("head"))
-        close = F.expr(f"bit_count(fp ^ other_fp) <= {RADIUS} AND NOT (h1 = k1 AND h2 = k2)")
-        pairs = rest.join(others, (rest.key == others.key) & close).select(rest.key, "fp", "h1", "h2", "words", "head")
+        others = judged.select("key", F.col("fp").alias("other_fp"), F.struct("h1", "h2", "words").alias("head"), block_keys().alias("other_keys"))
+        others = others.withColumn("block", F.explode("other_keys"))
+        mine = rest.withColumn("keys", block_keys()).withColumn("block", F.explode("keys"))
+        # a pair meets in one of the blocks it shares
+        close = F.expr(f"""bit_count(fp ^ other_fp) <= {RADIUS} AND block = array_min(array_intersect(keys, other_keys))
+            AND NOT (h1 = head.h1 AND h2 = head.h2)""")
+        pairs = mine.join(others, ["key", "block"]).where(close).select("key", "fp", "h1", "h2", "words", "head")
         more = _near_head(pairs, similarity).where("near")
         links = links.union(more.select(F.struct("head.h1", "head.h2").alias("a"), _node().alias("b")))
     # a row that repeats id and text gives its lines again, hence links from a line to itself
@@ -268,7 +301,7 @@ def _near_head(lines: DataFrame, least: float) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         others = batch.column(to).field("words").to_pylist()
-        near = [similar(a.split(" "), b.split(" "), least) for a, b in zip(batch.column(at).to_pylist(), others)]
+        near = [similar(a, b, least) for a, b in zip(batch.column(at).to_pylist(), others)]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.bool_())], [*batch.schema.names, "near"])
 
     return batches.map_arrow(lines, StructType([*lines.schema.fields, StructField("near", BooleanType())]), run)

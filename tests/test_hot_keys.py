@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.oracle import compare, connect
 from tidemark.catalog import alter as c_alter, changelog as c_log, copy as c_copy, flow as c_flow, hints as c_hints
 from tidemark.catalog import columns as c_cols
-from tidemark.operators import alter, changelog, columns, copy, flow, hints
+from tidemark.operators import alter, changelog, columns, copy, flow, hints, verify
 from tidemark.plans import sizes, skew
 from tidemark.sources.tables import table
 
@@ -73,6 +73,28 @@ def test_assign_chunks_with_one_hot_key_and_large_keys(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_chunks_by_keys_of_any_kind(spark):
+    """Two columns, text, dates and numbers past doubles; few and many rows in a task; nulls in no chunk."""
+    df = spark.range(600).select(
+        (F.col("id") % 7).alias("a"), F.concat(F.lit("k"), F.col("id") % 90).alias("b"), F.col("id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("d"),
+        F.when(F.col("id") % 50 != 0, F.col("id") % 97 + 2**60).alias("n"))
+    for key in (["a", "b"], ["b"], ["d"], ["n"], ["n", "a"]):
+        rows = sorted((tuple(r[k] for k in key) for r in df.collect() if None not in [r[k] for k in key]))
+        first, want = {}, {}
+        for i, k in enumerate(rows):
+            first.setdefault(k, i)
+        want = {k: i // 50 for k, i in first.items()}
+        for one_task in (True, False):
+            bounds = copy.chunk_boundaries(df, key if len(key) > 1 else key[0], 50, one_task)
+            for limit in (2_000_000, 40):
+                got = copy.assign_chunks(df, bounds, key, 5, limit).collect()
+                assert len(got) == 600
+                assert all(r.chunk_id == want.get(tuple(r[k] for k in key)) for r in got)
+    sums = verify.chunk_checksums(df, df.where("id <> 77"), copy.chunk_boundaries(df, ["a", "b"], 50), ["a", "b"], ["id"]).where("differs").collect()
+    assert len(sums) == 1 and sums[0].left_rows == sums[0].right_rows + 1
+
+
 def test_numbering_over_partitions(spark, con):
     lines = table(spark, D, "lineitem")
     got = alter.add_auto_increment(lines, c_alter._LINE_ORDER, "line_id", one_task=False)

@@ -65,6 +65,20 @@ ON (l.l_orderkey > b.lo AND l.l_orderkey <= b.hi) OR (b.chunk_id = 0 AND l.l_ord
 """
 
 
+def chunk_turns(spark, d):
+    """Chunks of the conversations by a key of two columns, and the chunk of each turn."""
+    turns = table(spark, d, "conversations")
+    bounds = op.chunk_boundaries(turns, ["conv_id", "turn"], 100)
+    placed = op.assign_chunks(turns, bounds, ["conv_id", "turn"])
+    return placed.select("conv_id", "turn", "role", "chunk_id")
+
+
+CHUNK_TURNS = """
+SELECT conv_id, turn, role, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN CAST(floor(before / 100) AS BIGINT) END AS chunk_id FROM (
+ SELECT c.*, (SELECT count(*) FROM conversations o WHERE (o.conv_id, o.turn) < (c.conv_id, c.turn)) AS before FROM conversations c)
+"""
+
+
 def row_copy(spark, d):
     orders = table(spark, d, "orders")
     path = new_path(spark, "row-copy")
@@ -125,6 +139,7 @@ QUERIES = {
         """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders
         WHERE o_orderkey > 2000 AND o_orderkey <= 3000 ORDER BY o_orderkey""",
     ),
+    "chunk_turns": (chunk_turns, CHUNK_TURNS),
     "assign_chunks": (assign_chunks, ASSIGN_CHUNKS),
     "row_copy": (row_copy, "SELECT * EXCLUDE (o_orderpriority) FROM orders"),
     "copy_missing": (copy_missing, "SELECT * FROM orders"),

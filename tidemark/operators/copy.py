@@ -36,22 +36,34 @@ def next_key(df: DataFrame, key: str, last) -> DataFrame:
     return df.where(F.col(key) > last).select(F.col(key).alias("next_key")).orderBy("next_key").limit(1)
 
 
-def chunk_boundaries(df: DataFrame, key: str, n: int, one_task: bool | None = None) -> DataFrame:
+def _key_value(keys: Sequence[str]) -> Column:
+    """A key as one value that compares like its columns in order."""
+    return F.col(keys[0]) if len(keys) == 1 else F.struct(*keys)
+
+
+def _whole(keys: Sequence[str]) -> Column:
+    return reduce(lambda p, q: p & q, [F.col(k).isNotNull() for k in keys])
+
+
+def chunk_boundaries(df: DataFrame, key: Key, n: int, one_task: bool | None = None) -> DataFrame:
     """Split the table into chunks of about ``n`` rows in key order.
 
-    A chunk holds the keys ``lo < key <= hi``, the first one also ``lo``. All
-    rows of one key stay in one chunk, so a chunk is larger than ``n`` only
-    where a single key is. ``chunk_id`` rises but may skip numbers after such
-    a key. Keys are counted before the sort, so a hot key is one row of it.
+    A chunk holds the keys ``lo < key <= hi``, the first one also ``lo``; for a
+    key of several columns both are structs. All rows of one key stay in one
+    chunk, so a chunk is larger than ``n`` only where a single key is.
+    ``chunk_id`` rises but may skip numbers after such a key. Keys are counted
+    before the sort, so a hot key is one row of it. Rows without a whole key are
+    in no chunk.
     """
-    per_key = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    placed = numbering.cumulative_by_key(per_key, key, "_n", one_task)
+    keys = key_columns(key)
+    per_key = df.where(_whole(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbering.cumulative_by_key(per_key.select(_key_value(keys).alias("_key"), "_n"), "_key", "_n", one_task)
     return (
         placed.groupBy(F.floor(F.col("before") / n).cast("bigint").alias("chunk_id"))
         .agg(
             F.min("prev").alias("_prev"),
-            F.min(key).alias("_first"),
-            F.max(key).alias("hi"),
+            F.min("_key").alias("_first"),
+            F.max("_key").alias("hi"),
             F.sum("_n").alias("rows"),
         )
         .select("chunk_id", F.coalesce("_prev", "_first").alias("lo"), "hi", "rows")
@@ -85,23 +97,25 @@ def _bucketed(df: DataFrame, value: Column, starts: list, name: str) -> DataFram
 
 
 def assign_chunks(
-    df: DataFrame, boundaries: DataFrame, key: str, max_lookup: int = MAX_LOOKUP_CHUNKS
+    df: DataFrame, boundaries: DataFrame, key: Key, max_lookup: int = MAX_LOOKUP_CHUNKS,
+    max_group_rows: int = skew.MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Give each row the chunk that holds its integer key, NULL if none does.
+    """Give each row the chunk that holds its key, NULL if none does.
 
-    A chunk list of checked size is looked up by every task without any
-    shuffle. A longer one is merged with the distinct keys, both cut by a
-    selection of the borders, and each key takes the last border at or before
-    it. Rows get the chunk of their key by an equality join, which adaptive
+    The key may be of any type that sorts, or several columns. A chunk list of
+    checked size over whole numbers that doubles hold exactly is looked up by
+    every task without any shuffle. Any other one is merged with the distinct
+    keys in range partitions, where each key takes the last border before it.
+    Rows get the chunk of their key by an equality join, which adaptive
     execution splits where a key is hot.
     """
-    if df.schema[key].dataType not in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()):
-        raise TypeError("chunks are assigned by integer keys")
+    keys = key_columns(key)
     chunks = boundaries.select("chunk_id", "lo", "hi")
-    rows = sizes.bounded_rows(chunks, max_lookup)
-    if rows is not None and all(abs(r["lo"]) < _EXACT_DOUBLE and abs(r["hi"]) < _EXACT_DOUBLE for r in rows):
-        return _assign_by_lookup(df, rows, key)
-    return _assign_by_merge(df, chunks, key, max_lookup)
+    if len(keys) == 1 and isinstance(df.schema[keys[0]].dataType, T.IntegralType):
+        rows = sizes.bounded_rows(chunks, max_lookup)
+        if rows is not None and all(abs(r["lo"]) < _EXACT_DOUBLE and abs(r["hi"]) < _EXACT_DOUBLE for r in rows):
+            return _assign_by_lookup(df, rows, keys[0])
+    return _assign_by_merge(df, chunks, keys, max_group_rows)
 
 
 def _assign_by_lookup(df: DataFrame, rows: list, key: str) -> DataFrame:
@@ -119,50 +133,25 @@ def _assign_by_lookup(df: DataFrame, rows: list, key: str) -> DataFrame:
     return placed.withColumn("chunk_id", inside).drop("_i", "_hi")
 
 
-def _cut(df: DataFrame, value: Column, cuts: list) -> DataFrame:
-    if all(abs(c) < _EXACT_DOUBLE for c in cuts):
-        return _bucketed(df, value, cuts, "_cut")
-    # keys too large for doubles: a coarser but exact comparison chain
-    at = F.lit(-1)
-    for i, c in enumerate(cuts):
-        at = F.when(value >= c, F.lit(i)).otherwise(at)
-    return df.withColumn("_cut", at.cast("bigint"))
-
-
-def _assign_by_merge(df: DataFrame, chunks: DataFrame, key: str, max_cuts: int) -> DataFrame:
-    starts = chunks.select(
-        F.col("chunk_id").alias("_chunk"),
-        (F.col("lo") + F.when(F.col("chunk_id") == 0, 0).otherwise(1)).alias("_start"),
-        F.col("hi").alias("_hi"),
-    )
-    n = max(16, min(max_cuts, (sizes.planned_bytes(df) or 2**40) // numbering.PARTITION_BYTES))
-    if starts.where(F.abs("_start") >= _EXACT_DOUBLE).limit(1).collect():
-        n = min(n, 64)
-    probs = [i / n for i in range(n + 1)]
-    near = sorted(
-        set(starts.agg(F.percentile_approx("_start", probs, 100_000).alias("c")).first()["c"] or [])
-    )
-    # percentiles are doubles; the smallest start from each of them on is exact
-    groups = _bucketed(starts, F.col("_start"), near, "_near").groupBy("_near").agg(F.min("_start").alias("c"))
-    cuts = sorted(r["c"] for r in groups.collect())
-
-    # A cut is itself a start, so every cut begins with its own border.
-    keys = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_at")).distinct()
-    left = _cut(keys, F.col("_at"), cuts).select(
-        "_at", F.lit(None).cast("struct<chunk:bigint,hi:bigint>").alias("_border"), "_cut", F.lit(1).alias("_side")
+def _assign_by_merge(df: DataFrame, chunks: DataFrame, keys: Sequence[str], max_group_rows: int) -> DataFrame:
+    kind = chunks.schema["lo"].dataType
+    border = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("hi", kind)])
+    present = df.where(_whole(keys)).select(*keys).distinct()
+    sought = present.select(
+        *keys, _key_value(keys).cast(kind).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(border).alias("_border")
     )
-    right = _cut(starts, F.col("_start"), cuts).select(
-        F.col("_start").cast("bigint").alias("_at"),
-        F.struct(F.col("_chunk").alias("chunk"), F.col("_hi").cast("bigint").alias("hi")).alias("_border"),
-        "_cut",
-        F.lit(0).alias("_side"),
+    # the first chunk's border stands before an equal key, the others after it
+    borders = chunks.select(
+        *[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], F.col("lo").alias("_at"),
+        F.when(F.col("chunk_id") == 0, 0).otherwise(2).alias("_side"),
+        F.struct(F.col("chunk_id").cast("bigint").alias("chunk"), "hi").cast(border).alias("_border"),
     )
-    w = W.partitionBy("_cut").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    merged = left.unionByName(right).withColumn("_b", F.last("_border", ignorenulls=True).over(w))
-    placed = merged.where((F.col("_side") == 1) & (F.col("_at") <= F.col("_b.hi"))).select(
-        F.col("_at").cast(df.schema[key].dataType).alias(key), F.col("_b.chunk").alias("chunk_id")
+    merged = skew.segment(sought.union(borders), [], ["_at", "_side"], max_group_rows)
+    found = skew.last_before(merged, F.col("_border"), "_last").done()
+    placed = found.where((F.col("_side") == 1) & (F.col("_at") <= F.col("_last.hi"))).select(
+        *keys, F.col("_last.chunk").alias("chunk_id")
     )
-    return df.join(placed, key, "left").select(*df.columns, "chunk_id")
+    return df.join(placed, list(keys), "left").select(*df.columns, "chunk_id")
 
 
 def row_copy(df: DataFrame, pairs, path: str, sort_key: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import staging
 from .changelog import DELETE, INSERT, UPDATE
 from .copy import assign_chunks
 from .inspect import Key, key_columns
@@ -52,15 +53,17 @@ def table_checksum(df: DataFrame, cols: Sequence[str] | None = None, fast: bool
 
 
 def chunk_checksums(
-    a: DataFrame, b: DataFrame, boundaries: DataFrame, key: str, cols: Sequence[str], fast: bool = False
+    a: DataFrame, b: DataFrame, boundaries: DataFrame, key: Key, cols: Sequence[str], fast: bool = False
 ) -> DataFrame:
     """Checksums per chunk on both sides and whether they differ.
 
-    Rows outside all chunks are reported as chunk -1.
+    Rows outside all chunks are reported as chunk -1. The chunk list is computed
+    once and written.
     """
+    boundaries = staging.stage(boundaries.select("chunk_id", "lo", "hi"), "chunks")
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        placed = assign_chunks(df.select(*{key: None, **dict.fromkeys(cols)}), boundaries, key)
+        placed = assign_chunks(df.select(*dict.fromkeys([*key_columns(key), *cols])), boundaries, key)
         return (
             placed.select(F.coalesce("chunk_id", F.lit(-1)).alias("chunk_id"), row_hash(cols, fast).alias("_h"))
             .groupBy("chunk_id")

@@ -16,8 +16,8 @@ from pyspark.sql import Window as W
 from . import sizes, staging
 
 PARTITION_BYTES = 256 * 1024 * 1024
-#: Inputs planned no larger than this are numbered by one task.
-ONE_TASK_BYTES = 16 * 1024 * 1024
+#: Inputs planned no larger than this, and of so few rows, are numbered by one task.
+ONE_TASK_BYTES, ONE_TASK_ROWS = 16 * 1024 * 1024, 1_000_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low bits
 
 
@@ -28,6 +28,10 @@ def range_partitions(df: DataFrame) -> int:
     return max(configured, min(200_000, size // PARTITION_BYTES))
 
 
+def _one_task(df: DataFrame, narrow: DataFrame) -> bool:
+    return sizes.fits(df, ONE_TASK_BYTES) and sizes.few_rows(narrow, ONE_TASK_ROWS)
+
+
 def _offsets(df: DataFrame, totals: DataFrame, extra: str | None = None) -> DataFrame:
     """Rows in earlier partitions; one row per partition, so bounded."""
     rows = sorted(totals.collect(), key=lambda r: r["_pid"])
@@ -50,7 +54,7 @@ def with_row_number(
     ``one_task`` overrides the size check that lets a small input be numbered
     by a plain window.
     """
-    if sizes.fits(df, ONE_TASK_BYTES) if one_task is None else one_task:
+    if _one_task(df, df.select(*order)) if one_task is None else one_task:
         number = F.row_number().over(W.orderBy(*order)).cast("bigint") + F.lit(start - 1)
         return df.withColumn(name, number)
     ordered = df.repartitionByRange(range_partitions(df), *order).sortWithinPartitions(*order)
@@ -77,7 +81,7 @@ def cumulative_by_key(df: DataFrame, key: str, weight: str, one_task: bool | Non
     even as the range split.
     """
     kept = df.select(key, F.col(weight).cast("bigint").alias(weight))
-    if sizes.fits(kept, ONE_TASK_BYTES) if one_task is None else one_task:
+    if _one_task(kept, kept.select(key)) if one_task is None else one_task:
         w = W.orderBy(key)
         before = F.sum(weight).over(w.rowsBetween(W.unboundedPreceding, -1))
         return kept.select(

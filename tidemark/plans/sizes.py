@@ -38,6 +38,11 @@ def spread(df: DataFrame, by: list[str]) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *by)
 
 
+def few_rows(df: DataFrame, most: int) -> bool:
+    """Whether there are at most ``most`` rows; a planned size can't tell, as files are compressed."""
+    return df.limit(most + 1).count() <= most
+
+
 def bounded_rows(df: DataFrame, max_rows: int) -> list | None:
     """The rows if there are at most ``max_rows`` of them, else None.
 

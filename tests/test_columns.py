@@ -1,5 +1,8 @@
 """Text, number and time helpers on known values."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +76,25 @@ def test_wildcards(spark, pattern, yes, no):
     assert [r.v for r in columns.wildcard_match(df, "v", [pattern]).collect()] == [yes]
 
 
+def test_ten_thousand_patterns(spark):
+    """Every kind of pattern equals a plain test; no nested-loop join."""
+    rng = random.Random(4)
+    letters = "abc%_\\.é"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [word(rng.randrange(0, 14)) for _ in range(250)] + [None, "", "two\nlines", "abcabc"]
+    made = {"", "*", "?", "???", "?*", "**", "two?lines", "*\n*", "a*", "*é", "ab?*c", "abcabc"}
+    while len(made) < 10_000:
+        made.add("".join(rng.choice([word(1), word(3), word(4), "*", "?"]) for _ in range(rng.randrange(1, 5))))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    patterns = spark.createDataFrame([(p,) for p in [*made, None, "*"]], "p string")
+    got = columns.wildcard_join(df, "v", patterns, "p")
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = {p: re.compile("".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in p), re.S) for p in made}
+    want = sorted((i, t, p) for i, t in enumerate(texts) if t is not None for p, r in plain.items() if r.fullmatch(t))
+    assert sorted(map(tuple, got.collect())) == want
+    assert columns.wildcard_join(df, "v", patterns.limit(0), "p").count() == 0
+
+
 def test_endpoints(spark):
     rows = [("localhost:3306",), ("invalid",), ("localhost:abc",), (" a:3307",), ("a:3306",), ("a:3306",), (":1",), ("b:0",), ("b:70000",), ("b:1:2",)]
     got = [tuple(r) for r in columns.endpoint_inventory(spark.createDataFrame(rows, "e string"), "e").collect()]

@@ -114,6 +114,25 @@ WILDCARD_MATCH = "SELECT p_partkey, p_name, p AS pattern FROM part, (VALUES " +
 ) + ") v(p, r) WHERE regexp_full_match(p_name, r, 's')"
 
 
+_NAME_PATTERNS = """
+SELECT CASE c_custkey % 5 WHEN 0 THEN '*' || right(c_name, 4) WHEN 1 THEN left(c_name, 14) || '*' WHEN 2 THEN left(c_name, 13) || '??' || right(c_name, 1)
+ WHEN 3 THEN c_name ELSE '*' || substring(c_name, 11, 3) || '*' || right(c_name, 2) END AS pattern FROM customer WHERE c_custkey % 3 = 0
+"""
+
+
+def wildcard_join(spark, d):
+    """Names against patterns that are made of every third name."""
+    names = table(spark, d, "customer")
+    names.createOrReplaceTempView("customer")
+    return op.wildcard_join(names.select("c_custkey", "c_name"), "c_name", spark.sql(_NAME_PATTERNS))
+
+
+WILDCARD_JOIN = f"""
+SELECT c_custkey, c_name, pattern FROM customer
+JOIN (SELECT DISTINCT pattern FROM ({_NAME_PATTERNS})) ON c_name LIKE translate(pattern, '*?', '%_')
+"""
+
+
 def statements(spark, d):
     """Change statements and ALTERs with comments in and around them."""
     changes = changelog.change_statements(rows(spark, d), KEY, COLS).select(
@@ -251,6 +270,7 @@ QUERIES = {
     "parse_numbers": (parse_numbers, PARSE_NUMBERS),
     "escape_columns": (escape_columns, ESCAPE_COLUMNS),
     "wildcard_match": (wildcard_match, WILDCARD_MATCH),
+    "wildcard_join": (wildcard_join, WILDCARD_JOIN),
     "statement_audit": (statement_audit, STATEMENT_AUDIT),
     "ddl_operations": (ddl_operations, DDL_OPERATIONS),
     "utf8_audit": (utf8_audit, UTF8_AUDIT),

@@ -202,3 +202,10 @@ def like_pattern(pattern: str) -> str:
     for ch in ("\\", "%", "_"):
         out = out.replace(ch, "\\" + ch)
     return out.replace("*", "%").replace("?", "_")
+
+
+def like_patterns(c: Column) -> Column:
+    """LIKE patterns for a column of wildcard patterns."""
+    for ch in ("\\", "%", "_"):
+        c = F.replace(c, F.lit(ch), F.lit("\\" + ch))
+    return F.translate(c, "*?", "%_")

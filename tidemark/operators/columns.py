@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import coords, numbers, text, times
-from ..plans import sizes, skew
+from ..plans import sizes, skew, staging
 
 
 def text_columns(df: DataFrame, column: str, keep: Sequence[str], needle: str, label: Column) -> DataFrame:
@@ -104,6 +104,57 @@ def wildcard_match(df: DataFrame, column: str, patterns: Sequence[str]) -> DataF
     return df.select("*", F.explode(F.array_compact(F.array(*hits))).alias("pattern"))
 
 
+#: Length of the literal stretches that index a table of patterns.
+GRAM = 3
+
+
+def _grams(c: Column, n: int) -> Column:
+    """All stretches of ``n`` characters, each once."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
+    found = F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit("g"), F.substring(c, i, F.lit(n)))))
+    return F.when(F.length(c) >= n, found).otherwise(F.array().cast("array<string>"))
+
+
+def wildcard_join(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """As ``wildcard_match``, with a table of patterns of any length.
+
+    A pattern is indexed by one stretch of GRAM characters of its longest
+    literal: the one that the fewest rows hold. Rows meet the patterns whose
+    stretch they hold in an equality join, and are then tested. Patterns without
+    a wildcard are looked up whole, those of shorter literals by these, those of
+    ``?`` alone by their length; what is left (``*``, ``?*``) meets all rows, as
+    nearly all match. Repeated patterns count once; NULL matches nothing.
+    """
+    literals = F.transform(F.split("pattern", "[*?]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("text")))
+    given = patterns.where(F.col(pattern).isNotNull()).select(F.col(pattern).alias("pattern")).distinct()
+    given = given.withColumn("_literal", F.array_max(literals))
+    given = given.select("pattern", F.col("_literal.n").alias("n"), F.col("_literal.text").alias("literal"))
+    keys = (
+        F.when(~F.col("pattern").rlike("[*?]"), F.array(F.concat(F.lit("="), "pattern")))
+        .when(F.col("n") >= GRAM, _grams(F.col("literal"), GRAM))
+        .when(F.col("n") > 0, F.array(F.concat(F.lit("g"), "literal")))
+        .when(~F.contains("pattern", F.lit("*")), F.array(F.concat(F.lit("#"), F.length("pattern").cast("string"))))
+        .otherwise(F.array(F.lit("")))
+    )
+    indexed = staging.stage(given.select("pattern", "n", F.explode(keys).alias("key")), "patterns")
+    kind = F.when(F.startswith("key", F.lit("g")), F.least("n", F.lit(GRAM)).cast("string")).otherwise(F.left("key", F.lit(1)))
+    lengths = {r[0] for r in indexed.select(kind).distinct().collect()}  # six at most
+    value = F.col(column)
+    held = [F.array(F.concat(F.lit("="), value))] if "=" in lengths else []
+    held += [_grams(value, n) for n in range(1, GRAM + 1) if str(n) in lengths]
+    held += [F.array(F.concat(F.lit("#"), F.length(value).cast("string")))] if "#" in lengths else []
+    held += [F.array(F.lit(""))] if "" in lengths else []
+    if not held:
+        return df.select("*", F.lit(None).cast("string").alias("pattern")).limit(0)
+    rows = df.where(value.isNotNull()).select(F.struct(*df.columns).alias("_row"), value.alias("_value"), F.explode(F.concat(*held)).alias("key"))
+    wanted = indexed.select("key").distinct()
+    often = rows.select("key").join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    rarest = indexed.join(often, "key", "left").groupBy("pattern").agg(
+        F.min_by("key", F.struct(F.coalesce("rows", F.lit(0)), "key")).alias("key"))
+    met = rows.join(rarest, "key").where(F.like(F.col("_value"), text.like_patterns(F.col("pattern"))))
+    return met.select("_row.*", "pattern")
+
+
 # Comments outside quotes, and what may stand for a table name.
 COMMENTS = r"""('[^']*+(?:''[^']*+)*+'?+|"[^"]*+(?:""[^"]*+)*+"?+)|--[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"""
 NAME = r"`?[A-Za-z_][A-Za-z0-9_]*`?(?:\.`?[A-Za-z_][A-Za-z0-9_]*`?)?"

@@ -117,10 +117,23 @@ def test_edge_rows_and_blocks(spark, monkeypatch):
         assert found.columns == df.columns
         got = found.collect()
         assert len(got) == len(rows)
-        assert all([h.item_id for h in r.hits] == ([7] if r.text and "fox" in r.text.lower() else []) for r in got)
-        assert all(h.score == 1 and h.end_word - h.first_word == 10 for r in got for h in r.hits)
-    assert [h.first_word for r in got if r.doc_id is None for h in r.hits] == [50000]
+        for r in got:
+            want = {7} if r.text and "fox" in r.text.lower() else {9} if r.doc_id == 4 else set()
+            assert {h.item_id for h in r.hits} == want | ({None} if r.doc_id is None else set())
+            assert len(r.hits) == len(want) + (r.doc_id is None)
+        assert all(h.score == 1 and h.end_word - h.first_word == 10 for r in got for h in r.hits if h.item_id == 7)
+    assert [h.first_word for r in got if r.doc_id is None for h in r.hits if h.item_id == 7] == [50000]
     kept = decontaminate.without_leaks(spark, df, bench)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert decontaminate.find_leaks(df, bench.where("item_id > 99")).count() == len(rows)
     assert decontaminate.find_leaks(df.where("doc_id > 9"), bench).count() == 0
+
+
+def test_texts_that_share_an_id_and_short_items(spark):
+    batches.session(spark)
+    one, two = "the first text of this item has these words", "another text with the same id and other words"
+    bench = spark.createDataFrame([(1, one), (1, two), (2, "Yes"), (3, "no way"), (4, "...")], "item_id long, text string")
+    rows = [(1, f"a copy: {one}"), (2, f"a copy: {two}"), (3, "They said yes and no way out"), (4, "Q: so?\n* YES!\nno way\nyes"), (5, "...")]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    got = {r.doc_id: [(h.item_id, h.first_word, h.end_word) for h in r.hits] for r in found.collect()}
+    assert got == {1: [(1, 2, 11)], 2: [(1, 2, 11)], 3: [], 4: [(2, 2, 3), (3, 3, 5)], 5: []}

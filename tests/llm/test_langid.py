@@ -63,3 +63,11 @@ def test_empty_tables(spark):
     unlabelled = spark.createDataFrame([(1, "the house", None)], df.schema)
     assert langid.identify(unlabelled, langid.fit(unlabelled.selectExpr("doc_id id", "text", "lang"))).first().lang_pred == "und"
     assert np.isfinite(langid.fit(unlabelled.selectExpr("doc_id id", "text", "lang")).idf).all()
+
+
+def test_without_labels_nothing_goes(spark):
+    batches.session(spark)
+    rows = [(i, f"some words of text number {i}", None) for i in range(50)] + [(None, None, None), (51, "123", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.keep_identified(spark, df)
+    assert kept.columns == df.columns and kept.count() == len(rows)

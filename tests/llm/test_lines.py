@@ -4,6 +4,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import batches, hamming, lines
 from tests.llm import brute
@@ -158,7 +159,8 @@ def test_edge_rows(spark):
     assert [t for i, t, _ in found if i == 5] == [""]
     assert [t for i, t, _ in found if i == 6] == ["own words only here"] * 2
     assert sorted(t for i, t, _ in found if i == 7) == ["", "first text of seven"]
-    assert lines.without_repeats(spark, df).columns == df.columns
+    same = lines.without_repeats(spark, df.withColumn("n_lines", F.lit(-5)))
+    assert same.columns == [*df.columns, "n_lines"] and {(r.n_lines, r.dropped) for r in same.collect()} == {(-5, 0)}
 
 
 def test_empty_table(spark):

@@ -47,31 +47,51 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
 
 
 class Block:
-    """Some benchmark items with their seeds: all word trigrams, frequent or not."""
+    """Some benchmark rows with their seeds: all word trigrams, frequent or not.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    Rows are told apart by their place, so several texts may have one item_id.
+    """
+
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        self.ids = [item_id for item_id, _ in items]
         self.items: dict[int, np.ndarray] = {}
         self.number: dict[str, int] = {}
         self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
-        texts = {i: words for i, text in items if len(words := words_of(text or "")) >= WIDTH}
-        for item_id, words in texts.items():
+        #: Items too short for a seed, by their words.
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for row, (_, text) in enumerate(items):
+            words = words_of(text or "")
+            if len(words) < WIDTH:
+                if words:
+                    self.short[tuple(words)].append(row)
+                continue
             ids = [self.number.setdefault(w, len(self.number)) for w in words]
-            self.items[item_id] = np.array(ids)
+            self.items[row] = np.array(ids)
             for at, gram in enumerate(zip(*(ids[i:] for i in range(WIDTH)))):
-                self.seeds[gram].append((item_id, at))
-
-    def found(self, text: str) -> list[tuple[int, float, int, int]]:
+                self.seeds[gram].append((row, at))
+
+    def lines(self, text: str) -> list[tuple[int | None, float, int, int]]:
+        """The short items that are a line of their own."""
+        out, at = {}, 0
+        for line in text.split("\n"):
+            words = tuple(words_of(line))
+            for row in self.short.get(words, ()):
+                out.setdefault(row, (self.ids[row], 1.0, at, at + len(words)))
+            at += len(words)
+        return list(out.values())
+
+    def found(self, text: str) -> list[tuple[int | None, float, int, int]]:
         """(item, score for each word, first word, end) of the items aligned in a text."""
         numbers = [self.number.get(w, -1) for w in words_of(text)]
         seeds = self.seeds
         starts = defaultdict(list)
         for at, gram in enumerate(zip(*(numbers[i:] for i in range(WIDTH)))):
             if gram in seeds:
-                for item_id, place in seeds[gram]:
-                    starts[item_id].append(at - place)
-        words, out = np.array(numbers), []
-        for item_id, at in starts.items():
-            item = self.items[item_id]
+                for row, place in seeds[gram]:
+                    starts[row].append(at - place)
+        words, out = np.array(numbers), self.lines(text) if self.short else []
+        for row, at in starts.items():
+            item = self.items[row]
             best = (0.0, 0, 0)
             for low, high in _windows(sorted(at), len(item), len(words)):
                 passage = words[low:high]
@@ -84,8 +104,8 @@ class Block:
             if score / len(item) >= THRESHOLD:
                 # the same alignment backwards ends where it starts
                 back = smith_waterman(item[::-1], words[low : low + end][::-1])[1]
-                out.append((item_id, min(1.0, score / len(item)), low + end - back, low + end))
-        return sorted(out)
+                out.append((self.ids[row], min(1.0, score / len(item)), low + end - back, low + end))
+        return sorted(out, key=lambda hit: (hit[0] is not None, hit[0] or 0, hit[1:]))
 
 
 def may_align(item: np.ndarray, passage: np.ndarray) -> bool:
@@ -133,16 +153,11 @@ def _windows(starts: list[int], length: int, most: int) -> Iterator[tuple[int, i
         yield low, high
 
 
-def blocks(benchmark: DataFrame) -> list:
-    """The benchmark's items in broadcast blocks of at most about BLOCK_ITEMS items."""
-    spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text").where("item_id is not null")
+def blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark's rows, equal ones once, in parts of about BLOCK_ITEMS rows."""
+    items = batches.stage(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct(), "benchmark")
     n = max(1, -(-items.count() // BLOCK_ITEMS))
-    out = []
-    for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        out.append(spark.sparkContext.broadcast(Block([(r.item_id, r.text) for r in rows])))
-    return out
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text") for i in range(n)]
 
 
 HITS = ArrayType(StructType([
@@ -154,15 +169,19 @@ HITS = ArrayType(StructType([
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``hits``: the benchmark items found in each whole text, with score and words.
 
-    A null or empty text has no hits. Items of fewer than three words can't be
-    told from chance and are left out, as are null items; rows that repeat an
-    item_id with another text: the last text in order counts. Documents are
-    judged row by row, so null or repeated ids change nothing. A column named
-    ``hits`` is replaced.
+    A null or empty text has no hits, and neither has an item without words.
+    Items of fewer than three words would be found by chance anywhere, so they
+    count where they are a line of their own. Rows that repeat an item_id with
+    another text are items of their own, as are those with a null one. Documents are judged row
+    by row, so null or repeated ids change nothing. A column named ``hits`` is
+    replaced. Of a large benchmark one block of rows at a time is on the driver
+    and in the tasks; what it finds is written before the next one.
     """
     kept = docs.drop("hits")
     found = kept
-    for n, block in enumerate(blocks(benchmark)):
+    parts = blocks(benchmark)
+    for n, part in enumerate(parts):
+        block = docs.sparkSession.sparkContext.broadcast(Block([(r.item_id, r.text) for r in part.collect()]))
         at = found.columns.index(text_col)
 
         def run(batch: pa.RecordBatch, block=block, at=at, n=n) -> pa.RecordBatch:
@@ -178,11 +197,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
             return pa.RecordBatch.from_arrays([*columns, pa.array(hits, kind)], [*names, "hits"])
 
         found = batches.map_arrow(found, StructType([*kept.schema.fields, StructField("hits", HITS)]), run)
+        if n < len(parts) - 1:
+            found = batches.stage(found, "leaks")
+            block.destroy()
     return found
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark passage."""
+    """The documents that hold no benchmark passage, in the same columns; see ``find_leaks``."""
     found = find_leaks(docs.select(F.struct(*docs.columns).alias("row"), "text"), benchmark)
     return found.where("size(hits) = 0").select("row.*")
 

@@ -207,8 +207,17 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents whose language is identified; a null ``lang`` is filled in."""
-    model = spark.sparkContext.broadcast(fit(docs.select(F.col("doc_id").alias("id"), "text", "lang")))
+    """The documents whose language is identified; a null ``lang`` is filled in.
+
+    Texts that are too far from every learned language go, and so do those
+    without a letter, null and empty ones among them. If no row has a ``lang``
+    there is nothing to learn, and all documents stay as they are. Repeated rows
+    and null ids are judged by their texts; an empty table gives an empty one.
+    """
+    fitted = fit(docs.select(F.col("doc_id").alias("id"), "text", "lang"))
+    if not len(fitted.langs):
+        return docs
+    model = spark.sparkContext.broadcast(fitted)
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

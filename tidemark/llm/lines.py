@@ -369,8 +369,14 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents without repeated lines, in the same columns."""
-    return dedup_lines(docs).select(docs.columns)
+    """The documents without repeated lines, in the same columns; see ``dedup_lines``.
+
+    No row goes, ``n_chars`` follows the text, and all other columns stay as they
+    are, also those named like the columns that ``dedup_lines`` adds.
+    """
+    aside = {c: f"_aside_{c}" for c in ("n_lines", "dropped") if c in docs.columns}
+    cleared = dedup_lines(docs.withColumnsRenamed(aside)).drop("n_lines", "dropped")
+    return cleared.withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -70,6 +70,21 @@ def test_ownership_tells_examples_from_live_tokens(spark):
     assert [[tuple(s) for s in r.spans] for r in got if r.doc_id is None] == [[(0, 0, 9 + len(copied))]]
 
 
+def test_both_counts_decide(spark):
+    """A copy at a second owner hides nothing; many repositories of one owner make an example; no value falls between."""
+    batches.session(spark)
+    two, many = "r4Nd0m_T0k3n_aBcDeF9876", "zq9Xk27Lmn40PqRs81Tuv"
+    rows = [(1, "a", two), (2, "b", two)] + [(100 + i, "a", many) for i in range(secrets.EXAMPLE_REPOSITORIES)]
+    schema = "doc_id long, source string, text string"
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, schema)).collect()}
+    assert all(len(got[i].spans) == 1 and got[i].n_live == 1 for i in (1, 2))
+    assert all(not r.spans and not r.n_live for i, r in got.items() if i >= 100)
+    fewer = secrets.scan(spark.createDataFrame(rows[:-1], schema)).collect()
+    assert all(r.n_live == 1 for r in fewer)
+    owned = secrets.ownership(secrets.candidates(spark.createDataFrame(rows, schema), "source", "doc_id")).collect()
+    assert sorted((r.owners, r.repositories, r.example, r.live) for r in owned) == [(1, 25, True, False), (2, 2, False, True)]
+
+
 def test_empty_table_and_long_text(spark):
     batches.session(spark)
     schema = "doc_id long, source string, text string"

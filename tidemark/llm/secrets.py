@@ -26,8 +26,8 @@ HINTS = {
 }
 #: Characters of an assigned value.
 LEAST_VALUE = 6
-#: Owners from which on a value is a widely copied example.
-EXAMPLE_OWNERS = 3
+#: Owners, or repositories of few owners, from which on a value is a widely copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 25
 #: Different characters of a live-looking value, and words of made-up ones.
 LEAST_CHARACTERS = 8
 MADE_UP = r"(?i)example|sample|dummy|changeme|placeholder|xxxx|12345678"
@@ -89,7 +89,10 @@ def candidates(docs: DataFrame, owner: str, repository: str, text_col: str = "te
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories, live): how many distinct ones hold each candidate value.
+    """(hash, owners, repositories, example, live): how many distinct ones hold each candidate value.
+
+    A value is an example if many owners, or many repositories, have it. Any other
+    one belongs to its owners, and is live if it looks random.
 
     Values first meet as (hash, owner, repository), so that a value copied
     everywhere is spread over its owners and counted in parts.
@@ -99,17 +102,19 @@ def ownership(found: DataFrame) -> DataFrame:
         ((F.size(F.array_distinct(F.split("m.value", ""))) >= LEAST_CHARACTERS) & ~F.col("m.value").rlike(MADE_UP)).alias("random"))
     pairs = values.groupBy("hash", "owner", "repository").agg(F.first("random").alias("random"))
     owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("repositories"), F.first("random").alias("random"))
-    return owners.groupBy("hash").agg(
-        F.count("*").alias("owners"), F.sum("repositories").alias("repositories"),
-        (F.first("random") & (F.count("*") == 1)).alias("live"))
+    counted = owners.groupBy("hash").agg(
+        F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.first("random").alias("random"))
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    return counted.select("hash", "owners", "repositories", example.alias("example"), (F.col("random") & ~example).alias("live"))
 
 
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows without the text, and their spans and verdicts.
 
     New columns: ``base`` and ``spans`` (arrays of start, kind, end, sorted),
-    ``n_live`` and ``n_examples``: spans of values that only one owner has and
-    that look random, and of values that EXAMPLE_OWNERS or more owners have.
+    ``n_live`` and ``n_examples``: spans of values that look random and that few
+    owners and repositories have, and of values that EXAMPLE_OWNERS or more
+    owners, or EXAMPLE_REPOSITORIES or more repositories, have.
     Spans of the kind ``token`` are kept only where live-looking; base spans
     always stay. A null or empty text has no spans. A null owner or repository
     counts as one of its own. Repeated rows are each reported and count as one
@@ -126,7 +131,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", tex
     of_row = kept.groupBy("row_no").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"),
         F.sum(F.col("live").cast("long")).alias("n_live"),
-        F.sum((F.col("owners") >= EXAMPLE_OWNERS).cast("long")).alias("n_examples"))
+        F.sum(F.col("example").cast("long")).alias("n_examples"))
     of_row = batches.stage(of_row, "secrets-spans")
     names = [c for c in docs.columns if c != text_col and c not in new]
     base = _bare(F.col("base"))
@@ -170,14 +175,15 @@ tokens AS ({_sql_matches("token")}),
 free AS (SELECT * FROM tokens t WHERE NOT EXISTS (
   SELECT 1 FROM base b WHERE b.n = t.n AND b.start < t."end" AND t.start < b."end")),
 found AS (SELECT * FROM base UNION ALL SELECT * FROM free),
-owned AS (SELECT v, count(DISTINCT source) AS owners,
-  count(DISTINCT source) = 1 AND any_value(len(list_distinct(string_split(v, ''))) >= {LEAST_CHARACTERS}
-    AND NOT regexp_matches(lower(v), '{MADE_UP.replace("(?i)", "")}')) AS live FROM found GROUP BY v),
-judged AS (SELECT f.*, owners, live FROM found f JOIN owned USING (v)),
+counted AS (SELECT v, count(DISTINCT source) >= {EXAMPLE_OWNERS}
+    OR count(DISTINCT (source, coalesce(CAST(doc_id AS VARCHAR), ''))) >= {EXAMPLE_REPOSITORIES} AS example, any_value(len(list_distinct(string_split(v, ''))) >= {LEAST_CHARACTERS}
+    AND NOT regexp_matches(lower(v), '{MADE_UP.replace("(?i)", "")}')) AS random FROM found GROUP BY v),
+owned AS (SELECT v, example, random AND NOT example AS live FROM counted),
+judged AS (SELECT f.*, example, live FROM found f JOIN owned USING (v)),
 kept AS (SELECT n, string_agg(CASE WHEN kind < 3 THEN ['assign', 'access', 'hex'][kind + 1] || ':' || start || ':' || "end" END, ',' ORDER BY start, kind) AS base_list,
   string_agg(['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || "end", ',' ORDER BY start, kind) AS spans,
   count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-  count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_examples
+  count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_examples
   FROM judged WHERE kind < 3 OR live GROUP BY n)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base_list, '')) AS base_sha256, coalesce(spans, '') AS spans,

@@ -38,6 +38,32 @@ def test_inserts_drop_nothing_of_the_article():
     assert htmltext.main_text(page) == f"{first}\n{second}"
 
 
+def test_names_made_of_titles_drop_nothing():
+    page = (
+        f'<article><h1>Impact</h1><h2 id="social-impact">Social impact</h2><p>{LONG}</p><section id="search-and-rescue"><p>Rescue.</p></section>'
+        f'<section id="discussion"><h2 class="section-header">Discussion</h2><p>So.</p></section><section id="comments"><p>I {LONG}</p></section></article>'
+    )
+    assert htmltext.main_text(page) == f"Impact\nSocial impact\n{LONG.strip()}\nRescue.\nDiscussion\nSo."
+    plain = page.replace("<article>", "<div>").replace("</article>", "</div>").replace('<section id="comments">', '<div class="comments">')
+    assert "Social impact" in htmltext.main_text(plain) and "Rescue." in htmltext.main_text(plain) and "I A" not in htmltext.main_text(plain)
+
+
+def test_teasers_displace_and_join_nothing():
+    body = "".join(f"<p>{n} {LONG}</p>" for n in range(4))
+    want = "\n".join(f"{n} {LONG.strip()}" for n in range(4))
+    card = '<article class="card"><h3>Other</h3><p>Read this other story too.</p></article>'
+    bare = card.replace(' class="card"', "")
+    for teaser in (card, bare):
+        assert htmltext.main_text(f'<body>{teaser}<div class="post-body">{body}</div></body>') == want
+        for outer in ("<body>{}</body>", "<main>{}</main>", "<div class='row'>{}</div>"):
+            assert htmltext.main_text(outer.format(f"<article><h1>Head</h1>{body}</article>{teaser}{teaser}{teaser}")) == f"Head\n{want}"
+    # a short article with the only first heading stays the article beside long text without a mark
+    assert htmltext.main_text(f"<div><p>About {LONG}</p></div><article><h1>Head</h1><p>Short.</p></article>") == "Head\nShort."
+    # all of a marked article, also what is in links and far apart
+    gap = "<ul>" + "<li><a href=x>one</a></li>" * 5 + "</ul>"
+    assert htmltext.main_text(f"<article><p>{LONG}</p>{gap}<section><p>End.</p></section></article>") == f"{LONG.strip()}\n" + "one\n" * 5 + "End."
+
+
 def test_query_gives_the_articles(spark):
     """The made pages hold one article element each; its blocks are what is to be found."""
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect()}

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import batches, tokencount
@@ -38,13 +39,22 @@ def test_counts_equal_a_plain_scan(spark, monkeypatch):
     assert {(r.file, r.number): (r.n_tokens, r.complete) for r in got} == want
 
 
-def test_files_on_disk(spark, tmp_path):
-    ids = np.array([1, 2, 9, 9, 3, 4, 5, 9, 6], "<u4")
-    ids.tofile(tmp_path / "a.bin")
-    (tmp_path / "b.bin").touch()
-    blocks = tokencount.read_files(batches.session(spark), str(tmp_path), 2, "<u4")
-    got = tokencount.count(blocks, 9, "<u4").orderBy("number").collect()
-    assert [(r.n_tokens, r.complete) for r in got] == [(2, True), (0, True), (3, True), (1, False)]
+@pytest.mark.parametrize("stores", [("file",), ()])
+def test_files_on_disk(spark, tmp_path, monkeypatch, stores):
+    monkeypatch.setattr(tokencount, "SEEKABLE", stores or ("none",))
+    monkeypatch.setattr(tokencount, "RANGE_BLOCKS", 3)
+    rng = random.Random(3)
+    want = {}
+    for name, n in (("a 1.bin", 9), ("b.bin", 0), ("c%20.bin", 1001), ("d.bin", 600)):
+        ids = [9 if rng.random() < 0.2 else rng.randrange(10, 70000) for _ in range(n)]
+        np.array(ids, "<u4").tofile(tmp_path / name)
+        want |= {(name, n): x for n, x in enumerate(plain(ids, 9))}
+    for more in ({}, {"opener": lambda path: open(path.removeprefix("file:"), "rb")}):
+        blocks = tokencount.read_files(batches.session(spark), str(tmp_path), 2, "<u4", **more)
+        found = blocks.collect()
+        assert len(found) == 5 + 501 + 300 and all(len(r.data) <= 8 for r in found)
+        got = {(r.file.rsplit("/", 1)[1], r.number): (r.n_tokens, r.complete) for r in tokencount.count(blocks, 9, "<u4").collect()}
+        assert got == want
 
 
 def test_query_equals_the_library(spark, monkeypatch):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 from functools import cache
-from typing import Iterator
+from typing import BinaryIO, Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,11 @@ SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 16
 #: Blocks whose running sums one task makes at a time.
 SEGMENT_BLOCKS = 1024
+#: Consecutive blocks of a file that are read in one go.
+RANGE_BLOCKS = 64
 DTYPE = "<u2"
+#: Stores whose files tasks can open and seek in by themselves.
+SEEKABLE = ("file", "hdfs", "s3", "gs")
 
 
 @cache
@@ -55,6 +59,9 @@ def pack(docs: DataFrame, path: str | None = None, block_tokens: int = BLOCK_TOK
     Each partition makes one file. ``data`` is a block of ids; a block may start
     and end anywhere in a document. Rows with ``doc_ids`` instead list, in file
     order, the documents from number ``block`` on; the scan does not read them.
+    A null or empty text is a document of no tokens. Null and repeated ids are
+    listed as they are; other columns are not read. A table without rows gives
+    no blocks. A text may span any number of blocks.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
@@ -91,19 +98,56 @@ def pack(docs: DataFrame, path: str | None = None, block_tokens: int = BLOCK_TOK
     return batches.stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "token-files")
 
 
-def read_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = DTYPE) -> DataFrame:
-    """(file, block, data) of the flat files in a folder, each of less than 2 GB."""
-    size = block_tokens * np.dtype(dtype).itemsize
+def _open(path: str):
+    """A seekable file for a path as Spark names it."""
+    from pyarrow import fs
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parts = [data[i : i + size] for i in range(0, len(data), size)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([file] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())],
-                ["file", "block", "data"])
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path[len("file:") :].lstrip("/"))
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return batches.map_arrow(files, "file string, block long, data binary", run)
+
+def read_files(
+    spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, dtype: str = DTYPE, opener: Callable[[str], BinaryIO] | None = None,
+) -> DataFrame:
+    """(file, block, data) of the flat files in a folder, of any length.
+
+    Files are listed by Spark and cut to stretches of RANGE_BLOCKS blocks, whose
+    tasks seek to them, so one task never holds more than a block and a file of
+    any size is read by many tasks. Stores other than SEEKABLE need an ``opener``
+    that gives a seekable file for a path; without one their files are read
+    whole, which Spark refuses from 2 GB on. An empty file has no blocks; equal
+    files are files of their own.
+    """
+    size = block_tokens * np.dtype(dtype).itemsize
+    schema = "file string, block long, data binary"
+    names = ["file", "block", "data"]
+
+    def seek(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for file, first, end in zip(*(column.to_pylist() for column in batch.columns)):
+            with (opener or _open)(file) as source:
+                source.seek(first * size)
+                for block in range(first, end):
+                    data = source.read(size)
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names)
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for block, at in enumerate(range(0, len(data), size)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file]), pa.array([block], pa.int64()), pa.array([data[at : at + size]], pa.binary())], names)
+
+    files = spark.read.format("binaryFile").load(path)
+    seekable = F.lit(True) if opener else F.regexp_extract("path", "^([a-z0-9]+):", 1).isin(*SEEKABLE)
+    total = files.where(seekable).agg(F.sum("length")).first()[0] or 0
+    last = F.ceil(F.col("length") / size)
+    ranges = files.where(seekable & (F.col("length") > 0)).select(
+        F.col("path").alias("file"), last.alias("blocks"), F.explode(F.sequence(F.lit(0), last - 1, F.lit(RANGE_BLOCKS))).alias("first"),
+    ).select("file", "first", F.least(F.col("first") + RANGE_BLOCKS, "blocks").alias("end"))
+    ranges = ranges.repartition(max(1, -(-total // (4 * RANGE_BLOCKS * size))))
+    return batches.map_arrow(ranges, schema, seek).union(
+        batches.map_arrow(files.where(~seekable).select("path", "content"), schema, cut))
 
 
 def search_blocks(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) -> DataFrame:
@@ -171,7 +215,11 @@ def count(blocks: DataFrame, separator: int = SEPARATOR, dtype: str = DTYPE) ->
 
 
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, file, number in the file and n_tokens of every document."""
+    """doc_id, file, number in the file and n_tokens of every document.
+
+    One row per row of ``documents``, also for null, empty and repeated texts and
+    null or repeated ids, as rows are told apart by their place in the files.
+    """
     files = pack(batches.table(spark, folder, "documents"))
     counts = count(files.where("data IS NOT NULL"))
     names = files.where("doc_ids IS NOT NULL").select("file", "block", F.posexplode("doc_ids").alias("i", "doc_id"))

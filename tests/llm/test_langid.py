@@ -1,3 +1,5 @@
+import math
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -31,6 +33,46 @@ def test_held_out_accuracy(spark):
     assert sum(r.rejected for r in got) / len(got) < 0.01
 
 
+def plain_bins(text):
+    """Counts of hashed n-grams, one n-gram at a time."""
+    padded = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+    found = Counter()
+    for width in langid.WIDTHS:
+        for i in range(len(padded) - width + 1):
+            gram = padded[i : i + width]
+            if gram.strip():
+                mixed = width
+                for c, mix in zip(gram, langid._MIX):
+                    mixed = (mixed ^ (0 if c == " " else ord(c))) * int(mix) % 2**64
+                found[mixed >> 52] += 1
+    return found
+
+
+def test_query_equals_a_plain_classifier(spark):
+    """Frequencies over all labelled rows, and each text against every centroid, without matrices."""
+    folder = FOLDER.replace("0.01", "0.001")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    model = langid.fit(langid.learnable(batches.table(spark, folder, "documents")))
+    bins = {r.doc_id: plain_bins(r.text) for r in docs}
+    learned = [bins[r.doc_id] for r in docs if r.lang is not None and crc32(str(r.doc_id).encode()) % 4 != 2 and bins[r.doc_id]]
+    seen = Counter(b for found in learned for b in found)
+    idf = [math.log((1 + len(learned)) / (1 + seen[b])) + 0.1 for b in range(langid.BINS)]
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    got = {r.doc_id: r for r in langid.op10_language_id(spark, folder).collect()}
+    assert set(got) == set(bins)
+    centroids = model.centroids.astype(float).tolist()
+    for i, found in bins.items():
+        weights = {b: math.sqrt(n) * idf[b] for b, n in found.items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * centre[b] for b, w in weights.items()) / norm for centre in centroids]
+        best = max(cosines)
+        assert abs(got[i].score - best) < 1e-4
+        near = {lang for lang, c in zip(model.langs, cosines) if c > best - 1e-4}
+        assert got[i].lang_pred in near
+        lowest = model.lowest[cosines.index(best)]
+        assert abs(best - lowest) < 1e-4 or got[i].rejected == (best < lowest)
+
+
 def test_labels_of_the_held_out_fold_are_not_learned(spark):
     batches.session(spark)
     rows = [(i, TEXTS["en"], "xx" if crc32(str(i).encode()) % 4 == 2 else "en") for i in range(60)]

@@ -68,5 +68,5 @@ def test_stages_keep_the_columns_and_take_edge_rows(spark):
 def test_entry_registers_all():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1

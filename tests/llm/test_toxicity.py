@@ -1,7 +1,9 @@
+import math
 import random
 from zlib import crc32
 
 import pytest
+import zstandard
 
 from tidemark.llm import batches, toxicity
 
@@ -50,6 +52,40 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark, rows):
     assert sorted(first) == sorted(second)
 
 
+def test_scores_equal_a_plain_scan(rows):
+    """Windows that share bytes with toxic stretches, found by substrings, and the curve by hand."""
+    m = toxicity
+    model = m.fit([(i, t.encode(), y) for i, t, y in rows])
+    parameters = zstandard.ZstdCompressionParameters(
+        window_log=17, chain_log=17, hash_log=17, search_log=8, min_match=m.MATCH, target_length=128,
+        strategy=zstandard.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def sizes(content):
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary.precompute_compress(compression_params=parameters)
+        one = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=parameters)
+        return lambda window: len(one.compress(window))
+
+    ordinary, toxic = sizes(model.ordinary + bytes(len(model.toxic))), sizes(model.ordinary + model.toxic)
+    some = [t for _, t, y in rows if y][:60] + [t for _, t, y in rows if not y][:60] + ["", "x", "grumpf"]
+    found = 0
+    for text, score in zip(some, model.scores([t.encode() for t in some])):
+        flat = (" " + " ".join(text.lower().split()) + " ").encode()
+        starts = range(0, max(1, len(flat) - m.WINDOW + m.STEP), m.STEP)
+        windows = [flat[i : i + m.WINDOW] for i in starts]
+        saved = [ordinary(w) - toxic(w) if any(w[i : i + m.MATCH] in model.toxic for i in range(len(w) - m.MATCH + 1)) else 0 for w in windows]
+        values = []
+        for least, usual in zip(m.SAVINGS, model.usual):
+            n, usual = sum(s >= least for s in saved), len(saved) * usual
+            values.append(math.sqrt(min(200, n * math.log(n / usual) - (n - usual))) if n > usual else 0.0)
+        values += [math.sqrt(sum(s >= least for s in saved) / len(saved)) for least in m.SAVINGS]
+        values.append(min(12, max(*saved, 0)))
+        z = model.weights[-1] + sum(w * (v - c) / d for w, v, c, d in zip(model.weights, values, model.centre, model.scale))
+        assert score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9), text
+        found += score >= m.THRESHOLD
+    assert 50 <= found <= 65
+
+
 def test_query(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     got = toxicity.op6_toxicity(spark, FOLDER).collect()

@@ -162,7 +162,11 @@ def decode(tokens: DataFrame, path: str | None = None, ids_col: str = "token_ids
 
 
 def encode_checked(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
-    """As ``encode``, with ``round_trip``: whether the decoded ids give the text again."""
+    """As ``encode``, with ``round_trip``: whether the decoded ids give the text again.
+
+    A null or empty text has no ids and comes back as empty text, so its
+    ``round_trip`` is true. A column named ``round_trip`` is replaced, too.
+    """
     source = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
 
     def run(texts: list[bytes]) -> list[pa.Array]:

@@ -123,7 +123,9 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, centroids: int = CENTRO
 
     Document frequencies cover all rows. The centroids are fitted on about
     ``sample_rows`` rows, as many of each language, chosen by a hash of the id;
-    only these rows' count vectors reach the driver.
+    only these rows' count vectors reach the driver. Rows with one id are chosen
+    together, those with a null id as one; other columns are not read. Without
+    any row that counts the model has no centroids and predicts ``und``.
     """
     docs = docs.select(F.col("id").cast("string"), "text", "lang").where("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
@@ -230,7 +232,10 @@ def keep_identified(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and the method's rejection for every document."""
+    """doc_id, held_out, lang_pred, score and the method's rejection for every document.
+
+    A null doc_id is in no fold: its row is neither held out nor learned from.
+    """
     docs = batches.table(spark, folder, "documents")
     judged = identify(docs.select("doc_id", "text"), fit(learnable(docs)))
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")

@@ -83,7 +83,9 @@ class Model:
         """Windows by bytes saved, then all windows and the most bytes saved.
 
         Matches have MATCH bytes at least, so a window without as many bytes in
-        common with the toxic stretches saves nothing and isn't compressed.
+        common with the toxic stretches can't be shorter for them. It isn't
+        compressed and counts as saving nothing; where the two lengths differ
+        all the same, the compressor has searched another path.
         """
         plain, toxic, marks = _compressors(self)
         text = normal(text)
@@ -201,7 +203,12 @@ def ordinary_content(texts: list[bytes]) -> bytes:
 
 
 def fit(rows: list[tuple[int, bytes, int]]) -> Model:
-    """Train on (order number, text, 0 or 1); the first part trains the dictionaries."""
+    """Train on (order number, text, 0 or 1); the first part of each kind trains the dictionaries.
+
+    Empty texts are left out. With fewer than 20 texts of a kind, or none at
+    all, the model gives every text the share of toxic ones, at most one half.
+    Repeated rows count as often as they come; ties in the order number go by text.
+    """
     rows = [(n, t, y) for n, t, y in rows if t.split()]
     labels = [y for *_, y in rows]
     model = Model(prior=sum(labels) / len(labels) if labels else 0.0)
@@ -274,7 +281,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
+    """doc_id, held_out, score and predicted for every document.
+
+    A null doc_id is in no fold, so its row is not held out; labels with a null
+    doc_id belong to no document.
+    """
     docs = batches.table(spark, folder, "documents").select("doc_id", "text")
     model = fit(labelled_sample(docs, batches.table(spark, folder, "labels")))
     held_out = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")

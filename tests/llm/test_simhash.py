@@ -99,3 +99,35 @@ def test_empty_table(spark):
 def test_wider_radius_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), radius=3)
+
+
+def test_crowded_buckets_meet_under_longer_keys(spark, monkeypatch):
+    """Thousands of fingerprints around a few centres: groups as by brute force, links in proportion."""
+    batches.session(spark)
+    monkeypatch.setattr(hamming, "TILE", 16)
+    rng = random.Random(12)
+    for radius, keyed in ((2, simhash.with_golay_keys), (3, lambda fps: hamming.block_keys(fps, 3, 2))):
+        fps = set()
+        centres = [rng.getrandbits(64) for _ in range(3)]
+        while len(fps) < 1500:
+            fps.add(rng.choice(centres) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
+        signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
+        table = batches.stage(spark.createDataFrame([(x,) for x in signed], "fp long"), "test-fps")
+        found = hamming.links(table, keyed, radius, "test")
+        assert found.count() < 40 * len(fps)
+        got = {r.fp: r.group for r in hamming.groups(table, keyed, radius, "test").collect()}
+        a, b = hamming.spanning_links(np.array(sorted(fps), dtype=np.uint64), radius)
+        parent = {x: x for x in fps}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            parent[root(x)] = root(y)
+        want = {}
+        for x in signed:
+            want.setdefault(root(x % (1 << 64)), []).append(x)
+        assert got == {x: min(some) for some in want.values() for x in some}
+        assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= radius for r in found.collect())

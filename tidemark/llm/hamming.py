@@ -1,14 +1,18 @@
 """Connected groups of 64-bit fingerprints that differ in few bits.
 
 Fingerprints meet in buckets by key. A bucket is searched in one task if it is
-small; a larger one is cut into tiles and each pair of tiles is searched on its
-own, so no task holds an unbounded bucket and no pair is left out. A search
-gives only the links of a spanning forest, never all pairs.
+small; a larger one is cut into a few tiles and each pair of tiles is searched on
+its own. The members of one that would take more tiles meet again under longer
+keys, so that rows and links grow with the fingerprints and not with the bucket;
+no task holds an unbounded bucket and no pair is left out. A search gives only
+the links of a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,11 @@ from .components import components
 #: Fingerprints that one task compares with one another at most; larger
 #: buckets are tiled.
 TILE = 2048
+#: Tiles of a bucket; the members of larger buckets get longer keys.
+MOST_TILES = 16
+#: Equal blocks in the longer keys, in turn. With a radius of 2 they hold 38 and
+#: 48 of 64 bits, so the last buckets have 65,536 members at most.
+EQUAL_BLOCKS = (3, 6)
 FEW = 24
 #: (rows with a column fp) -> the same rows with a column key, once for each key
 Keyed = Callable[[DataFrame], DataFrame]
@@ -138,6 +147,23 @@ def tiled(members: DataFrame, order: str, label: str) -> DataFrame:
     return both.withColumn("key", key).select(members.columns)
 
 
+def block_keys(fps: DataFrame, radius: int, equal: int) -> DataFrame:
+    """(key, fp): fingerprints by each choice of ``equal`` out of ``radius + equal`` blocks of bits.
+
+    Two fingerprints within the radius differ in ``radius`` blocks at most, so
+    that some choice is equal in both.
+    """
+    blocks = radius + equal
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [(1 << high) - (1 << low) for low, high in zip(cuts, cuts[1:])]
+    keys = []
+    for n, chosen in enumerate(combinations(masks, equal)):
+        mask = sum(chosen)
+        signed = mask - (1 << 64) if mask >> 63 else mask
+        keys.append(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed))))
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
+
+
 def links(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
     """(a, b): links that connect all fingerprints within ``radius`` bits that share a key.
 
@@ -166,11 +192,23 @@ def links(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
     schema = "key long, a long, b long"  # a link if key is null, else a member of an oversized bucket
     with batches.rows_at_once(fps.sparkSession, 8192):  # rows of two numbers
         rows = keyed(fps.select("fp")).select("key", "fp")
-        found = batches.stage(
-            rows.repartition("key").sortWithinPartitions("key").mapInArrow(search_runs(search, emit, spill, pairs), schema), f"{label}-links")
-        hot = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("fp"))
-        more = tiled(hot, "fp", label).repartition("key").sortWithinPartitions("key").mapInArrow(search_runs(search, emit, None, pairs), schema)
-        both = found.where(F.col("key").isNull()).select("a", "b").union(more.select("a", "b"))
+        parts = []
+        for equal in (*EQUAL_BLOCKS, None):
+            found = batches.stage(
+                rows.repartition("key").sortWithinPartitions("key").mapInArrow(search_runs(search, emit, spill, pairs), schema), f"{label}-links")
+            parts.append(found.where(F.col("key").isNull()))
+            hot = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("fp"))
+            huge = hot.groupBy("key").count().where(F.col("count") > MOST_TILES * TILE // 2).select("key")
+            huge = None if equal is None else batches.stage(huge, f"{label}-huge")
+            last = huge is None or huge.isEmpty()
+            few = hot if last else hot.join(batches.broadcast_if_small(huge), "key", "left_anti")
+            few = tiled(few, "fp", label).repartition("key").sortWithinPartitions("key")
+            parts.append(few.mapInArrow(search_runs(search, emit, None, pairs), schema))
+            if last:
+                break
+            again = hot.join(batches.broadcast_if_small(huge), "key", "left_semi").select("fp").distinct()
+            rows = block_keys(again, radius, equal)
+        both = reduce(DataFrame.union, [part.select("a", "b") for part in parts])
         return batches.stage(both.distinct(), f"{label}-edges")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import changelog as op, flow
 from tidemark.sources.logs import read_change_log, write_change_log
 from tidemark.catalog import changelog as c_log
-from tidemark.streaming import apply, monitor, runner, state
+from tidemark.streaming import apply, monitor, ordered, runner, state
 from tidemark.streaming.status import StatusListener
 
 LOG = "file string, pos bigint, event_type string, k bigint, v string"
@@ -173,3 +173,46 @@ def test_many_batches_stay_few_parts(spark, tmp_path, monkeypatch):
     assert sorted((r.k, r.n) for r in got) == sorted((k, max(i for i in range(120) if i % 50 == k)) for k in range(50))
     rewritten = sum(m[-1][1] - m[0][0] + 1 for m in merges)
     assert len(merges) < 60 and rewritten < 120 * 30
+
+
+def test_ordered_work_is_batch_jobs_and_can_break_off(spark, tmp_path, monkeypatch):
+    """Rate limits, throttling and heartbeats call no Python per key, hold only what is not due, and run a batch again."""
+    rows = [(k, 10 * i + k, "heartbeat", T0 + timedelta(seconds=40 * i + k)) for k in range(3) for i in range(20)]
+    random.Random(3).shuffle(rows)
+    rows.sort(key=lambda r: r[3] >= T0 + timedelta(seconds=400))
+    folder(spark, tmp_path / "in", BEATS, *(rows[i : i + 10] for i in range(0, 60, 10)))
+    runner.close_folder(spark, str(tmp_path / "in"), BEATS, "ts")
+    write, broken = ordered.InTimeOrder._write_mark, []
+
+    def breaks_off(job, number, passed, left):
+        if number in (4, 6) and number not in broken:
+            broken.append(number)
+            raise RuntimeError("lost")
+        write(job, number, passed, left)
+
+    monkeypatch.setattr(ordered.InTimeOrder, "_write_mark", breaks_off)
+    before = {q.id for q in spark.streams.active}
+    for _ in range(3):
+        stream = runner.read_folder(spark, str(tmp_path / "in"), BEATS, 1)
+        try:
+            got = monitor.stream_heartbeat_monitor(stream, 30_000, "450 seconds", str(tmp_path / "o"), str(tmp_path / "c")).collect()
+        except Exception as e:
+            assert "lost" in str(e)
+    assert broken == [4, 6] and {q.id for q in spark.streams.active} == before
+    beats = sorted((r.job, r.id, r.gap_ms) for r in got if not r.silent)
+    assert beats == sorted((k, 10 * i + k, 40_000 if i else None) for k in range(3) for i in range(20))
+    assert sorted((r.job, r.previous_ts) for r in got if r.silent) == sorted((r[0], r[3]) for r in rows)
+    assert not (tmp_path / "c" / "state").exists()  # no state store, hence no call per key and batch
+    assert not list((tmp_path / "c" / "in-time-order" / "held").glob("*"))
+
+
+def test_rate_limit_takes_no_python_call_per_key(spark, tmp_path):
+    """20,000 keys in three batches."""
+    keys = spark.range(60_000).selectExpr("id % 20000 k", "id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, floor(id / 20000) * 60) ts")
+    for i in range(3):
+        keys.where(f"id % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    runner.close_folder(spark, str(tmp_path / "in"), keys.schema, "ts")
+    stream = runner.read_folder(spark, str(tmp_path / "in"), keys.schema, 1)
+    got = monitor.stream_rate_limit(stream, "k", "ts", "id", 100_000, "1 hour", str(tmp_path / "o"), str(tmp_path / "c"))
+    assert got.where("id < 20000").count() == 20_000 and got.where("id >= 40000").count() == 20_000 and got.count() == 40_000
+    assert not (tmp_path / "c" / "state").exists()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import flow
 from ..operators.hints import HEARTBEAT
+from ..plans import skew
 from . import runner
-from .ordered import Carry, Out, Row, Step, in_time_order
+from .ordered import LABEL, ORDER, TOLD, US, Step, in_time_order
 
 
 def _timed(events: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -54,45 +56,51 @@ def stream_dedupe(events: DataFrame, key: list[str], ts: str, delay: str, out_pa
     return events.sparkSession.read.schema(events.schema).parquet(out_path)
 
 
-def _written(stream: DataFrame, out_path: str, checkpoint: str) -> DataFrame:
-    """The rows that a stream appended to a folder, once its input is done."""
-    runner.run_available(stream.writeStream.outputMode("append").format("parquet").option("path", out_path), checkpoint)
-    return stream.sparkSession.read.schema(stream.schema).parquet(out_path)
+def _us(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def _carried(key: str, us: Column, label: Column | None = None, told: Column | None = None) -> Callable[[DataFrame], DataFrame]:
+    """What a key carries on, told from output rows."""
+    label, told = (F.lit("") if label is None else label), (F.lit(False) if told is None else told)
+    return lambda out: out.select(key, us.alias(US), label.alias(LABEL), told.alias(TOLD))
 
 
-def _reason_changes(rows: list[Row], before: Carry | None, passed: int) -> tuple[list[Out], Carry | None, None]:
-    last = before[1] if before else flow.NONE
-    out: list[Out] = []
-    for us, _, reason, payload in rows:
-        if reason != last:
-            out.append((us, reason, None, last, False, payload))
-            last = reason
-    return out, ((rows[-1][0], last, False) if rows else before), None
+def _reason_changes(rows: DataFrame, carried: DataFrame, passed: int) -> DataFrame:
+    """The samples whose reason differs from the one before, or from NONE at the first."""
+    new = rows.select("replica", "tick", "ts", US, ORDER, LABEL, F.lit(True).alias("_new"))
+    both = new.unionByName(carried.select("replica", US, LABEL, F.lit(False).alias("_new")), allowMissingColumns=True)
+    seg = skew.last_before(skew.segment(both, ["replica"], [US, ORDER, LABEL]), F.col(LABEL), "previous_reason")
+    changes = seg.done().withColumn("previous_reason", F.coalesce("previous_reason", F.lit(flow.NONE)))
+    return changes.where(F.col("_new") & (F.col(LABEL) != F.col("previous_reason"))).select(
+        "replica", "tick", "ts", "previous_reason", F.col(LABEL).alias("reason"))
 
 
 def stream_throttle(metrics: DataFrame, limits: flow.Limits, delay: str, out_path: str, checkpoint: str) -> DataFrame:
     """Throttle decisions on a stream of samples; only changes of state come out, in order of time."""
-    changes = in_time_order(metrics, "replica", "ts", "tick", delay, _reason_changes, flow.throttle_reason(limits))
-    rows = changes.select("replica", "row.tick", "row.ts", F.col("before_label").alias("previous_reason"), F.col("label").alias("reason"))
-    return _written(rows, out_path, checkpoint)
+    return in_time_order(
+        metrics, "replica", "ts", "tick", delay, _reason_changes, _carried("replica", _us("ts"), F.col("reason")),
+        out_path, checkpoint, flow.throttle_reason(limits))
 
 
 def _beats(max_ms: int) -> Step:
     """Gaps between beats, and one row of silence as soon as a gap is too long."""
     wait = (max_ms + 1) * 1000  # the first moment a gap is too long
+    at = lambda us: F.timestamp_micros(us).cast("timestamp_ntz")
 
-    def step(rows: list[Row], before: Carry | None, passed: int) -> tuple[list[Out], Carry | None, int | None]:
-        out: list[Out] = []
-        last, told = (before[0], before[2]) if before else (None, False)
-        for us, _, _, payload in rows:
-            if last is not None and not told and us >= last + wait:
-                out.append((last + wait, "", last, "", True, None))
-            out.append((us, "", last, "", False, payload))
-            last, told = us, False
-        if last is not None and not told and last + wait < passed:
-            out.append((last + wait, "", last, "", True, None))
-            told = True
-        return out, (None if last is None else (last, "", told)), (None if last is None or told else last + wait)
+    def step(rows: DataFrame, carried: DataFrame, passed: int) -> DataFrame:
+        new = rows.select("job", "id", US, ORDER, F.lit(False).alias(TOLD), F.lit(True).alias("_new"))
+        both = new.unionByName(carried.select("job", US, TOLD, F.lit(False).alias("_new")), allowMissingColumns=True)
+        seg = skew.last_before(skew.segment(both, ["job"], [US, ORDER, "id"]), F.struct(US, TOLD), "_before")
+        beats = seg.done().where("_new").select("job", "id", US, F.col(f"_before.{US}").alias("_last"), F.col(f"_before.{TOLD}").alias("_was_told"))
+        ended = beats.where(~F.col("_was_told") & (F.col(US) >= F.col("_last") + wait)).select("job", F.col("_last").alias(US))
+        newest = both.groupBy("job").agg(F.max(F.struct(US, TOLD)).alias("_r")).select("job", "_r.*")
+        lasting = newest.where(~F.col(TOLD) & (F.col(US) + wait < passed)).select("job", US)
+        silent = ended.union(lasting).select("job", (F.col(US) + wait).alias(US), F.col(US).alias("_last"), F.lit(True).alias("silent"))
+        all_ = beats.drop("_was_told").withColumn("silent", F.lit(False)).unionByName(silent, allowMissingColumns=True)
+        gap = F.floor((F.col(US) - F.col("_last")) / 1000).cast("bigint")
+        found = all_.select("job", "id", at(F.col(US)).alias("ts"), at(F.col("_last")).alias("previous_ts"), gap.alias("gap_ms"), "silent")
+        return found.withColumn("late", F.coalesce(F.col("gap_ms") > max_ms, F.lit(False)))
 
     return step
 
@@ -101,33 +109,22 @@ def stream_heartbeat_monitor(hints: DataFrame, max_ms: int, delay: str, out_path
     """Gaps between the heartbeats of each job in order of time, and silences.
 
     A silence is a row without an id, at the first moment when the gap since the
-    last beat is too long. A timer makes it, so it comes without a later beat.
+    last beat is too long. It comes out with the watermark, without a later beat.
     """
-    beats = in_time_order(hints, "job", "ts", "id", delay, _beats(max_ms), only=F.col("hint") == HEARTBEAT)
-    gap = F.floor((F.col("us") - F.col("before_us")) / 1000).cast("bigint")
-    at = lambda us: F.timestamp_micros(us).cast("timestamp_ntz")
-    rows = beats.select("job", "row.id", at("us").alias("ts"), at("before_us").alias("previous_ts"), gap.alias("gap_ms"), F.col("by_timer").alias("silent"))
-    late = F.coalesce(F.col("gap_ms") > max_ms, F.lit(False))
-    return _written(rows.withColumn("late", late), out_path, checkpoint)
-
-
-def _spaced(gap: int) -> Step:
-    """The rows that come at least ``gap`` microseconds after the last kept one."""
-
-    def step(rows: list[Row], before: Carry | None, passed: int) -> tuple[list[Out], Carry | None, None]:
-        us = np.array([r[0] for r in rows], dtype=np.int64)
-        free = before[0] if before else flow.FAR
-        keep, _ = flow.kept_rows(us, np.array([0]), [free], gap)
-        kept = [rows[i] for i in np.flatnonzero(keep)]
-        after = (kept[-1][0] + gap, "", False) if kept else before
-        return [(r[0], "", None, "", False, r[3]) for r in kept], after, None
-
-    return step
+    told = _carried("job", F.when(F.col("silent"), _us("previous_ts")).otherwise(_us("ts")), told=F.col("silent"))
+    return in_time_order(hints, "job", "ts", "id", delay, _beats(max_ms), told, out_path, checkpoint, only=F.col("hint") == HEARTBEAT)
 
 
 def stream_rate_limit(
     events: DataFrame, key: str, ts: str, order: str, ms: int, delay: str, out_path: str, checkpoint: str
 ) -> DataFrame:
-    """Rate limit per key in order of time, with the last kept row carried in the state."""
-    kept = in_time_order(events, key, ts, order, delay, _spaced(ms * 1000))
-    return _written(kept.select("row.*"), out_path, checkpoint)
+    """Rate limit per key in order of time, with the last kept row of each key carried on."""
+
+    def spaced(rows: DataFrame, carried: DataFrame, passed: int) -> DataFrame:
+        new = rows.select(*events.columns, F.lit(True).alias("_new"))
+        at = F.timestamp_micros(US).cast(events.schema[ts].dataType)
+        kept_before = carried.select(key, at.alias(ts), F.lit(False).alias("_new"))
+        both = new.unionByName(kept_before, allowMissingColumns=True)
+        return flow.rate_limit(both, key, ts, order, ms).where("_new").select(*events.columns)
+
+    return in_time_order(events, key, ts, order, delay, spaced, _carried(key, _us(ts)), out_path, checkpoint)

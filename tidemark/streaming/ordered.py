@@ -1,99 +1,129 @@
 """Per-key work on streams in order of event time, whatever order the rows arrive in.
 
-Rows are held in the state store until the watermark has passed them; an event
-timer then hands them on in order of time, together with what the key's earlier
-rows left behind. So the result depends on the rows alone, not on how they were
-dealt to files and batches, as long as no row is later than the delay.
+Rows are held in tables until the watermark has passed them. Each micro-batch
+then takes the rows that its watermark has newly passed, together with the one
+row that each key carries over from those before, as one batch job. So the result
+depends on the rows alone, not on how they were dealt to files and batches, as
+long as no row is later than the delay.
+
+A row is written once and read when it is due. What belongs to a batch is named
+by its number and the batch's mark is written last, so a batch that is run again
+changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor
 
+from ..plans import staging
 from . import runner
-
-#: Microseconds keep all their digits in the held text.
-JSON = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-#: (microseconds, order, label, row) of a held row, and what a key carries on.
-Row = tuple[int, int, str, str]
-Carry = tuple[int, str, bool]
-#: (time, label, time before, label before, made by a timer, row) of an output row.
-Out = tuple[int, str, int | None, str, bool, str | None]
-OUT = ("us", "label", "before_us", "before_label", "by_timer", "payload")
-#: Rows in time order, what was carried, the watermark in microseconds; gives
-#: output rows, what to carry and when to be woken again without new rows.
-Step = Callable[[list[Row], Carry | None, int], tuple[list[Out], Carry | None, int | None]]
-
-
-class InTimeOrder(StatefulProcessor):
-    """Holds the rows of a key until the watermark has passed them."""
-
-    def __init__(self, key: str, step: Step):
-        self.key, self.step = key, step
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "us long, ord long, label string, payload string")
-        self.carry = handle.getValueState("carry", "us long, label string, told boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for f in rows for r in f[["us", "ord", "label", "payload"]].itertuples(index=False, name=None)]
-        if new:
-            self.held.appendList(new)
-            self._wake_after(min(r[0] for r in new), timerValues)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.held.get()) if self.held.exists() else []
-        final = [r for r in held if r[0] < passed]
-        left = held[len(final) :]
-        if final:
-            self.held.put(left) if left else self.held.clear()
-        before = self.carry.get() if self.carry.exists() else None
-        out, after, wake = self.step(final, before, passed)
-        if after is not None and after != before:
-            self.carry.update(after)
-        for at in ([left[0][0]] if left else []) + ([wake] if wake is not None else []):
-            self._wake_after(at, timerValues)
-        if out:
-            columns = {self.key: [key[0]] * len(out)} | {n: list(c) for n, c in zip(OUT, zip(*out))}
-            yield pd.DataFrame(columns).astype({"before_us": "Int64"})
-
-    def _wake_after(self, us: int, timerValues) -> None:
-        self.handle.registerTimer(max(us // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
-
-    def close(self) -> None:
-        pass
+from .state import Parts
+
+#: Time in microseconds of a held row, what its order is at equal times, and its label.
+US, ORDER, LABEL = "_us", "_order", "_label"
+#: Whether a silence after the carried row was told.
+TOLD = "_told"
+#: The held rows that are due, what the keys carry, the watermark in microseconds; gives output rows.
+Step = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+_MARK = "top long, held long, last long"
+
+
+class InTimeOrder:
+    """Handles the micro-batches of one stream; ``state`` is a folder of its own."""
+
+    def __init__(
+        self, events: DataFrame, key: str, ts: str, order: str, delay: str, step: Step, carry: Callable[[DataFrame], DataFrame],
+        out_path: str, state: str, label: Column | None = None, only: Column | None = None,
+    ):
+        self.spark, self.out_path, self.state = events.sparkSession, out_path.rstrip("/"), state.rstrip("/")
+        self.key, self.delay, self.step, self.carry = key, delay, step, carry
+        self.time = F.col(ts).cast("timestamp")
+        wanted = F.col(key).isNotNull() & (self.time < runner.END)
+        self.wanted = wanted if only is None else wanted & only
+        self.held = lambda df: df.select(
+            *df.columns, F.unix_micros(self.time).alias(US), F.col(order).cast("long").alias(ORDER),
+            (F.lit("") if label is None else label).alias(LABEL))
+        empty = self.spark.createDataFrame([], events.schema)
+        self.schema = self.held(empty).schema
+        carried = f"`{key}` {dict(events.dtypes)[key]}, {US} long, {LABEL} string, {TOLD} boolean"
+        self.carried = Parts(self.spark, f"{self.state}/carry", carried, self._last)
+
+    def handle(self, batch: DataFrame, number: int) -> None:
+        """Hold the rows of a batch and emit all that are due after it."""
+        marks = self._marks()
+        if number in marks:
+            return
+        before, live = self._mark(max(marks)) if marks else (None, {})
+        watermark = F.unix_micros(F.max(self.time) - F.expr(f"INTERVAL {self.delay}"))
+        in_time = self.wanted if before is None else self.wanted & (F.unix_micros(self.time) >= before)
+        passed, last = batch.agg(watermark, F.max(F.when(in_time, F.unix_micros(self.time)))).first()
+        passed = max((w for w in (before, passed) if w is not None), default=None)
+        if last is not None:
+            # in order of time, so that a read skips what is not due
+            self.held(batch.where(in_time)).sortWithinPartitions(US).write.mode("overwrite").parquet(self._held(number))
+            live[number] = last
+        if passed is not None and passed != before and not self.carried.holds(number):
+            self._emit(live, before, passed, number)
+        left = {n: at for n, at in live.items() if passed is None or at >= passed}
+        self._write_mark(number, passed, left)
+        for n in self._numbers("held") - set(left):
+            staging.drop_path(self.spark, self._held(n))
+
+    def _emit(self, live: dict[int, int], before: int | None, passed: int, number: int) -> None:
+        due = self.spark.createDataFrame([], self.schema)
+        if live:
+            due = self.spark.read.schema(self.schema).parquet(*map(self._held, sorted(live))).where(F.col(US) < passed)
+        if before is not None:
+            due = due.where(F.col(US) >= before)
+        out = self.step(due, self._last(self.carried.read()), passed)
+        path = f"{self.out_path}/{number}"
+        out.write.mode("overwrite").parquet(path)
+        self.carried.add(self._last(self.carry(self.spark.read.schema(out.schema).parquet(path))), number)
+
+    def _last(self, rows: DataFrame) -> DataFrame:
+        """The last row of each key, as carried; a silence that was told is told."""
+        newest = F.max(F.struct(US, TOLD, LABEL))
+        return rows.groupBy(self.key).agg(newest.alias("_r")).select(self.key, f"_r.{US}", f"_r.{LABEL}", f"_r.{TOLD}")
+
+    def _mark(self, number: int) -> tuple[int | None, dict[int, int]]:
+        """The watermark after a batch, and the batches with rows held, with their last times."""
+        rows = self.spark.read.schema(_MARK).parquet(f"{self.state}/marks/{number}").collect()
+        return rows[0].top, {r.held: r.last for r in rows if r.held is not None}
+
+    def _write_mark(self, number: int, passed: int | None, live: dict[int, int]) -> None:
+        rows = [(passed, n, at) for n, at in live.items()] or [(passed, None, None)]
+        self.spark.createDataFrame(rows, _MARK).coalesce(1).write.mode("overwrite").parquet(f"{self.state}/marks/{number}")
+
+    def _marks(self) -> set[int]:
+        return {n for n in self._numbers("marks") if staging.exists(self.spark, f"{self.state}/marks/{n}/_SUCCESS")}
+
+    def _numbers(self, kind: str) -> set[int]:
+        return {int(f.rsplit("/", 1)[1]) for f in staging.folders(self.spark, f"{self.state}/{kind}")}
+
+    def _held(self, number: int) -> str:
+        return f"{self.state}/held/{number}"
 
 
 def in_time_order(
-    events: DataFrame, key: str, ts: str, order: str, delay: str, step: Step, label: Column | None = None,
-    only: Column | None = None,
+    events: DataFrame, key: str, ts: str, order: str, delay: str, step: Step, carry: Callable[[DataFrame], DataFrame],
+    out_path: str, checkpoint: str, label: Column | None = None, only: Column | None = None,
 ) -> DataFrame:
-    """A stream of (key, us, label, before_us, before_label, by_timer, row) from ``step``.
+    """All rows that ``step`` gave for a stream, once its input is done.
 
-    ``row`` has the columns of ``events``; it is NULL where a timer made the
-    output. Rows without a time or key, and rows that are not ``only``, stay out.
+    ``step`` gets the columns of ``events`` with US, ORDER and LABEL, and (key,
+    US, LABEL, TOLD) of what each key carries, whose times lie before those of
+    the rows. ``carry`` derives the latter from output rows. Rows without a time
+    or key, rows that are not ``only`` and rows that come after the watermark of
+    the batch before has passed them stay out. The state is kept with the checkpoint.
     """
-    runner.use_rocksdb(events.sparkSession)
-    timed = events.withColumn("_time", F.col(ts).cast("timestamp")).withWatermark("_time", delay)
-    wanted = F.col(key).isNotNull() if only is None else F.col(key).isNotNull() & only
-    # one condition on the time: no part of it may take the end marker away below the watermark
-    rows = timed.where(F.when(F.col("_time") < runner.END, wanted)).select(
-        F.col(key), "_time", F.unix_micros("_time").alias("us"), F.col(order).cast("long").alias("ord"),
-        (F.lit("") if label is None else label).alias("label"), F.to_json(F.struct(*events.columns), JSON).alias("payload"),
-    )
-    schema = T.StructType([
-        T.StructField(key, events.schema[key].dataType), T.StructField("us", T.LongType()), T.StructField("label", T.StringType()),
-        T.StructField("before_us", T.LongType()), T.StructField("before_label", T.StringType()),
-        T.StructField("by_timer", T.BooleanType()), T.StructField("payload", T.StringType()),
-    ])
-    made = rows.groupBy(key).transformWithStateInPandas(InTimeOrder(key, step), schema, "append", "EventTime")
-    return made.withColumn("row", F.from_json("payload", events.schema, JSON)).drop("payload")
+    spark = events.sparkSession
+    job = InTimeOrder(events, key, ts, order, delay, step, carry, out_path, f"{checkpoint}/in-time-order", label, only)
+    runner.for_each_batch(events, job.handle, checkpoint)
+    schema = step(spark.createDataFrame([], job.schema), job.carried.read().limit(0), 0).schema
+    if not staging.exists(spark, out_path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out_path)

@@ -31,12 +31,16 @@ class Parts:
 
     def add(self, rows: DataFrame, batch_id: int) -> None:
         """Store what a batch gives; nothing if that is already there."""
-        if any(a <= batch_id <= b for a, b in self._whole()):
+        if self.holds(batch_id):
             return
         rows.write.mode("overwrite").parquet(self._folder((batch_id, batch_id)))
         if len(self.ranges()) > MOST_PARTS:
             self._merge()
 
+    def holds(self, batch_id: int) -> bool:
+        """Whether the batch is stored already."""
+        return any(a <= batch_id <= b for a, b in self._whole())
+
     def read(self) -> DataFrame:
         """All parts; ``combine`` makes one state of them."""
         return self._read(self.ranges())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import changelog as op, flow
 from tidemark.sources.logs import read_change_log, write_change_log
-from tidemark.catalog import changelog as c_log
+from tidemark.catalog import changelog as c_log, streams as c_streams
 from tidemark.streaming import apply, monitor, ordered, runner, state
 from tidemark.streaming.status import StatusListener
 
@@ -216,3 +216,16 @@ def test_rate_limit_takes_no_python_call_per_key(spark, tmp_path):
     got = monitor.stream_rate_limit(stream, "k", "ts", "id", 100_000, "1 hour", str(tmp_path / "o"), str(tmp_path / "c"))
     assert got.where("id < 20000").count() == 20_000 and got.where("id >= 40000").count() == 20_000 and got.count() == 40_000
     assert not (tmp_path / "c" / "state").exists()
+
+
+def test_batches_do_not_grow_with_the_files(spark, tmp_path):
+    """The streamed duplicates of a table in 120 files come in 15, those of four files in four."""
+    ts = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 60).cast("timestamp_ntz")
+    for files, batches in ((30, 15), (1, 4)):
+        df = spark.range(0, 40_000, 1, files).select("id", F.concat(F.lit("g"), "id").alias("gtid"), ts.alias("ts"))
+        df = df.union(df).repartition(files, F.col("id") % 97)
+        cp = tmp_path / f"c{files}"
+        got = monitor.stream_dedupe(c_streams._stream(spark, df, "gtids"), ["gtid"], "ts", c_streams._DELAY, str(tmp_path / f"o{files}"), str(cp))
+        assert got.count() == 40_000 and got.select("gtid").distinct().count() == 40_000
+        # at the end of the input one batch without rows may follow
+        assert batches <= len([f for f in (cp / "commits").iterdir() if f.name.isdigit()]) <= batches + 2

@@ -14,6 +14,8 @@ from .changelog import APPLY_CHANGES, KEY, KEY_BEFORE, LATEST_CHANGE
 # order, so the watermark waits longer than a part lasts.
 _CUTS = ["2024-01-08 12:00:00", "2024-01-16 00:00:00", "2024-01-23 12:00:00"]
 _DELAY = "8 days"
+# A file is a batch, but larger inputs come in more files, not in more batches.
+_MOST_BATCHES = 16
 
 
 def _in_time_order(spark, df, label):
@@ -31,14 +33,14 @@ def _in_time_order(spark, df, label):
 
 
 def _stream(spark, df, label, files=1):
-    return runner.read_folder(spark, _in_time_order(spark, df, label), df.schema, files)
+    return runner.read_folder(spark, _in_time_order(spark, df, label), df.schema, files, most_batches=_MOST_BATCHES)
 
 
 def _closed_stream(spark, df, label):
     """As ``_stream``, with the end marker that lets the whole input come out."""
     path = _in_time_order(spark, df, label)
     runner.close_folder(spark, path, df.schema, "ts")
-    return runner.read_folder(spark, path, df.schema, 1)
+    return runner.read_folder(spark, path, df.schema, 1, most_batches=_MOST_BATCHES)
 
 
 def _log_stream(spark, d):

@@ -77,6 +77,12 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [str(f.getPath()) for f in files.listStatus(target) if f.isDirectory()]
 
 
+def files(spark: SparkSession, path: str, suffix: str) -> int:
+    """How many files right below a path end in ``suffix``."""
+    found, target = _file_system(spark, path)
+    return sum(f.isFile() and f.getPath().getName().endswith(suffix) for f in found.listStatus(target))
+
+
 def size(spark: SparkSession, path: str) -> int:
     """Bytes of a file, or of all files below a folder."""
     files, target = _file_system(spark, path)

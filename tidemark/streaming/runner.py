@@ -9,15 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..plans import staging
+
 #: Time of the row that closes a finite input; later than any other.
 END = datetime(9999, 1, 1, tzinfo=timezone.utc)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_folder(
-    spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, bytes_per_trigger: str | None = None
+    spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, bytes_per_trigger: str | None = None,
+    most_batches: int | None = None,
 ) -> DataFrame:
-    """Stream the Parquet files of a folder, oldest first."""
+    """Stream the Parquet files of a folder, oldest first.
+
+    A batch goes over the state of all before, so batches that grow in number
+    with the input cost its square. With ``most_batches`` a batch takes more than
+    ``files_per_trigger`` of the files that are there, if they need more batches
+    than that.
+    """
+    if files_per_trigger and most_batches:
+        files_per_trigger = max(files_per_trigger, -(-staging.files(spark, path, ".parquet") // most_batches))
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)

@@ -131,3 +131,20 @@ def test_crowded_buckets_meet_under_longer_keys(spark, monkeypatch):
             want.setdefault(root(x % (1 << 64)), []).append(x)
         assert got == {x: min(some) for some in want.values() for x in some}
         assert all(((r.a ^ r.b) % (1 << 64)).bit_count() <= radius for r in found.collect())
+
+
+def test_keep_one_links_by_fingerprints_and_by_shared_shingles(spark):
+    """A text goes for two bits or less though its set of shingles is another, or for its set though its bits are others."""
+    refrain = "we sing the same old words once more and " * 200
+    words = [f"w{i}" for i in range(400)]
+    edited = words[:200] + ["other"] + words[201:]
+    rows = [
+        (1, refrain + " ".join(f"a{i}" for i in range(40))), (2, refrain + " ".join(f"b{i}" for i in range(40))),
+        (3, " ".join(words)), (4, " ".join(edited)), (5, "nothing like any of the others here")]
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in rows}
+    fps = {i: simhash.fingerprint(t.encode(), 5) for i, t in rows}
+    bits = lambda a, b: (fps[a] ^ fps[b]).bit_count()
+    assert bits(1, 2) <= simhash.RADIUS and len(sets[1] & sets[2]) < 0.5 * len(sets[1] | sets[2])
+    assert bits(3, 4) > simhash.RADIUS
+    kept = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]

@@ -85,21 +85,23 @@ def _node() -> Column:
     return F.struct("h1", "h2")
 
 
-def signatures(docs: DataFrame, grams: Grams) -> DataFrame:
-    """(doc_id, copy, h1, h2, size, bands) for every row: a 128-bit hash of the set, its size and band keys."""
+def signatures(docs: DataFrame, grams: Grams, fingerprint: Callable[[bytes], int] | None = None) -> DataFrame:
+    """(doc_id, copy, h1, h2, size, bands, fp) for every row: a 128-bit hash of the set, its size and band keys, a fingerprint of the text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [gram_set(grams(t)) for t in batches.texts(batch.column(2))]
+        texts = list(batches.texts(batch.column(2)))
+        sets = [gram_set(grams(t)) for t in texts]
+        fps = np.array([fingerprint(t) if fingerprint else 0 for t in texts], dtype=np.uint64).view(np.int64)
         halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=">i8").astype(np.int64).reshape(-1, 2)
         keys = pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(s) for s in sets], pa.int64()), keys],
-            ["doc_id", "copy", "h1", "h2", "size", "bands"])
+            [batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([len(s) for s in sets], pa.int64()), keys, pa.array(fps)],
+            ["doc_id", "copy", "h1", "h2", "size", "bands", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return batches.map_arrow(
         docs.select("doc_id", _copy().alias("copy"), "text"),
-        f"doc_id {kind}, copy long, h1 long, h2 long, size long, bands array<long>", run)
+        f"doc_id {kind}, copy long, h1 long, h2 long, size long, bands array<long>, fp long", run)
 
 
 MEMBER = "key long, h1 long, h2 long, bands array<long>, joined boolean, grams binary"
@@ -203,20 +205,27 @@ def near_links(docs: DataFrame, nodes: DataFrame, grams: Grams, least: float) ->
     return found.where("a != b")
 
 
-def copies(docs: DataFrame, grams: Grams, least: float) -> tuple[DataFrame, DataFrame]:
+def copies(
+    docs: DataFrame, grams: Grams, least: float, fingerprint: Callable[[bytes], int] | None = None,
+    alike: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Two tables of (doc_id, copy): the rows that are copies of others, and the kept ones that are there more than once.
 
     Of each connected group of sets with a Jaccard similarity of ``least`` the
     row with the smallest (doc_id, copy) is no copy; ``copy`` is a hash of the
-    text. Null ids are neither.
+    text. Null ids are neither. ``alike`` gives more links, (a, b) of sets, from
+    (fp, node): the fingerprints of the texts with words and their sets.
     """
-    rows = batches.stage(signatures(docs, grams), "sets")
+    rows = batches.stage(signatures(docs, grams, fingerprint), "sets")
     place = F.struct("doc_id", "copy")
     nodes = batches.stage(
         rows.groupBy("h1", "h2").agg(
             F.first("size").alias("size"), F.first("bands").alias("bands"), F.min(place).alias("first"),
             F.min(F.when(F.col("doc_id").isNotNull(), place)).alias("least"), F.count("*").alias("n")), "sets-nodes")
-    linked = components(near_links(docs, nodes, grams, least), "sets-groups")
+    links = near_links(docs, nodes, grams, least)
+    if alike is not None:
+        links = links.union(alike(rows.where("size > 0").select("fp", _node().alias("node")).distinct()))
+    linked = components(links, "sets-groups")
     near = batches.stage(linked.select("node.*", F.col("component").alias("near")), "sets-near")
     grouped = nodes.join(batches.broadcast_if_small(near), ["h1", "h2"], "left").where("n > 1 OR near IS NOT NULL")
     grouped = batches.stage(grouped.select("h1", "h2", F.coalesce("near", _node()).alias("group"), "least"), "sets-grouped")

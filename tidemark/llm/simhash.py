@@ -112,17 +112,31 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_co
     return rows.join(labels, "fp").select("id", "fp", "component")
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """(a, b): links that connect the nodes of each group of fingerprints within RADIUS bits."""
+    nodes = batches.stage(nodes, "near-copies-fps")
+    fps = batches.stage(nodes.select("fp").distinct(), "near-copies-distinct")
+    group = batches.stage(hamming.groups(fps, with_golay_keys, RADIUS, "near-copies-simhash"), "near-copies-groups")
+    named = batches.stage(nodes.join(group, "fp").select("group", F.col("node").alias("b")), "near-copies-named")
+    heads = named.groupBy("group").agg(F.min("b").alias("a"), F.max("b").alias("_last")).where("a != _last").drop("_last")
+    heads = batches.broadcast_if_small(batches.stage(heads, "near-copies-heads"))
+    return named.join(heads, "group").where("a != b").select("a", "b")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each group the smallest ``doc_id`` stays.
 
-    Near copies share at least SIMILARITY of their sets of five-word shingles,
-    by exact comparison; candidates come from MinHash bands. A document without
+    Near copies are texts whose SimHash fingerprints over five-word shingles, found
+    by their Golay keys as in ``near_duplicates``, differ in at most RADIUS bits.
+    These miss most copies with edits, so texts that share at least SIMILARITY of
+    their sets of shingles are near copies as well, by exact comparison of
+    candidates from MinHash bands. A group is connected over links of both kinds. A document without
     any word has no content to compare, so of those, too, one stays. Rows are
     told apart by id and text: of rows that repeat both one stays, and a row
     that only repeats an id is judged by its own text. Documents whose id is
     null are never removed.
     """
-    gone, repeated = minhash.copies(docs, _five_words, SIMILARITY)
+    gone, repeated = minhash.copies(docs, _five_words, SIMILARITY, lambda text: fingerprint(text, 5), _alike)
     gone = batches.stage(gone, "near-copies-gone")
     repeated = batches.stage(repeated, "near-copies-repeated")
 

@@ -129,3 +129,19 @@ def test_broken_bytes(spark):
     df = spark.createDataFrame([(bytearray(b"ok"), "a"), (bytearray(b"\xc3("), "a")], "d binary, g string")
     row = columns.utf8_audit(df, "d", ["g"], F.lit("utf8")).first()
     assert (row.rows, row.valid_rows, row.repaired_chars, row.charset_id, row.collation) == (2, 1, 4, 33, "utf8_general_ci")
+
+
+def test_wildcard_join_finds_patterns_by_their_ends(spark, monkeypatch):
+    """Names that share all stretches of a pattern's literal don't meet it if they hold them elsewhere."""
+    names = [f"name-{i:05d}" for i in range(300)] + ["ab", "aba", "", "name-00012x"]
+    given = [f"name-{i:05d}*" for i in range(0, 300, 7)] + ["*12", "*0*7", "name-0001?", "ab*ba", "a*", "*x", "?b", "*", "*00?00", "00*"]
+    staged, stage = [], columns.staging.stage
+    monkeypatch.setattr(columns.staging, "stage", lambda df, label: staged.append(stage(df, label)) or staged[-1])
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    got = sorted((r.v, r.p) for r in columns.wildcard_join(df, "v", spark.createDataFrame([(p,) for p in given], "p string"), "p").selectExpr("v", "pattern p").collect())
+    regex = lambda p: "".join({"*": "(?s:.*)", "?": "(?s:.)"}.get(c, re.escape(c)) for c in p)
+    assert got == sorted((n, p) for n in names for p in given if re.fullmatch(regex(p), n))
+    keys = {}
+    for r in staged[0].collect():
+        keys.setdefault(r.pattern, set()).add(r.key)
+    assert "^3:8:014" in keys["name-00014*"] and "$2:1:12" in keys["*12"] and "#10" in keys["name-0001?"]

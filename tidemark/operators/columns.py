@@ -115,43 +115,69 @@ def _grams(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, found).otherwise(F.array().cast("array<string>"))
 
 
+def _placed(c: Column, n: int, side: str) -> Column:
+    """All stretches of ``n`` characters with their distance from the front (``^``) or back (``$``)."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1)))
+    at = (lambda i: i) if side == "^" else (lambda i: F.length(c) - i)
+    found = F.transform(starts, lambda i: F.concat(F.lit(side + str(n) + ":"), at(i).cast("string"), F.lit(":"), F.substring(c, i, F.lit(n))))
+    return F.when(F.length(c) >= n, found).otherwise(F.array().cast("array<string>"))
+
+
 def wildcard_join(df: DataFrame, column: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     """As ``wildcard_match``, with a table of patterns of any length.
 
-    A pattern is indexed by one stretch of GRAM characters of its longest
-    literal: the one that the fewest rows hold. Rows meet the patterns whose
-    stretch they hold in an equality join, and are then tested. Patterns without
-    a wildcard are looked up whole, those of shorter literals by these, those of
-    ``?`` alone by their length; what is left (``*``, ``?*``) meets all rows, as
-    nearly all match. Repeated patterns count once; NULL matches nothing.
+    A pattern is indexed by one key that all its matches hold, the one that the
+    fewest rows hold: a stretch of up to GRAM characters of its longest literal,
+    such a stretch at its place in the literal before the first ``*`` or behind
+    the last one, or, without ``*``, its length. Rows meet the patterns whose key
+    they hold in an equality join, and are then tested, first by the literals at
+    both ends. Patterns without a wildcard are looked up whole; what has no
+    literal at all (``*``, ``?*``) meets all rows, as nearly all match. Repeated
+    patterns count once; NULL matches nothing.
     """
     literals = F.transform(F.split("pattern", "[*?]"), lambda p: F.struct(F.length(p).alias("n"), p.alias("text")))
     given = patterns.where(F.col(pattern).isNotNull()).select(F.col(pattern).alias("pattern")).distinct()
     given = given.withColumn("_literal", F.array_max(literals))
-    given = given.select("pattern", F.col("_literal.n").alias("n"), F.col("_literal.text").alias("literal"))
+    given = given.select(
+        "pattern", F.col("_literal.n").alias("n"), F.col("_literal.text").alias("literal"),
+        F.regexp_extract("pattern", "^[^*?]*", 0).alias("head"), F.regexp_extract("pattern", "[^*?]*$", 0).alias("tail"),
+        F.contains("pattern", F.lit("*")).alias("open"))
+    none = F.array().cast("array<string>")
+    by_end = [
+        F.when((F.length(end) >= n) if n == GRAM else (F.length(end) == n), _placed(F.col(end), n, side)).otherwise(none)
+        for end, side in (("head", "^"), ("tail", "$")) for n in range(1, GRAM + 1)]
+    inner = (
+        F.when(F.col("n") >= GRAM, _grams(F.col("literal"), GRAM))
+        .when(F.col("n") > 0, F.array(F.concat(F.lit("g"), "literal"))).otherwise(none)
+    )
+    length = F.when(~F.col("open"), F.array(F.concat(F.lit("#"), F.length("pattern").cast("string")))).otherwise(none)
+    all_keys = F.concat(inner, *by_end, length)
     keys = (
         F.when(~F.col("pattern").rlike("[*?]"), F.array(F.concat(F.lit("="), "pattern")))
-        .when(F.col("n") >= GRAM, _grams(F.col("literal"), GRAM))
-        .when(F.col("n") > 0, F.array(F.concat(F.lit("g"), "literal")))
-        .when(~F.contains("pattern", F.lit("*")), F.array(F.concat(F.lit("#"), F.length("pattern").cast("string"))))
-        .otherwise(F.array(F.lit("")))
+        .when(F.size(all_keys) > 0, all_keys).otherwise(F.array(F.lit("")))
     )
-    indexed = staging.stage(given.select("pattern", "n", F.explode(keys).alias("key")), "patterns")
-    kind = F.when(F.startswith("key", F.lit("g")), F.least("n", F.lit(GRAM)).cast("string")).otherwise(F.left("key", F.lit(1)))
-    lengths = {r[0] for r in indexed.select(kind).distinct().collect()}  # six at most
+    indexed = staging.stage(given.select("pattern", "n", "head", "tail", F.explode(keys).alias("key")), "patterns")
+    first = F.left("key", F.lit(1))
+    kind = (
+        F.when(first == "g", F.concat(first, F.least("n", F.lit(GRAM)).cast("string")))
+        .when(first.isin("^", "$"), F.left("key", F.lit(2))).otherwise(first))
+    kinds = {r[0] for r in indexed.select(kind).distinct().collect()}  # a dozen at most
     value = F.col(column)
-    held = [F.array(F.concat(F.lit("="), value))] if "=" in lengths else []
-    held += [_grams(value, n) for n in range(1, GRAM + 1) if str(n) in lengths]
-    held += [F.array(F.concat(F.lit("#"), F.length(value).cast("string")))] if "#" in lengths else []
-    held += [F.array(F.lit(""))] if "" in lengths else []
+    held = [F.array(F.concat(F.lit("="), value))] if "=" in kinds else []
+    held += [_grams(value, n) for n in range(1, GRAM + 1) if f"g{n}" in kinds]
+    held += [_placed(value, n, side) for side in "^$" for n in range(1, GRAM + 1) if f"{side}{n}" in kinds]
+    held += [F.array(F.concat(F.lit("#"), F.length(value).cast("string")))] if "#" in kinds else []
+    held += [F.array(F.lit(""))] if "" in kinds else []
     if not held:
         return df.select("*", F.lit(None).cast("string").alias("pattern")).limit(0)
-    rows = df.where(value.isNotNull()).select(F.struct(*df.columns).alias("_row"), value.alias("_value"), F.explode(F.concat(*held)).alias("key"))
+    keyed = lambda *cols: df.where(value.isNotNull()).select(*cols, F.explode(F.concat(*held)).alias("key"))
     wanted = indexed.select("key").distinct()
-    often = rows.select("key").join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    rarest = indexed.join(often, "key", "left").groupBy("pattern").agg(
+    often = keyed().join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    rarest = indexed.join(often, "key", "left").groupBy("pattern", "head", "tail").agg(
         F.min_by("key", F.struct(F.coalesce("rows", F.lit(0)), "key")).alias("key"))
-    met = rows.join(rarest, "key").where(F.like(F.col("_value"), text.like_patterns(F.col("pattern"))))
+    rows = keyed(F.struct(*df.columns).alias("_row"), value.alias("_value"))
+    ends = F.startswith("_value", "head") & F.endswith("_value", "tail")
+    met = rows.join(rarest, "key").where(F.when(ends, F.like(F.col("_value"), text.like_patterns(F.col("pattern")))))
     return met.select("_row.*", "pattern")
 
 

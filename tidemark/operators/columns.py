@@ -170,7 +170,8 @@ def wildcard_join(df: DataFrame, column: str, patterns: DataFrame, pattern: str
     held += [F.array(F.lit(""))] if "" in kinds else []
     if not held:
         return df.select("*", F.lit(None).cast("string").alias("pattern")).limit(0)
-    keyed = lambda *cols: df.where(value.isNotNull()).select(*cols, F.explode(F.concat(*held)).alias("key"))
+    dealt = sizes.spread(df, [column])
+    keyed = lambda *cols: dealt.where(value.isNotNull()).select(*cols, F.explode(F.concat(*held)).alias("key"))
     wanted = indexed.select("key").distinct()
     often = keyed().join(wanted, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     rarest = indexed.join(often, "key", "left").groupBy("pattern", "head", "tail").agg(

@@ -106,6 +106,8 @@ def wildcard_match(df: DataFrame, column: str, patterns: Sequence[str]) -> DataF
 
 #: Length of the literal stretches that index a table of patterns.
 GRAM = 3
+#: Patterns that a task may hold.
+MOST_BROADCAST_PATTERNS = 500_000
 
 
 def _grams(c: Column, n: int) -> Column:
@@ -178,6 +180,9 @@ def wildcard_join(df: DataFrame, column: str, patterns: DataFrame, pattern: str
         F.min_by("key", F.struct(F.coalesce("rows", F.lit(0)), "key")).alias("key"))
     rows = keyed(F.struct(*df.columns).alias("_row"), value.alias("_value"))
     ends = F.startswith("_value", "head") & F.endswith("_value", "tail")
+    rarest = staging.stage(rarest, "rarest")
+    # rows repeat by key, which their planned size does not tell, so they are never the side to broadcast
+    rarest = F.broadcast(rarest) if sizes.few_rows(rarest, MOST_BROADCAST_PATTERNS) else rarest.hint("merge")
     met = rows.join(rarest, "key").where(F.when(ends, F.like(F.col("_value"), text.like_patterns(F.col("pattern")))))
     return met.select("_row.*", "pattern")
 

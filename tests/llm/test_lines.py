@@ -168,3 +168,42 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lines.dedup_lines(df).count() == 0
     assert lines.dedup_lines(spark.createDataFrame([(1, "all lines differ here")], df.schema)).first().text == "all lines differ here"
+
+
+def test_near_lines_are_found_without_their_edit_distance(monkeypatch):
+    def counted(a, b, most):
+        raise AssertionError("the words are enough here")
+
+    monkeypatch.setattr(lines, "edit_distance", counted)
+    words = [f"word{i}" for i in range(60)]
+    changed = [*words[:5], "other", *words[6:50], "others", *words[51:]]
+    for other in (changed, words[:30] + ["more", "words"] + words[30:], words[1:], words):
+        assert lines.similar(" ".join(words), " ".join(other), 0.8)
+        assert lines.similar(" ".join(other), " ".join(words), 0.8)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("ab ", max_size=14), st.text("ab ", max_size=14), st.integers(0, 8))
+def test_few_edits_never_says_too_much(a, b, most):
+    assert not lines.few_edits(a, b, most) or plain_distance(a, b) <= most
+
+
+def test_only_clustered_lines_are_placed(spark, monkeypatch):
+    """Lines that are like no other are not joined with clusters, shuffled or counted."""
+    batches.session(spark)
+    staged = {}
+    plain = batches.stage
+
+    def stage(df, label):
+        staged[label] = plain(df, label)
+        return staged[label]
+
+    monkeypatch.setattr(batches, "stage", stage)
+    rows = [(i, f"line {i} has words{i} of its{i} own{i}\ntwo one three\nshared") for i in range(50)]
+    rows += [(60, "one two three"), (61, "three one two")]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert staged["lines-fps"].count() > 50
+    assert staged["lines-clusters"].count() < 10
+    assert "lines-placed" not in staged
+    want = dropped_by_brute_force(rows)
+    assert {(r.doc_id, dict(rows)[r.doc_id]): set(r.dropped) for r in found if r.dropped} == want

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,53 @@ def test_keep_one_links_by_fingerprints_and_by_shared_shingles(spark):
     assert bits(3, 4) > simhash.RADIUS
     kept = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5]
+
+
+def test_short_runs_are_searched_at_once():
+    """Runs of two to FEW rows go to one call a batch; their links connect what plain comparison connects."""
+    rng = np.random.default_rng(7)
+    lengths = rng.integers(2, hamming.FEW + 1, 200)
+    keys = np.repeat(np.arange(202), np.concatenate([[1], lengths, [1]]))
+    fps = np.concatenate([
+        base ^ np.left_shift(np.uint64(1), rng.integers(0, 64, n, dtype=np.uint64)) ^ np.left_shift(np.uint64(1), rng.integers(0, 9, n, dtype=np.uint64))
+        for base, n in zip(rng.integers(0, 1 << 63, 202, dtype=np.uint64), [1, *lengths.tolist(), 1])])
+    calls = []
+
+    def few(batch, starts, lengths):
+        calls.append(len(starts))
+        return hamming.links_in_runs(batch.column(1).to_numpy(), starts, lengths, 3)
+
+    def emit(found):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)) for part in zip(*found)], ["a", "b"])
+
+    def alone(rows):
+        raise AssertionError("a short run was searched on its own")
+
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps)], ["key", "fp"])
+    (found,) = hamming.search_runs(alone, emit, None, few)(iter([batch]))
+    assert calls == [200]
+    links = list(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+    want = [frozenset(g) for k in range(1, 201) for g in _connected(set(fps[keys == k].tolist()), 3)]
+    assert sorted(map(sorted, _joined(links))) == sorted(sorted(g) for g in want if len(g) > 1)
+    assert len(links) < 3 * len(fps)
+
+
+def _connected(rest, radius):
+    while rest:
+        group, queue = set(), [rest.pop()]
+        while queue:
+            at = queue.pop()
+            group.add(at)
+            near = {x for x in rest if (x ^ at).bit_count() <= radius}
+            rest -= near
+            queue += near
+        yield group
+
+
+def _joined(links):
+    groups = {}
+    for a, b in links:
+        if a != b:
+            both = groups.get(a, {a}) | groups.get(b, {b})
+            groups |= dict.fromkeys(both, frozenset(both))
+    return set(groups.values())

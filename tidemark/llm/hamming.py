@@ -30,11 +30,32 @@ MOST_TILES = 16
 #: Equal blocks in the longer keys, in turn. With a radius of 2 they hold 38 and
 #: 48 of 64 bits, so the last buckets have 65,536 members at most.
 EQUAL_BLOCKS = (3, 6)
+#: Fingerprints of a run that is not searched on its own but with all short runs of a batch.
 FEW = 24
+_LANES = np.uint64(0x0101010101010101)
 #: (rows with a column fp) -> the same rows with a column key, once for each key
 Keyed = Callable[[DataFrame], DataFrame]
 
 
+def majority_bits(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bits that over half of the hashes of each run have; no run is empty."""
+    # pieces of at most 255 hashes, whose votes fit in the bytes of a number
+    pieces = (lengths + 254) // 255
+    first_piece = np.cumsum(pieces) - pieces
+    within = np.arange(pieces.sum()) - np.repeat(first_piece, pieces)
+    starts = np.repeat(np.cumsum(lengths) - lengths, pieces) + 255 * within
+    fps = np.zeros(len(lengths), dtype=np.uint64)
+    if not len(lengths):
+        return fps
+    for bit in range(8):
+        # every eighth bit, each summed in a byte of its own
+        summed = np.add.reduceat(hashes >> np.uint64(bit) & _LANES, starts)
+        votes = np.add.reduceat(summed.view(np.uint8).reshape(-1, 8).astype(np.int64), first_piece, axis=0)
+        most = (votes * 2 > lengths[:, None]).astype(np.uint8)
+        fps |= most.view(np.uint64).ravel() << np.uint64(bit)
+    return fps
+
+
 def spanning_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of the fingerprints within ``radius`` bits."""
     left, right = [], []
@@ -67,6 +88,33 @@ def spanning_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
+def links_in_runs(fps: np.ndarray, starts: np.ndarray, lengths: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the fingerprints within ``radius`` bits of each short run, for all runs at once.
+
+    Rows are compared with the next one, the second next and so on. A link is
+    left out if the next row is near both of its ends: these are linked already.
+    """
+    ends = np.cumsum(lengths)
+    within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+    fps = fps[np.repeat(starts, lengths) + within]
+    behind = np.repeat(lengths, lengths) - within - 1  # rows of the run behind each one
+    left, right = [fps[:0]], [fps[:0]]
+    adjacent = before = None
+    for step in range(1, int(lengths.max(initial=0))):
+        at = np.flatnonzero(behind >= step)
+        near = np.zeros(len(fps) + 1, dtype=bool)
+        near[at] = np.bitwise_count(fps[at] ^ fps[at + step]) <= radius
+        if step == 1:
+            adjacent = kept = near[:-1]
+        else:
+            kept = near[:-1] & ~(adjacent & before[1:])
+        before = near
+        at = np.flatnonzero(kept)
+        left.append(fps[at])
+        right.append(fps[at + step])
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _unsigned(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(column).view(np.uint64)
 
@@ -79,15 +127,15 @@ def search_runs(
     search: Callable[[list[pa.RecordBatch]], object],
     emit: Callable[[list], pa.RecordBatch],
     spill: Callable[[list[pa.RecordBatch]], pa.RecordBatch] | None,
-    pairs: Callable[[pa.RecordBatch, np.ndarray], object] | None = None,
+    few: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], object] | None = None,
 ):
     """Search runs of equal keys (first column) in sorted rows.
 
     ``search`` gets the rows of each run of two or more and finds something or
     None; ``emit`` makes a batch of what was found. With ``spill``, rows of a
     run longer than TILE go through it instead, as they come, so that a task
-    never holds more of a run. ``pairs`` may take all runs of just two rows of a
-    batch at once, by their first rows.
+    never holds more of a run. ``few`` may take all runs of two to FEW rows of a
+    batch at once, by their first rows and lengths.
     """
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,11 +152,11 @@ def search_runs(
             inner = np.ones(len(starts), dtype=bool)
             inner[[0, -1]] = False
             worth = ~inner | (lengths > 1)
-            if pairs:
-                twos = inner & (lengths == 2)
-                worth &= ~twos
-                if twos.any():
-                    found.append(pairs(batch, starts[twos]))
+            if few:
+                short = inner & (lengths > 1) & (lengths <= min(FEW, TILE))
+                worth &= ~short
+                if short.any():
+                    found.append(few(batch, starts[short], lengths[short]))
             for n in np.flatnonzero(worth).tolist():
                 s, length = int(starts[n]), int(lengths[n])
                 if keys[s] != held_key:
@@ -183,11 +231,9 @@ def links(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
         columns = [pa.concat_arrays([r.column(i) for r in rows]) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([columns[0], columns[1], columns[1]], names)
 
-    def pairs(batch: pa.RecordBatch, starts: np.ndarray):
-        fps = _unsigned(batch.column(1))
-        a, b = fps[starts], fps[starts + 1]
-        near = (np.bitwise_count(a ^ b) <= radius) & (a != b)
-        return a[near], b[near]
+    def few(batch: pa.RecordBatch, starts: np.ndarray, lengths: np.ndarray):
+        a, b = links_in_runs(_unsigned(batch.column(1)), starts, lengths, radius)
+        return a[a != b], b[a != b]
 
     schema = "key long, a long, b long"  # a link if key is null, else a member of an oversized bucket
     with batches.rows_at_once(fps.sparkSession, 8192):  # rows of two numbers
@@ -195,15 +241,15 @@ def links(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
         parts = []
         for equal in (*EQUAL_BLOCKS, None):
             found = batches.stage(
-                rows.repartition("key").sortWithinPartitions("key").mapInArrow(search_runs(search, emit, spill, pairs), schema), f"{label}-links")
+                rows.repartition("key").sortWithinPartitions("key").mapInArrow(search_runs(search, emit, spill, few), schema), f"{label}-links")
             parts.append(found.where(F.col("key").isNull()))
             hot = found.where(F.col("key").isNotNull()).select("key", F.col("a").alias("fp"))
             huge = hot.groupBy("key").count().where(F.col("count") > MOST_TILES * TILE // 2).select("key")
             huge = None if equal is None else batches.stage(huge, f"{label}-huge")
             last = huge is None or huge.isEmpty()
-            few = hot if last else hot.join(batches.broadcast_if_small(huge), "key", "left_anti")
-            few = tiled(few, "fp", label).repartition("key").sortWithinPartitions("key")
-            parts.append(few.mapInArrow(search_runs(search, emit, None, pairs), schema))
+            fitting = hot if last else hot.join(batches.broadcast_if_small(huge), "key", "left_anti")
+            fitting = tiled(fitting, "fp", label).repartition("key").sortWithinPartitions("key")
+            parts.append(fitting.mapInArrow(search_runs(search, emit, None, few), schema))
             if last:
                 break
             again = hot.join(batches.broadcast_if_small(huge), "key", "left_semi").select("fp").distinct()
@@ -214,8 +260,11 @@ def links(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
 
 def groups(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
     """(fp, group) for every fingerprint: the smallest fingerprint of its connected group."""
+    joined = linked(fps, keyed, radius, label)
+    return fps.select("fp").join(joined, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"))
+
+
+def linked(fps: DataFrame, keyed: Keyed, radius: int, label: str) -> DataFrame:
+    """(fp, group) as ``groups`` gives, without the fingerprints that are a group of their own."""
     joined = components(links(fps, keyed, radius, label), label)
-    return (
-        fps.select("fp").join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left")
-        .select("fp", F.coalesce("component", "fp").alias("group"))
-    )
+    return joined.select(F.col("node").alias("fp"), F.col("component").alias("group"))

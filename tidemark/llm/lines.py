@@ -36,9 +36,8 @@ WORDS_AT_ONCE = 1 << 15
 _SIGNS = re.compile(
     rb"\xc2[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf]|\xc3[\x97\xb7]|\xe2\x80[\x80-\xbf]|\xe2\x81[\x80-\xaf]"
     rb"|\xe3\x80[\x80-\x83\x88-\x91\x94-\x9f]|\xef\xbc[\x81-\x8f\x9a-\xa0]|\xef\xbd[\x9b-\xa0]")
-#: ASCII characters other than letters, digits and the underscore, as blanks.
-_BLANKS = bytes(c if c >= 0x80 or chr(c).isalnum() or c == 0x5F else 0x20 for c in range(256))
-_LANES = np.uint64(0x0101010101010101)
+#: ASCII characters other than letters, digits, the underscore and line feeds, as blanks.
+_BLANKS = bytes(c if c >= 0x80 or chr(c).isalnum() or c in (0x5F, 0x0A) else 0x20 for c in range(256))
 
 
 def normalised_lines(text: bytes) -> list[list[bytes]]:
@@ -47,7 +46,7 @@ def normalised_lines(text: bytes) -> list[list[bytes]]:
         text = text.lower()
     else:
         text = _SIGNS.sub(b" ", text.decode().lower().encode())
-    return [line.translate(_BLANKS).split() for line in text.split(b"\n")]
+    return [line.split() for line in text.translate(_BLANKS).split(b"\n")]
 
 
 def block_keys(fp: str = "fp") -> Column:
@@ -72,25 +71,13 @@ def fingerprints(lines: list[list[bytes]]) -> np.ndarray:
     A word counts once, so that the frequent words of a language don't make the
     fingerprints of its long lines alike.
     """
-    digest = xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_digest
     out, part, size = [], [], 0
 
     def close():
-        hashes = np.array([digest(w) for words in part for w in words], dtype=np.uint64)
+        hashes = np.frombuffer(b"".join([digest(w) for words in part for w in words]), dtype=">u8").astype(np.uint64)
         lengths = np.array([len(words) for words in part])
-        # pieces of at most 255 words, whose votes fit in the bytes of a number
-        pieces = (lengths + 254) // 255
-        first_piece = np.cumsum(pieces) - pieces
-        within = np.arange(pieces.sum()) - np.repeat(first_piece, pieces)
-        starts = np.repeat(np.cumsum(lengths) - lengths, pieces) + 255 * within
-        fps = np.zeros(len(part), dtype=np.uint64)
-        for bit in range(8):
-            # every eighth bit, each summed in a byte of its own
-            summed = np.add.reduceat(hashes >> np.uint64(bit) & _LANES, starts)
-            votes = np.add.reduceat(summed.view(np.uint8).reshape(-1, 8).astype(np.int64), first_piece, axis=0)
-            most = (votes * 2 > lengths[:, None]).astype(np.uint8)
-            fps |= most.view(np.uint64).ravel() << np.uint64(bit)
-        out.append(fps)
+        out.append(hamming.majority_bits(hashes, lengths))
 
     for words in lines:
         words = list(dict.fromkeys(words))
@@ -145,6 +132,8 @@ def similar(a: str, b: str, least: float) -> bool:
     most = longest * (1 - least) + 1e-9
     if abs(len(a) - len(b)) > most:
         return False
+    if few_edits(a, b, most):
+        return True
     if longest > SHORT:  # characters that one line has more often are edits at least
         extra, missing = Counter(a), Counter(b)
         if max((extra - missing).total(), (missing - extra).total()) > most:
@@ -152,6 +141,23 @@ def similar(a: str, b: str, least: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
+def few_edits(a: str, b: str, most: float) -> bool:
+    """Whether a look at the words shows a way of at most ``most`` edits from one line to the other."""
+    if max(len(a), len(b)) <= most:
+        return True
+    ours, theirs = a.split(" "), b.split(" ")
+    shorter, start, end = min(len(ours), len(theirs)), 0, 0
+    while start < shorter and ours[start] == theirs[start]:
+        start += 1
+    while end < shorter - start and ours[-1 - end] == theirs[-1 - end]:
+        end += 1
+    ours, theirs = ours[start : len(ours) - end], theirs[start : len(theirs) - end]
+    # what lies between the words that are equal at both ends, with its blanks, put anew
+    if max(sum(map(len, part)) + len(part) for part in (ours, theirs)) <= most:
+        return True
+    return len(ours) == len(theirs) and sum(max(len(x), len(y)) for x, y in zip(ours, theirs) if x != y) <= most
+
+
 def _copy() -> Column:
     """Tells rows apart that repeat a doc_id with another text."""
     return F.xxhash64("text")
@@ -267,11 +273,13 @@ def near_links(docs: DataFrame, distinct: DataFrame, similarity: float) -> DataF
         columns = [pa.concat_arrays([r.column(i) for r in rows]) for i in range(5)]
         return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(columns[0]), NODE)] * 2], names)
 
-    fps = batches.stage(distinct.select("fp").distinct(), "lines-fps")
-    clusters = batches.stage(hamming.groups(fps, with_block_keys, RADIUS, "lines").withColumnRenamed("group", "cluster"), "lines-clusters")
-    placed = batches.stage(distinct.join(clusters, "fp").select("h1", "h2", "fp", "first", "cluster"), "lines-placed")
-    shared = batches.stage(placed.groupBy("cluster").count().where("count > 1").select("cluster"), "lines-shared")
-    texts = _with_texts(docs, placed.join(batches.broadcast_if_small(shared), "cluster"))
+    fps = batches.stage(distinct.groupBy("fp").agg(F.count("*").alias("n")), "lines-fps")
+    linked = batches.stage(hamming.linked(fps, with_block_keys, RADIUS, "lines"), "lines-linked")
+    # clusters of two lines or more: linked fingerprints, and those of several lines
+    clusters = fps.join(batches.broadcast_if_small(linked), "fp", "left").where((F.col("n") > 1) | F.col("group").isNotNull())
+    clusters = batches.stage(clusters.select("fp", F.coalesce("group", "fp").alias("cluster")), "lines-clusters")
+    placed = distinct.join(batches.broadcast_if_small(clusters), "fp").select("h1", "h2", "fp", "first", "cluster")
+    texts = _with_texts(docs, placed)
     found = batches.stage(
         texts.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(hamming.search_runs(search, emit, spill), schema), "lines-found")
     links = found.where("key is null").select("a", "b")

@@ -65,3 +65,41 @@ def test_edge_rows(spark, library):
         assert (r.n_tokens, r.decoded) == (len(r.token_ids), r.text or "")
     assert bpe.encode(df.where("doc_id > 9")).count() == 0
     assert bpe.decode(spark.createDataFrame([(None,)], "token_ids array<int>")).first().decoded == ""
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(max_size=20) | st.lists(st.sampled_from(["the ", "'s", "'re", "'ll", "'v", "hen", END, "  ", "\n", "é", "漢", "9", "'", "\u0085", " "])).map("".join)))
+def test_many_texts_at_once_equal_the_library(library, own, texts):
+    got = own.encode_all(texts)
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.decode_all(got) == [t.encode() for t in texts]
+
+
+def test_a_piece_is_looked_up_once_for_many_texts(own, monkeypatch):
+    looked = []
+    monkeypatch.setattr(own, "new", {})
+    monkeypatch.setattr(own, "old", {})
+    monkeypatch.setattr(own, "_missing", lambda piece: looked.append(piece) or own.merge(piece.encode()))
+    texts = ["so much of so much", "so much of it", END, "", "x" * 3000] * 40
+    monkeypatch.setattr(bpe, "CHARS_AT_ONCE", 1 << 20)
+    got = own.encode_all(texts)
+    assert sorted(looked) == sorted({"so", " so", " much", " of", " it", "x" * 3000})
+    monkeypatch.setattr(bpe, "CHARS_AT_ONCE", 50)
+    assert [x.tolist() for x in own.encode_all(texts)] == [x.tolist() for x in got]
+
+
+def test_every_code_point_is_cut_like_the_pattern(own):
+    import numpy as np
+
+    chars = [chr(c) for c in [*range(0, 0x3100), *range(0xFE00, 0x10000, 7), *range(0x10000, 0x20000, 31)]]
+    text = "".join(f"{c}a{c}{c} {c}'{c}1 " for c in chars)
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    fresh = np.zeros(len(points), dtype=bool)
+    fresh[0] = True
+    starts = [*np.flatnonzero(bpe.piece_starts(points, fresh)).tolist(), len(text)]
+    assert [text[a:b] for a, b in zip(starts, starts[1:])] == own.pieces(text)
+
+
+def test_short_pieces_merge_as_by_the_queue(own):
+    words = ["the", " thenre", "aaaaaaaa", "abcabcabcabc", " ", "é漢", "e", " antidisestablish"]
+    assert [own.merge_short(w.encode()) for w in words] == [own.merge(w.encode()) for w in words]

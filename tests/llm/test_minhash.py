@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm import brute
 from tidemark.llm import batches, minhash, simhash
@@ -65,3 +66,14 @@ def test_a_repeated_id_keeps_its_unique_text(spark):
     df = spark.createDataFrame([(3, a), (7, a), (7, b), (8, b), (8, b), (9, None), (None, a)], "doc_id long, text string")
     got = sorted(((r.doc_id or 0, r.text) for r in simhash.keep_one(spark, df).collect()), key=str)
     assert got == [(0, a), (3, a), (7, b), (9, None)]
+
+
+def test_shingles_are_made_once(spark, monkeypatch):
+    """Sets, bands and fingerprints of a text come from one pass over its shingles."""
+    batches.session(spark)
+    texts = ["", " ", "one two", " ".join(f"w{i % 40}" for i in range(700)), "a b c d e f g"]
+    made = minhash.voted([simhash.hashes(simhash.shingles(t.encode(), 5)) for t in texts])
+    assert made.tolist() == [simhash.fingerprint(t.encode(), 5) for t in texts]
+    for t in texts:
+        found = minhash.gram_set(simhash.shingles(t.encode(), 5))
+        assert found.tolist() == sorted({xxhash.xxh64_intdigest(s) for s in simhash.shingles(t.encode(), 5)})

@@ -27,7 +27,7 @@ BANDS, ROWS = 20, 5
 #: Nodes and shingles that one search takes at most.
 TILE_NODES, TILE_GRAMS = 1024, 2_000_000
 #: Shingles whose minima are taken at once.
-GRAMS_AT_ONCE = 4096
+GRAMS_AT_ONCE = 512
 
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -39,7 +39,18 @@ Grams = Callable[[bytes], Iterable[bytes]]
 
 def gram_set(grams: Iterable[bytes]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of shingles."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64))
+    found = np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams)), dtype=">u8").astype(np.uint64)
+    found.sort()
+    return found[np.concatenate([found[:1] == found[:1], found[1:] != found[:-1]])]
+
+
+def voted(hashes: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint that the hashes of each text vote for; 0 without any."""
+    lengths = np.array([len(x) for x in hashes], dtype=np.int64)
+    fps = np.zeros(len(hashes), dtype=np.uint64)
+    if lengths.any():
+        fps[lengths > 0] = hamming.majority_bits(np.concatenate(hashes), lengths[lengths > 0])
+    return fps
 
 
 def bands(found: np.ndarray) -> np.ndarray:
@@ -85,13 +96,17 @@ def _node() -> Column:
     return F.struct("h1", "h2")
 
 
-def signatures(docs: DataFrame, grams: Grams, fingerprint: Callable[[bytes], int] | None = None) -> DataFrame:
-    """(doc_id, copy, h1, h2, size, bands, fp) for every row: a 128-bit hash of the set, its size and band keys, a fingerprint of the text."""
+def signatures(docs: DataFrame, grams: Grams, hashes: Callable[[list[bytes]], np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, copy, h1, h2, size, bands, fp) for every row: a 128-bit hash of the set, its size and band keys, and the
+    fingerprint that the ``hashes`` of the shingles vote for."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = list(batches.texts(batch.column(2)))
-        sets = [gram_set(grams(t)) for t in texts]
-        fps = np.array([fingerprint(t) if fingerprint else 0 for t in texts], dtype=np.uint64).view(np.int64)
+        sets, votes = [], []
+        for text in batches.texts(batch.column(2)):
+            found = list(grams(text))
+            sets.append(gram_set(found))
+            votes.append(hashes(found) if hashes else np.empty(0, np.uint64))
+        fps = voted(votes).view(np.int64)
         halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), dtype=">i8").astype(np.int64).reshape(-1, 2)
         keys = pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays(
@@ -206,7 +221,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, grams: Grams, least: float) ->
 
 
 def copies(
-    docs: DataFrame, grams: Grams, least: float, fingerprint: Callable[[bytes], int] | None = None,
+    docs: DataFrame, grams: Grams, least: float, hashes: Callable[[list[bytes]], np.ndarray] | None = None,
     alike: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Two tables of (doc_id, copy): the rows that are copies of others, and the kept ones that are there more than once.
@@ -216,7 +231,7 @@ def copies(
     text. Null ids are neither. ``alike`` gives more links, (a, b) of sets, from
     (fp, node): the fingerprints of the texts with words and their sets.
     """
-    rows = batches.stage(signatures(docs, grams, fingerprint), "sets")
+    rows = batches.stage(signatures(docs, grams, hashes), "sets")
     place = F.struct("doc_id", "copy")
     nodes = batches.stage(
         rows.groupBy("h1", "h2").agg(

@@ -9,6 +9,8 @@ Fingerprints that share a key are verified bit by bit.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -58,6 +60,12 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(_WEIGHTS[votes * 2 > len(hashes)].sum(dtype=np.uint64))
 
 
+def hashes(grams: Iterable[bytes]) -> np.ndarray:
+    """The hashes of shingles whose bits make a fingerprint."""
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(s, SEED) for s in grams]), dtype=">u8").astype(np.uint64)
+
+
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys of all fingerprints, with the row each belongs to."""
     parts = [(fps >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
@@ -85,7 +93,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     """(id, fp) for every row; a null or empty text has fingerprint 0."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, width) for t in batches.texts(batch.column(1))], dtype=np.uint64)
+        fps = minhash.voted([hashes(shingles(t, width)) for t in batches.texts(batch.column(1))])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
@@ -115,8 +123,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = 3, id_co
 def _alike(nodes: DataFrame) -> DataFrame:
     """(a, b): links that connect the nodes of each group of fingerprints within RADIUS bits."""
     nodes = batches.stage(nodes, "near-copies-fps")
-    fps = batches.stage(nodes.select("fp").distinct(), "near-copies-distinct")
-    group = batches.stage(hamming.groups(fps, with_golay_keys, RADIUS, "near-copies-simhash"), "near-copies-groups")
+    fps = batches.stage(nodes.groupBy("fp").agg(F.count("*").alias("n")), "near-copies-distinct")
+    linked = batches.stage(hamming.linked(fps, with_golay_keys, RADIUS, "near-copies-simhash"), "near-copies-linked")
+    # groups of two nodes or more: linked fingerprints, and those of several nodes
+    group = fps.join(batches.broadcast_if_small(linked), "fp", "left").where((F.col("n") > 1) | F.col("group").isNotNull())
+    group = batches.broadcast_if_small(batches.stage(group.select("fp", F.coalesce("group", "fp").alias("group")), "near-copies-groups"))
     named = batches.stage(nodes.join(group, "fp").select("group", F.col("node").alias("b")), "near-copies-named")
     heads = named.groupBy("group").agg(F.min("b").alias("a"), F.max("b").alias("_last")).where("a != _last").drop("_last")
     heads = batches.broadcast_if_small(batches.stage(heads, "near-copies-heads"))
@@ -136,7 +147,7 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     that only repeats an id is judged by its own text. Documents whose id is
     null are never removed.
     """
-    gone, repeated = minhash.copies(docs, _five_words, SIMILARITY, lambda text: fingerprint(text, 5), _alike)
+    gone, repeated = minhash.copies(docs, _five_words, SIMILARITY, hashes, _alike)
     gone = batches.stage(gone, "near-copies-gone")
     repeated = batches.stage(repeated, "near-copies-repeated")
 

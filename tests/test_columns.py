@@ -145,3 +145,23 @@ def test_wildcard_join_finds_patterns_by_their_ends(spark, monkeypatch):
     for r in staged[0].collect():
         keys.setdefault(r.pattern, set()).add(r.key)
     assert "^3:8:014" in keys["name-00014*"] and "$2:1:12" in keys["*12"] and "#10" in keys["name-0001?"]
+
+
+def test_wide_results_take_little_room(spark, tmp_path):
+    """The text columns are written in the denser codec, unless the session names another one."""
+    from tidemark.catalog import columns as queries
+
+    key, held = "spark.sql.parquet.compression.codec", {}
+    before = spark.conf.get(key, None)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "then", "of", "and", "word"]) + str(rng.randrange(500)) for _ in range(300)), "en", "web") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        for codec in (None, "snappy"):
+            spark.conf.set(key, codec) if codec else spark.conf.unset(key)
+            queries.text_columns(spark, str(tmp_path)).write.parquet(path := str(tmp_path / str(codec)))
+            held[codec] = sum(f.stat().st_size for f in (tmp_path / str(codec)).glob("*.parquet"))
+            assert spark.read.parquet(path).count() == 300
+        assert held[None] < 0.8 * held["snappy"]
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)

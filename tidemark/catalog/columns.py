@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import changelog, columns as op
+from ..session import wide_results
 from ..sources.tables import table
 from ..sources.views import view, with_views
 from .changelog import COLS, KEY, rows
@@ -14,6 +15,7 @@ _NEEDLE = "the"
 
 
 def text_columns(spark, d):
+    wide_results(spark)  # thirteen columns hold the text again
     label = text.fill("{0}-{1}/{0}", F.col("lang"), F.col("source"))
     return op.text_columns(table(spark, d, "documents"), "text", ["doc_id"], _NEEDLE, label)
 

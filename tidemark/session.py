@@ -16,6 +16,18 @@ RUNTIME_CONF = {
 }
 
 
+#: Codec of Parquet results of which each row is many times its input row.
+WIDE_CODEC = "zstd"
+
+
+def wide_results(spark: SparkSession) -> SparkSession:
+    """Parquet results are written in WIDE_CODEC from now on, unless the session's owner has named a codec."""
+    key = "spark.sql.parquet.compression.codec"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, WIDE_CODEC)
+    return spark
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to a running session."""
     for key, value in RUNTIME_CONF.items():
